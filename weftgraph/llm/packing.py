@@ -38,7 +38,7 @@ CARRIED = 4096
 REMEMBERED = 600_000
 
 #: White space of Unicode, without the four control characters that str.split() also takes.
-_SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
+_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _CONTROLS = re.compile("[\x1c-\x1f]")
 
 _encoders: dict[str, WordEncoder] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import exact_dedup, packing, quality
+from weftgraph.llm import byte_bpe, exact_dedup, language, minhash, packing, quality, toxicity, url_filter
 from weftgraph.llm.common import crc_bucket, table
 
 WORD_VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
@@ -28,6 +28,35 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", (crc_bucket("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.link(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode_digests(table(spark, sf_dir, "documents"), vocabulary(BYTE_VOCABULARY))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.grade(docs, model).select("doc_id", (crc_bucket("doc_id", 5) == 0).alias("held_out"), "severity", "grade", "p_toxic", "predicted")
+
+
+#: Fixed values of the query: (verdict, host and path).
+URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs)
+    scored = language.predict(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (crc_bucket("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -38,5 +67,5 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
-QUERIES = {"op1_pack": op1_pack, "op2_quality": op2_quality, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_pack": op1_pack, "op2_quality": op2_quality, "op3_minhash": op3_minhash, "op4_toxicity": op4_toxicity, "op5_byte_bpe": op5_byte_bpe, "op6_url_filter": op6_url_filter, "op9_language": op9_language, "op10_exact_dedup": op10_exact_dedup}
 ORACLES = {"op10_exact_dedup": OP10_SQL}
