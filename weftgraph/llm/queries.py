@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import byte_bpe, exact_dedup, language, minhash, packing, quality, toxicity, url_filter
+from weftgraph.llm import byte_bpe, exact_dedup, language, minhash, packing, quality, topk, toxicity, url_filter, warc
 from weftgraph.llm.common import crc_bucket, table
 
 WORD_VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
@@ -50,6 +50,26 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantized(table(spark, sf_dir, "embeddings"))
+    return topk.search(vectors.where("vec_id % 50 = 0"), vectors, 5)
+
+
+OP7_SQL = """
+WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at")
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs)
@@ -67,5 +87,5 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
-QUERIES = {"op1_pack": op1_pack, "op2_quality": op2_quality, "op3_minhash": op3_minhash, "op4_toxicity": op4_toxicity, "op5_byte_bpe": op5_byte_bpe, "op6_url_filter": op6_url_filter, "op9_language": op9_language, "op10_exact_dedup": op10_exact_dedup}
-ORACLES = {"op10_exact_dedup": OP10_SQL}
+QUERIES = {"op1_pack": op1_pack, "op2_quality": op2_quality, "op3_minhash": op3_minhash, "op4_toxicity": op4_toxicity, "op5_byte_bpe": op5_byte_bpe, "op6_url_filter": op6_url_filter, "op7_topk": op7_topk, "op8_warc": op8_warc, "op9_language": op9_language, "op10_exact_dedup": op10_exact_dedup}
+ORACLES = {"op7_topk": OP7_SQL, "op10_exact_dedup": OP10_SQL}
