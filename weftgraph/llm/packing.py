@@ -34,39 +34,69 @@ CAPACITY = 2048
 BLOCK = 16384
 #: Open bins carried from one block to the next; the emptiest ones stay open.
 CARRIED = 4096
-#: Distinct words whose ids a Python worker remembers.
-REMEMBERED = 600_000
+#: Distinct runs of letters, and distinct other words, whose ids a Python worker remembers.
+REMEMBERED = 900_000
 
 #: White space of Unicode, without the four control characters that str.split() also takes.
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Latin letters that are single code points in every normal form, and whose lower case is another of them.
+_LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u0148\u014a-\u017e"
+_MARKS = r"!-/:-@\[-`{-~"
+#: Texts that fall into the tokenizer's own words by ``_RUNS``: Latin letters and ASCII.
+_PLAIN = re.compile(f"[{_LETTERS}{_MARKS}0-9\t-\r ]*")
+_RUNS = re.compile(f"[{_LETTERS}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[{_MARKS}]+")
+#: What the tokenizer appends to the last letter of a word.
+_WORD_END = "</w>"
 _CONTROLS = re.compile("[\x1c-\x1f]")
 
 _encoders: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Ids of a text by a tokenizer whose words never cross white space, with a bounded memory of words."""
+    """Ids of a text by a tokenizer whose words never cross white space, with bounded memories.
+
+    A text of Latin letters and ASCII falls into lower-cased runs, which are the tokenizer's own words; new runs
+    are encoded many at once, and cut apart at the tokens that end a word.  Any other text falls into what lies
+    between white space, each encoded by itself.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        vocabulary = self._tokenizer.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[i for t, i in vocabulary.items() if t.endswith(_WORD_END)]] = True
         self._known: dict[str, bytes] = {}
+        self._runs: dict[str, bytes] = {}
+
+    def _learn_runs(self, runs: list[str]) -> None:
+        lines = [runs[at : at + 500] for at in range(0, len(runs), 500)]
+        for line, e in zip(lines, self._tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            stops = (np.flatnonzero(self._ends[ids]) + 1) * 4
+            if len(stops) != len(line):
+                raise ValueError("the tokenizer does not mark the ends of words")
+            data, start = ids.tobytes(), 0
+            for run, stop in zip(line, stops.tolist(), strict=True):
+                self._runs[run] = data[start:stop]
+                start = stop
+
+    def _learn_words(self, words: list[str]) -> None:
+        for w, e in zip(words, self._tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self._known[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        words = [(_SPACE.split(t) if _CONTROLS.search(t) else t.split()) for t in texts]
-        known = self._known
-        missing = list({w for ws in words for w in ws if w not in known})
-        if len(known) + len(missing) > REMEMBERED:
-            known.clear()
-            missing = list({w for ws in words for w in ws})
-        for at in range(0, len(missing), 20_000):
-            some = missing[at : at + 20_000]
-            for w, e in zip(some, self._tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in ws]) for ws in words]
+        plain = [bool(_PLAIN.fullmatch(t)) for t in texts]
+        words = [_RUNS.findall(t.lower()) if p else _SPACE.split(t) if _CONTROLS.search(t) else t.split() for t, p in zip(texts, plain, strict=True)]
+        for memory, learn, which in ((self._runs, self._learn_runs, True), (self._known, self._learn_words, False)):
+            if len(memory) > REMEMBERED:
+                memory.clear()
+            learn(list(set().union(*[ws for ws, p in zip(words, plain, strict=True) if p is which]).difference(memory)))
+        runs, known = self._runs, self._known
+        return [b"".join([runs[w] for w in ws] if p else [known[w] for w in ws]) for ws, p in zip(words, plain, strict=True)]
 
 
 def _encoder(path: str) -> WordEncoder:
