@@ -21,6 +21,7 @@ import base64
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +34,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 #: Words contracted by one recursive query, and the bytes they have together at most (but for a single word).
 BLOCK_WORDS, BLOCK_BYTES = 40_000, 400_000
-#: Chunks of text (runs without white space) that a worker remembers.
-REMEMBERED = 500_000
+#: Distinct words that a worker remembers.
+REMEMBERED = 1_000_000
 LONG = 256
 #: Memory of one database; longer sorts spill to the worker's folder.
 DATABASE_MEMORY = "256MB"
@@ -46,13 +47,13 @@ WITH RECURSIVE step(n, w, p, t, more) AS (
   (WITH pairs AS (
      SELECT n, w, p, t, lead(t) OVER win AS t2, lag(p) OVER win AS before
      FROM step WHERE more WINDOW win AS (PARTITION BY w ORDER BY p)),
-   ranked AS (SELECT pairs.*, m.rank FROM pairs LEFT JOIN merges m ON m.l = pairs.t AND m.r = pairs.t2),
+   ranked AS (SELECT pairs.*, m.rank FROM pairs LEFT JOIN merges m ON m.pair = pairs.t::BIGINT * 4294967296 + pairs.t2),
    best AS (
      SELECT *, min(CASE WHEN rank IS NOT NULL THEN rank::BIGINT * 4294967296 + p END) OVER (PARTITION BY w) AS b FROM ranked)
    SELECT n + 1, w, p, CASE WHEN p = b % 4294967296 THEN (b // 4294967296)::INT ELSE t END, b IS NOT NULL
    FROM best WHERE b IS NULL OR before IS NULL OR before <> b % 4294967296)
 )
-SELECT w, list(t ORDER BY p) AS ids FROM step WHERE NOT more GROUP BY w
+SELECT w, p, t FROM step WHERE NOT more ORDER BY w, p
 """
 
 # Every second pair of a run of overlapping least-ranked pairs, from its left end, is contracted.
@@ -63,7 +64,7 @@ WITH RECURSIVE step(n, w, p, t, more) AS (
   (WITH pairs AS (
      SELECT n, w, p, t, lead(t) OVER win AS t2, row_number() OVER win AS i
      FROM step WHERE more WINDOW win AS (PARTITION BY w ORDER BY p)),
-   ranked AS (SELECT pairs.*, m.rank FROM pairs LEFT JOIN merges m ON m.l = pairs.t AND m.r = pairs.t2),
+   ranked AS (SELECT pairs.*, m.rank FROM pairs LEFT JOIN merges m ON m.pair = pairs.t::BIGINT * 4294967296 + pairs.t2),
    best AS (SELECT *, min(rank) OVER (PARTITION BY w) AS b FROM ranked),
    runs AS (SELECT *, i - row_number() OVER (PARTITION BY w, rank = b ORDER BY i) AS run FROM best),
    takes AS (
@@ -71,19 +72,19 @@ WITH RECURSIVE step(n, w, p, t, more) AS (
    after AS (SELECT *, lag(takes) OVER (PARTITION BY w ORDER BY i) AS gone FROM takes)
    SELECT n + 1, w, p, CASE WHEN takes THEN b ELSE t END, b IS NOT NULL FROM after WHERE gone IS NULL OR NOT gone)
 )
-SELECT w, list(t ORDER BY p) AS ids FROM step WHERE NOT more GROUP BY w
+SELECT w, p, t FROM step WHERE NOT more ORDER BY w, p
 """
 
 _DECODE = """
 SELECT w, string_agg(v.hex, '' ORDER BY p) AS hex
-FROM (SELECT w, unnest(ids) AS id, unnest(range(len(ids))) AS p FROM sequences) s LEFT JOIN vocabulary v USING (id)
-GROUP BY w HAVING count(v.hex) = count(*)
+FROM sequences s LEFT JOIN vocabulary v USING (id)
+GROUP BY w HAVING count(v.hex) = count(*) ORDER BY w
 """
 
-# White space here includes all that the pattern knows, so a single space between other characters always
-# begins a word: chunks between such spaces can be encoded one by one.
-_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r" \s|[\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] |^ | $")
+#: Texts of Latin letters and ASCII, whose words the standard library's faster expression finds.
+_LATIN, _MARKS, _SPACES = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"!-/:-@\[-`{-~", r"\t-\r "
+_PLAIN = re.compile(f"[{_LATIN}{_MARKS}{_SPACES}0-9]*")
+_PLAIN_WORDS = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_LATIN}]+| ?[0-9]+| ?[{_MARKS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -99,39 +100,36 @@ class BytePairs:
         import regex
 
         ranks = read_ranks(path)
-        self._byte = [ranks[bytes([b])] for b in range(256)]
+        self._byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self._pattern = regex.compile(PATTERN)
         self._db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": DATABASE_MEMORY})
         merges = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        left, right, rank = zip(*merges, strict=True)
-        self._table("merges", l=pa.array(left, pa.int32()), r=pa.array(right, pa.int32()), rank=pa.array(rank, pa.int32()))
-        self._table("vocabulary", id=pa.array(ranks.values(), pa.int32()), hex=pa.array([t.hex() for t in ranks]))
-        self._words: dict[str, bytes] = {}
-        self._chunks: dict[str, tuple[bytes, bytes]] = {}
+        left, right, rank = (np.array(x, np.int64) for x in zip(*merges, strict=True))
+        self._table("merges", pair=pa.array(left << 32 | right), rank=pa.array(rank.astype(np.int32)))
+        self._table("vocabulary", id=pa.array(ranks.values(), pa.int64()), hex=pa.array([t.hex() for t in ranks]))
+        self._known: dict[str, tuple[bytes, bytes]] = {}
 
     def _table(self, name: str, **columns: pa.Array) -> None:
         self._db.register("incoming", pa.table(columns))
         self._db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM incoming")
         self._db.unregister("incoming")
 
-    def _contract(self, words: list[bytes], query: str) -> list[list[int]]:
-        w, p, t = [], [], []
-        for i, word in enumerate(words):
-            w.extend([i] * len(word))
-            p.extend(range(len(word)))
-            t.extend([self._byte[b] for b in word])
-        self._table("tokens", w=pa.array(w, pa.int32()), p=pa.array(p, pa.int64()), t=pa.array(t, pa.int32()))
-        out: list[list[int]] = [[]] * len(words)
-        for i, ids in self._db.execute(query).fetchall():
-            out[i] = ids
-        return out
-
-    def ids_of_words(self, words: list[str]) -> list[list[int]]:
+    def _contract(self, words: list[bytes], query: str) -> list[np.ndarray]:
+        """Ids of each word, none of them empty."""
+        sizes = np.array([len(w) for w in words])
+        starts = np.cumsum(sizes) - sizes
+        places = np.arange(sizes.sum()) - np.repeat(starts, sizes)
+        singles = self._byte[np.frombuffer(b"".join(words), np.uint8)]
+        self._table("tokens", w=pa.array(np.repeat(np.arange(len(words), dtype=np.int32), sizes)), p=pa.array(places), t=pa.array(singles))
+        rows = self._db.execute(query).fetchnumpy()
+        return np.split(np.asarray(rows["t"], np.int64), np.searchsorted(np.asarray(rows["w"]), np.arange(1, len(words))))
+
+    def ids_of_words(self, words: list[str]) -> list[np.ndarray]:
         """Ids of words, each by itself."""
-        out: list[list[int]] = [[]] * len(words)
+        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(words)
         encoded = [w.encode("utf-8", "surrogatepass") for w in words]
         long = [i for i, e in enumerate(encoded) if len(e) > LONG]
-        short = [i for i, e in enumerate(encoded) if len(e) <= LONG]
+        short = [i for i, e in enumerate(encoded) if 0 < len(e) <= LONG]
         for query, those in ((_CONTRACT, short), (_CONTRACT_LONG, long)):
             block, size = [], 0
             for k, i in enumerate(those):
@@ -143,50 +141,44 @@ class BytePairs:
                     block, size = [], 0
         return out
 
-    def decode(self, sequences: list[list[int]]) -> list[bytes]:
+    def decode(self, sequences: list[np.ndarray]) -> list[bytes]:
         """Bytes of sequences of ids."""
         out: list[bytes] = [b""] * len(sequences)
-        for at in range(0, len(sequences), BLOCK_WORDS):
-            some = sequences[at : at + BLOCK_WORDS]
-            full = [i for i, s in enumerate(some) if len(s)]
-            self._table("sequences", w=pa.array(full, pa.int32()), ids=pa.array([some[i] for i in full], pa.list_(pa.int32())))
-            found = self._db.execute(_DECODE).fetchall()
-            if len(found) != len(full):
+        full = [i for i, s in enumerate(sequences) if len(s)]
+        for at in range(0, len(full), BLOCK_WORDS):
+            some = full[at : at + BLOCK_WORDS]
+            sizes = np.array([len(sequences[i]) for i in some])
+            places = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            self._table("sequences", w=pa.array(np.repeat(np.arange(len(some), dtype=np.int32), sizes)), p=pa.array(places), id=pa.array(np.concatenate([sequences[i] for i in some])))
+            found = self._db.execute(_DECODE).fetchnumpy()["hex"]
+            if len(found) != len(some):
                 raise ValueError("an id is not in the vocabulary")
-            for i, text in found:
-                out[at + i] = bytes.fromhex(text)
+            for i, text in zip(some, found.tolist(), strict=True):
+                out[i] = bytes.fromhex(text)
         return out
 
-    def _learn(self, chunks: list[str], before: str, into: dict[str, tuple[bytes, bytes]]) -> None:
-        """Remember ids and decoded bytes of ``before`` + chunk, for each chunk."""
-        for at in range(0, len(chunks), BLOCK_WORDS):
-            some = chunks[at : at + BLOCK_WORDS]
-            split = [self._pattern.findall(before + c) for c in some]
-            known = self._words
-            if len(known) > REMEMBERED:
-                known.clear()
-            new = list({w for ws in split for w in ws if w not in known})
-            ids = self.ids_of_words(new)
-            for w, i, d in zip(new, ids, self.decode(ids), strict=True):
-                known[w] = (b"".join([x.to_bytes(4, "little") for x in i]), d)
-            for c, ws in zip(some, split, strict=True):
-                into[c] = known[ws[0]] if len(ws) == 1 else (b"".join([known[w][0] for w in ws]), b"".join([known[w][1] for w in ws]))
+    def _learn(self, words: list[str]) -> None:
+        """Remember each word's ids and what they decode to."""
+        for at in range(0, len(words), BLOCK_WORDS):
+            some = words[at : at + BLOCK_WORDS]
+            ids = self.ids_of_words(some)
+            for w, i, d in zip(some, ids, self.decode(ids), strict=True):
+                self._known[w] = (i.astype("<u4").tobytes(), d)
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """(ids as little-endian unsigned 32-bit integers, the bytes that these ids decode to) of each text."""
-        parts = [_BETWEEN.split(t) if _ODD.search(t) else t.split(" ") for t in texts]
-        first: dict[str, tuple[bytes, bytes]] = {}
-        self._learn(list({p[0] for p in parts}), "", first)
-        known = self._chunks
-        missing = {c for p in parts for c in p[1:] if c not in known}
+        words = [_PLAIN_WORDS.findall(t) if _PLAIN.fullmatch(t) else self._pattern.findall(t) for t in texts]
+        known = self._known
+        distinct = set().union(*words)
+        missing = distinct.difference(known)
         if len(known) + len(missing) > REMEMBERED:
             known.clear()
-            missing = {c for p in parts for c in p[1:]}
-        self._learn(list(missing), " ", known)
+            missing = distinct
+        self._learn(list(missing))
         out = []
-        for p in parts:
-            ids, decoded = zip(first[p[0]], *[known[c] for c in p[1:]], strict=True)
-            out.append((b"".join(ids), b"".join(decoded)))
+        for ws in words:
+            both = [known[w] for w in ws]
+            out.append((b"".join([b[0] for b in both]), b"".join([b[1] for b in both])))
         return out
 
 
@@ -229,8 +221,6 @@ def _run(docs: DataFrame, ranks_path: str, id_col: str, text_col: str, schema: T
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import sha256
 
-        import numpy as np
-
         coder = pairs(ranks_path)
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
@@ -255,7 +245,7 @@ def decode(rows: DataFrame, ranks_path: str, *, ids_col: str = "ids", out: str =
         coder = pairs(ranks_path)
         for batch in batches:
             ids = batch.column(ids_col).to_pylist()
-            found = coder.decode([i or [] for i in ids])
+            found = coder.decode([np.array(i or [], np.int64) for i in ids])
             made = pa.array([None if i is None else d for i, d in zip(ids, found, strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, out])
 
