@@ -7,10 +7,11 @@ bands of 6 values a pair of similarity 0.85 is missed with a probability of 3e-7
 
 Texts with equal sets are one node.  Candidates are never expanded into all pairs of a band: first every node of a
 band is compared with the band's smallest; nodes that this leaves in different components are compared further,
-directly in small bands, and in large ones round by round against the band's most typical nodes (those with
-the fewest shingles of their own) until a band has one component or every pair that could still join two
-components has been confirmed or refuted.  So the components equal those of all confirmed candidate pairs, while
-the pairs that are made stay near the number of nodes.
+directly in small bands.  In large ones all nodes are compared with the band's most typical nodes (those with the
+fewest shingles of their own); whatever is still outside a band's main component is then compared with the rest of
+the band in packed blocks of bounded size, a matrix product a pair of blocks, of which only confirmed links
+leave.  So the components equal those of all confirmed candidate pairs, while the rows that are made stay near the
+number of nodes.
 
 Nothing is collected to the driver; components come from an iteration of joins over written tables.
 
@@ -39,8 +40,10 @@ PERMUTATIONS = 96
 BANDS = 32
 #: Bands with at most so many open nodes compare them with each other directly; larger ones go by rounds.
 SMALL = 48
-#: Nodes of a large band that all others are compared with, in the first round; twice as many in each next one.
-TYPICAL = 4
+#: Nodes of a large band that all others are compared with, in the first round and in the second.
+TYPICAL = (4, 8)
+#: Nodes packed together for products: those outside the main component, and all of a band.
+OUTSIDE, INSIDE = 64, 256
 
 _WORD = re.compile("[^\\x20\\x09-\\x0D]+")
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -235,8 +238,7 @@ def _large_bands(rows: DataFrame, sets: DataFrame, labels: DataFrame, percent: i
 
     A node's ``own`` shingles are in no other node of these bands; with c = n - own, no link from it can have a
     similarity above c / n, so a node with 100 * c < percent * n leaves at once, and a pair needs
-    100 * min(c) >= percent * (n + n' - min(c)).  Each round compares the most typical nodes that are left
-    in a band with all others of other components; then they leave.
+    100 * min(c) >= percent * (n + n' - min(c)).
     """
     if rows.isEmpty():
         return labels
@@ -246,19 +248,84 @@ def _large_bands(rows: DataFrame, sets: DataFrame, labels: DataFrame, percent: i
     own = often.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
     left = rows.join(own, "node", "left").withColumn("c", F.col("n") - F.coalesce("own", F.lit(0))).drop("own").where(F.lit(100) * F.col("c") >= F.lit(percent) * F.col("n"))
     left = materialize(left, "minhash-large")
-    typical = TYPICAL
-    while True:
-        now = _labelled(left, labels)
-        now = materialize(now.join(_open(now).select("bucket"), "bucket", "left_semi"), "minhash-large")
+    for typical in TYPICAL:
+        now = _still_open(left, labels)
         if now.isEmpty():
             return labels
         ranks = materialize(_most_typical(now, typical), "minhash-typical")
         least = F.least("c_l", "c_r")
         pairs = _pairs(ranks, now, percent, F.lit(100) * least >= F.lit(percent) * (F.col("n_l") + F.col("n_r") - least))
-        found = materialize(_confirm(pairs, sets, percent), "minhash-links")
-        labels = components(found, labels)
+        labels = components(materialize(_confirm(pairs, sets, percent), "minhash-links"), labels)
         left = now.drop("comp").join(ranks.select("bucket", "node"), ["bucket", "node"], "left_anti")
-        typical *= 2
+    now = _still_open(left, labels)
+    if now.isEmpty():
+        return labels
+    return components(materialize(_block_links(now, sets, percent), "minhash-links"), labels)
+
+
+def _still_open(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows with their components so far, of buckets that have several."""
+    now = _labelled(rows, labels)
+    return materialize(now.join(_open(now).select("bucket"), "bucket", "left_semi"), "minhash-large")
+
+
+def _block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between nodes outside a bucket's main component and all others of the bucket.
+
+    Both are packed into blocks before they meet, so a row is a pair of blocks, and a task holds two at a time.
+    """
+    spark = rows.sparkSession
+    sizes = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"))
+    main = materialize(sizes.groupBy("bucket").agg(F.max_by("comp", "m").alias("main"), F.sum("m").alias("all"), (F.sum("m") - F.max("m")).alias("outside")), "minhash-main")
+    told = rows.select("bucket", "node", "comp").join(main, "bucket")
+    packed = F.collect_list(F.struct("node", "comp", "set"))
+
+    def blocks(some: DataFrame, count: Column, size: int, seed: int, name: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("node", F.lit(seed)), F.ceil(count / size).cast("long"))
+        keyed = some.select("bucket", block.alias("block"), "node", "comp")
+        return materialize(keyed.join(sets, "node").groupBy("bucket", "block").agg(packed.alias(name)).drop("block"), "minhash-blocks")
+
+    outside = blocks(told.where("comp <> main"), F.col("outside"), OUTSIDE, 1, "outside")
+    inside = blocks(told, F.col("all"), INSIDE, 2, "inside")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # a row has two blocks of sets
+    try:
+        met = outside.join(inside, "bucket").select("outside", "inside")
+        return materialize(met.mapInArrow(_block_pairs(percent), T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])), "minhash-links")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def _unpack(column: pa.ListArray, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes, components, shingles one after another, and each shingle's row, of a packed block."""
+    items = column[row].values
+    lists = items.field("set")
+    lengths = np.diff(lists.offsets.to_numpy())
+    values = lists.flatten().to_numpy()
+    return items.field("node").to_numpy(), items.field("comp").to_numpy(), values, np.repeat(np.arange(len(lengths)), lengths)
+
+
+def _block_pairs(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found_a, found_b = [], []
+            for row in range(batch.num_rows):
+                (u, uc, us, ur), (v, vc, vs, vr) = (_unpack(batch.column(i), row) for i in (0, 1))
+                both = np.intersect1d(us, vs)
+                x, y = np.zeros((len(u), len(both)), np.float32), np.zeros((len(v), len(both)), np.float32)
+                for m, values, at in ((x, us, ur), (y, vs, vr)):
+                    place = np.minimum(np.searchsorted(both, values), max(0, len(both) - 1))
+                    hit = both[place] == values if len(both) else np.zeros(len(values), bool)
+                    m[at[hit], place[hit]] = 1
+                common = np.rint(x @ y.T).astype(np.int64)
+                nu, nv = np.bincount(ur, minlength=len(u)), np.bincount(vr, minlength=len(v))
+                linked = (100 * common >= percent * (nu[:, None] + nv[None, :] - common)) & (uc[:, None] != vc[None, :])
+                i, j = np.nonzero(linked)
+                found_a.append(np.minimum(u[i], v[j]))
+                found_b.append(np.maximum(u[i], v[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"])
+
+    return run
 
 
 def _most_typical(rows: DataFrame, k: int) -> DataFrame:
