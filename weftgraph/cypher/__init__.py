@@ -1 +1,6 @@
+"""A read-only Cypher subset over the property graph's DataFrames."""
 
+from weftgraph.cypher.build import explain_query, fuzzy, run, subgraph
+from weftgraph.cypher.parse import CypherError, extract_query, input_mode, is_read_only, parse
+
+__all__ = ["CypherError", "explain_query", "extract_query", "fuzzy", "input_mode", "is_read_only", "parse", "run", "subgraph"]

@@ -1,0 +1,568 @@
+"""Cypher syntax to DataFrames.
+
+A bound node or relation is a set of flat columns ``var__property``, only those that the query names, so the optimizer
+prunes the rest; conjuncts of WHERE are applied as soon as their variables are bound, so they reach the scans also
+where a traversal writes its levels.  Fixed patterns are joins, patterns in predicates semi and anti joins,
+variable-length patterns trails (or reach, where the result is distinct and no path is named).
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+from typing import Any
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from weftgraph.cypher.parse import Clause, CypherError, Expr, Node, Pattern, Query, Rel, loosened, parse
+from weftgraph.graph import CodeGraph
+from weftgraph.operators import match, traverse
+
+#: Steps of a pattern without an upper bound.
+UNBOUNDED = 12
+_VIEW = ("id", "label", "name", "kind", "module_path")
+_AGGREGATES = ("count", "collect", "sum", "avg", "min", "max")
+
+
+@dataclass
+class Frame:
+    """Rows so far, and what each variable is: node or rel (its flat columns), path, or value."""
+
+    df: DataFrame | None = None
+    env: dict[str, tuple[str, tuple[str, ...]]] = field(default_factory=dict)
+
+
+def _walk(e: Any):
+    if isinstance(e, Expr):
+        yield e
+        for a in e.args:
+            yield from _walk(a)
+    elif isinstance(e, tuple):
+        for a in e:
+            yield from _walk(a)
+
+
+def _aggregated(e: Any) -> bool:
+    return any(x.op == "call" and x.args[0] in _AGGREGATES for x in _walk(e))
+
+
+def _variables(e: Any) -> set[str]:
+    names = {x.args[0] for x in _walk(e) if x.op == "var"}
+    for x in _walk(e):
+        if x.op == "pattern":
+            names |= {n.var for n in x.args[0] if isinstance(n, Node) and n.var}
+        if x.op == "comprehension":
+            names.discard(x.args[0])
+    return names
+
+
+def _conjuncts(e: Expr | None) -> list[Expr]:
+    if e is None:
+        return []
+    return [c for a in e.args for c in _conjuncts(a)] if e.op == "and" else [e]
+
+
+class Builder:
+    def __init__(self, graph: CodeGraph, query: Query, params: dict[str, Any]) -> None:
+        self.graph, self.query, self.params = graph, query, params
+        self.fresh = 0
+        self._tables: dict[str, DataFrame] = {}
+
+    # --- tables
+
+    def table(self, labels: tuple[str, ...]) -> DataFrame:
+        """Vertices of some labels; one label scans its own table with all its columns."""
+        g = self.graph
+        own = {"LogicNode": g.nodes, "Variable": g.variables, "TypeShape": g.shapes, "Flow": g.flows}
+        if len(labels) == 1 and labels[0] in own:
+            t = own[labels[0]]
+            for c in _VIEW:
+                if c not in t.columns:
+                    t = t.withColumn(c, F.lit(labels[0]) if c == "label" else F.col("shape_hash") if c == "name" and "shape_hash" in t.columns else F.lit(None).cast("string"))
+            return t.withColumn("label", F.lit(labels[0]))
+        everything = g.vertices
+        return everything.where(F.col("label").isin(*labels)) if labels else everything
+
+    def properties(self, var: str, table: DataFrame) -> tuple[str, ...]:
+        named = self.query.uses.get(var, set())
+        unknown = named - set(table.columns)
+        return tuple(dict.fromkeys(["id", *(_VIEW if self.whole(var) else ()), *(c for c in table.columns if c in named), *sorted(unknown)]))
+
+    def whole(self, var: str) -> bool:
+        """Whether a query uses a variable as a whole, outside counts."""
+        for part in self.query.parts:
+            for c in part:
+                for item in [*[i.expr for i in c.items], *([c.unwind] if c.unwind else []), *[o for o, _ in c.order]]:
+                    props = {id(x.args[0]) for x in _walk(item) if x.op == "prop"}
+                    counted = {id(a) for x in _walk(item) if x.op == "call" and x.args[0] in ("count", "type", "id") for a in x.args[2]}
+                    if any(x.op == "var" and x.args[0] == var and id(x) not in props and id(x) not in counted for x in _walk(item)):
+                        return True
+        return False
+
+    def scan(self, node: Node, var: str) -> tuple[DataFrame, tuple[str, ...]]:
+        t = self.table(node.labels)
+        for key, value in node.props:
+            t = t.where(F.col(key) == self.literal(value))
+        props = self.properties(var, t)
+        return t.select(*[(F.col(p) if p in t.columns else F.lit(None).cast("string")).alias(f"{var}__{p}") for p in props]), props
+
+    def literal(self, e: Expr) -> Any:
+        if e.op == "lit":
+            return e.args[0]
+        if e.op == "param":
+            if e.args[0] not in self.params:
+                raise CypherError(f"parameter ${e.args[0]} is missing")
+            return self.params[e.args[0]]
+        if e.op == "list":
+            return [self.literal(a) for a in e.args]
+        raise CypherError("a constant is needed here")
+
+    def name(self, kind: str) -> str:
+        self.fresh += 1
+        return f"_{kind}{self.fresh}"
+
+    # --- clauses
+
+    def run(self) -> DataFrame:
+        parts = [self.part(p) for p in self.query.parts]
+        out = parts[0]
+        for other in parts[1:]:
+            out = out.union(other)
+        return out if len(parts) == 1 or self.query.union_all else out.distinct()
+
+    def part(self, clauses: tuple[Clause, ...]) -> DataFrame:
+        frame = Frame()
+        last = clauses[-1]
+        plain = last.distinct and not any(_aggregated(i.expr) for i in last.items) and len(clauses) == 2
+        for c in clauses:
+            if c.kind == "match":
+                frame = self.optional(frame, c) if c.optional and frame.df is not None else self.match(frame, c, plain)
+            elif c.kind == "unwind":
+                frame = self.unwind(frame, c)
+            else:
+                frame = self.project(frame, c)
+        return frame.df
+
+    def match(self, frame: Frame, clause: Clause, distinct: bool = False) -> Frame:
+        waiting = _conjuncts(clause.where)
+        for p in clause.patterns:
+            frame, waiting = self.pattern(frame, p, waiting, distinct)
+        for c in waiting:
+            frame = self.filter(frame, c)
+        return frame
+
+    def ready(self, frame: Frame, waiting: list[Expr]) -> tuple[Frame, list[Expr]]:
+        """Apply every waiting conjunct whose variables are bound."""
+        later = []
+        for c in waiting:
+            needed = {v for v in _variables(c) if not any(x.op == "comprehension" and x.args[0] == v for x in _walk(c))}
+            if needed and needed <= set(frame.env):
+                frame = self.filter(frame, c)
+            else:
+                later.append(c)
+        return frame, later
+
+    def optional(self, frame: Frame, clause: Clause) -> Frame:
+        inner = self.match(Frame(frame.df, dict(frame.env)), clause)
+        keys = [f"{v}__id" for v, (kind, _) in frame.env.items() if kind == "node"]
+        shared = [k for k in keys if any(n.var and f"{n.var}__id" == k for p in clause.patterns for n in p.parts if isinstance(n, Node))] or keys
+        added = [c for c in inner.df.columns if c not in frame.df.columns]
+        right = inner.df.select(*shared, *added).distinct() if set(shared) != set(frame.df.columns) else inner.df
+        return Frame(frame.df.join(right, shared, "left"), inner.env)
+
+    def unwind(self, frame: Frame, clause: Clause) -> Frame:
+        df = frame.df if frame.df is not None else self.graph.nodes.sparkSession.range(1).select()
+        out = df.withColumn(clause.var, F.explode(self.column(frame, clause.unwind)))
+        env = dict(frame.env)
+        kind = out.schema[clause.var].dataType
+        if kind.typeName() == "struct":  # nodes of a collected list are nodes again
+            fields = kind.fieldNames()
+            out = out.select(*[c for c in out.columns if c != clause.var], *[F.col(clause.var)[f].alias(f"{clause.var}__{f}") for f in fields])
+            env[clause.var] = ("node", tuple(fields))
+        else:
+            env[clause.var] = ("value", ())
+        return Frame(out, env)
+
+    # --- patterns
+
+    def pattern(self, frame: Frame, p: Pattern, waiting: list[Expr], distinct: bool) -> tuple[Frame, list[Expr]]:
+        first = p.parts[0]
+        var = first.var or self.name("n")
+        frame = self.bind(frame, first, var)
+        frame, waiting = self.ready(frame, waiting)
+        chain = None
+        for rel, node in zip(p.parts[1::2], p.parts[2::2], strict=True):
+            to = node.var or self.name("n")
+            if rel.least is None:
+                frame = self.step(frame, var, rel, node, to)
+                chain = self.grow(frame, chain, var, to) if p.path else None
+            elif p.shortest:
+                frame, chain = self.shortest(frame, var, rel, node, to, waiting)
+            else:
+                frame, chain = self.paths(frame, var, rel, node, to, distinct and not p.path and not rel.var, chain, bool(p.path))
+            var = to
+            frame, waiting = self.ready(frame, waiting)
+        if p.path:
+            if chain is None:
+                frame.df = frame.df.withColumn(p.path, F.array(f"{var}__id"))
+            else:
+                frame.df = frame.df.withColumnRenamed(chain, p.path)
+            frame.env[p.path] = ("path", ())
+            frame, waiting = self.ready(frame, waiting)
+        return frame, waiting
+
+    def grow(self, frame: Frame, chain: str | None, var: str, to: str) -> str:
+        name = self.name("c")
+        before = F.col(chain) if chain else F.array(f"{var}__id")
+        frame.df = frame.df.withColumn(name, F.array_append(before, F.col(f"{to}__id")))
+        return name
+
+    def bind(self, frame: Frame, node: Node, var: str) -> Frame:
+        if var in frame.env:
+            return frame
+        t, props = self.scan(node, var)
+        return Frame(t if frame.df is None else frame.df.join(t), frame.env | {var: ("node", props)})
+
+    def relations(self, rel: Rel) -> DataFrame:
+        e = self.graph.typed(*rel.types)
+        for key, value in rel.props:
+            e = e.where(F.col(key) == self.literal(value))
+        if rel.direction == "in":
+            return traverse.reversed_edges(e)
+        return e.unionByName(traverse.reversed_edges(e)) if rel.direction == "both" else e
+
+    def attach(self, frame: Frame, node: Node, to: str, at: str) -> Frame:
+        """Join the far end: to a bound variable by its id, else to its table."""
+        if to in frame.env:
+            return Frame(frame.df.where(F.col(at) == F.col(f"{to}__id")).drop(at), frame.env)
+        t, props = self.scan(node, to)
+        return Frame(frame.df.join(t, F.col(at) == F.col(f"{to}__id")).drop(at), frame.env | {to: ("node", props)})
+
+    def step(self, frame: Frame, var: str, rel: Rel, node: Node, to: str) -> Frame:
+        e = self.relations(rel)
+        r = rel.var or self.name("r")
+        named = self.query.uses.get(r, set())
+        props = tuple(dict.fromkeys(["type", *(c for c in e.columns if c in named)]))
+        src, dst = self.name("s"), self.name("d")
+        e = e.select(F.col("src").alias(src), F.col("dst").alias(dst), *[F.col(c).alias(f"{r}__{c}") for c in props])
+        joined = frame.df.join(e, F.col(f"{var}__id") == F.col(src)).drop(src)
+        return self.attach(Frame(joined, frame.env | {r: ("rel", props)}), node, to, dst)
+
+    def roots(self, frame: Frame, var: str) -> DataFrame:
+        return frame.df.select(F.col(f"{var}__id").alias("id")).distinct()
+
+    def paths(self, frame: Frame, var: str, rel: Rel, node: Node, to: str, distinct: bool, chain: str | None, keep: bool) -> tuple[Frame, str | None]:
+        most = rel.most if rel.most is not None else UNBOUNDED
+        e, roots = self.relations(rel), self.roots(frame, var)
+        root, end, name = self.name("s"), self.name("d"), self.name("c")
+        if distinct and rel.least <= 1:
+            found = traverse.reach(e, roots, most, include_roots=rel.least == 0).select(F.col("root").alias(root), F.col("node").alias(end))
+        else:
+            found = traverse.trails(e, roots, most, least=max(1, rel.least)).select(F.col("root").alias(root), F.col("node").alias(end), *([F.col("chain").alias(name)] if keep else []))
+            if rel.least == 0:
+                own = roots.select(F.col("id").alias(root), F.col("id").alias(end), *([F.array("id").alias(name)] if keep else []))
+                found = found.unionByName(own)
+        joined = frame.df.join(found, F.col(f"{var}__id") == F.col(root)).drop(root)
+        if keep and chain:
+            joined = joined.withColumn(name, F.concat(chain, F.slice(name, 2, 1 << 20))).drop(chain)
+        return self.attach(Frame(joined, dict(frame.env)), node, to, end), name if keep else None
+
+    def shortest(self, frame: Frame, var: str, rel: Rel, node: Node, to: str, waiting: list[Expr]) -> tuple[Frame, str]:
+        goal, _ = self.ready(self.bind(Frame(), node, to), waiting)
+        most = rel.most if rel.most is not None else UNBOUNDED
+        root, end, name = self.name("s"), self.name("d"), self.name("c")
+        found = traverse.shortest(self.relations(rel), self.roots(frame, var), self.roots(goal, to), most).select(F.col("root").alias(root), F.col("node").alias(end), F.col("chain").alias(name))
+        joined = frame.df.join(found, F.col(f"{var}__id") == F.col(root)).drop(root)
+        return self.attach(Frame(joined, dict(frame.env)), node, to, end), name
+
+    # --- predicates
+
+    def filter(self, frame: Frame, e: Expr) -> Frame:
+        negative = e.op == "not"
+        inner = e.args[0] if negative else e
+        if inner.op == "pattern":
+            keys, found = self.matching(frame, inner.args[0])
+            return Frame(frame.df.join(found, keys, "left_anti" if negative else "left_semi"), frame.env)
+        nested = [x for x in _walk(e) if x.op == "pattern"]
+        df = frame.df
+        for x in nested:  # a pattern under OR becomes a flag
+            keys, found = self.matching(frame, x.args[0])
+            flag = self.name("f")
+            df = df.join(found.withColumn(flag, F.lit(True)), keys, "left")
+            self.flags[id(x)] = flag
+        out = df.where(self.column(Frame(df, frame.env), e))
+        return Frame(out.select(*frame.df.columns) if nested else out, frame.env)
+
+    flags: dict[int, str] = {}
+
+    def matching(self, frame: Frame, chain: tuple[Any, ...]) -> tuple[list[str], DataFrame]:
+        """The id columns that a pattern shares with the frame, and their distinct values where it matches."""
+        bound = [n.var for n in chain if isinstance(n, Node) and n.var in frame.env]
+        if not bound:
+            raise CypherError("a pattern in a predicate needs a bound variable")
+        inner, _ = self.pattern(Frame(), Pattern(None, False, chain), [], True)
+        keys = [f"{v}__id" for v in dict.fromkeys(bound)]
+        return keys, inner.df.select(*keys).distinct()
+
+    # --- projections
+
+    def project(self, frame: Frame, clause: Clause) -> Frame:
+        df, env = frame.df, {}
+        items = list(clause.items)
+        if clause.star:
+            items = [*[_item(v) for v, (kind, _) in frame.env.items() if not v.startswith("_")], *items]
+        final = clause.kind == "return"
+        frame, items = self.prepared(frame, items, clause)
+        keys = [i for i in items if not _aggregated(i.expr)]
+        aggregates = [i for i in items if _aggregated(i.expr)]
+        columns: list[Column] = []
+        for i in keys:
+            columns += self.outputs(frame, i, final, env)
+        if aggregates:
+            named = [self.column(frame, i.expr).alias(i.alias) for i in aggregates]
+            env |= {i.alias: ("value", ()) for i in aggregates}
+            df = frame.df.groupBy(*columns).agg(*named)
+            order_of = {i.alias: F.col(f"`{i.alias}`") for i in items}
+            out = df
+        else:
+            order_of = {i.alias: None for i in items}
+            out = frame.df
+        order = [self.ordering(frame, items, e, down, bool(aggregates) or clause.distinct) for e, down in clause.order]
+        if not aggregates:
+            if clause.distinct:
+                out = out.select(*columns).distinct()
+            elif order:
+                out = out.orderBy(*order).select(*columns) if not clause.limit and not clause.skip else out.select(*columns, *[o_col.alias(f"_o{k}") for k, (o_col, _) in enumerate(self.order_columns(frame, items, clause))])
+            else:
+                out = out.select(*columns)
+        names = [c for c in out.columns if not c.startswith("_o")]
+        if clause.distinct or aggregates:
+            sorts = order
+        else:
+            sorts = [F.col(f"_o{k}").desc() if down else F.col(f"_o{k}").asc() for k, (_, down) in enumerate(clause.order)] if any(c.startswith("_o") for c in out.columns) else []
+        if clause.skip or clause.limit:
+            orderable = [f"`{c}`" for c in names if out.schema[c].dataType.typeName() != "map"]
+            out = out.orderBy(*sorts, *orderable)  # a limit takes rows of a total order
+            out = out.offset(int(self.literal(clause.skip))) if clause.skip else out
+            out = out.limit(int(self.literal(clause.limit))) if clause.limit else out
+        elif sorts:
+            out = out.orderBy(*sorts)
+        out = out.select(*[f"`{c}`" for c in names])
+        del order_of
+        result = Frame(out, env)
+        for c in _conjuncts(clause.where):
+            result = self.filter(result, c)
+        return result
+
+    def order_columns(self, frame: Frame, items: list[Any], clause: Clause) -> list[tuple[Column, bool]]:
+        aliases = {i.alias: i.expr for i in items}
+        return [(self.column(frame, aliases[e.args[0]] if e.op == "var" and e.args[0] in aliases else e), down) for e, down in clause.order]
+
+    def ordering(self, frame: Frame, items: list[Any], e: Expr, down: bool, by_output: bool) -> Column:
+        aliases = {i.alias: i.expr for i in items}
+        if by_output:
+            same = next((i.alias for i in items if i.expr == e), None)
+            if e.op == "var" and e.args[0] in aliases:
+                c = F.col(f"`{e.args[0]}`")
+            elif same is not None:
+                c = F.col(f"`{same}`")
+            elif e.op == "prop" and e.args[0].op == "var":
+                c = F.col(f"{e.args[0].args[0]}__{e.args[1]}")
+            else:
+                raise CypherError("ORDER BY must name a result here")
+        else:
+            c = self.column(frame, aliases[e.args[0]] if e.op == "var" and e.args[0] in aliases else e)
+        return c.desc() if down else c.asc()
+
+    def outputs(self, frame: Frame, item: Any, final: bool, env: dict) -> list[Column]:
+        """A variable passes on as flat columns within a query, and leaves it as a struct."""
+        e = item.expr
+        if e.op == "var" and frame.env.get(e.args[0], ("", ()))[0] in ("node", "rel"):
+            kind, props = frame.env[e.args[0]]
+            if final:
+                env[item.alias] = ("value", ())
+                return [F.struct(*[F.col(f"{e.args[0]}__{p}").alias(p) for p in props]).alias(item.alias)]
+            env[item.alias] = (kind, props)
+            return [F.col(f"{e.args[0]}__{p}").alias(f"{item.alias}__{p}") for p in props]
+        env[item.alias] = ("path", ()) if e.op == "var" and frame.env.get(e.args[0], ("",))[0] == "path" else ("value", ())
+        return [self.column(frame, e).alias(item.alias)]
+
+    def prepared(self, frame: Frame, items: list[Any], clause: Clause) -> tuple[Frame, list[Any]]:
+        """Where nodes(path) is used, the nodes' view is joined to the chain of ids."""
+        wanted = {x.args[2][0].args[0] for i in [*[i.expr for i in items], *[o for o, _ in clause.order]] for x in _walk(i) if x.op == "call" and x.args[0] == "nodes" and x.args[2][0].op == "var"}
+        df = frame.df
+        for path in sorted(wanted):
+            if f"{path}__nodes" in df.columns:
+                continue
+            chains = df.select(F.col(path).alias("_chain")).distinct()
+            v = self.graph.vertices.select(F.col("id").alias("_id"), F.struct(*_VIEW).alias("_v"))
+            rows = chains.select("_chain", F.posexplode("_chain").alias("_p", "_id")).join(v, "_id")
+            told = rows.groupBy("_chain").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_v"))), lambda x: x["_v"]).alias(f"{path}__nodes"))
+            df = df.join(told, df[path] == told["_chain"]).drop("_chain")
+        return Frame(df, frame.env), items
+
+    # --- expressions
+
+    def column(self, frame: Frame, e: Expr, local: dict[str, Column] | None = None) -> Column:
+        local = local or {}
+        go = lambda x: self.column(frame, x, local)
+        op, a = e.op, e.args
+        if op in ("lit", "param"):
+            value = self.literal(e)
+            return F.array(*[F.lit(v) for v in value]) if isinstance(value, list) else F.lit(value)
+        if op == "var":
+            if a[0] in local:
+                return local[a[0]]
+            kind, props = frame.env.get(a[0], (None, ()))
+            if kind is None:
+                raise CypherError(f"{a[0]} is not defined")
+            return F.struct(*[F.col(f"{a[0]}__{p}").alias(p) for p in props]) if kind in ("node", "rel") else F.col(f"`{a[0]}`")
+        if op == "prop":
+            if a[0].op == "var" and a[0].args[0] not in local and frame.env.get(a[0].args[0], ("",))[0] in ("node", "rel"):
+                name = f"{a[0].args[0]}__{a[1]}"
+                return F.col(name) if name in frame.df.columns else F.lit(None).cast("string")
+            return go(a[0])[a[1]]
+        if op in ("and", "or", "xor", "not"):
+            cs = [go(x) for x in a]
+            return ~cs[0] if op == "not" else cs[0] & cs[1] if op == "and" else cs[0] | cs[1] if op == "or" else cs[0] != cs[1]
+        if op in ("=", "<>"):
+            left, right = (self.identity(frame, x, local) for x in a)
+            return left == right if op == "=" else left != right
+        if op in ("<", ">", "<=", ">=", "+", "-", "*", "/", "%"):
+            left, right = go(a[0]), go(a[1])
+            return {"<": left < right, ">": left > right, "<=": left <= right, ">=": left >= right, "+": left + right, "-": left - right, "*": left * right, "/": left / right, "%": left % right}[op]
+        if op == "contains":
+            return F.contains(go(a[0]), go(a[1]))
+        if op == "starts":
+            return F.startswith(go(a[0]), go(a[1]))
+        if op == "ends":
+            return F.endswith(go(a[0]), go(a[1]))
+        if op == "=~":
+            return F.rlike(go(a[0]), F.concat(F.lit("^(?:"), go(a[1]), F.lit(")$")))
+        if op == "in":
+            if a[1].op in ("list", "param", "lit"):
+                return go(a[0]).isin(*self.literal(a[1]))
+            return F.array_contains(go(a[1]), go(a[0]))
+        if op in ("isnull", "notnull"):
+            c = self.identity(frame, a[0], local)
+            return c.isNull() if op == "isnull" else c.isNotNull()
+        if op == "haslabel":
+            return F.col(f"{a[0].args[0]}__label") == a[1] if f"{a[0].args[0]}__label" in frame.df.columns else F.lit(True)
+        if op == "list":
+            return F.array(*[go(x) for x in a])
+        if op == "map":
+            return F.struct(*[go(v).alias(k) for k, v in a[0]])
+        if op == "index":
+            return F.get(go(a[0]), go(a[1]))
+        if op == "case":
+            out = None
+            for cond, value in a[0]:
+                out = F.when(go(cond), go(value)) if out is None else out.when(go(cond), go(value))
+            return out.otherwise(go(a[1])) if a[1] is not None else out
+        if op == "comprehension":
+            var, source, where, to = a
+            items = go(source)
+            inner = lambda x, x_e: self.column(frame, x_e, {**local, var: x})
+            if where is not None:
+                items = F.filter(items, lambda x: inner(x, where))
+            return F.transform(items, lambda x: inner(x, to)) if to is not None else items
+        if op == "pattern":
+            return F.coalesce(F.col(self.flags[id(e)]), F.lit(False))
+        if op == "call":
+            return self.function(frame, a[0], a[1], a[2], local)
+        raise CypherError(f"{op} is not supported")
+
+    def identity(self, frame: Frame, e: Expr, local: dict[str, Column]) -> Column:
+        """Nodes are compared by their ids."""
+        if e.op == "var" and frame.env.get(e.args[0], ("",))[0] == "node":
+            return F.col(f"{e.args[0]}__id")
+        return self.column(frame, e, local)
+
+    def function(self, frame: Frame, name: str, distinct: bool, args: tuple[Expr, ...], local: dict[str, Column]) -> Column:
+        if name == "count":
+            if args[0].op == "star":
+                return F.count(F.lit(1))
+            kind = frame.env.get(args[0].args[0], ("",))[0] if args[0].op == "var" else ""
+            c = F.col(f"{args[0].args[0]}__{'id' if kind == 'node' else 'type'}") if kind in ("node", "rel") else self.column(frame, args[0], local)
+            return F.countDistinct(c) if distinct else F.count(c)
+        if name in ("type", "id", "labels") and args[0].op == "var":
+            var = args[0].args[0]
+            column = f"{var}__{'type' if name == 'type' else 'id' if name == 'id' else 'label'}"
+            if name == "labels":
+                return F.array(F.col(column)) if column in frame.df.columns else F.array(F.lit(None).cast("string"))
+            return F.col(column)
+        if name == "nodes":
+            return F.col(f"{args[0].args[0]}__nodes")
+        c = [self.column(frame, x, local) for x in args]
+        if name == "length" and args[0].op == "var" and frame.env.get(args[0].args[0], ("",))[0] == "path":
+            return F.size(c[0]) - 1
+        if name == "collect":
+            return F.array_sort(F.collect_set(c[0]) if distinct else F.collect_list(c[0]))
+        if name in ("sum", "avg", "min", "max"):
+            return {"sum": F.sum_distinct if distinct else F.sum, "avg": F.avg, "min": F.min, "max": F.max}[name](c[0])
+        simple = {
+            "size": lambda x: F.size(x), "length": lambda x: F.length(x), "coalesce": lambda *x: F.coalesce(*x), "head": lambda x: F.get(x, F.lit(0)), "last": lambda x: F.element_at(x, -1),
+            "tolower": lambda x: F.lower(x), "toupper": lambda x: F.upper(x), "tostring": lambda x: x.cast("string"), "tointeger": lambda x: x.cast("long"), "abs": lambda x: F.abs(x),
+            "split": lambda x, y: F.split(x, y), "exists": lambda x: x.isNotNull(), "trim": lambda x: F.trim(x), "reverse": lambda x: F.reverse(x), "replace": lambda x, y, z: F.replace(x, y, z),
+        }
+        if name not in simple:
+            raise CypherError(f"function {name} is not supported")
+        return simple[name](*c)
+
+
+def _item(var: str):
+    from weftgraph.cypher.parse import Item
+
+    return Item(Expr("var", (var,)), var)
+
+
+def run(graph: CodeGraph, text: str, **params: Any) -> DataFrame:
+    """The result of a query as a DataFrame; its columns are the aliases or the expressions' texts."""
+    return Builder(graph, _labelled(parse(text)), params).run()
+
+
+def _labelled(query: Query) -> Query:
+    """labels(n) needs the label of n."""
+    for part in query.parts:
+        for c in part:
+            for x in [y for i in c.items for y in _walk(i.expr)] + list(_walk(c.where)):
+                if x.op == "call" and x.args[0] == "labels" and x.args[2][0].op == "var":
+                    query.uses.setdefault(x.args[2][0].args[0], set()).add("label")
+                if x.op == "haslabel":
+                    query.uses.setdefault(x.args[0].args[0], set()).add("label")
+    return query
+
+
+def fuzzy(graph: CodeGraph, text: str, **params: Any) -> DataFrame:
+    """P20: the result, or, where it is empty, that of the query with string equality loosened to containment."""
+    query = _labelled(parse(text))
+    found = Builder(graph, query, params).run()
+    if not found.isEmpty():
+        return found
+    loose = Query(tuple(loosened(p) for p in query.parts), query.union_all, query.uses)
+    return Builder(graph, loose, params).run()
+
+
+def subgraph(graph: CodeGraph, text: str, **params: Any) -> tuple[DataFrame, DataFrame]:
+    """The nodes that a query returns, whole or by their ids and names, and the edges among them."""
+    found = run(graph, text, **params)
+    values = None
+    for f in found.schema:
+        c = F.col(f"`{f.name}`")
+        one = None
+        if f.dataType.typeName() == "struct" and "id" in f.dataType.fieldNames():
+            one = found.select(c["id"].alias("value"))
+        elif f.dataType.typeName() == "string":
+            one = found.select(c.alias("value"))
+        if one is not None:
+            values = one if values is None else values.union(one)
+    if values is None:
+        raise CypherError("the query returns no nodes or names")
+    nodes = match.resolve(values, graph.vertices)
+    return nodes, match.within(graph.edges, nodes)
+
+
+def explain_query(graph: CodeGraph, text: str, **params: Any) -> str:
+    """The formatted physical plan of a query."""
+    df = run(graph, text, **params)
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))

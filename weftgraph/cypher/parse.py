@@ -1,0 +1,490 @@
+"""Tokens and syntax of the Cypher subset: reading clauses only."""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass, field, replace
+from typing import Any
+
+
+class CypherError(ValueError):
+    """A query that is not in the subset."""
+
+
+_TOKENS = re.compile(
+    r"""(?P<space>\s+|//[^\n]*|--[^\n>\[(-][^\n]*|/\*.*?\*/)|(?P<string>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<number>\d+\.\d+|\d+)|(?P<param>\$\w+)|(?P<name>`[^`]+`|[A-Za-z_]\w*)"""
+    r"""|(?P<op><>|<=|>=|=~|\.\.|<-|->|[-+*/%=<>(){}\[\],.:|!])""",
+    re.S | re.X,
+)
+#: Clauses that write; a query with one is refused wherever it stands as a clause.
+WRITES = ("CREATE", "MERGE", "DELETE", "DETACH", "SET", "REMOVE", "DROP", "FOREACH", "LOAD")
+_ENDS = ("MATCH", "OPTIONAL", "WHERE", "WITH", "RETURN", "UNWIND", "ORDER", "SKIP", "LIMIT", "UNION", "CALL", *WRITES)
+
+
+@dataclass(frozen=True)
+class Token:
+    kind: str
+    text: str
+    at: int
+
+
+@dataclass(frozen=True)
+class Node:
+    var: str | None
+    labels: tuple[str, ...]
+    props: tuple[tuple[str, Any], ...]
+
+
+@dataclass(frozen=True)
+class Rel:
+    var: str | None
+    types: tuple[str, ...]
+    direction: str  # out, in, both
+    least: int | None  # None: one step
+    most: int | None
+    props: tuple[tuple[str, Any], ...] = ()
+
+
+@dataclass(frozen=True)
+class Pattern:
+    path: str | None
+    shortest: bool
+    parts: tuple[Any, ...]  # node, rel, node, ...
+
+
+@dataclass(frozen=True)
+class Expr:
+    """op with arguments; leaves are lit, var, param, prop."""
+
+    op: str
+    args: tuple[Any, ...] = ()
+
+
+@dataclass(frozen=True)
+class Item:
+    expr: Expr
+    alias: str
+
+
+@dataclass(frozen=True)
+class Clause:
+    kind: str  # match, unwind, with, return
+    patterns: tuple[Pattern, ...] = ()
+    optional: bool = False
+    where: Expr | None = None
+    items: tuple[Item, ...] = ()
+    distinct: bool = False
+    star: bool = False
+    order: tuple[tuple[Expr, bool], ...] = ()
+    skip: Expr | None = None
+    limit: Expr | None = None
+    unwind: Expr | None = None
+    var: str | None = None
+
+
+@dataclass(frozen=True)
+class Query:
+    parts: tuple[tuple[Clause, ...], ...]
+    union_all: bool = True
+    uses: dict[str, set[str]] = field(default_factory=dict)  # properties named of each variable
+
+
+def tokens(text: str) -> list[Token]:
+    out, at = [], 0
+    while at < len(text):
+        m = _TOKENS.match(text, at)
+        if not m:
+            raise CypherError(f"unexpected {text[at]!r} at {at}")
+        if m.lastgroup != "space":
+            out.append(Token(m.lastgroup, m[0], at))
+        at = m.end()
+    return out
+
+
+def is_read_only(text: str) -> bool:
+    """Whether no writing clause stands in the query; words in strings, names and properties don't count."""
+    ts = tokens(text)
+    for i, t in enumerate(ts):
+        before = ts[i - 1].text if i else ""
+        after = ts[i + 1].text if i + 1 < len(ts) else ""
+        if t.kind == "name" and t.text.upper() in WRITES and before not in (".", ":", "|", "AS", "as", "(", "[", ",") and after not in (".", "=", ":", "<>", ")"):
+            return False
+    return True
+
+
+class Parser:
+    def __init__(self, text: str) -> None:
+        self.text, self.ts, self.i = text, tokens(text), 0
+        self.uses: dict[str, set[str]] = {}
+
+    # --- tokens
+
+    def peek(self, ahead: int = 0) -> Token:
+        return self.ts[self.i + ahead] if self.i + ahead < len(self.ts) else Token("end", "", len(self.text))
+
+    def word(self, *words: str) -> bool:
+        t = self.peek()
+        return t.kind == "name" and t.text.upper() in words
+
+    def take(self, *texts: str) -> bool:
+        t = self.peek()
+        if t.kind != "string" and (t.text in texts or t.kind == "name" and t.text.upper() in texts):
+            self.i += 1
+            return True
+        return False
+
+    def need(self, *texts: str) -> Token:
+        t = self.peek()
+        if not self.take(*texts):
+            raise CypherError(f"expected {' or '.join(texts)} at {t.at}, not {t.text or 'the end'!r}")
+        return t
+
+    def name(self) -> str:
+        t = self.peek()
+        if t.kind != "name":
+            raise CypherError(f"expected a name at {t.at}, not {t.text or 'the end'!r}")
+        self.i += 1
+        return t.text.strip("`")
+
+    # --- clauses
+
+    def query(self) -> Query:
+        parts, union_all = [self.single()], True
+        while self.take("UNION"):
+            union_all = self.take("ALL")
+            parts.append(self.single())
+        if self.peek().kind != "end":
+            raise CypherError(f"unexpected {self.peek().text!r} at {self.peek().at}")
+        return Query(tuple(parts), union_all, self.uses)
+
+    def single(self) -> tuple[Clause, ...]:
+        out: list[Clause] = []
+        while self.peek().kind != "end" and not self.word("UNION"):
+            if self.word(*WRITES):
+                raise CypherError(f"{self.peek().text.upper()} writes; queries may only read")
+            if self.word("OPTIONAL") or self.word("MATCH"):
+                optional = self.take("OPTIONAL")
+                self.need("MATCH")
+                patterns = [self.pattern()]
+                while self.take(","):
+                    patterns.append(self.pattern())
+                out.append(Clause("match", tuple(patterns), optional, self.expr() if self.take("WHERE") else None))
+            elif self.take("UNWIND"):
+                e = self.expr()
+                self.need("AS")
+                out.append(Clause("unwind", unwind=e, var=self.name()))
+            elif self.word("WITH", "RETURN"):
+                out.append(self.projection(self.name().lower()))
+            else:
+                raise CypherError(f"unexpected {self.peek().text!r} at {self.peek().at}")
+        if not out or out[-1].kind != "return":
+            raise CypherError("a query ends with RETURN")
+        return tuple(out)
+
+    def projection(self, kind: str) -> Clause:
+        distinct = self.take("DISTINCT")
+        star, items = self.take("*"), []
+        while not star or self.take(","):
+            start = self.peek().at
+            e = self.expr()
+            end = self.ts[self.i - 1].at + len(self.ts[self.i - 1].text)
+            items.append(Item(e, self.name() if self.take("AS") else self.text[start:end]))
+            if not star and not self.take(","):
+                break
+        order: list[tuple[Expr, bool]] = []
+        if self.take("ORDER"):
+            self.need("BY")
+            while True:
+                e = self.expr()
+                down = self.take("DESC", "DESCENDING")
+                if not down:
+                    self.take("ASC", "ASCENDING")
+                order.append((e, down))
+                if not self.take(","):
+                    break
+        skip = self.expr() if self.take("SKIP") else None
+        limit = self.expr() if self.take("LIMIT") else None
+        where = self.expr() if kind == "with" and self.take("WHERE") else None
+        return Clause(kind, where=where, items=tuple(items), distinct=distinct, star=star, order=tuple(order), skip=skip, limit=limit)
+
+    # --- patterns
+
+    def pattern(self) -> Pattern:
+        path = None
+        if self.peek().kind == "name" and self.peek(1).text == "=":
+            path = self.name()
+            self.need("=")
+        short = self.word("SHORTESTPATH") and self.peek(1).text == "("
+        if short:
+            self.i += 2
+        parts = self.chain()
+        if short:
+            self.need(")")
+        return Pattern(path, short, parts)
+
+    def chain(self) -> tuple[Any, ...]:
+        parts: list[Any] = [self.node()]
+        while self.peek().text in ("-", "<-", "<") and self.peek().kind == "op":
+            parts += [self.rel(), self.node()]
+        return tuple(parts)
+
+    def node(self) -> Node:
+        self.need("(")
+        var = self.name() if self.peek().kind == "name" else None
+        labels = []
+        while self.take(":"):
+            labels.append(self.name())
+            while self.take("|"):
+                labels.append(self.name())
+        props = self.props(var)
+        self.need(")")
+        return Node(var, tuple(labels), props)
+
+    def props(self, var: str | None) -> tuple[tuple[str, Any], ...]:
+        out = []
+        if self.take("{"):
+            while not self.take("}"):
+                key = self.name()
+                self.need(":")
+                out.append((key, self.expr()))
+                if var:
+                    self.uses.setdefault(var, set()).add(key)
+                self.take(",")
+        return tuple(out)
+
+    def rel(self) -> Rel:
+        back = self.take("<-")
+        if not back:
+            self.need("-")
+        var, types, least, most, props = None, [], None, None, ()
+        if self.take("["):
+            var = self.name() if self.peek().kind == "name" else None
+            if self.take(":"):
+                types.append(self.name())
+                while self.take("|"):
+                    self.take(":")
+                    types.append(self.name())
+            if self.take("*"):
+                least, most = 1, None
+                if self.peek().kind == "number":
+                    least = most = int(self.peek().text)
+                    self.i += 1
+                if self.take(".."):
+                    most = None
+                    if self.peek().kind == "number":
+                        most = int(self.peek().text)
+                        self.i += 1
+            props = self.props(var)
+            self.need("]")
+        forward = self.take("->")
+        if not forward:
+            self.need("-")
+        return Rel(var, tuple(types), "in" if back and not forward else "out" if forward and not back else "both", least, most, props)
+
+    # --- expressions
+
+    def expr(self) -> Expr:
+        left = self.xor()
+        while self.take("OR"):
+            left = Expr("or", (left, self.xor()))
+        return left
+
+    def xor(self) -> Expr:
+        left = self.conjunction()
+        while self.take("XOR"):
+            left = Expr("xor", (left, self.conjunction()))
+        return left
+
+    def conjunction(self) -> Expr:
+        left = self.negation()
+        while self.take("AND"):
+            left = Expr("and", (left, self.negation()))
+        return left
+
+    def negation(self) -> Expr:
+        return Expr("not", (self.negation(),)) if self.take("NOT") else self.comparison()
+
+    def comparison(self) -> Expr:
+        left = self.sum()
+        while True:
+            t = self.peek()
+            if t.kind == "op" and t.text in ("=", "<>", "<", ">", "<=", ">=", "=~"):
+                self.i += 1
+                left = Expr(t.text, (left, self.sum()))
+            elif self.take("IN"):
+                left = Expr("in", (left, self.sum()))
+            elif self.take("CONTAINS"):
+                left = Expr("contains", (left, self.sum()))
+            elif self.word("STARTS", "ENDS"):
+                op = self.name().lower()
+                self.need("WITH")
+                left = Expr(op, (left, self.sum()))
+            elif self.take("IS"):
+                no = self.take("NOT")
+                self.need("NULL")
+                left = Expr("notnull" if no else "isnull", (left,))
+            else:
+                return left
+
+    def sum(self) -> Expr:
+        left = self.product()
+        while self.peek().kind == "op" and self.peek().text in ("+", "-"):
+            op = self.peek().text
+            self.i += 1
+            left = Expr(op, (left, self.product()))
+        return left
+
+    def product(self) -> Expr:
+        left = self.postfix()
+        while self.peek().kind == "op" and self.peek().text in ("*", "/", "%"):
+            op = self.peek().text
+            self.i += 1
+            left = Expr(op, (left, self.postfix()))
+        return left
+
+    def postfix(self) -> Expr:
+        e = self.atom()
+        while True:
+            if self.take("."):
+                key = self.name()
+                if e.op == "var":
+                    self.uses.setdefault(e.args[0], set()).add(key)
+                e = Expr("prop", (e, key))
+            elif self.peek().text == "[" and self.peek().kind == "op":
+                self.i += 1
+                e = Expr("index", (e, self.expr()))
+                self.need("]")
+            elif self.peek().text == ":" and e.op == "var" and self.peek(1).kind == "name":
+                self.i += 1
+                e = Expr("haslabel", (e, self.name()))
+            else:
+                return e
+
+    def atom(self) -> Expr:
+        t = self.peek()
+        if t.kind == "string":
+            self.i += 1
+            return Expr("lit", (re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t"}.get(m[1], m[1]), t.text[1:-1]),))
+        if t.kind == "number":
+            self.i += 1
+            return Expr("lit", (float(t.text) if "." in t.text else int(t.text),))
+        if t.kind == "param":
+            self.i += 1
+            return Expr("param", (t.text[1:],))
+        if t.text == "-" and t.kind == "op":
+            self.i += 1
+            return Expr("-", (Expr("lit", (0,)), self.atom()))
+        if t.text == "(":
+            start = self.i
+            try:  # a pattern in a predicate
+                chain = self.chain()
+                if len(chain) > 1:
+                    return Expr("pattern", (chain,))
+            except CypherError:
+                pass
+            self.i = start
+            self.need("(")
+            e = self.expr()
+            self.need(")")
+            return e
+        if t.text == "[":
+            self.i += 1
+            return self.list()
+        if t.text == "{":
+            self.i += 1
+            entries = []
+            while not self.take("}"):
+                key = self.name()
+                self.need(":")
+                entries.append((key, self.expr()))
+                self.take(",")
+            return Expr("map", (tuple(entries),))
+        if t.kind == "name":
+            upper = t.text.upper()
+            if upper in ("TRUE", "FALSE", "NULL"):
+                self.i += 1
+                return Expr("lit", ({"TRUE": True, "FALSE": False, "NULL": None}[upper],))
+            if upper == "CASE":
+                return self.case()
+            if self.peek(1).text == "(" and upper not in _ENDS:
+                return self.call()
+            return Expr("var", (self.name(),))
+        raise CypherError(f"unexpected {t.text or 'end'!r} at {t.at}")
+
+    def list(self) -> Expr:
+        if self.peek().kind == "name" and self.peek(1).text.upper() == "IN":
+            var = self.name()
+            self.need("IN")
+            source = self.expr()
+            where = self.expr() if self.take("WHERE") else None
+            to = self.expr() if self.take("|") else None
+            self.need("]")
+            return Expr("comprehension", (var, source, where, to))
+        items = []
+        while not self.take("]"):
+            items.append(self.expr())
+            self.take(",")
+        return Expr("list", tuple(items))
+
+    def case(self) -> Expr:
+        self.need("CASE")
+        whens, other = [], None
+        while self.take("WHEN"):
+            cond = self.expr()
+            self.need("THEN")
+            whens.append((cond, self.expr()))
+        if self.take("ELSE"):
+            other = self.expr()
+        self.need("END")
+        return Expr("case", (tuple(whens), other))
+
+    def call(self) -> Expr:
+        name = self.name().lower()
+        self.need("(")
+        distinct, args = self.take("DISTINCT"), []
+        if self.take("*"):
+            args.append(Expr("star"))
+        while not self.take(")"):
+            args.append(self.expr())
+            self.take(",")
+        return Expr("call", (name, distinct, tuple(args)))
+
+
+def parse(text: str) -> Query:
+    return Parser(text.strip().rstrip(";")).query()
+
+
+def loosened(e: Any) -> Any:
+    """P20: equality with a string becomes containment."""
+    if isinstance(e, Expr):
+        if e.op == "=" and any(isinstance(a, Expr) and a.op == "lit" and isinstance(a.args[0], str) for a in e.args):
+            left, right = e.args if e.args[1].op == "lit" else e.args[::-1]
+            return Expr("contains", (left, right))
+        return Expr(e.op, tuple(loosened(a) for a in e.args))
+    if isinstance(e, Clause):
+        return replace(e, where=loosened(e.where))
+    if isinstance(e, tuple):
+        return tuple(loosened(a) for a in e)
+    return e
+
+
+def extract_query(text: str) -> str | None:
+    """A query in free text: a fenced block, or lines from one that begins like a query, that has RETURN."""
+    fenced = re.search(r"```(?:cypher|sql)?\s*\n(.*?)```", text, re.S | re.I)
+    body = fenced[1] if fenced else text
+    start = re.search(r"^\s*(?:OPTIONAL\s+MATCH|MATCH|WITH|UNWIND|CALL)\b", body, re.M | re.I)
+    if not start:
+        return None
+    found = body[start.start() :].strip()
+    found = re.split(r"\n\s*\n", found)[0].strip().rstrip(";")
+    return found if re.search(r"\bRETURN\b", found, re.I) else None
+
+
+def input_mode(text: str) -> str:
+    """What a console line is: projection (vfs + query), query, command (find, info, help, clear), or question."""
+    t = text.strip()
+    if re.match(r"vfs\s", t, re.I):
+        return "projection"
+    if re.match(r"(?:OPTIONAL\s+MATCH|MATCH|WITH|UNWIND|CALL)\b", t, re.I):
+        return "query"
+    return "command" if re.match(r"(?:find|info|help|clear|callers|callees|impact)\b", t, re.I) else "question"

@@ -21,6 +21,11 @@ def _facet(name: str, prefix: str = "") -> Column:
     return F.coalesce(F.col(f"{prefix}{name}"), F.array().cast("array<string>"))
 
 
+def _marked(facet: str) -> Column:
+    """A facet's items, told apart from those of other facets."""
+    return F.transform(_facet(facet), lambda x: F.concat(F.lit(facet + ":"), x))
+
+
 def normal_base(hint: Column) -> Column:
     """The base of a type hint: before any bracket, after the last dot, lower-cased."""
     return F.lower(F.trim(F.substring_index(F.substring_index(hint, "[", 1), ".", -1)))
@@ -52,7 +57,7 @@ def supersets(shapes: DataFrame, least: int = 2) -> DataFrame:
     An inverted index finds candidates: dst is looked up by its rarest item only, so an item that nearly every shape has is
     joined on only for shapes that have nothing rarer; each candidate is then checked on all facets.
     """
-    items = F.concat(*[F.transform(_facet(f), lambda x, f=f: F.concat(F.lit(f + ":"), x)) for f in FACETS])
+    items = F.concat(*[_marked(f) for f in FACETS])
     some = shapes.where((F.col("kind") == "structural") & (F.coalesce("base_type", F.lit("")) == "")).select("id", items.alias("items"))
     posted = some.select("id", F.explode("items").alias("item"))
     rarity = posted.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
