@@ -13,7 +13,7 @@ class CypherError(ValueError):
 
 _TOKENS = re.compile(
     r"""(?P<space>\s+|//[^\n]*|--[^\n>\[(-][^\n]*|/\*.*?\*/)|(?P<string>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<number>\d+\.\d+|\d+)|(?P<param>\$\w+)|(?P<name>`[^`]+`|[A-Za-z_]\w*)"""
-    r"""|(?P<op><>|<=|>=|=~|\.\.|<-|->|[-+*/%=<>(){}\[\],.:|!])""",
+    r"""|(?P<op><>|<=|>=|=~|\.\.|<-|->|[-+*/%=<>(){}\[\],.:|!;])""",
     re.S | re.X,
 )
 #: Clauses that write; a query with one is refused wherever it stands as a clause.

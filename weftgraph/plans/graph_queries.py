@@ -734,3 +734,155 @@ def _(p):
 @query("documents_exact_duplicates", "SELECT sha256(text) AS digest, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
 def _(p):
     return aggregate.counts_by(p.table("documents").select(F.sha2("text", 256).alias("digest")), "digest").where("n > 1")
+
+
+# --- streams
+
+
+def _changes(p: Projection) -> DataFrame:
+    """The events table as a stream; a folder of files is what such a stream reads."""
+    from weftgraph.streaming import changes
+
+    return changes.as_changes(changes.event_stream(p.spark, f"{p.sf_dir}/events.parquet*"))
+
+
+@query("st1_change_stream", "SELECT 'u' || user_id AS path, event_type AS kind, props AS hash, event_id AS id FROM events")
+def _(p):
+    from weftgraph.streaming import changes
+
+    return changes.written_stream(_changes(p).drop("ts"), "st1")
+
+
+@query("st3_changed_content", "SELECT path, kind, hash, id FROM (SELECT 'u' || user_id AS path, event_type AS kind, props AS hash, event_id AS id, lag(props) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b IS NULL OR b <> hash")
+def _(p):
+    from weftgraph.streaming import changes
+
+    return changes.written_stream(changes.changed_content(_changes(p)), "st3").select("path", "kind", "hash", "id")
+
+
+@query(
+    "st2_debounced",
+    """
+SELECT 'u' || user_id AS path, arg_max(event_type, ts) AS kind, arg_max(props, ts) AS hash, count(*) AS n FROM (
+  SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM (
+    SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events))
+GROUP BY user_id, burst
+""",
+)
+def _(p):
+    from weftgraph.streaming import changes
+
+    return changes.debounced(changes.as_changes(p.table("events")), "30 minutes").select("path", "kind", "hash", "n")
+
+
+@query("st9_windowed_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2")
+def _(p):
+    from weftgraph.streaming import changes
+
+    return changes.windowed_counts(changes.as_changes(p.table("events"))).select(F.col("start").cast("timestamp_ntz").alias("start"), "kind", "n")
+
+
+@query("st6_checksum_gate", "SELECT doc_id, md5(text) AS checksum FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 3 = 0) OR doc_id % 3 <> 0")
+def _(p):
+    from weftgraph.streaming import changes
+
+    files = p.table("documents").select(F.col("doc_id").alias("path"), F.md5("text").alias("checksum"))
+    return changes.new_content(files, files.where("path % 3 = 0")).withColumnRenamed("path", "doc_id")
+
+
+# --- shapes over sets derived from the tables
+
+_SHAPES = """
+s AS (SELECT 'c' || o_custkey AS id, 'structural' AS kind, list_sort(list_distinct(list(substr(o_orderpriority, 1, 1)))) AS attrs FROM orders WHERE o_orderkey % 4 = 0 GROUP BY o_custkey)
+"""
+
+
+def _shapes(p: Projection) -> DataFrame:
+    s = p.table("orders").where("o_orderkey % 4 = 0").groupBy("o_custkey").agg(F.array_sort(F.collect_set(F.substring("o_orderpriority", 1, 1))).alias("attrs"))
+    empty = F.array().cast("array<string>")
+    return s.where("o_custkey < 300").select(F.concat(F.lit("c"), "o_custkey").alias("id"), F.lit("structural").alias("kind"), F.lit(None).cast("string").alias("base_type"), "attrs", empty.alias("subscripts"), empty.alias("methods"))
+
+
+@query("c1_supersets", f"WITH {_SHAPES.strip()}, t AS (SELECT * FROM s WHERE CAST(substr(id, 2) AS INT) < 300) SELECT a.id AS src, b.id AS dst FROM t a JOIN t b ON a.id <> b.id AND len(b.attrs) >= 2 AND len(a.attrs) > len(b.attrs) AND len(list_intersect(a.attrs, b.attrs)) = len(b.attrs)")
+def _(p):
+    from weftgraph.operators import shapes
+
+    return shapes.supersets(_shapes(p))
+
+
+@query("c5_generalizations", "SELECT 'g' || n_nationkey AS src, 'b' || max(r_regionkey) AS dst, 'generalization' AS strength FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY n_nationkey")
+def _(p):
+    from weftgraph.operators import shapes
+
+    hint = F.lit("hint")
+    bare = p.table("region").select(F.concat(F.lit("b"), "r_regionkey").alias("id"), hint.alias("kind"), F.lower("r_name").alias("base_type"))
+    generic = p.table("nation").join(p.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat(F.lit("g"), "n_nationkey").alias("id"), hint.alias("kind"), F.concat("r_name", F.lit("[int]")).alias("base_type"))
+    return shapes.generalizations(bare.unionByName(generic))
+
+
+@query("c8_shape_search", f"WITH {_SHAPES.strip()} SELECT id FROM s WHERE CAST(substr(id, 2) AS INT) < 300 AND list_contains(attrs, '1') AND list_contains(attrs, '5')")
+def _(p):
+    from weftgraph.operators import shapes
+
+    return shapes.search(_shapes(p), attrs=("1", "5")).select("id")
+
+
+@query(
+    "t12_consumers",
+    """
+WITH has AS (SELECT DISTINCT 'o' || o_orderkey AS variable, 'h' || o_custkey % 50 AS shape FROM orders WHERE o_orderkey < 2000),
+acc AS (SELECT DISTINCT 's' || l_suppkey AS consumer, 'h' || l_partkey % 50 AS shape FROM lineitem WHERE l_linenumber = 1 AND l_orderkey < 500),
+comp AS (SELECT DISTINCT 'h' || o_custkey % 50 AS src, 'h' || o_custkey % 49 AS dst FROM orders WHERE o_orderkey < 100 AND o_custkey % 50 <> o_custkey % 49),
+m AS (SELECT h.variable, a.consumer, 3 AS r FROM has h JOIN acc a ON a.shape = h.shape UNION ALL SELECT h.variable, a.consumer, 2 FROM has h JOIN comp c ON c.src = h.shape JOIN acc a ON a.shape = c.dst)
+SELECT variable, consumer, CASE WHEN max(r) = 3 THEN 'exact' ELSE 'structural' END AS confidence FROM m GROUP BY variable, consumer
+""",
+)
+def _(p):
+    from weftgraph.operators import shapes
+
+    name = lambda c, k: F.concat(F.lit(k), c.cast("string"))
+    orders, lines = p.table("orders"), p.table("lineitem")
+    has = orders.where("o_orderkey < 2000").select(name(F.col("o_orderkey"), "o").alias("variable"), name(F.col("o_custkey") % 50, "h").alias("shape")).distinct()
+    accepts = lines.where("l_linenumber = 1 AND l_orderkey < 500").select(name(F.col("l_suppkey"), "s").alias("src"), name(F.col("l_partkey") % 50, "h").alias("dst")).distinct()
+    comp = orders.where("o_orderkey < 100 AND o_custkey % 50 <> o_custkey % 49").select(name(F.col("o_custkey") % 50, "h").alias("src"), name(F.col("o_custkey") % 49, "h").alias("dst"), F.lit(None).cast("string").alias("strength")).distinct()
+    return shapes.consumers(has, comp, accepts)
+
+
+# --- Cypher over the projected graph
+
+
+def _cypher(name: str, text: str, sql: str, edges: Callable[[Projection], DataFrame]) -> None:
+    @query(name, sql)
+    def _(p):
+        from weftgraph import cypher
+
+        return cypher.run(p.graph(edges(p)), text)
+
+
+_cypher("cy_fan_out", "MATCH (n:LogicNode)-[r:CALLS]->() WITH n, count(r) AS calls WHERE calls > 2 RETURN n.name AS name, calls ORDER BY calls DESC", "SELECT n.name, c.calls FROM (SELECT src, count(*) AS calls FROM calls GROUP BY src HAVING count(*) > 2) c JOIN nodes n ON n.id = c.src", lambda p: p.calls)
+_cypher("cy_cross_module", "MATCH (a:LogicNode)-[:CALLS]->(b:LogicNode) WHERE a.module_path <> b.module_path RETURN a.name AS caller, b.name AS callee", "SELECT a.name AS caller, b.name AS callee FROM calls c JOIN nodes a ON a.id = c.src JOIN nodes b ON b.id = c.dst WHERE a.module_path <> b.module_path", lambda p: p.calls)
+_cypher("cy_leaves", "MATCH (caller:LogicNode)-[:CALLS]->(leaf:LogicNode) WHERE NOT (leaf)-[:CALLS]->() RETURN DISTINCT leaf.id AS id", "SELECT DISTINCT dst AS id FROM calls WHERE dst NOT IN (SELECT src FROM calls)", lambda p: p.calls)
+_cypher("cy_readers_of_writers", "MATCH (w:LogicNode)-[:MUTATES]->(v:Variable)<-[:READS]-(r:LogicNode) WHERE w <> r RETURN DISTINCT w.id AS writer, v.id AS variable, r.id AS reader", "SELECT DISTINCT w.src AS writer, w.dst AS variable, r.src AS reader FROM uses w JOIN uses r ON r.dst = w.dst AND w.type = 'MUTATES' AND r.type = 'READS' AND w.src <> r.src", lambda p: p.uses)
+_cypher("cy_duplicates", "MATCH (n:LogicNode) WHERE n.status = 'active' WITH n.ast_hash AS hash, collect(n) AS nodes WHERE size(nodes) > 2 UNWIND nodes AS n RETURN n.name AS name, n.module_path AS file", "SELECT name, module_path AS file FROM (SELECT name, module_path, count(*) OVER (PARTITION BY ast_hash) AS k FROM nodes WHERE status = 'active') WHERE k > 2", lambda p: p.calls)
+_cypher("cy_trails", "MATCH path = (a:LogicNode)-[:CALLS*1..3]->(b:LogicNode) WHERE a.id = 'p74' RETURN b.id AS goal, length(path) AS hops", _TRAILS + "SELECT node AS goal, CAST(depth AS INT) AS hops FROM t WHERE root = 'p74' AND depth <= 3", lambda p: p.calls)
+_cypher("cy_roles_in_order", "MATCH (f:LogicNode)-[r]->(v:Variable) WHERE f.id = 's7' RETURN type(r) AS action, v.name AS variable ORDER BY v.origin_line LIMIT 40", "SELECT u.type AS action, v.name AS variable FROM uses u JOIN variables v ON v.id = u.dst WHERE u.src = 's7' ORDER BY v.origin_line, u.type, v.name LIMIT 40", lambda p: p.uses)
+
+
+# --- extraction
+
+
+@query("x11_extraction_report")
+def _(p):
+    """Sources made from the documents: a function per document that calls the next one."""
+    from weftgraph.extract.tables import Extraction
+
+    d = p.table("documents").select("doc_id")
+    text = F.concat(F.lit("def f"), "doc_id", F.lit("(a, b=1):\n    c = a + b\n    return c\n\n\ndef g(x):\n    y = f"), "doc_id", F.lit("(x, b=x)\n    y.items.append(x)\n    return y\n"))
+    return Extraction.of(d.select(F.concat(F.lit("m"), "doc_id", F.lit(".py")).alias("path"), text.alias("source"))).report()
+
+
+@query("uuid5_ids", None)
+def _(p):
+    from weftgraph.functions.identity import node_id
+
+    return p.nodes.select("id", node_id(F.col("name")).alias("uuid"))

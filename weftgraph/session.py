@@ -33,10 +33,11 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "12g", app: str = "weftgraph") -> SparkSession:
+def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "12g", app: str = "weftgraph", conf: dict[str, str] | None = None) -> SparkSession:
     """A session on one machine, for tests and benchmarks."""
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        SparkSession.builder.config(map=conf or {})
+        .master(f"local[{cores}]")
         .appName(app)
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
