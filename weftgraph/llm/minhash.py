@@ -245,7 +245,8 @@ def _large_bands(rows: DataFrame, sets: DataFrame, labels: DataFrame, percent: i
     inside = rows.select("node").distinct()
     exploded = sets.join(inside, "node", "left_semi").select("node", F.explode("set").alias("shingle"))
     often = exploded.groupBy("shingle").agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("node")).where("_n = 1")
-    own = often.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    single = sets.groupBy("node").agg(F.count(F.lit(1)).alias("_k")).where("_k = 1").select("node")  # a repeated id may have several texts
+    own = often.groupBy("node").agg(F.count(F.lit(1)).alias("own")).join(single, "node", "left_semi")
     left = rows.join(own, "node", "left").withColumn("c", F.col("n") - F.coalesce("own", F.lit(0))).drop("own").where(F.lit(100) * F.col("c") >= F.lit(percent) * F.col("n"))
     left = materialize(left, "minhash-large")
     for typical in TYPICAL:
