@@ -1,6 +1,6 @@
 """Quality classifier: a sparse ensemble of conjunctive rules over text statistics.
 
-Statistics of a whole text are Spark column expressions.  On a bounded sample of labelled documents, shallow
+Counts of a whole text and their shares are Spark column expressions.  On a bounded sample of labelled documents, shallow
 trees are boosted; every path from a root to a node becomes a rule (a conjunction of comparisons of
 statistics), a lasso logistic regression weighs the rules, and the few rules with a weight are compiled back
 into Spark column expressions.  Scoring is one scan without a shuffle and without Python.
@@ -30,27 +30,32 @@ THRESHOLD = 0.3
 Rule = tuple[tuple[str, str, float], ...]
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a text by name; ratios are per character, per word or per line."""
+#: Counts that are made of a text; the statistics are their shares of characters or of words.
+COUNTS = ("chars", "spaces", "upper", "marks", "symbols", "bars", "digits", "stops", "repeats", "lines")
+
+
+def counts(text: Column) -> Column:
+    """What is counted in a whole text, as one struct."""
     t = F.coalesce(text.cast("string"), F.lit(""))
-    chars = F.length(t).cast("double")
-    words = F.regexp_count(t, F.lit(r"\S+")).cast("double")
-    per = lambda n, of: F.when(of > 0, n / of).otherwise(0.0)
     count = lambda pattern: F.regexp_count(t, F.lit(pattern)).cast("double")
-    gone = lambda c: (F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))).cast("double")
+    one = lambda c: (F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))).cast("double")
+    made = (
+        F.length(t).cast("double"), one(" ") + one("\n") + one("\t") + one("\r"), count(r"\p{Lu}"), count("[!?]"), count(r"[#$%&*+=<>@^_~|\\/{}\[\]]"), one("|"), count("[0-9]"), one("."),
+        count(r"(?<!\S)(\S{1,64}) (?=\1(?!\S))"), one("\n"),
+    )
+    return F.struct(*[c.alias(n) for n, c in zip(COUNTS, made, strict=True)])
+
+
+def statistics(counted: Column) -> dict[str, Column]:
+    """Statistics by name from a struct of counts; shares of nothing are 0."""
+    c = {n: counted[n] for n in COUNTS}
+    words = F.when(c["chars"] > 0, c["spaces"] + 1).otherwise(0.0)
+    by_char = lambda n: F.when(c["chars"] > 0, n / c["chars"]).otherwise(0.0)
+    by_word = lambda n: F.when(c["chars"] > 0, n / (c["spaces"] + 1)).otherwise(0.0)
     return {
-        "n_chars": chars,
-        "n_words": words,
-        "word_length": per(chars, words),
-        "upper": per(count(r"\p{Lu}"), chars),
-        "marks": per(count(r"[!?]"), chars),
-        "symbols": per(count(r"[#$%&*+=<>@^_~|\\/{}\[\]]"), chars),
-        "bars": per(gone("|"), words),
-        "digits": per(count(r"[0-9]"), chars),
-        "stops": per(gone("."), words),
-        "repeats": per(count(r"(?<!\S)(\S{1,64}) (?=\1(?!\S))"), words),
-        "lines": per(gone("\n"), words),
-    }
+        "n_chars": c["chars"], "n_words": words, "word_length": by_word(c["chars"]), "upper": by_char(c["upper"]), "marks": by_char(c["marks"]), "symbols": by_char(c["symbols"]),
+        "bars": by_word(c["bars"]), "digits": by_char(c["digits"]), "stops": by_word(c["stops"]), "repeats": by_word(c["repeats"]), "lines": by_word(c["lines"]),
+    }
 
 
 STATISTICS = ("n_chars", "n_words", "word_length", "upper", "marks", "symbols", "bars", "digits", "stops", "repeats", "lines")
@@ -150,11 +155,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         .orderBy(F.xxhash64("_id"), "_id", "_y")
         .limit(sample)
     )
-    stats = statistics(F.col("_t"))
+    stats = statistics(F.col("_counts"))
     rows = (
         docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
         .join(F.broadcast(chosen), "_id")  # at most ``sample`` ids
-        .select(F.col("_y"), F.col("_id"), *[stats[n].alias(n) for n in STATISTICS])
+        .select("_y", "_id", _kept_apart(counts(F.col("_t"))).alias("_counts"))
+        .select("_y", "_id", *[stats[n].alias(n) for n in STATISTICS])
         .orderBy(F.xxhash64("_id"), "_id", "_y", *STATISTICS)
         .limit(sample)
         .toPandas()
@@ -162,10 +168,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return fit_rules(rows[list(STATISTICS)].to_numpy(float), (rows["_y"].to_numpy() > 0).astype(float))
 
 
+def _kept_apart(column: Column) -> Column:
+    """The column as a generator's only row, so that the optimizer computes it once and copies it into no rule or filter."""
+    return F.explode(F.array(column))
+
+
 def score(docs: DataFrame, model: RuleModel, *, text_col: str = "text", out: str = "score", threshold: float = THRESHOLD, flag: str = "predicted") -> DataFrame:
     """All columns of ``docs`` plus the score and 0 or 1; columns of these names are replaced."""
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in (out, flag)]
-    stats = statistics(F.col(text_col))
-    inner = docs.select(*kept, F.struct(*[stats[n].alias(n) for n in STATISTICS]).alias("_stats"))
-    scored = inner.select(*kept, model.column({n: F.col(f"_stats.{n}") for n in STATISTICS}).alias(out))
+    inner = docs.select(*kept, _kept_apart(counts(F.col(text_col))).alias("_counts"))
+    scored = inner.select(*kept, model.column(statistics(F.col("_counts"))).alias(out))
     return scored.withColumn(flag, (F.col(out) >= threshold).cast("int"))
