@@ -27,7 +27,7 @@ from weftgraph.llm.common import crc_bucket, text_batches
 DIMENSIONS = 8192
 #: Rows learnt from, for each language at most; those with the smallest hash of their id.
 SAMPLE_PER_LANGUAGE = 500
-#: Languages learnt with their full sample; of more, each has fewer rows, so that the sample stays bounded.
+#: The most frequent languages of the sample, so that it stays bounded; rarer ones are not learnt.
 MOST_LANGUAGES = 256
 #: Texts that others are compared with, shared by all languages.
 LANDMARKS = 128
@@ -105,9 +105,12 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     """
     text_batches(docs.sparkSession)
     ids = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang")).where(F.col("_id").isNotNull() & F.col("_lang").isNotNull() & (crc_bucket("_id", modulus) != held_out))
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    ranked = ids.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample)
-    chosen = ranked.orderBy("_r", "_lang", "_id").limit(sample * MOST_LANGUAGES).select("_id", "_lang")
+    # rows far from the smallest hashes go before any shuffle: four times the sample stays, however common a language is
+    common = ids.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_lang").limit(MOST_LANGUAGES)
+    place = F.shiftrightunsigned(F.xxhash64("_id"), 11) / F.lit(float(1 << 53))
+    near = ids.join(F.broadcast(common), "_lang").where(place * F.col("_n") < 4.0 * sample).select("_id", "_lang", place.alias("_p"))
+    order = Window.partitionBy("_lang").orderBy("_p", "_id")
+    chosen = near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample).select("_id", "_lang")
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"), F.col(lang_col).cast("string").alias("_lang")).join(F.broadcast(chosen), ["_id", "_lang"], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -117,10 +117,9 @@ def fit_texts(texts: list[str], grade: list[int], *, features: int = FEATURES, g
     flat = OrdinalModel({}, np.zeros(0), np.full(grades, 40.0))
     if not len(texts) or toxic.all() or not toxic.any():
         return flat
-    found = [set().union(*[keys(w) for w in set(words(t))]) if t else set() for t in texts]
     bad, good = Counter(), Counter()
-    for f, t in zip(found, toxic, strict=True):
-        (bad if t else good).update(f)
+    for text, t in zip(texts, toxic, strict=True):
+        (bad if t else good).update({k for w in set(words(text)) for k in keys(w)})
     nb, ng = int(toxic.sum()), int((~toxic).sum())
     lift = {k: c / nb * math.log(((c + 0.5) / (nb + 1)) / ((good[k] + 0.5) / (ng + 1))) for k, c in bad.items() if c >= min(LEAST, nb)}
     kept = sorted((k for k, v in lift.items() if v > 0), key=lambda k: (-lift[k], k))[:features]
