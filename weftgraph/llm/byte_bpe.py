@@ -35,23 +35,23 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Words contracted by one recursive query, and the bytes they have together at most (but for a single word).
 BLOCK_WORDS, BLOCK_BYTES = 40_000, 400_000
 #: Distinct words that a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_500_000
 LONG = 256
 #: Memory of one database; longer sorts spill to the worker's folder.
 DATABASE_MEMORY = "256MB"
 
+# Positions are unique over all words, so one ordered pass finds every neighbour.
 _CONTRACT = """
-WITH RECURSIVE step(n, w, p, t, more) AS (
-  SELECT 0, w, p, t, true FROM tokens
+WITH RECURSIVE step(w, p, t, more) AS (
+  SELECT w, p, t, true FROM tokens
   UNION ALL
   (WITH pairs AS (
-     SELECT n, w, p, t, lead(t) OVER win AS t2, lag(p) OVER win AS before
-     FROM step WHERE more WINDOW win AS (PARTITION BY w ORDER BY p)),
-   ranked AS (SELECT pairs.*, m.rank FROM pairs LEFT JOIN merges m ON m.pair = pairs.t::BIGINT * 4294967296 + pairs.t2),
-   best AS (
-     SELECT *, min(CASE WHEN rank IS NOT NULL THEN rank::BIGINT * 4294967296 + p END) OVER (PARTITION BY w) AS b FROM ranked)
-   SELECT n + 1, w, p, CASE WHEN p = b % 4294967296 THEN (b // 4294967296)::INT ELSE t END, b IS NOT NULL
-   FROM best WHERE b IS NULL OR before IS NULL OR before <> b % 4294967296)
+     SELECT w, p, t, lead(t) OVER win AS t2, lead(w) OVER win AS w2, lag(p) OVER win AS before
+     FROM step WHERE more WINDOW win AS (ORDER BY p)),
+   ranked AS (SELECT pairs.*, m.rank FROM pairs LEFT JOIN merges m ON w = w2 AND m.pair = pairs.t::BIGINT * 4294967296 + pairs.t2),
+   best AS (SELECT w, min(rank::BIGINT * 4294967296 + p) AS b FROM ranked WHERE rank IS NOT NULL GROUP BY w)
+   SELECT r.w, r.p, CASE WHEN r.p = b % 4294967296 THEN (b // 4294967296)::INT ELSE r.t END, b IS NOT NULL
+   FROM ranked r LEFT JOIN best USING (w) WHERE b IS NULL OR before IS NULL OR before <> b % 4294967296)
 )
 SELECT w, p, t FROM step WHERE NOT more ORDER BY w, p
 """
@@ -117,8 +117,7 @@ class BytePairs:
     def _contract(self, words: list[bytes], query: str) -> list[np.ndarray]:
         """Ids of each word, none of them empty."""
         sizes = np.array([len(w) for w in words])
-        starts = np.cumsum(sizes) - sizes
-        places = np.arange(sizes.sum()) - np.repeat(starts, sizes)
+        places = np.arange(sizes.sum())
         singles = self._byte[np.frombuffer(b"".join(words), np.uint8)]
         self._table("tokens", w=pa.array(np.repeat(np.arange(len(words), dtype=np.int32), sizes)), p=pa.array(places), t=pa.array(singles))
         rows = self._db.execute(query).fetchnumpy()
