@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph import schema
+from weftgraph.storage import written
 
 TABLES = {"nodes": schema.LOGIC_NODES, "variables": schema.VARIABLES, "shapes": schema.TYPE_SHAPES, "flows": schema.FLOWS, "statements": schema.STATEMENTS, "edges": schema.EDGES}
 
@@ -42,6 +43,10 @@ class CodeGraph:
             else:
                 table.write.mode(mode).parquet(f"{path}/{name}")
 
+    def settled(self) -> CodeGraph:
+        """The same graph read from files in the shared folder: a long chain of edits is planned once."""
+        return CodeGraph(**{name: written(getattr(self, name), name) for name in TABLES})
+
     def with_(self, **tables: DataFrame) -> CodeGraph:
         return replace(self, **tables)
 
