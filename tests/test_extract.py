@@ -110,6 +110,38 @@ def test_classes_and_resolution():
     assert any(r["record"] == "variable" and r["name"] == "pkg.shapes.Base.size" and r["is_attribute"] for r in rows)
 
 
+CHAIN = textwrap.dedent("""
+    class Product:
+        def price(self) -> float:
+            return 1.0
+
+
+    class Item:
+        product: Product
+
+        def subtotal(self):
+            return self.product.price()
+
+
+    class Order:
+        def __init__(self, first: Item) -> None:
+            self.items: list[Item] = []
+            self.first = first
+
+        def total(self):
+            return sum(item.subtotal() for item in self.items) + self.first.subtotal()
+
+
+    def add(orders: list[Order]):
+        for o in orders:
+            o.total()
+""")
+
+
+def test_types_of_attributes_and_elements():
+    assert {e for e in edges(CHAIN, "m.py", "CALLS") if e[1].startswith("m.")} == {("m.Item.subtotal", "m.Product.price"), ("m.Order.total", "m.Item.subtotal"), ("m.add", "m.Order.total")}
+
+
 def test_statements_and_order():
     rows = [r for r in Walker("flow.py", FLOW).run() if r["record"] == "statement"]
     inside = [r for r in rows if r["parent"] == "flow.run"]

@@ -53,7 +53,7 @@ class Walker:
         self.out: list[Record] = []
         self.imports: dict[str, str] = {}
         self.defined: dict[str, str] = {}
-        self.classes: dict[str, set[str]] = {}
+        self.attributes: dict[str, dict[str, str]] = {}  # class -> attribute -> annotation
         self.variables: dict[str, Record] = {}
         self.walk_order = 0
 
@@ -103,7 +103,7 @@ class Walker:
                 self.defined[name] = name
                 self.defined.setdefault(node.name, name)  # the first of a short name wins
                 if isinstance(node, ast.ClassDef):
-                    self.classes[name] = {n.name for n in node.body if isinstance(n, Def)}
+                    self.attributes[name] = _annotations(node)
                 self._names(node.body, name)
 
     # --- definitions
@@ -149,7 +149,7 @@ class Walker:
             scope.known[str(p["name"])] = variable
             self._emit("param", callee=name, position=i, name=p["name"], variable=variable, keyword=p["kind"])
             if p["type_hint"]:
-                scope.types[str(p["name"])] = self._resolve(str(p["type_hint"]).split("[")[0].strip("'\""), owner)
+                scope.types[str(p["name"])] = self._resolve(_plain(str(p["type_hint"])), owner)
         _Body(self, scope).run(node)
         self._definitions(node.body, name, "Function", None)
 
@@ -168,10 +168,11 @@ class Walker:
     def _resolve(self, raw: str, owner: str | None, types: dict[str, str] | None = None, function: str | None = None) -> str:
         """The qualified name of a callee or base: own class, typed local, import, nested, module-level; else as it stands."""
         head, _, rest = raw.partition(".")
-        if head in ("self", "cls") and rest and owner:
-            return f"{owner}.{rest}"
-        if rest and types and head in types:
-            return f"{types[head]}.{rest}"
+        known = owner if head in ("self", "cls") else (types or {}).get(head)
+        if rest and known:
+            attribute, _, more = rest.partition(".")
+            hint = self.attributes.get(known, {}).get(attribute) if more else None
+            return f"{self._resolve(_plain(hint), None)}.{more}" if hint else f"{known}.{rest}"
         if raw in self.imports:
             return self.imports[raw]
         if head in self.imports and rest:
@@ -186,6 +187,35 @@ class Walker:
         return raw
 
 
+def _plain(hint: str) -> str:
+    """The class of a type hint: without quotes, brackets and None."""
+    return hint.strip("'\"").replace("| None", "").replace("None |", "").removeprefix("Optional[").split("[")[0].rstrip("]").strip()
+
+
+def _element(hint: str | None) -> str | None:
+    """The class of what a hinted container holds."""
+    inner = hint.strip("'\"").partition("[")[2].rpartition("]")[0] if hint else ""
+    return _plain(inner.split(",")[-1].strip()) if inner and "[" not in inner else None
+
+
+def _annotations(node: ast.ClassDef) -> dict[str, str]:
+    """Annotations of a class's attributes: from its body, from self.a: T, self.a = T(...) and self.a = annotated parameter."""
+    out = {n.target.id: ast.unparse(n.annotation) for n in node.body if isinstance(n, ast.AnnAssign) and isinstance(n.target, ast.Name)}
+    for method in (n for n in node.body if isinstance(n, Def)):
+        hints = {a.arg: ast.unparse(a.annotation) for a in [*method.args.posonlyargs, *method.args.args, *method.args.kwonlyargs] if a.annotation}
+        for n in ast.walk(method):
+            target = n.targets[0] if isinstance(n, ast.Assign) and len(n.targets) == 1 else n.target if isinstance(n, ast.AnnAssign) else None
+            raw = _dotted(target) if target is not None else None
+            if not raw or not raw.startswith("self.") or raw.count(".") > 1:
+                continue
+            hint = ast.unparse(n.annotation) if isinstance(n, ast.AnnAssign) else hints.get(n.value.id) if isinstance(n.value, ast.Name) else None
+            if hint is None and isinstance(n.value, ast.Call) and (made := _dotted(n.value.func)) and made.rpartition(".")[2][:1].isupper():
+                hint = made
+            if hint:
+                out.setdefault(raw.removeprefix("self."), hint)
+    return out
+
+
 def _dedent(text: str, column: int) -> str:
     lines = text.split("\n")
     return "\n".join([lines[0], *(line[column:] if line[:column].isspace() else line for line in lines[1:])])
@@ -211,7 +241,21 @@ class _Body:
                 if name.rpartition(".")[2][:1].isupper():
                     self.s.types[n.targets[0].id] = name
             elif isinstance(n, ast.AnnAssign) and isinstance(n.target, ast.Name):
-                self.s.types[n.target.id] = self.w._resolve(ast.unparse(n.annotation).split("[")[0], self.s.owner)
+                self.s.types[n.target.id] = self.w._resolve(_plain(ast.unparse(n.annotation)), self.s.owner)
+        for n in ast.walk(node):
+            if isinstance(n, (ast.For, ast.AsyncFor, ast.comprehension)) and isinstance(n.target, ast.Name):
+                held = _element(self._hint(_dotted(n.iter), node))
+                if held:
+                    self.s.types.setdefault(n.target.id, self.w._resolve(held, self.s.owner))
+
+    def _hint(self, raw: str | None, node: ast.FunctionDef | ast.AsyncFunctionDef) -> str | None:
+        """The annotation of a parameter, or of an attribute of self or of a typed name."""
+        if raw is None:
+            return None
+        head, _, rest = raw.partition(".")
+        if rest:
+            return self.w.attributes.get(self.s.owner if head == "self" else self.s.types.get(head, ""), {}).get(rest)
+        return next((ast.unparse(a.annotation) for a in [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs] if a.arg == raw and a.annotation), None)
 
     # --- statements
 
