@@ -70,13 +70,14 @@ def supersets(shapes: DataFrame, least: int = 2) -> DataFrame:
 def facet_clusters(shapes: DataFrame) -> DataFrame:
     """Untyped shapes with data only, and those with methods only, linked both ways.
 
-    Quadratic by definition; both sides are distinct shapes, whose number follows the code, not the uses.
+    Quadratic by definition, so pairs of partitions share the work; both sides are distinct shapes, whose number
+    follows the code, not the uses.
     """
     some = shapes.where((F.col("kind") == "structural") & (F.coalesce("base_type", F.lit("")) == ""))
     data = F.size(_facet("attrs")) + F.size(_facet("subscripts"))
-    d = some.where((data > 0) & (F.size(_facet("methods")) == 0)).select(F.col("id").alias("d"), F.lit(1).alias("_k"))
-    m = some.where((data == 0) & (F.size(_facet("methods")) > 0)).select(F.col("id").alias("m"), F.lit(1).alias("_k"))
-    pairs = d.join(m, "_k")
+    d = some.where((data > 0) & (F.size(_facet("methods")) == 0)).select(F.col("id").alias("d"))
+    m = some.where((data == 0) & (F.size(_facet("methods")) > 0)).select(F.col("id").alias("m"))
+    pairs = d.crossJoin(m)
     return pairs.select(F.col("d").alias("src"), F.col("m").alias("dst")).unionByName(pairs.select(F.col("m").alias("src"), F.col("d").alias("dst"))).withColumn("strength", F.lit("facet_cluster"))
 
 
