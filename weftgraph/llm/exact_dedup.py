@@ -19,10 +19,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Buckets of the index; a bucket of a 100 TB corpus (some 3e10 digests of 48 bytes) has about 350 MB.
-BUCKETS = 4096
-#: Buckets where no size is known to need more.
-SMALL_BUCKETS = 16
+#: Least number of buckets of a new index.  By default it has as many as a shuffle has partitions, which the cluster
+#: sets for its data; a bucket of a 100 TB corpus (some 3e10 digests of 48 bytes) in 4,096 has about 350 MB.
+LEAST_BUCKETS = 16
 
 
 def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", normalize: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -34,8 +33,13 @@ def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 class DigestIndex:
     """A table (digest, keep_id, group_size, batch) bucketed and sorted by digest."""
 
-    def __init__(self, spark: SparkSession, name: str, buckets: int = SMALL_BUCKETS) -> None:
-        self.spark, self.name, self.buckets = spark, name, buckets
+    def __init__(self, spark: SparkSession, name: str, buckets: int | None = None) -> None:
+        self.spark, self.name = spark, name
+        known = self._described().get("Num Buckets") if self.exists() else None
+        self.buckets = int(known or buckets or max(LEAST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+    def _described(self) -> dict[str, str]:
+        return {r["col_name"]: r["data_type"] for r in self.spark.sql(f"DESCRIBE EXTENDED {self.name}").collect()}
 
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)
@@ -64,7 +68,7 @@ class DigestIndex:
 
     def _of(self, batch_id: str) -> DataFrame:
         """The index rows of one batch, read without their bucketing so that a join can split a hot digest."""
-        location = next(r["data_type"] for r in self.spark.sql(f"DESCRIBE EXTENDED {self.name}").collect() if r["col_name"] == "Location")
+        location = self._described()["Location"]
         return self.spark.read.schema(self.spark.table(self.name).schema).parquet(location).where(F.col("batch") == batch_id)
 
     @staticmethod
