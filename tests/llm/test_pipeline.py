@@ -3,10 +3,9 @@
 import sys
 from pathlib import Path
 
-import pytest
-
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
-corpus_pipeline = pytest.importorskip("corpus_pipeline")
+import corpus_pipeline  # noqa: E402
+
 SF = "/root/testdata/sf0.001"
 
 
