@@ -30,7 +30,7 @@ from weftgraph.llm.common import materialize, text_batches
 
 #: Vectors of a candidate tile and of a query tile.
 CANDIDATES, QUERIES = 4096, 1024
-#: Query tiles broadcast at once.
+#: Query tiles of 64 dimensions broadcast at once; fewer of more dimensions, so that a block keeps its size.
 BLOCK_TILES = 64
 _EXACT = 2**53
 _LONG = 2**63 - 1
@@ -131,16 +131,20 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, *, query_tile: int
     q = materialize(tiles(queries.repartition(F.col("vec_id")), query_tile), "topk-queries")
     c = materialize(tiles(candidates, candidate_tile), "topk-candidates")
     order = Window.orderBy("dim", "tile")
-    numbered = materialize(q.select("dim", "tile").withColumn("block", F.floor((F.row_number().over(order) - 1) / block_tiles)), "topk-blocks")
+    numbered = materialize(q.select("dim", "tile").withColumn("block", F.floor((F.sum("dim").over(order) - F.col("dim")) / (block_tiles * 64))), "topk-blocks")
     blocks = (numbered.agg(F.max("block")).first()[0] or 0) + 1  # names of tiles only: one row for a thousand queries
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # a row has two matrices
     found = None
-    for b in range(int(blocks)):
-        block = q.join(numbered.where(F.col("block") == b).select("dim", "tile"), ["dim", "tile"], "left_semi")
-        named = block.select("dim", F.col("tile").alias("q_tile"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
-        met = c.select("dim", "ids", "matrix").join(F.broadcast(named), "dim").mapInArrow(_meet(k), _FOUND)
-        part = materialize(met, "topk-lists") if blocks > 1 else met
-        found = part if found is None else found.union(part)
+    try:
+        for b in range(int(blocks)):
+            block = q.join(numbered.where(F.col("block") == b).select("dim", "tile"), ["dim", "tile"], "left_semi")
+            named = block.select("dim", F.col("tile").alias("q_tile"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
+            met = c.select("dim", "ids", "matrix").join(F.broadcast(named), "dim").mapInArrow(_meet(k), _FOUND)
+            part = materialize(met, "topk-lists")  # run here, while batches are small
+            found = part if found is None else found.union(part)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
