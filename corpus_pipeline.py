@@ -2,8 +2,9 @@
 
 Each stage takes all documents that its predecessor kept and returns the documents it keeps, with the columns of
 ``documents``; the last returns the packed pieces.  Models are learnt from the tables of ``sf_dir``.
-Documents with a null doc_id are judged like others by the first two stages; the deduplicating stages keep the
-rows that have an id and win their group, and rows without an id whose text nobody else has.
+The deduplicating stages decide on rows, not on ids: each keeps exactly one row of a group of copies.  Of exact copies
+the row with the largest doc_id stays, of near copies the one with the smallest; rows without an id win only where no
+row of the group has one, and a row key, written before the stage, decides among equal ids.
 """
 
 from __future__ import annotations
@@ -21,9 +22,14 @@ LEAST_LANGUAGE_SCORE = 0.35
 NEAR = {"words": 5, "percent": 80, "permutations": 100, "bands": 40}
 
 
-def _staying(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id was kept."""
-    return docs.join(decided.where("kept").select(F.col("doc_id").alias("_kept_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+def _keyed(docs: DataFrame, label: str) -> DataFrame:
+    """``docs`` with a key of each row; written, so that every later read finds the same keys."""
+    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), label)
+
+
+def _staying(keyed: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` whose key is in ``kept``, without the key."""
+    return keyed.join(kept.select("_row"), "_row", "left_semi").drop("_row")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,11 +44,17 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _staying(docs, exact_dedup.dedup(docs))
+    keyed = _keyed(docs, "exact-rows")
+    named = keyed.select(F.struct("doc_id", "_row").alias("_name"), "text")  # a null id is less than any other
+    return _staying(keyed, exact_dedup.dedup(named, id_col="_name").where("kept").select("doc_id._row"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _staying(docs, minhash.link(docs, **NEAR))
+    keyed = _keyed(docs, "near-rows")
+    linked = minhash.link(keyed, id_col="_row", **NEAR).select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    first = keyed.select("_row", "doc_id").join(linked, "_row").groupBy("component_id").agg(F.min(order).alias("_first"))
+    return _staying(keyed, first.select("_first._row"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
