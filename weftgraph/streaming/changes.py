@@ -6,15 +6,14 @@ says otherwise; state is keyed by path: bounded by a watermark, or one hash per
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.graph import CodeGraph
 from weftgraph.operators import mutate
-from weftgraph.session import ship
 from weftgraph.sources.files import SKIPPED
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -53,31 +52,49 @@ def windowed_counts(changes: DataFrame, width: str = "1 hour", late: str = "10 m
     return changes.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "kind").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "kind", "n")
 
 
-def changed_content(changes: DataFrame) -> DataFrame:
-    """ST3: changes whose hash differs from the path's last one, also if it was seen earlier; a stream with state per path."""
-    ship(changes.sparkSession)
+@dataclass(frozen=True)
+class ContentGate:
+    """ST3 over a stream, to be run by ``written_stream``: state is a table with each path's last hash."""
 
-    def gate(key: tuple, frames: Iterator[pd.DataFrame], state: object) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        gone = False
-        for frame in frames:
-            frame = frame.sort_values(["ts", "id"])
-            before = [last, *frame["hash"].tolist()[:-1]]
-            last = frame["hash"].iloc[-1]
-            gone = frame["kind"].iloc[-1] in GONE
-            yield frame[[h != b for h, b in zip(frame["hash"].tolist(), before, strict=True)]][["path", "kind", "hash", "ts", "id"]]
-        if gone:
-            state.remove()
-        else:
-            state.update((last,))
+    changes: DataFrame
+    COLUMNS = "path string, kind string, hash string, ts timestamp, id long"
+    LAST = "path string, hash string"
 
-    return changes.groupBy("path").applyInPandasWithState(gate, "path string, kind string, hash string, ts timestamp, id long", "hash string", "append", "NoTimeout")
+    def written(self, label: str) -> DataFrame:
+        """Run over all input that there is; a repeated micro-batch overwrites its files with the same rows."""
+        from weftgraph.storage import shared_path
+
+        path = shared_path(self.changes.sparkSession, label)
+
+        def each(batch: DataFrame, number: int) -> None:
+            spark = batch.sparkSession
+            last = spark.read.schema(self.LAST).parquet(f"{path}/last/{number - 1}") if number else spark.createDataFrame([], self.LAST)
+            batch = batch.select("path", "kind", "hash", F.col("ts").cast("timestamp").alias("ts"), F.col("id").cast("long").alias("id"))
+            batch.write.mode("overwrite").parquet(f"{path}/batch/{number}")
+            batch = spark.read.schema(self.COLUMNS).parquet(f"{path}/batch/{number}")
+            seeds = last.select("path", F.lit(None).cast("string").alias("kind"), "hash", F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("long").alias("id"))
+            ordered = batch.withColumn("_new", F.lit(True)).unionByName(seeds.withColumn("_new", F.lit(False)))
+            before = F.lag("hash").over(Window.partitionBy("path").orderBy("_new", "ts", "id"))
+            changed = ordered.withColumn("_b", before).where("_new AND (_b IS NULL OR _b <> hash)")
+            changed.drop("_b", "_new").write.mode("overwrite").parquet(f"{path}/rows/{number}")
+            newest = ordered.groupBy("path").agg(F.max(F.struct("_new", "ts", "id", "kind", "hash")).alias("_r"))
+            left = newest.where(~F.coalesce(F.col("_r.kind").isin(*GONE), F.lit(False)))
+            left.select("path", "_r.hash").write.mode("overwrite").parquet(f"{path}/last/{number}")
+
+        q = self.changes.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+        spark = self.changes.sparkSession
+        spark.createDataFrame([], self.COLUMNS).write.mode("append").parquet(f"{path}/rows/none")  # a stream without input has no batch
+        return spark.read.schema(self.COLUMNS).option("recursiveFileLookup", True).parquet(f"{path}/rows")
+
+
+def changed_content(changes: DataFrame) -> ContentGate:
+    """ST3: changes whose hash differs from the path's last one, also if it was seen earlier; ordered by (ts, id) in each micro-batch."""
+    return ContentGate(changes)
 
 
 def changed_content_batch(changes: DataFrame) -> DataFrame:
     """ST3 over a table."""
-    from pyspark.sql import Window
-
     before = F.lag("hash").over(Window.partitionBy("path").orderBy("ts", "id"))
     return changes.withColumn("_b", before).where("_b IS NULL OR _b <> hash").drop("_b")
 
@@ -118,8 +135,10 @@ def collected_stream(stream: DataFrame, name: str, checkpoint: str, mode: str =
     return stream.sparkSession.table(name)
 
 
-def written_stream(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
+def written_stream(stream: DataFrame | ContentGate, label: str, mode: str = "append") -> DataFrame:
     """Run a stream over all input that there is into Parquet files in the shared folder, exactly once, and read them."""
+    if isinstance(stream, ContentGate):
+        return stream.written(label)
     from weftgraph.storage import shared_path
 
     path = shared_path(stream.sparkSession, label)
