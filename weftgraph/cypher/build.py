@@ -18,8 +18,6 @@ from weftgraph.cypher.parse import Clause, CypherError, Expr, Node, Pattern, Que
 from weftgraph.graph import CodeGraph
 from weftgraph.operators import match, traverse
 
-#: Steps of a pattern without an upper bound.
-UNBOUNDED = 12
 _VIEW = ("id", "label", "name", "kind", "module_path")
 _AGGREGATES = ("count", "collect", "sum", "avg", "min", "max")
 
@@ -252,13 +250,14 @@ class Builder:
         return frame.df.select(F.col(f"{var}__id").alias("id")).distinct()
 
     def paths(self, frame: Frame, var: str, rel: Rel, node: Node, to: str, distinct: bool, chain: str | None, keep: bool) -> tuple[Frame, str | None]:
-        most = rel.most if rel.most is not None else UNBOUNDED
         e, roots = self.relations(rel), self.roots(frame, var)
         root, end, name = self.name("s"), self.name("d"), self.name("c")
         if distinct and rel.least <= 1:
-            found = traverse.reach(e, roots, most, include_roots=rel.least == 0).select(F.col("root").alias(root), F.col("node").alias(end))
+            zero = rel.least == 0
+            reached = traverse.closure(e, roots, include_roots=zero) if rel.most is None else traverse.reach(e, roots, rel.most, include_roots=zero)
+            found = reached.select(F.col("root").alias(root), F.col("node").alias(end))
         else:
-            found = traverse.trails(e, roots, most, least=max(1, rel.least)).select(F.col("root").alias(root), F.col("node").alias(end), *([F.col("chain").alias(name)] if keep else []))
+            found = traverse.trails(e, roots, rel.most, least=max(1, rel.least)).select(F.col("root").alias(root), F.col("node").alias(end), *([F.col("chain").alias(name)] if keep else []))
             if rel.least == 0:
                 own = roots.select(F.col("id").alias(root), F.col("id").alias(end), *([F.array("id").alias(name)] if keep else []))
                 found = found.unionByName(own)
@@ -269,9 +268,8 @@ class Builder:
 
     def shortest(self, frame: Frame, var: str, rel: Rel, node: Node, to: str, waiting: list[Expr]) -> tuple[Frame, str]:
         goal, _ = self.ready(self.bind(Frame(), node, to), waiting)
-        most = rel.most if rel.most is not None else UNBOUNDED
         root, end, name = self.name("s"), self.name("d"), self.name("c")
-        found = traverse.shortest(self.relations(rel), self.roots(frame, var), self.roots(goal, to), most).select(F.col("root").alias(root), F.col("node").alias(end), F.col("chain").alias(name))
+        found = traverse.shortest(self.relations(rel), self.roots(frame, var), self.roots(goal, to), rel.most).select(F.col("root").alias(root), F.col("node").alias(end), F.col("chain").alias(name))
         joined = frame.df.join(found, F.col(f"{var}__id") == F.col(root)).drop(root)
         return self.attach(Frame(joined, dict(frame.env)), node, to, end), name
 

@@ -2,13 +2,14 @@
 
 Two families.  *Reach* keeps each (root, node) once with its least depth, level by level with a distinct per level,
 so its size is bounded by roots times nodes.  *Trails* keep every path that repeats no edge, as openCypher does; they
-can be exponentially many, so a depth is always given.  Shallow traversals are one lazy plan; deeper ones write each
+can be exponentially many, so a depth is given wherever the question has one.  Shallow traversals are one lazy plan; deeper ones write each
 level to the shared folder, so plans stay short and a lost executor costs one level.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +20,16 @@ from weftgraph.storage import written
 LAZY_LEVELS = 4
 
 
-def _kept(df: DataFrame, depth: int) -> DataFrame:
-    return written(df, "level") if depth > LAZY_LEVELS else df
+def _deep(depth: int | None) -> bool:
+    return depth is None or depth > LAZY_LEVELS
+
+
+def _kept(df: DataFrame, depth: int | None) -> DataFrame:
+    return written(df, "level") if _deep(depth) else df
+
+
+def _levels(first: int, depth: int | None) -> Iterable[int]:
+    return count(first) if depth is None else range(first, depth + 1)
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
@@ -66,8 +75,8 @@ def closure(edges: DataFrame, roots: DataFrame, *, include_roots: bool = False)
     return seen if seen is not None else level
 
 
-def trails(edges: DataFrame, roots: DataFrame, depth: int, *, least: int = 1) -> DataFrame:
-    """Every path of ``least`` to ``depth`` edges that repeats no edge.
+def trails(edges: DataFrame, roots: DataFrame, depth: int | None, *, least: int = 1) -> DataFrame:
+    """Every path of ``least`` to ``depth`` edges that repeats no edge; without ``depth`` until none grows.
 
     Columns: root, node (its end), depth, chain (array of nodes), trail (array of edges, as src>dst or edge_id), first_type.
     """
@@ -77,12 +86,12 @@ def trails(edges: DataFrame, roots: DataFrame, depth: int, *, least: int = 1) ->
     level = roots.select(F.col("id").alias("root")).distinct().join(step, F.col("root") == F.col("src"))
     level = _kept(level.select("root", F.col("dst").alias("node"), F.lit(1).alias("depth"), F.array("root", "dst").alias("chain"), F.array("_e").alias("trail"), F.col("_t").alias("first_type")), depth)
     found = level if least <= 1 else None
-    for d in range(2, depth + 1):
+    for d in _levels(2, depth):
         grown = level.join(step, level["node"] == step["src"]).where(~F.array_contains("trail", F.col("_e")))
         level = _kept(grown.select("root", F.col("dst").alias("node"), F.lit(d).alias("depth"), F.array_append("chain", F.col("dst")).alias("chain"), F.array_append("trail", F.col("_e")).alias("trail"), "first_type"), depth)
         if d >= least:
             found = level if found is None else found.unionByName(level)
-        if depth > LAZY_LEVELS and level.isEmpty():
+        if _deep(depth) and level.isEmpty():
             break
     return found if found is not None else level
 
@@ -109,15 +118,16 @@ def dependents(edges: DataFrame, roots: DataFrame, depth: int = 2, **options: ob
     return dependencies(reversed_edges(edges), roots, depth, **options)
 
 
-def shortest(edges: DataFrame, roots: DataFrame, targets: DataFrame, depth: int = 10) -> DataFrame:
+def shortest(edges: DataFrame, roots: DataFrame, targets: DataFrame, depth: int | None = 10) -> DataFrame:
     """One shortest path (root, node, depth, chain) per pair, the smallest chain of equal length.
 
     Level by level; a (root, node) that was reached before is not extended again, so paths do not multiply.
+    Without ``depth`` it ends when a level reaches nothing new.
     """
     pairs = edges.select("src", "dst").where("src <> dst").distinct()
     level = roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.array("id").alias("chain"), F.lit(0).alias("depth")).distinct()
     level = seen = written(level, "level")
-    for d in range(1, depth + 1):
+    for d in _levels(1, depth):
         grown = level.join(pairs, level["node"] == pairs["src"]).select("root", F.col("dst").alias("node"), F.array_append("chain", F.col("dst")).alias("chain"))
         best = grown.groupBy("root", "node").agg(F.min("chain").alias("chain"))
         level = written(best.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(d)), "level")
