@@ -45,6 +45,11 @@ def _(p):
     return aggregate.page(p.edges.select("type", "src", "dst"), ["type", "src", "dst"], 5000)
 
 
+@query("s7_every_edge", "SELECT type, src, dst FROM edges")
+def _(p):
+    return p.edges.select("type", "src", "dst")
+
+
 @query("s8_point_lookup", "SELECT id, name, kind, module_path FROM nodes WHERE id = 'p42'")
 def _(p):
     return p.nodes.where("id = 'p42'").select("id", "name", "kind", "module_path")
