@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in tests on one machine.
+#: Used only on one machine (master ``local``) where the session names no shared folder, as in tests.
 UNSET_DIR = "/tmp/checkpoints"
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or UNSET_DIR
+    """A new path under the folder that every executor and the driver can see."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = UNSET_DIR
     return f"{root.rstrip('/')}/weftgraph/{label}-{uuid.uuid4().hex}"
 
 
