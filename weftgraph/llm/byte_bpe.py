@@ -7,7 +7,7 @@ joins ids with the vocabulary and aggregates the bytes in order of their places.
 only; a worker remembers words it has seen, within a bound, so the work follows the vocabulary in use rather
 than the number of rows, and a group of copies costs no more than one of them.
 
-Words longer than ``LONG`` bytes contract every non-overlapping occurrence of their least-ranked pair in one step,
+Words longer than ``LONG`` bytes (a choice of plan, with equal ids) contract every non-overlapping occurrence of their least-ranked pair in one step,
 which gives the same ids (a merge never makes a pair of lower rank) in far fewer steps.
 
 Defined cases: null counts as empty; an empty text has no ids and decodes to no bytes; repeated rows and null
@@ -17,8 +17,11 @@ decoding; extra and clashing columns have no effect.
 
 from __future__ import annotations
 
+import atexit
 import base64
 import re
+import shutil
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,7 +105,9 @@ class BytePairs:
         ranks = read_ranks(path)
         self._byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self._pattern = regex.compile(PATTERN)
-        self._db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": DATABASE_MEMORY})
+        spill = tempfile.mkdtemp(prefix="weftgraph-bpe-")  # the worker's own sorts, as Spark's own spills; no other process reads it
+        atexit.register(shutil.rmtree, spill, ignore_errors=True)
+        self._db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": DATABASE_MEMORY, "temp_directory": spill})
         merges = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         left, right, rank = (np.array(x, np.int64) for x in zip(*merges, strict=True))
         self._table("merges", pair=pa.array(left << 32 | right), rank=pa.array(rank.astype(np.int32)))

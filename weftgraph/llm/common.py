@@ -1,33 +1,22 @@
-"""Shared pieces of the training-data operators: where tables are kept, and how they are read."""
+"""Shared pieces of the training-data operators: how tables are kept and read, bounded samples, Arrow batches of texts."""
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.session import ship
-
-#: Used only where the session names no shared folder, as in tests on one machine.
-UNSET_DIR = "/tmp/checkpoints"
+from weftgraph.storage import shared_path, written
 
 #: Rows of an Arrow batch for whole texts; with the longest texts of about 1 MB a batch stays in some 100 MB.
 TEXT_BATCH_ROWS = "1000"
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
-
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new path under the folder that every executor and the driver can see."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or UNSET_DIR
-    return f"{root.rstrip('/')}/weftgraph/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write a DataFrame to the shared folder and read it again: lineage ends at files that outlive executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+shared_dir = shared_path
+materialize = written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,12 +24,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Make the package known to Python workers and bound the Arrow batches that carry whole texts."""
+    """Make the package known to Python workers and bound the Arrow batches that carry whole texts.
+
+    The bound holds for the session, as plans run after they are built; ``batch_rows`` sets another for a while.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_BATCH_ROWS)
+    spark.conf.set(_BATCH_CONF, TEXT_BATCH_ROWS)
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Other Arrow batches for the jobs that are run inside."""
+    before = spark.conf.get(_BATCH_CONF)
+    spark.conf.set(_BATCH_CONF, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_CONF, before)
 
 
 def crc_bucket(id_col: Column | str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo; null ids count as remainder 0."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % modulus, F.lit(0)).cast("int")
+
+
+def hashed_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """The distinct rows with the ``most`` smallest hashes of ``key``, for fitting.
+
+    A first pass estimates the number of distinct keys; then only rows whose hash lies under four times the wanted share
+    leave a scan, each once.  So about ``4 * most`` rows are shuffled or sorted in all, however many rows, tasks or
+    copies of one row there are.
+    """
+    keys = rows.agg(F.approx_count_distinct(key).alias("n")).first()["n"]
+    place = F.shiftrightunsigned(F.xxhash64(key), 11) / F.lit(float(1 << 53))
+    near = rows.withColumn("_place", place).where(F.col("_place") * F.lit(float(keys)) < F.lit(4.0 * most)).distinct()
+    return near.orderBy("_place", *rows.columns).limit(most).drop("_place")

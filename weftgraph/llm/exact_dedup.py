@@ -1,14 +1,17 @@
 """Exact deduplication against a persistent digest index, in DataFrame and SQL operations only.
 
-The index is a table bucketed and sorted by digest.  New data is reduced to one row per digest with partial
-aggregation (a group of copies with a third of all rows shrinks before any shuffle), anti-joined with
-the index by sort-merge (the index side is neither shuffled nor sorted again) and appended.  Every row of the
-batch then learns the row that stays by a join that can be split where a digest is hot.
+The index is a catalogue table bucketed and sorted by digest.  A batch is reduced to one row per digest with partial
+aggregation (a group of copies with a third of all rows shrinks before any shuffle), anti-joined with the index by
+sort-merge (the index side is not shuffled) and appended.  Every row of the batch then learns the row that stays by a
+join that Spark can split where a digest is hot.
+
+Appending is idempotent by batch id: a batch that is given again under its id, after a failure or by mistake, adds
+nothing that is there already and gets the result that it got or would have got.  One writer appends at a time.
 
 Defined cases: a null text counts as empty; equal means identical, after ``normalize`` if one is given; of equal
-texts in a batch the largest doc_id stays (null ids never win over others); a text that an earlier batch has
-indexed keeps its earlier row; repeated rows with the winning doc_id all count as kept; an empty table gives no
-rows; extra and clashing columns have no effect on the result.
+texts in a batch the largest doc_id stays (null ids never win over others); a text that another batch has
+indexed keeps its row there, and group_size counts the batch's own equal rows; repeated rows with the winning doc_id
+all count as kept; an empty table gives no rows; extra and clashing columns have no effect on the result.
 """
 
 from __future__ import annotations
@@ -18,6 +21,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from weftgraph.llm.common import materialize
 
 #: Least number of buckets of a new index.  By default it has as many as a shuffle has partitions, which the cluster
 #: sets for its data; a bucket of a 100 TB corpus (some 3e10 digests of 48 bytes) in 4,096 has about 350 MB.
@@ -35,45 +41,45 @@ class DigestIndex:
 
     def __init__(self, spark: SparkSession, name: str, buckets: int | None = None) -> None:
         self.spark, self.name = spark, name
-        known = self._described().get("Num Buckets") if self.exists() else None
-        self.buckets = int(known or buckets or max(LEAST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        known = self._buckets() if self.exists() else None
+        self.buckets = known or buckets or max(LEAST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def _described(self) -> dict[str, str]:
-        return {r["col_name"]: r["data_type"] for r in self.spark.sql(f"DESCRIBE EXTENDED {self.name}").collect()}
+    def _buckets(self) -> int:
+        described = {r["col_name"]: r["data_type"] for r in self.spark.sql(f"DESCRIBE EXTENDED {self.name}").collect()}
+        return int(described["Num Buckets"])
 
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)
 
-    def append(self, docs: DataFrame, **columns: object) -> DataFrame:
+    def create(self, id_type: T.DataType) -> None:
+        """The table without rows, unless it exists."""
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id {id_type.simpleString()}, group_size BIGINT, batch STRING) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS"
+        )
+
+    def unknown(self, batch: DataFrame) -> DataFrame:
+        """Rows (digest, ...) whose digest the index has from no batch: a sort-merge anti-join."""
+        return batch.join(self.spark.table(self.name).select("digest").hint("merge"), "digest", "left_anti")
+
+    def append(self, docs: DataFrame, *, batch_id: str | None = None, **columns: object) -> DataFrame:
         """Index the texts of ``docs`` that are new; returns (doc_id, keep_id, group_size, kept, text_sha256) of every row.
 
-        ``group_size`` counts the equal rows of this batch.  Rows equal to one of an earlier batch get its keep_id.
+        A caller that may have to repeat a batch names it by ``batch_id``.
         """
+        batch_id = batch_id or uuid.uuid4().hex
         rows = digests(docs, **columns)
-        batch = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        batch_id = uuid.uuid4().hex
-        old = self.spark.table(self.name) if self.exists() else None
-        fresh = batch if old is None else batch.join(old.select("digest").hint("merge"), "digest", "left_anti")
+        self.create(rows.schema["doc_id"].dataType)
+        batch = materialize(rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "digest-batch")
         (
-            fresh.select("digest", "keep_id", "group_size", F.lit(batch_id).alias("batch"))
+            self.unknown(batch)
+            .select("digest", "keep_id", "group_size", F.lit(batch_id).alias("batch"))
             .repartition(self.buckets, "digest")
             .write.mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
         )
-        if old is None:
-            winners = self._of(batch_id).select("digest", "keep_id", "group_size", F.lit(True).alias("fresh"))
-        else:
-            known = self.spark.table(self.name).select("digest", "keep_id", (F.col("batch") == batch_id).alias("fresh"))
-            winners = batch.select("digest", "group_size").join(known, "digest")
-        return self._told(rows, winners)
-
-    def _of(self, batch_id: str) -> DataFrame:
-        """The index rows of one batch, read without their bucketing so that a join can split a hot digest."""
-        location = self._described()["Location"]
-        return self.spark.read.schema(self.spark.table(self.name).schema).parquet(location).where(F.col("batch") == batch_id)
-
-    @staticmethod
-    def _told(rows: DataFrame, winners: DataFrame) -> DataFrame:
-        return rows.join(winners, "digest").select(
+        indexed = self.spark.table(self.name).select("digest", "keep_id", (F.col("batch") == batch_id).alias("fresh"))
+        winners = materialize(batch.select("digest", "group_size").join(indexed.hint("merge"), "digest"), "digest-winners")
+        return rows.join(winners.hint("merge"), "digest").select(
             "doc_id", "keep_id", "group_size",
             (F.col("fresh") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
             F.lower(F.hex("digest")).alias("text_sha256"),
@@ -84,6 +90,14 @@ class DigestIndex:
 
 
 def dedup(docs: DataFrame, *, index: DigestIndex | None = None, **columns: object) -> DataFrame:
-    """Each row of ``docs`` with the row that stays; a new index is made where none is given."""
-    spark = docs.sparkSession
-    return (index or DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")).append(docs, **columns)
+    """Each row of ``docs`` with the row that stays.
+
+    Without an index one is made for this batch and dropped again, as the result reads only written tables.
+    """
+    if index is not None:
+        return index.append(docs, **columns)
+    own = DigestIndex(docs.sparkSession, f"digest_index_{uuid.uuid4().hex}")
+    try:
+        return own.append(docs, **columns)
+    finally:
+        own.drop()

@@ -7,7 +7,7 @@ into Spark column expressions.  Scoring is one scan without a shuffle and withou
 
 Defined cases: null and empty texts have all statistics 0 and are scored like any other; with no labelled row
 or with one class only, every score is the class's share (0.5 without labels); labels that are null are left
-out; a doc_id with several labels or several texts is learnt from each pair; an empty table gives no rows;
+out; a doc_id with several labels or several texts is learnt from each distinct pair; an empty table gives no rows;
 extra columns, also those named like statistics or results, have no effect.
 """
 
@@ -20,10 +20,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import crc_bucket
+from weftgraph.llm.common import crc_bucket, hashed_sample
 from weftgraph.llm.trees import Tree, fit_boosted
 
-#: Labelled rows that a model is fitted on at most: those with the smallest hash of their id.
+#: Distinct labelled rows that a model is fitted on at most: those with the smallest hash of their id.
 SAMPLE_ROWS = 8_000
 THRESHOLD = 0.3
 
@@ -149,18 +149,15 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: tuple[str, ...] = STATISTICS,
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", modulus: int = 5, held_out: int = 0, sample: int = SAMPLE_ROWS) -> RuleModel:
     """Fit on at most ``sample`` labelled rows whose crc32 bucket is not the held-out one."""
-    chosen = (
-        labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
-        .where(F.col("_id").isNotNull() & F.col("_y").isNotNull() & (crc_bucket("_id", modulus) != held_out))
-        .orderBy(F.xxhash64("_id"), "_id", "_y")
-        .limit(sample)
-    )
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isNotNull() & (crc_bucket("_id", modulus) != held_out))
+    chosen = hashed_sample(known, "_id", sample)
     stats = statistics(F.col("_counts"))
     rows = (
         docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
         .join(F.broadcast(chosen), "_id")  # at most ``sample`` ids
         .select("_y", "_id", _kept_apart(counts(F.col("_t"))).alias("_counts"))
         .select("_y", "_id", *[stats[n].alias(n) for n in STATISTICS])
+        .distinct()  # an id that repeats, however often, is learnt from once a text
         .orderBy(F.xxhash64("_id"), "_id", "_y", *STATISTICS)
         .limit(sample)
         .toPandas()

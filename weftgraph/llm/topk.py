@@ -4,14 +4,14 @@ Queries and candidates are packed into tiles (a few thousand vectors each, as ro
 product of two tiles is one matrix multiplication.  Query tiles go out in blocks of at most ``BLOCK_TILES`` (some
 32 MB at 64 dimensions, whatever the input): a block is broadcast, and every candidate tile meets it where it lies,
 without a shuffle of candidates; each further block is one more scan of the candidates.  Within a task the best
-of all tiles seen so far are kept per query (selection, not sorting); the tasks' short lists are then merged per
-query, with a partial limit on both sides of the shuffle.  Nothing is collected to the driver.
+of all tiles seen so far are kept per query (selection, not sorting); the tasks' short lists are then merged as a tree:
+lists of some tasks to one, and these to a query's result.  No list is collected to the driver.
 
 Integer scores are exact: products run in 64-bit floats where no sum can pass 2**53, else in Python integers held
 to the range of a long.
 
-Defined cases: vectors that are null, empty, hold null or non-finite components, or have a null id take no part;
-vectors of different lengths are compared only with those of their own length; a query's own id is never
+Defined cases: vectors that are null, hold null or non-finite components, or have a null id take no part; empty
+vectors score 0 with each other; vectors of different lengths are compared only with those of their own length; a query's own id is never
 its candidate; ties go to the smaller id; with fewer candidates than k all are returned; empty tables give no rows;
 extra and clashing columns have no effect.
 """
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import materialize, text_batches
+from weftgraph.llm.common import batch_rows, materialize, text_batches
 
 #: Vectors of a candidate tile and of a query tile.
 CANDIDATES, QUERIES = 4096, 1024
@@ -36,14 +36,16 @@ _EXACT = 2**53
 _LONG = 2**63 - 1
 
 _TILES = T.StructType([T.StructField("dim", T.IntegerType()), T.StructField("tile", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("matrix", T.BinaryType())])
-_FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
+_FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType()), T.StructField("branch", T.LongType())])
+#: Branches of the merging tree: the lists of a query's tasks are dealt to so many before they meet.
+BRANCHES = 64
 
 
 def quantized(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256) -> DataFrame:
     """vec_id, v: floor(scale * component) as doubles, of the vectors that take part."""
     v = F.col(vec_col)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
-    rows = vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~bad)
+    rows = vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & ~bad)
     return rows.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("double")).alias("v"))
 
 
@@ -130,34 +132,39 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, *, query_tile: int
     spark = queries.sparkSession
     q = materialize(tiles(queries.repartition(F.col("vec_id")), query_tile), "topk-queries")
     c = materialize(tiles(candidates, candidate_tile), "topk-candidates")
-    order = Window.orderBy("dim", "tile")
-    numbered = materialize(q.select("dim", "tile").withColumn("block", F.floor((F.sum("dim").over(order) - F.col("dim")) / (block_tiles * 64))), "topk-blocks")
+    order, size = Window.orderBy("dim", "tile"), F.greatest("dim", F.lit(1))
+    numbered = materialize(q.select("dim", "tile").withColumn("block", F.floor((F.sum(size).over(order) - size) / (block_tiles * 64))), "topk-blocks")
     blocks = (numbered.agg(F.max("block")).first()[0] or 0) + 1  # names of tiles only: one row for a thousand queries
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # a row has two matrices
     found = None
-    try:
+    with batch_rows(spark, 8):  # a row has two matrices
         for b in range(int(blocks)):
             block = q.join(numbered.where(F.col("block") == b).select("dim", "tile"), ["dim", "tile"], "left_semi")
             named = block.select("dim", F.col("tile").alias("q_tile"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
             met = c.select("dim", "ids", "matrix").join(F.broadcast(named), "dim").mapInArrow(_meet(k), _FOUND)
             part = materialize(met, "topk-lists")  # run here, while batches are small
             found = part if found is None else found.union(part)
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return _first(_first(found, k, "query_id", "branch"), k, "query_id").select("query_id", "rank", "vec_id", "score")
+
+
+def _first(lists: DataFrame, k: int, *keys: str) -> DataFrame:
+    """One level of the merging tree: the k best rows of each key, limited also before they are shuffled."""
+    order = Window.partitionBy(*keys).orderBy(F.desc("score"), "vec_id")
+    return lists.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def _meet(k: int):
     """Rows of a candidate tile and a query tile to each query's best candidates in this task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        branch = (context.partitionId() if context else 0) % BRANCHES
         best: dict[tuple[int, int], Best] = {}
         for batch in batches:
             for r in batch.to_pylist():
                 q_ids, ids = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["ids"], "<i8")
-                q_m, m = (np.frombuffer(r[x], "<f8").reshape(-1, r["dim"]) for x in ("q_matrix", "matrix"))
+                q_m, m = (np.frombuffer(r[x], "<f8").reshape(n, r["dim"]) for x, n in (("q_matrix", len(q_ids)), ("matrix", len(ids))))
                 mine = best.setdefault((r["dim"], r["q_tile"]), Best(q_ids, k))
                 parts = []
                 for at in range(0, len(q_ids), 128):
@@ -168,6 +175,6 @@ def _meet(k: int):
                     parts.append((row[other] + at, vec[other], score[other]))
                 mine.add(*(np.concatenate(x) for x in zip(*parts, strict=True)))
         for mine in best.values():
-            yield pa.RecordBatch.from_arrays([pa.array(mine.ids[mine.row]), pa.array(mine.vec), pa.array(mine.score)], names=_FOUND.names)
+            yield pa.RecordBatch.from_arrays([pa.array(mine.ids[mine.row]), pa.array(mine.vec), pa.array(mine.score), pa.array(np.full(len(mine.row), branch, np.int64))], names=_FOUND.names)
 
     return run
