@@ -119,6 +119,48 @@ def test_exact_dedup_batches(spark):
     assert spark.table("digests_test").count() == 4
     assert exact_dedup.dedup(frame(spark, [])).count() == 0
     index.drop()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("digest_index_")]
+
+
+def told(df):
+    return sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in df.collect()), key=str)
+
+
+def test_a_batch_that_is_given_again_adds_nothing(spark, monkeypatch):
+    index = exact_dedup.DigestIndex(spark, "digests_again", 4)
+    index.drop()
+    first, second = frame(spark, [(1, "a", "x", 1), (2, "a", "x", 1), (3, "b", "x", 1)]), frame(spark, [(7, "b", "x", 1), (8, "c", "x", 1), (9, "c", "x", 1)])
+    plain = exact_dedup.materialize
+
+    def failing(df, label):
+        if label == "digest-winners":
+            raise RuntimeError("an executor is lost")
+        return plain(df, label)
+
+    with monkeypatch.context() as m:
+        m.setattr(exact_dedup, "materialize", failing)
+        with pytest.raises(RuntimeError):
+            index.append(first, batch_id="one")  # after its rows were appended
+    one = told(index.append(first, batch_id="one"))
+    assert one == sorted([(1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True)], key=str)
+    two = told(index.append(second, batch_id="two"))
+    assert two == sorted([(7, 3, 1, False), (8, 9, 2, False), (9, 9, 2, True)], key=str)
+    assert (told(index.append(first, batch_id="one")), told(index.append(second, batch_id="two"))) == (one, two)
+    assert spark.table("digests_again").count() == 3
+    index.drop()
+
+
+def test_the_index_is_not_shuffled_for_the_anti_join(spark):
+    index = exact_dedup.DigestIndex(spark, "digests_plan", 4)
+    index.drop()
+    index.append(frame(spark, [(1, "a", "x", 1)]))
+    batch = exact_dedup.digests(frame(spark, [(2, "b", "x", 1)])).groupBy("digest").count()
+    plan = index.unknown(batch)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan
+    right = plan[plan.rindex("digests_plan") - 600 :] if "digests_plan" in plan else ""
+    assert "Bucketed: true" in plan and "Exchange" not in right.split("FileScan")[0].splitlines()[-1]
+    assert plan.count("Exchange hashpartitioning(digest") == 1
+    index.drop()
 
 
 def test_topk_equals_brute_force(spark):
@@ -126,7 +168,7 @@ def test_topk_equals_brute_force(spark):
     v = rng.normal(size=(700, 6)).astype("float32")
     v[100:130] = v[100]  # ties
     rows = [(int(i), [float(x) for x in r], 1) for i, r in enumerate(v)]
-    rows += [(900, None, 1), (901, [1.0, None], 1), (950, [float("nan")] * 6, 1), (1000, [1.0, 2.0], 1), (None, [0.0] * 6, 1), (1001, [2.0, 1.0], 1)]
+    rows += [(900, None, 1), (901, [1.0, None], 1), (950, [float("nan")] * 6, 1), (1000, [1.0, 2.0], 1), (None, [0.0] * 6, 1), (1001, [2.0, 1.0], 1), (1050, [], 1), (1051, [], 1), (1053, [], 1)]
     vectors = topk.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int"))
     got = topk.search(vectors.where("vec_id % 50 = 0"), vectors, 5, query_tile=4, candidate_tile=64, block_tiles=2).collect()
     q = np.floor(256 * v.astype(float)).astype(np.int64)
@@ -135,7 +177,7 @@ def test_topk_equals_brute_force(spark):
         s = q @ q[i]
         best = [j for j in np.lexsort((np.arange(700), -s)) if j != i][:5]
         expected |= {(i, k + 1, int(j), int(s[j])) for k, j in enumerate(best)}
-    expected.add((1000, 1, 1001, 256 * 512 * 2))
+    expected |= {(1000, 1, 1001, 256 * 512 * 2), (1050, 1, 1051, 0), (1050, 2, 1053, 0)}
     assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == expected
     assert topk.search(vectors.limit(0), vectors, 5).count() == 0
 
@@ -162,6 +204,23 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.archive_pages(df.limit(0)).count() == 0
 
 
+def test_runs_are_merged_in_passes_by_ranges(spark, tmp_path):
+    """Many runs and few captures of each in memory; one URL has a third of all captures."""
+    rng = random.Random(8)
+    pages = [(i if i % 17 else None, "http://hot/" if i % 3 == 0 else f"http://{rng.choice('abc')}.é{rng.randint(0, 30)}/", f"text {rng.randint(0, 90)}", 1) for i in range(600)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, archive int").repartition(5)
+    folder = f"file://{tmp_path}/w"
+    blocks = warc.sorted_runs(warc.write_archives(df, folder), folder, run_rows=16, block_rows=4)
+    assert blocks.select("run").distinct().count() > 30 and blocks.agg(F.max("rows")).first()[0] == 4
+    merged = warc.merge_runs(blocks, folder, fan_in=6, range_rows=40)
+    keyed = merged.select(F.spark_partition_id().alias("part"), "*").collect()
+    rows = [tuple(r)[1:] for r in keyed]
+    assert [warc.sort_key(r) for r in rows] == sorted(warc.sort_key(r) for r in rows)
+    assert sorted(map(repr, rows)) == sorted(repr(r) for p in {r[8] for r in rows} for r in warc.captures_of(p)) and len(rows) == len(pages)
+    hot = [r["part"] for r in keyed if r["url"] == "http://hot/"]
+    assert len(set(hot)) > 2
+
+
 def test_loser_tree_merges():
     rng = random.Random(1)
     for k in range(9):
@@ -203,3 +262,66 @@ def test_url_trees_learn_labels(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, verdict string")
     got = url_filter.judge(df.drop("verdict"), (), labelled=df.where("page_id < 200")).join(df.select("page_id", F.col("verdict").alias("truth")), "page_id")
     assert got.where("verdict = truth").count() > 380
+
+
+def plain_features(u, h, p):
+    from collections import Counter
+    from math import log2
+
+    def bits(text):
+        return -sum(c / len(text) * log2(c / len(text)) for c in Counter(text).values()) if text else 0.0
+
+    before, _, fragment = u.partition("#")
+    query = before.partition("?")[2]
+    labels = h.split(".") if h else []
+    digits, alnum = lambda t: sum(c.isdecimal() for c in t), lambda t: len(re.findall(r"[^\W_]", t))
+    return [
+        len(u), len(h), len(p), p.count("/"), len(labels), digits(u) / max(1, len(u)), digits(p) / max(1, len(p)), (len(u) - alnum(u)) / max(1, len(u)),
+        bits(u), bits(h), query.count("&") + 1 if query else 0, len(query), len(fragment), u.startswith("https:"), max(map(len, labels), default=0),
+    ]
+
+
+def plain_judged(url):
+    host = path = ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = host.translate(LOWER)
+    fits = [(len(t), t, v) for v, t in RULES for n, s, r in [t.partition("/")] if (host == n or host.endswith("." + n)) and path.startswith(s + r)]
+    return host, path, *(max(fits)[1:] if fits else (None, None))
+
+
+def test_every_page_is_judged_as_a_plain_loop_does(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    odd = ["", None, "x", "http://", "https://a.b.c/d?e=1&f=2#g", "http://é.ü/ñ?" + "k=1&" * 500, "a://b:80/c#d?e#f", "http://x/" + "y" * 20_000]
+    pages = pages.union(spark.createDataFrame([(10**6 + i, u) for i, u in enumerate(odd)], "page_id long, url string")).repartition(40)
+    urls = {r["page_id"]: r["url"] for r in pages.collect()}
+    truth = {i: plain_judged(u) for i, u in urls.items()}
+    host, path = url_filter.host_and_path(F.col("url"))
+    ruled = pages.select("url", url_filter.rule_columns(host, path, RULES)[1].alias("verdict"))
+    model = url_filter.fit(ruled)
+    labelled = {(u, truth[i][3]) for i, u in urls.items() if u is not None and truth[i][3]}
+    assert abs(model.statistics[:, 0].sum() - 1) < 1e-9 and len(labelled) < url_filter.SAMPLE_ROWS
+    suffixes = {r["url"]: r["s"] for r in pages.select("url", url_filter.suffix_key(host).alias("s")).collect()}
+    got = {r["page_id"]: r for r in url_filter.judge(pages, RULES).collect()}
+    assert got.keys() == urls.keys()
+    for i, u in urls.items():
+        h, p, rule, verdict = truth[i]
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (h, p, rule)
+        if verdict is None:
+            share = model.probability(np.array([plain_features(u or "", h, p)], float), np.array([suffixes[u]]))[0]
+            assert abs(got[i]["p_block"] - share) < 1e-9
+            verdict = "block" if share >= 0.5 else "allow"
+        assert got[i]["verdict"] == verdict
+
+
+def test_a_bounded_sample_of_distinct_rows(spark):
+    from weftgraph.llm.common import hashed_sample
+
+    rows = spark.range(30_000).select((F.col("id") % 9_000).alias("k")).union(spark.range(20_000).select(F.lit(5).cast("long"))).repartition(50)
+    got = [r["k"] for r in hashed_sample(rows, "k", 100).collect()]
+    assert len(got) == 100 == len(set(got))
+    order = [r["k"] for r in spark.range(9_000).select(F.col("id").alias("k")).orderBy(F.shiftrightunsigned(F.xxhash64("k"), 11)).limit(100).collect()]
+    assert got == order
+    assert hashed_sample(rows.limit(0), "k", 5).count() == 0

@@ -2,12 +2,16 @@
 
 Writing: payload digests are pre-aggregated to each payload's smallest page_id, so only ids and digests
 travel for deduplication; every task then writes its own archive of gzip members (warcinfo, response and revisit
-records with HTTP headers) in the shared folder and reports its captures.  Reading streams one archive per
-task, checks every digest, and leaves a locally sorted run of captures (URL key, timestamp, page_id).  The runs are
-dealt by key ranges (a composite key, so one URL with a third of all captures is still split) and each range is
-merged from its runs by a loser tree: the output is ordered within and across partitions.
+records with HTTP headers) in the shared folder and reports its captures.  Reading streams one archive at a time,
+checks every digest, and writes runs of captures sorted by URL key, timestamp and page_id to the shared folder, with a
+sparse index of the first and last key of each block of a run.
 
-An attempt of a task that is lost or repeated writes under its own name; only archives that a finished attempt
+Merging is external: key ranges are cut from the sparse index (a composite key, so one URL with a third of all captures
+is still split), and a task of a range opens the blocks of each run that its range touches and streams them through a
+loser tree, one block of each run in memory.  More than ``FAN_IN`` runs are first merged to fewer, longer ones, pass by
+pass, each by ranges too.  The output is ordered within and across partitions.
+
+An attempt of a task that is lost or repeated writes under its own name; only files that a finished attempt
 reports are ever read.
 
 Defined cases: null html is an empty payload; a null url has no target header and an empty URL key; carriage
@@ -19,9 +23,11 @@ table writes no archive and gives no rows; extra and clashing columns have no ef
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,11 +43,22 @@ CAPTURED_AT = "2024-01-01T00:00:00Z"
 #: Compressed bytes after which a task begins another archive.
 ARCHIVE_BYTES = 1 << 29
 LEVEL = 3
+#: Captures sorted together in memory to a run, and captures of a run's block.
+RUN_ROWS, BLOCK_ROWS = 65_536, 1024
+#: Runs merged at once.
+FAN_IN = 64
+#: Captures of a merging task's range, and ranges of a pass at most (the ranges then are longer, not the memory).
+RANGE_ROWS, MOST_RANGES = 500_000, 20_000
 
 _WRITTEN = T.StructType([T.StructField("path", T.StringType()), T.StructField("records", T.LongType())])
 CAPTURES = T.StructType(
     [T.StructField(n, t) for n, t in (("url_key", T.StringType()), ("captured_at", T.StringType()), ("page_id", T.LongType()), ("url", T.StringType()), ("payload_bytes", T.LongType()), ("payload_digest", T.StringType()), ("record_type", T.StringType()), ("refers_to", T.LongType()), ("archive", T.StringType()), ("record_offset", T.LongType()))]
 )
+_ARROW = pa.schema([(f.name, pa.int64() if isinstance(f.dataType, T.LongType) else pa.string()) for f in CAPTURES])
+#: A capture's place in the order; page_ids that are null come last.
+_KEY = T.StructType([T.StructField(n, t) for n, t in (("url_key", T.StringType()), ("captured_at", T.StringType()), ("no_id", T.BooleanType()), ("page_id", T.LongType()), ("archive", T.StringType()), ("record_offset", T.LongType()))])
+#: A block of a sorted run: its file and place there, its place in the run, its rows and the keys at its ends.
+BLOCKS = T.StructType([T.StructField("run", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("path", T.StringType()), T.StructField("at", T.IntegerType()), T.StructField("rows", T.LongType()), T.StructField("first", _KEY), T.StructField("last", _KEY)])
 
 
 def url_key(url: str | None) -> str:
@@ -167,51 +184,17 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     return materialize(joined.mapInArrow(run, _WRITTEN), "warc-written")
 
 
-def read_archives(archives: DataFrame) -> DataFrame:
-    """Captures of archives (a DataFrame with their paths), each archive a run sorted by URL key, time and page_id."""
-    spark = archives.sparkSession
-    text_batches(spark)
-    paths = [r["path"] for r in archives.select("path").collect()]  # names of files, as a listing would give
-    if not paths:
-        return spark.createDataFrame([], CAPTURES)
-    names = spark.createDataFrame([(p,) for p in sorted(paths)], "path string").repartition(len(paths))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for uri in batch.column(0).to_pylist():
-                system, path = _filesystem(uri)
-                rows = []
-                with system.open_input_stream(path, compression=None) as stream:
-                    for offset, content in members(stream):
-                        headers, block = parse(content)
-                        kind = headers["warc-type"]
-                        if kind not in ("response", "revisit"):
-                            continue
-                        http, _, payload = block.partition(b"\r\n\r\n")
-                        digest = headers["warc-payload-digest"].removeprefix("sha1:")
-                        length = int(http.decode().lower().partition("\r\ncontent-length: ")[2].partition("\r\n")[0])
-                        if kind == "response" and (len(payload) != length or base32_sha1(payload) != digest):
-                            raise ValueError(f"{uri} at {offset}: the payload is damaged")
-                        url = headers.get("warc-target-uri")
-                        rows.append((url_key(url), headers["warc-date"], _id(headers["warc-record-id"]), url, length, digest, kind, _id(headers["warc-refers-to"]) if kind == "revisit" else None, uri, offset))
-                rows.sort(key=sort_key)
-                columns = list(zip(*rows, strict=True)) if rows else [()] * len(CAPTURES)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if isinstance(f.dataType, T.LongType) else pa.string()) for c, f in zip(columns, CAPTURES, strict=True)], names=CAPTURES.names)
-
-    return names.mapInArrow(run, CAPTURES)
-
-
 def sort_key(row: tuple) -> tuple:
-    """URL key, time, page_id (nulls last), archive, offset."""
-    return (row[0], row[1], row[2] is None, row[2] or 0, row[8], row[9])
+    """URL key, time, page_id (nulls last), archive, offset; strings by their UTF-8 bytes, as Spark orders them."""
+    return (row[0].encode(), row[1].encode(), row[2] is None, row[2] or 0, row[8].encode(), row[9])
 
 
 class LoserTree:
     """Merges sorted sequences: each inner node holds the loser of its match, the winner moves on to the top."""
 
-    _END = (chr(0x10FFFF) * 2,)
+    _END = (b"\xff" * 2,)  # after every UTF-8 text
 
-    def __init__(self, runs: list[list[tuple]]) -> None:
+    def __init__(self, runs: list[Iterable[tuple]]) -> None:
         self._its = [iter(r) for r in runs]
         self._k = len(runs)
         self._heads: list[tuple[tuple, tuple | None]] = [self._next(i) for i in range(self._k)]
@@ -246,37 +229,184 @@ class LoserTree:
             self._replay(winner)
 
 
-def merge_index(captures: DataFrame, partitions: int | None = None) -> DataFrame:
-    """All captures in global order of URL key, time and page_id, merged from their runs (one per archive)."""
-    text_batches(captures.sparkSession)
-    keys = ["url_key", "captured_at", F.col("page_id").asc_nulls_last(), "archive", "record_offset"]
-    ranged = captures.repartitionByRange(partitions, *keys) if partitions else captures.repartitionByRange(*keys)
+def captures_of(uri: str) -> Iterator[tuple]:
+    """The captures of an archive in its own order, each record checked; one record in memory at a time."""
+    system, path = _filesystem(uri)
+    with system.open_input_stream(path, compression=None) as stream:
+        for offset, content in members(stream):
+            headers, block = parse(content)
+            kind = headers["warc-type"]
+            if kind not in ("response", "revisit"):
+                continue
+            http, _, payload = block.partition(b"\r\n\r\n")
+            digest = headers["warc-payload-digest"].removeprefix("sha1:")
+            length = int(http.decode().lower().partition("\r\ncontent-length: ")[2].partition("\r\n")[0])
+            if kind == "response" and (len(payload) != length or base32_sha1(payload) != digest):
+                raise ValueError(f"{uri} at {offset}: the payload is damaged")
+            url = headers.get("warc-target-uri")
+            yield url_key(url), headers["warc-date"], _id(headers["warc-record-id"]), url, length, digest, kind, _id(headers["warc-refers-to"]) if kind == "revisit" else None, uri, offset
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * len(_ARROW), _ARROW, strict=True)], schema=_ARROW)
+
+
+def _key_struct(key: tuple) -> dict:
+    return dict(zip(_KEY.names, (key[0].decode(), key[1].decode(), key[2], key[3], key[4].decode(), key[5]), strict=True))
+
+
+def _key_tuple(k: dict) -> tuple:
+    return (k["url_key"].encode(), k["captured_at"].encode(), k["no_id"], k["page_id"], k["archive"].encode(), k["record_offset"])
+
+
+def _chunks(rows: Iterator[tuple], size: int) -> Iterator[list[tuple]]:
+    while part := list(islice(rows, size)):
+        yield part
+
+
+def write_run(uri: str, run: str, rows: Iterator[tuple], first: int = 0, block_rows: int = BLOCK_ROWS) -> list[dict]:
+    """Write sorted captures as blocks of a file; the blocks' entries in the sparse index, numbered from ``first``."""
+    system, path = _filesystem(uri)
+    blocks: list[dict] = []
+    with system.open_output_stream(path, compression=None) as out, pa.ipc.new_file(out, _ARROW) as file:
+        for part in _chunks(rows, block_rows):
+            file.write_batch(_batch(part))
+            blocks.append({"run": run, "seq": first + len(blocks), "path": uri, "at": len(blocks), "rows": len(part), "first": _key_struct(sort_key(part[0])), "last": _key_struct(sort_key(part[-1]))})
+    return blocks
+
+
+def read_run(blocks: list[dict], low: tuple, high: tuple | None) -> Iterator[tuple]:
+    """The captures of a run's blocks, in order, from ``low`` on and before ``high``; one block in memory at a time."""
+    for uri, some in groupby(sorted(blocks, key=lambda b: b["seq"]), key=lambda b: b["path"]):
+        system, path = _filesystem(uri)
+        with system.open_input_file(path) as source, pa.ipc.open_file(source) as file:
+            for b in some:
+                for row in zip(*(c.to_pylist() for c in file.get_batch(b["at"]).columns), strict=True):
+                    key = sort_key(row)
+                    if high is not None and key >= high:
+                        return
+                    if key >= low:
+                        yield row
+
+
+def _attempt() -> str:
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    return f"{context.partitionId():06d}-{context.taskAttemptId()}"
+
+
+_BLOCKS_ARROW = pa.schema([("run", pa.string()), ("seq", pa.int64()), ("path", pa.string()), ("at", pa.int32()), ("rows", pa.int64()), *((n, pa.struct([(f.name, {T.StringType: pa.string(), T.BooleanType: pa.bool_(), T.LongType: pa.int64()}[type(f.dataType)]) for f in _KEY])) for n in ("first", "last"))])
+
+
+def sorted_runs(archives: DataFrame, folder: str, *, run_rows: int = RUN_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Read archives (a DataFrame with their paths) into sorted runs in ``folder``; the runs' sparse index."""
+    spark = archives.sparkSession
+    text_batches(spark)
+    names = archives.select("path").repartition(max(1, archives.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = _filesystem(folder)
+        system.create_dir(path, recursive=True)
+        n = 0
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                for rows in _chunks(captures_of(uri), run_rows):
+                    name = f"run-{_attempt()}-{n:05d}"
+                    n += 1
+                    rows.sort(key=sort_key)
+                    yield pa.RecordBatch.from_pylist(write_run(f"{folder}/{name}.arrow", name, iter(rows), block_rows=block_rows), schema=_BLOCKS_ARROW)
+
+    return materialize(names.mapInArrow(run, BLOCKS), "warc-blocks")
+
+
+_TASKS = T.StructType([T.StructField("grp", T.LongType()), T.StructField("range", T.LongType()), T.StructField("block", BLOCKS), T.StructField("low", _KEY), T.StructField("high", _KEY)])
+_TASKS_ARROW = pa.schema([("grp", pa.int64()), ("range", pa.int64()), ("block", pa.struct(list(_BLOCKS_ARROW))), ("low", _BLOCKS_ARROW.field("first").type), ("high", _BLOCKS_ARROW.field("first").type)])
+
+
+def _ranges(blocks: DataFrame, rows: int, range_rows: int) -> DataFrame:
+    """(grp, range, blocks, low, high), a row per range of keys, in order of ranges within and across partitions.
+
+    Bounds are keys of the sparse index, found by a range partitioning of it: ``MOST_RANGES`` and one a group at most.
+    A block goes to every range of its group that it touches.
+    """
+    spark = blocks.sparkSession
+    wanted = min(MOST_RANGES, -(-rows // range_rows))
+    cut = blocks.select("grp", "first").repartitionByRange(wanted, "grp", "first").withColumn("part", F.spark_partition_id())
+    found = cut.groupBy("part").agg(F.min(F.struct("grp", "first")).alias("b")).select("b.grp", "b.first")
+    found = materialize(found.union(blocks.groupBy("grp").agg(F.min("first").alias("first"))), "warc-bounds")
+    bounds = sorted({(r["grp"], _key_tuple(r["first"].asDict())) for r in found.collect()})
+    shared = spark.sparkContext.broadcast(bounds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts = shared.value
+        for batch in batches:
+            out = []
+            for b in batch.to_pylist():
+                grp = b.pop("grp")
+                low, high = (bisect.bisect_right(cuts, (grp, _key_tuple(b[end]))) - 1 for end in ("first", "last"))
+                for i in range(low, high + 1):
+                    after = cuts[i + 1][1] if i + 1 < len(cuts) and cuts[i + 1][0] == grp else None
+                    out.append({"grp": grp, "range": i, "block": b, "low": _key_struct(cuts[i][1]), "high": after and _key_struct(after)})
+            yield pa.RecordBatch.from_pylist(out, schema=_TASKS_ARROW)
+
+    met = blocks.select(*BLOCKS.names, "grp").mapInArrow(run, _TASKS)
+    packed = met.groupBy("grp", "range").agg(F.collect_list("block").alias("blocks"), F.first("low").alias("low"), F.first("high").alias("high"))
+    return materialize(packed, "warc-ranges").repartitionByRange(len(bounds), "range").sortWithinPartitions("range")
+
+
+def _merged(task: dict) -> Iterator[tuple]:
+    """The captures of a range, merged from the runs that it touches."""
+    runs: dict[str, list[dict]] = {}
+    for b in task["blocks"]:
+        runs.setdefault(b["run"], []).append(b)
+    low, high = (task[k] and _key_tuple(task[k]) for k in ("low", "high"))
+    return iter(LoserTree([read_run(blocks, low, high) for blocks in runs.values()]))
+
+
+def _longer_runs(blocks: DataFrame, rows: int, groups: int, folder: str, number: int, range_rows: int) -> DataFrame:
+    """One pass: the runs of each of so many groups become one run, of a file per range."""
+    grouped = blocks.withColumn("grp", F.pmod(F.xxhash64("run", F.lit(number)), F.lit(groups)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[str, list[tuple]] = {}
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                runs.setdefault(row[8], []).append(row)
-        for rows in runs.values():
-            rows.sort(key=sort_key)  # a shuffle may deliver a run's blocks out of turn; a sorted run costs one pass
-        out: list[tuple] = []
+            for task in batch.to_pylist():
+                file = f"{folder}/merged-{number}-{task['range']:06d}-{_attempt()}.arrow"
+                made = write_run(file, f"merged-{number}-{task['grp']}", _merged(task), task["range"] << 32)
+                yield pa.RecordBatch.from_pylist(made, schema=_BLOCKS_ARROW)
 
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if isinstance(f.dataType, T.LongType) else pa.string()) for c, f in zip(zip(*rows, strict=True), CAPTURES, strict=True)], names=CAPTURES.names)
+    return materialize(_ranges(grouped, rows, range_rows).mapInArrow(run, BLOCKS), "warc-blocks")
 
-        for row in LoserTree(list(runs.values())):
-            out.append(row)
-            if len(out) == 10_000:
-                yield batch_of(out)
-                out = []
-        if out:
-            yield batch_of(out)
 
-    return ranged.mapInArrow(run, CAPTURES)
+def merge_runs(blocks: DataFrame, folder: str, *, fan_in: int = FAN_IN, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """All captures of sorted runs in global order of URL key, time and page_id.
+
+    While there are more than ``fan_in`` runs, they are dealt to groups of half that number on average, and a pass
+    merges each group.
+    """
+    spark = blocks.sparkSession
+    text_batches(spark)
+    number = 0
+    while True:
+        n = blocks.agg(F.sum("rows").alias("rows"), F.countDistinct("run").alias("runs")).first()
+        if not n["runs"]:
+            return spark.createDataFrame([], CAPTURES)
+        if n["runs"] <= fan_in:
+            break
+        number += 1
+        blocks = _longer_runs(blocks, n["rows"], -(-2 * n["runs"] // fan_in), folder, number, range_rows)
+    tasks = _ranges(blocks.withColumn("grp", F.lit(0).cast("long")), n["rows"], range_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for task in batch.to_pylist():
+                for part in _chunks(_merged(task), 8 * BLOCK_ROWS):
+                    yield _batch(part)
+
+    return tasks.mapInArrow(run, CAPTURES)
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, **columns: object) -> DataFrame:
     """Write archives, read them back, and merge their captures into one ordered index."""
     folder = folder or shared_dir(pages.sparkSession, "warc")
-    captures = materialize(read_archives(write_archives(pages, folder, **columns)), "warc-runs")
-    return merge_index(captures)
+    return merge_runs(sorted_runs(write_archives(pages, folder, **columns), folder), folder)
