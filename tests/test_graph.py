@@ -1,9 +1,10 @@
-"""Cypher, shapes, writers, sources and streams on small graphs."""
+"""Patterns, shapes, writers, sources and streams on small graphs."""
 
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph import cypher, schema
+from weftgraph import schema
+from weftgraph.functions import text
 from weftgraph.graph import CodeGraph
 from weftgraph.operators import aggregate, match, mutate, services, shapes, traverse
 from weftgraph.sources import files
@@ -23,49 +24,33 @@ def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-@pytest.mark.parametrize(
-    ("text", "expected"),
-    [
-        ("MATCH (n:LogicNode {kind: 'class'}) RETURN n.name", [("n.K",)]),
-        ("MATCH (a)-[:CALLS]->(b:LogicNode) WHERE b.name CONTAINS 'n.' RETURN a.name AS x, b.name AS y", [("m.b", "n.c"), ("m.b", "n.d")]),
-        ("MATCH (a:LogicNode)<-[:CALLS]-(b) WHERE a.id = 'a' RETURN b.id AS b", [("c",)]),
-        ("MATCH (a:LogicNode)-[r:CALLS]->() WITH a, count(r) AS n WHERE n > 1 RETURN a.id AS a, n", [("b", 2)]),
-        ("MATCH (a:LogicNode) WHERE NOT (a)-[:CALLS]->() AND a.kind <> 'class' RETURN a.id AS a", [("d",)]),
-        ("MATCH (a:LogicNode) WHERE (a)-[:MEMBER_OF]->(:LogicNode {kind: 'class'}) OR a.id = 'd' RETURN a.id AS a", [("c",), ("d",)]),
-        ("MATCH p = (a:LogicNode)-[:CALLS*1..8]->(b:LogicNode) WHERE a.id = 'a' AND b.id = 'd' RETURN [n IN nodes(p) | n.name] AS chain, length(p) AS hops", [(["m.a", "m.b", "n.d"], 2), (["m.a", "m.b", "n.c", "m.a", "m.b", "n.d"], 5)][:1]),
-        ("MATCH p = shortestPath((a:LogicNode)-[:CALLS*1..5]->(b:LogicNode)) WHERE a.id = 'a' AND b.id = 'c' RETURN length(p) AS n", [(2,)]),
-        ("MATCH (a:LogicNode)-[:CALLS*1..3]->(b:LogicNode) WHERE a.id = 'a' RETURN DISTINCT b.id AS b", [("a",), ("b",), ("c",), ("d",)]),
-        ("MATCH (a:LogicNode) OPTIONAL MATCH (a)-[:MEMBER_OF]->(k:LogicNode) WHERE a.module_path = 'n.py' RETURN a.id AS a, k.name AS k", [("a", None), ("b", None), ("c", "n.K"), ("d", None), ("k", None)]),
-        ("MATCH (w:LogicNode)-[:ASSIGNS|MUTATES]->(v:Variable)<-[:READS]-(r:LogicNode) WHERE w <> r RETURN DISTINCT w.id AS w, r.id AS r", [("a", "b")]),
-        ("MATCH (n:LogicNode) WITH n.ast_hash AS h, collect(n) AS ns WHERE size(ns) > 1 UNWIND ns AS m RETURN m.id AS id", [("a",), ("b",), ("d",), ("k",)]),
-        ("MATCH (n:LogicNode) RETURN count(*) AS n, count(DISTINCT n.module_path) AS m, max(n.start_line) AS top", [(5, 2, 40)]),
-        ("MATCH (n:LogicNode) WHERE n.name =~ '(?i)M\\\\..*' RETURN n.id AS id ORDER BY n.name DESC LIMIT 1", [("b",)]),
-        ("MATCH (n:LogicNode) WHERE n.kind IN ['class', 'method'] RETURN n.id AS id UNION ALL MATCH (v:Variable) RETURN v.id AS id", [("c",), ("k",), ("v",)]),
-        ("MATCH (n:LogicNode)-[r]-(x) WHERE n.id = 'k' RETURN type(r) AS t, labels(x)[0] AS l, x.name AS name", [("MEMBER_OF", "LogicNode", "n.c")]),
-        ("MATCH (a:LogicNode), (v:Variable) WHERE v.scope = a.name RETURN a.id AS a, v.id AS v", [("a", "v")]),
-        ("MATCH (n:LogicNode) WHERE n.id = $id RETURN coalesce(n.docstring, n.name) AS x", [("n.d",)]),
-        ("MATCH (n:LogicNode) RETURN n.id AS id, CASE WHEN n.start_line < 15 THEN 'low' ELSE 'high' END AS c ORDER BY id SKIP 1 LIMIT 2", [("b", "low"), ("c", "high")]),
-    ],
-)
-def test_cypher(graph, text, expected):
-    assert rows(cypher.run(graph, text, id="d")) == sorted(expected)
-
-
-def test_cypher_reads_only(graph):
-    for text in ("MATCH (n) SET n.x = 1 RETURN n", "CREATE (n) RETURN n", "MATCH (n) DETACH DELETE n", "MATCH (n) RETURN n.name; MERGE (m)"):
-        with pytest.raises(cypher.CypherError):
-            cypher.parse(text)
-        assert not cypher.is_read_only(text)
-    assert cypher.is_read_only("MATCH (n:Dataset) WHERE n.set = 'CREATE' RETURN n.offset AS o")
-    assert rows(cypher.fuzzy(graph, "MATCH (n:LogicNode) WHERE n.name = 'd' RETURN n.id AS id")) == [("d",)]
-    nodes, edges = cypher.subgraph(graph, "MATCH (a:LogicNode)-[:CALLS]->(b:LogicNode) WHERE a.id = 'b' RETURN a, b.name")
+def test_patterns_as_joins(spark, graph):
+    """Questions that query texts would ask: an edge is used once a pattern, and results name vertices by id or name."""
+    e = graph.typed("CALLS").select("type", "src", "dst")
+    assert rows(match.fork_join(e, e, "src", "dst").select("left_end", "shared", "right_end")) == [("c", "b", "d"), ("d", "b", "c")]
+    one = e.where("dst = 'b'")
+    assert match.fork_join(one, one, "dst", "src").count() == 0
+    assert rows(match.lacking(graph.nodes.where("kind <> 'class'"), e).select("id")) == [("d",)]
+    roots = spark.createDataFrame([("a",)], "id string")
+    paths = traverse.trails(e, roots, None).where("node = 'd'").select("chain", "depth")
+    assert rows(paths) == [(["a", "b", "c", "a", "b", "d"][:3][:2] + ["d"], 2)]
+    assert rows(traverse.shortest(e, roots, graph.nodes.where("id = 'c'"), None).select("depth")) == [(2,)]
+    assert rows(traverse.closure(e, roots).select("node", "depth")) == [("a", 3), ("b", 1), ("c", 2), ("d", 2)]
+    assert rows(match.found_or_like(graph.nodes, "name", "N.D").select("id")) == [("d",)]
+    nodes, edges = match.subgraph_of(spark.createDataFrame([("b",), ("n.c",), ("n.d",)], "value string"), graph.vertices, graph.edges)
     assert rows(nodes.select("id")) == [("b",), ("c",), ("d",)] and edges.count() == 2
+    groups = aggregate.duplicate_groups(graph.nodes, ["ast_hash"], 1)
+    assert rows(groups.select("id")) == [("a",), ("b",), ("d",), ("k",)]
 
 
-def test_query_texts():
-    assert cypher.extract_query("Try\n```cypher\nMATCH (n) RETURN n\n```\nok") == "MATCH (n) RETURN n"
-    assert cypher.extract_query("no query") is None
-    assert [cypher.input_mode(t) for t in ("vfs MATCH (n) RETURN n", "match (n) return n", "find x", "who calls x?")] == ["projection", "query", "command", "question"]
+def test_query_texts(spark):
+    texts = ["MATCH (n) SET n.x = 1 RETURN n", "CREATE (n) RETURN n", "MATCH (n) DETACH DELETE n", "MATCH (n) RETURN n.name; MERGE (m)", "MATCH (n:Dataset) WHERE n.set = 'CREATE' RETURN n.offset AS o", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", text.reads_only(F.col("t")).alias("ok"))
+    assert [r["ok"] for r in df.orderBy("i").collect()] == [False, False, False, False, True, True]
+    said = ["Try\n```cypher\nMATCH (n) RETURN n\n```\nok", "no query", "so\nmatch (n)\nreturn n;\n\nbye", "MATCH (n)", "vfs MATCH (n) RETURN n", "match (n) return n", "find x", "who calls x?"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string").select("i", text.query_of(F.col("t")).alias("q"), text.input_mode(F.col("t")).alias("m")).orderBy("i").collect()
+    assert [r["q"] for r in got[:4]] == ["MATCH (n) RETURN n", None, "match (n)\nreturn n", None]
+    assert [r["m"] for r in got[4:]] == ["projection", "query", "command", "question"]
 
 
 def test_trails_repeat_no_edge(spark):
@@ -90,6 +75,7 @@ def test_compatibility(spark):
     assert rows(shapes.supersets(s)) == [("1", "2"), ("1", "8"), ("6", "2"), ("6", "8")]
     clusters = {(r["src"], r["dst"]) for r in shapes.facet_clusters(s).collect()}
     assert ("1", "5") in clusters and ("5", "7") in clusters and ("6", "5") not in clusters and ("4", "5") not in clusters
+    assert set(rows(shapes.facet_clusters(s, s.where("id = '5'")).select("src", "dst"))) == {c for c in clusters if "5" in c}
     assert rows(shapes.hint_links(s)) == [("h1", "u"), ("u", "h1")]
     assert {(r["src"], r["dst"]) for r in shapes.generalizations(s).collect()} == {("h2", "h3"), ("h4", "h5")}
 
@@ -118,15 +104,56 @@ def test_statements(spark):
     assert rows(aggregate.next_edges(mutate.delete_statement(more, "new")).select("src", "dst")) == [("x0", "x1"), ("x1", "x2")]
 
 
+def test_shapes_of_evidence(spark):
+    e = [("v1", "attrs", "a", "dict"), ("v1", "methods", "m", "dict"), ("v2", None, None, "NoneType"), ("v3", None, None, "Str"), ("v4", None, None, "x.int"), ("v5", None, None, "int[3]"), ("v6", None, None, None), ("v7", "attrs", "a", None)]
+    got = {r["variable"]: (r["kind"], r["base_type"]) for r in shapes.from_evidence(spark.createDataFrame(e, "variable string, facet string, item string, type_hint string")).collect()}
+    assert got == {"v1": ("structural", "dict"), "v2": ("primitive", "NoneType"), "v3": ("hint", "Str"), "v4": ("hint", "x.int"), "v5": ("primitive", "int[3]"), "v7": ("structural", None)}
+
+
+def test_gaps_and_impact(spark):
+    """Inactive nodes, DEPENDS_ON, MEMBER_OF, steps of flows, missing sources."""
+    n = [("a", "read_it", "function", "x/m.py", "active", "no"), ("b", "b", "function", "x/m.py", "active", "try: b"), ("c", "c", "class", "y.py", "active", None), ("d", "d", "method", "y.py", "deprecated", "no"), ("e", "e", "function", "y.py", "active", "no"), ("f", "Open", "function", "y.py", "active", "no"), ("g", "load", "function", "y.py", "active", "no")]
+    nodes = spark.createDataFrame(n, "id string, name string, kind string, module_path string, status string, source_text string")
+    e = [("CALLS", "b", "a"), ("CALLS", "e", "a"), ("CALLS", "e", "f"), ("CALLS", "e", "g"), ("CALLS", "a", "d"), ("DEPENDS_ON", "a", "e"), ("MEMBER_OF", "d", "c"), ("STEP_OF", "f", "w"), ("MUTATES", "a", "v"), ("READS", "d", "v"), ("READS", "e", "v"), ("READS", "a", "v"), ("MUTATES", "e", "u"), ("MUTATES", "a", "u")]
+    edges = spark.createDataFrame(e, "type string, src string, dst string")
+    graph = CodeGraph.of(spark, nodes=schema.conform(nodes, schema.LOGIC_NODES), edges=schema.conform(edges, schema.EDGES))
+    assert rows(services.dead_ends(nodes, edges).select("id")) == [("c",), ("g",)]
+    assert rows(services.orphans(nodes, edges).select("id")) == [("b",)]
+    assert rows(services.untested_mutations(edges)) == [("u", "a"), ("u", "e")]
+    report = services.gap_report(graph)
+    assert rows(report["missing_error_handling"]) == [("e", "e", ["read_it"])]
+    assert rows(report["circular_dependencies"]) == [("a", "e", None)]
+    assert rows(services.gap_report(graph, "/m")["dead_ends"].select("id")) == [] and services.gap_report(graph, "/m")["circular_dependencies"].count() == 1
+    assert rows(match.impact(edges, nodes, nodes.where("id = 'a'"))) == [("a", "b", "calls it"), ("a", "e", "calls it"), ("a", "e", "reads v")]
+    triangle = spark.createDataFrame([("CALLS", x, y) for x, y in ("ba", "ae", "eb")], "type string, src string, dst string")
+    assert services.circular_dependencies(nodes, triangle).count() == 0 and rows(services.circular_dependencies(nodes, triangle, ordered=False)) == [("a", "e", "b")]
+
+
+def test_the_last_row_wins(spark):
+    r = spark.createDataFrame([("k", 1, "x", [1]), ("k", 2, "a", [2]), ("k", 2, "b", [0]), ("l", 0, None, None)], "id string, at int, v string, w array<int>")
+    assert rows(mutate.upsert(r.where("false"), r, order="at")) == [("k", 2, "b", [0]), ("l", 0, None, None)]
+    assert rows(mutate.upsert(r.where("at = 0"), r.where("at > 0"))) == [("k", 2, "b", [0]), ("l", 0, None, None)]
+    changes_ = spark.createDataFrame([("p", "modified", "h1", 5, "2024-01-01 00:00:00"), ("p", "deleted", "h0", 7, "2024-01-01 00:00:00")], "path string, kind string, hash string, id long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert rows(changes.debounced(changes_).select("kind", "hash", "n")) == [("deleted", "h0", 2)]
+
+
+def test_a_switch_of_repository_flushes(graph):
+    assert mutate.flushed_on_switch(graph, "m.").nodes.count() == 5
+    other = mutate.flushed_on_switch(graph, "/other")
+    assert other.nodes.count() == other.edges.count() == other.variables.count() == 0
+
+
 def test_services(graph):
-    assert rows(services.dead_ends(graph.nodes, graph.edges).select("id")) == [("d",)]
+    assert rows(services.dead_ends(graph.nodes, graph.edges).select("id")) == [("d",), ("k",)]
     assert rows(services.orphans(graph.nodes, graph.edges).select("id")) == []
     assert set(services.gap_report(graph)) == {"dead_ends", "orphans", "missing_error_handling", "circular_dependencies", "untested_mutations"}
-    assert rows(match.impact(graph.edges).where("node = 'a'").select("affected", "reason")) == [("b", "reads v"), ("c", "calls it")]
+    assert rows(match.impact(graph.edges, graph.nodes).where("node = 'a'").select("affected", "reason")) == [("b", "reads v"), ("c", "calls it")]
     assert rows(services.call_chain(graph, "m.a", 1).nodes.select("id")) == [("a",), ("b",)]
     assert rows(services.completions(graph, "import", "n").select("label")) == [("n.py",)]
-    assert services.keywords("What does the parser call?") == ["parser", "call"]
-    assert rows(services.focal_nodes(graph.nodes.withColumn("name", F.concat("name", F.lit("_loader"))), "the loader?", per_word=2).select("id")) == [("a",), ("b",)]
+    assert services.keywords("What does the 'parser' call? A function?") == ["parser", "function"]
+    named = graph.nodes.withColumn("name", F.concat("name", F.lit("_loader")))
+    assert rows(services.focal_nodes(named, "the loader?", 2).select("id")) == [("a",), ("b",)]
+    assert services.focal_nodes(named.withColumn("status", F.lit("deprecated")), "loader").count() == services.focal_nodes(named.withColumn("name", F.upper("name")), "loader").count() == 0
     timeline = services.variable_timeline(graph, graph.variables.select("id")).select("type", "terminal").collect()
     assert len(timeline) == 3
     with pytest.raises(ValueError):

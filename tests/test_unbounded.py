@@ -2,8 +2,11 @@
 
 import pytest
 
-from weftgraph import cypher, schema
+from pyspark.sql import functions as F
+
+from weftgraph import schema
 from weftgraph.graph import CodeGraph
+from weftgraph.operators import traverse
 
 LAST = 15
 
@@ -17,13 +20,21 @@ def chain(spark):
     return CodeGraph.of(spark, nodes=schema.conform(n, schema.LOGIC_NODES), edges=schema.conform(e, schema.EDGES), variables=schema.conform(v, schema.VARIABLES))
 
 
-@pytest.mark.parametrize(
-    ("text", "expected"),
-    [
-        ("MATCH (a:LogicNode)-[:CALLS*]->(b:LogicNode) WHERE a.id = 'n0' RETURN DISTINCT b.id AS b", [(f"n{i}",) for i in range(1, LAST + 1)]),
-        ("MATCH p = (a:LogicNode)-[:CALLS*13..]->(b:LogicNode) WHERE a.id = 'n0' RETURN b.id AS b, length(p) AS n", [("n13", 13), ("n14", 14), ("n15", 15), ("n14", 16)]),
-        ("MATCH p = shortestPath((a:LogicNode)-[:CALLS*]->(b:LogicNode)) WHERE a.id = 'n0' AND b.id = 'n15' RETURN length(p) AS n", [(LAST,)]),
-    ],
-)
-def test_no_upper_bound(chain, text, expected):
-    assert sorted(tuple(r) for r in cypher.run(chain, text).collect()) == sorted(expected)
+def test_no_upper_bound(chain, spark):
+    calls, first = chain.typed("CALLS"), spark.createDataFrame([("n0",)], "id string")
+    last = spark.createDataFrame([(f"n{LAST}",)], "id string")
+    assert sorted(r["node"] for r in traverse.closure(calls, first).collect()) == sorted(f"n{i}" for i in range(1, LAST + 1))
+    assert sorted(r["node"] for r in traverse.reach(calls, first, 50).collect()) == sorted(f"n{i}" for i in range(1, LAST + 1))
+    long = traverse.trails(calls, first, None, least=13).select("node", "depth").collect()
+    assert sorted(map(tuple, long)) == [("n13", 13), ("n14", 14), ("n14", 16), ("n15", 15)]
+    assert [r["depth"] for r in traverse.shortest(calls, first, last, None).collect()] == [LAST]
+
+
+def test_levels_hold_only_what_is_new(chain, spark):
+    """On a cycle, deep and lazy forms agree, and no pair is met twice."""
+    calls = chain.typed("CALLS").unionByName(chain.typed("CALLS").where("src = 'n3'").withColumn("dst", F.lit("n0")))
+    roots = spark.createDataFrame([("n0",), ("n2",)], "id string")
+    lazy, deep = (sorted(map(tuple, traverse.reach(calls, roots, 4, include_roots=i).select("root", "node", "depth").collect())) for i in (False, True))
+    found = traverse.reach(calls, roots, 9).collect()
+    assert len({(r["root"], r["node"]) for r in found}) == len(found)
+    assert sorted(tuple(r) for r in found if r["depth"] <= 4) == lazy and {x for x in deep if x[2]} == {x for x in lazy if x[0] != x[1]}

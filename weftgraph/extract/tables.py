@@ -130,9 +130,8 @@ class Extraction:
     def shaped(self) -> tuple[DataFrame, DataFrame]:
         """(shapes, links of variables to shapes); a structural variable with a telling hint has a dual hint shape."""
         one = shapes.from_evidence(self.evidence).withColumn("dual", F.lit(False))
-        base = shapes.normal_base(F.col("type_hint"))
-        dual = one.where((F.col("kind") == "structural") & F.col("type_hint").isNotNull() & ~base.isin(*shapes.PRIMITIVES, *shapes.CONTAINERS))
-        dual = dual.withColumn("kind", F.lit("hint")).withColumn("base_type", F.col("type_hint")).withColumn("dual", F.lit(True))
+        dual = one.where((F.col("kind") == "structural") & F.col("base_type").isNotNull() & ~shapes.outer(F.col("base_type")).isin(*shapes.PRIMITIVES))
+        dual = dual.withColumn("kind", F.lit("hint")).withColumn("dual", F.lit(True))
         empty = F.array().cast("array<string>")
         dual = dual.withColumn("attrs", empty).withColumn("subscripts", empty).withColumn("methods", empty).withColumn("shape_hash", F.sha2(F.concat(F.lit("hint:"), "base_type"), 256))
         both = one.unionByName(dual).withColumn("id", identity.shape_id(F.col("shape_hash")))
@@ -140,8 +139,11 @@ class Extraction:
         definition = F.struct("kind", "base_type", F.col("base_type").alias("type"), "attrs", "subscripts", "methods")
         return table.withColumn("definition", definition), both.select("variable", F.col("id").alias("shape_id"), "dual")
 
-    def graph(self, cross_file: bool = False) -> CodeGraph:
-        """X11: the graph, edges resolved by name; edges whose ends nobody defines are dropped."""
+    def graph(self, cross_file: bool = False, facets: bool = False) -> CodeGraph:
+        """X11: the graph, edges resolved by name; edges whose ends nobody defines are dropped.
+
+        ``facets`` adds the pairs of facet clusters, which are quadratic in the number of distinct untyped shapes.
+        """
         nodes, variables = self.nodes, self.variables
         names = nodes.select("id", "name").unionByName(variables.select("id", "name")).unionByName(self.statements.select("id", "name")).unionByName(self.modules.select(F.col("name").alias("id"), "name"))
         raw = self.named_edges.drop("path", "walk_order").unionByName(self.passes(cross_file), allowMissingColumns=True).unionByName(self.feeds(), allowMissingColumns=True)
@@ -149,7 +151,8 @@ class Extraction:
         edges = found.drop("src", "dst").withColumnsRenamed({"_s": "src", "_d": "dst"})
         table, shaped = self.shaped()
         linked = shapes.links(variables, shaped.join(variables.select(F.col("name").alias("variable"), F.col("id").alias("variable_id")), "variable").select("variable_id", "shape_id", "dual"), nodes)
-        compatible = shapes.supersets(table).withColumn("strength", F.lit(None).cast("string")).unionByName(shapes.facet_clusters(table)).unionByName(shapes.hint_links(table).withColumn("strength", F.lit(None).cast("string"))).unionByName(shapes.generalizations(table))
+        compatible = shapes.supersets(table).withColumn("strength", F.lit(None).cast("string")).unionByName(shapes.hint_links(table).withColumn("strength", F.lit(None).cast("string"))).unionByName(shapes.generalizations(table))
+        compatible = compatible.unionByName(shapes.facet_clusters(table)) if facets else compatible
         edges = edges.unionByName(linked, allowMissingColumns=True).unionByName(compatible.withColumn("type", F.lit("COMPATIBLE_WITH")), allowMissingColumns=True)
         modules = self.modules.select(F.col("name").alias("id"), F.lit("Module").alias("label"), "name", F.lit("module").alias("kind"), F.lit(None).cast("string").alias("source_text"), F.lit(None).cast("string").alias("condition_text"), "start_line", "end_line", F.lit(0).alias("start_col"), F.lit(0).alias("end_col"), F.lit(0).alias("seq"), "module_path", F.lit(None).cast("string").alias("parent"))
         return CodeGraph.of(nodes.sparkSession, nodes=schema.conform(nodes, schema.LOGIC_NODES), variables=schema.conform(variables, schema.VARIABLES), statements=self.statements.unionByName(modules), shapes=table, edges=schema.conform(edges, schema.EDGES))

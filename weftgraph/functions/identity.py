@@ -24,6 +24,14 @@ def uuid5(name: Column) -> Column:
     return F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)), F.concat(variant, F.substring(digest, 18, 3)), F.substring(digest, 21, 12))
 
 
+def uuid7(at: Column, random: Column | None = None) -> Column:
+    """UUID version 7 of a timestamp: 48 bits of milliseconds, then random bits (32 hexadecimal digits, fresh ones by default)."""
+    bits = F.replace(F.uuid(), F.lit("-"), F.lit("")) if random is None else random
+    time = F.lower(F.lpad(F.hex(F.unix_millis(at)), 12, "0"))
+    variant = F.element_at(F.split(F.lit("8,9,a,b"), ","), F.conv(F.substring(bits, 1, 1), 16, 10).cast("int") % 4 + 1)
+    return F.concat_ws("-", F.substring(time, 1, 8), F.substring(time, 9, 4), F.concat(F.lit("7"), F.substring(bits, 18, 3)), F.concat(variant, F.substring(bits, 2, 3)), F.substring(bits, 21, 12))
+
+
 def node_id(name: Column) -> Column:
     return uuid5(name)
 

@@ -5,8 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Labels shown at each tier of a zoomed view, from far to near.
-ZOOM_TIERS = (("Module",), ("Module", "Class"), ("Module", "Class", "Function", "LogicNode"), ("Module", "Class", "Function", "LogicNode", "ControlFlow", "Branch", "Statement", "Variable"))
+#: Labels shown at the outer tiers of a zoomed view; the tier ``detail`` shows all.
+ZOOM_LABELS = {"overview": ("Module",), "module": ("Module", "Class", "Function")}
+#: Words of a query text that writes.
+WRITE_WORDS = ("CREATE", "MERGE", "DELETE", "SET", "REMOVE", "DROP", "DETACH")
+
+
+def zoom_tier(zoom: Column) -> Column:
+    """the tier of a zoom level."""
+    return F.when(zoom < 0.4, "overview").when(zoom > 1.2, "detail").otherwise("module")
+
+
+def shown_at(label: Column, tier: Column) -> Column:
+    """whether a vertex of a label is shown at a tier."""
+    shown = F.lit(True)
+    for name, labels in ZOOM_LABELS.items():
+        shown = F.when(tier == name, F.coalesce(label, F.lit("")).isin(*labels)).otherwise(shown)
+    return shown
+
+
+# --- texts of queries
+
+
+def reads_only(text: Column) -> Column:
+    """Whether a query text has no word that writes, outside of quotes, names after a dot or colon, and longer words."""
+    bare = F.regexp_replace(text, r"'[^']*'|\"[^\"]*\"|`[^`]*`", "''")
+    return ~F.coalesce(bare, F.lit("")).rlike(r"(?i)(?<![\w.:])(?:" + "|".join(WRITE_WORDS) + r")(?!\w)")
+
+
+def query_of(text: Column) -> Column:
+    """A query in free text: of a fenced block if there is one, from a line that begins like a query to the next blank line; null without RETURN."""
+    fenced = F.regexp_extract(text, r"(?is)```(?:cypher|sql)?[ \t]*\n(.*?)```", 1)
+    body = F.when(F.rlike(text, F.lit(r"(?is)```(?:cypher|sql)?[ \t]*\n.*?```")), fenced).otherwise(text)
+    found = F.regexp_extract(body, r"(?is)(?:^|\n)\s*((?:OPTIONAL\s+MATCH|MATCH|WITH|UNWIND|CALL)\b.*?)\s*(?:\n[ \t]*\n|$)", 1)
+    query = F.regexp_replace(found, r";\s*$", "")
+    return F.when(query.rlike(r"(?i)\bRETURN\b"), query)
+
+
+def input_mode(text: Column) -> Column:
+    """What a console line is: projection (vfs and a query), query, command or question."""
+    line = F.trim(text)
+    return F.when(line.rlike(r"(?i)^vfs\s"), "projection").when(line.rlike(r"(?i)^(?:OPTIONAL\s+MATCH|MATCH|WITH|UNWIND|CALL)\b"), "query").when(line.rlike(r"(?i)^(?:find|info|help|clear|callers|callees|impact)\b"), "command").otherwise("question")
 
 
 def last_part(name: Column) -> Column:

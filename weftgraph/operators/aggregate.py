@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def fan_out(edges: DataFrame, more_than: int = 0, limit: int | None = None, end: str = "src") -> DataFrame:
@@ -175,10 +176,18 @@ def shifted(rows: DataFrame, at: int, by: int = 1, name: str = "seq") -> DataFra
     return rows.withColumn(name, F.when(F.col(name) >= at, F.col(name) + by).otherwise(F.col(name)))
 
 
-def last_wins(rows: DataFrame, keys: Sequence[str], order: str = "ingest_seq") -> DataFrame:
-    """WN11: the last row of each key."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+def last_wins(rows: DataFrame, keys: Sequence[str], order: str | None = "ingest_seq") -> DataFrame:
+    """WN11: the last row of each key; among rows of equal order, or without one, the greatest by all other columns.
+
+    By partial aggregation, so a key with a large part of all rows is no one's task.
+    """
+    others = [c for c in rows.columns if c not in keys]
+    if not others:
+        return rows.distinct()
+    text = lambda c: F.to_json(F.struct(c)) if isinstance(rows.schema[c].dataType, (T.MapType, T.ArrayType, T.StructType)) else F.col(c)
+    rank = F.struct(*[F.col(order)] if order else [], *[text(c).alias(f"_{i}") for i, c in enumerate(others)])
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), rank).alias("_r"))
+    return last.select(*keys, *[F.col(f"_r.`{c}`").alias(c) for c in others]).select(*rows.columns)
 
 
 def hub_edges(nodes: DataFrame) -> DataFrame:

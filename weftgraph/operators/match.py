@@ -65,13 +65,21 @@ def shared_variable(edges: DataFrame, writes: Sequence[str] = ("MUTATES",), read
     return w.join(r, "variable").where("writer <> reader").distinct()
 
 
-def impact(edges: DataFrame, node_ids: DataFrame | None = None) -> DataFrame:
-    """H5: what a change of a node affects: (node, affected, reason), by shared variables and by calls."""
-    start = node_ids.select(F.col("id").alias("node")).distinct() if node_ids is not None else None
-    through = shared_variable(edges).select(F.col("writer").alias("node"), F.col("reader").alias("affected"), F.concat(F.lit("reads "), "variable").alias("reason"))
-    callers = edges.where("type = 'CALLS'").select(F.col("dst").alias("node"), F.col("src").alias("affected"), F.lit("calls it").alias("reason")).where("node <> affected")
-    found = through.unionByName(callers).distinct()
-    return found.join(start, "node", "left_semi") if start is not None else found
+def impact(edges: DataFrame, nodes: DataFrame, node_ids: DataFrame | None = None) -> DataFrame:
+    """H5: what a change of a node affects: (node, affected, reason): other active nodes that read a variable it mutates, and its callers.
+
+    The changed nodes are chosen before they meet their readers, so a question about some nodes makes no other pairs.
+    """
+    start = node_ids.select("id").distinct() if node_ids is not None else None
+    active = nodes.where("status = 'active'").select(F.col("id").alias("src"))
+    writes, reads, calls = (edges.where(F.col("type") == t).select("type", "src", "dst") for t in ("MUTATES", "READS", "CALLS"))
+    if start is not None:
+        writes = writes.join(start.withColumnRenamed("id", "src"), "src", "left_semi")
+        calls = calls.join(start.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    through = shared_variable(writes.unionByName(reads.join(active, "src", "left_semi")))
+    found = through.select(F.col("writer").alias("node"), F.col("reader").alias("affected"), F.concat(F.lit("reads "), "variable").alias("reason"))
+    callers = calls.where("src <> dst").select(F.col("dst").alias("node"), F.col("src").alias("affected"), F.lit("calls it").alias("reason"))
+    return found.unionByName(callers.distinct())
 
 
 def arguments(calls: DataFrame, passes: DataFrame, nodes: DataFrame, variables: DataFrame) -> DataFrame:
@@ -122,6 +130,28 @@ def lacking(nodes: DataFrame, edges: DataFrame, end: str = "src", types: Sequenc
     return nodes.join(edges.where(F.col("type").isin(*types)).select(F.col(end).alias("id")), "id", "left_anti")
 
 
+def fork_join(left: DataFrame, right: DataFrame, on: str, out: str) -> DataFrame:
+    """Two edges of one pattern that share an end, none used for both: (shared, left_end, right_end, left_type, right_type).
+
+    ``on`` is the shared end (src or dst) and ``out`` the other one.
+    """
+    a = left.select(F.col(on).alias("shared"), F.col(out).alias("left_end"), F.col("type").alias("left_type"))
+    b = right.select(F.col(on).alias("shared"), F.col(out).alias("right_end"), F.col("type").alias("right_type"))
+    return a.join(b, "shared").where("left_end <> right_end OR left_type <> right_type")
+
+
+def subgraph_of(values: DataFrame, vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The vertices that a result names by id or name (column value), and the edges among them."""
+    found = resolve(values, vertices)
+    return found, within(edges, found)
+
+
+def found_or_like(rows: DataFrame, column: str, text: str) -> DataFrame:
+    """P20: rows whose column is a text; where there are none, those that have it as a part, whatever the case."""
+    exact = rows.where(F.col(column) == text)
+    return exact if not exact.isEmpty() else rows.where(F.contains(F.lower(column), F.lit(text.lower())))
+
+
 def two_cycles(edges: DataFrame) -> DataFrame:
     """Pairs a < b with edges both ways."""
     pairs = edges.select("src", "dst").distinct()

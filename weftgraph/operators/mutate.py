@@ -12,13 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph import schema
+from weftgraph.graph import TABLES, CodeGraph
 from weftgraph.operators.aggregate import last_wins
 from weftgraph.storage import shared_path
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: Sequence[str] = ("id",), order: str | None = None) -> DataFrame:
-    """Rows replace those with equal keys; of several new ones the last by ``order`` wins."""
-    new = last_wins(rows, keys, order) if order else rows.dropDuplicates(list(keys))
+    """Rows replace those with equal keys; of several new ones the last by ``order`` wins (by all columns, without one)."""
+    new = last_wins(rows, keys, order)
     new = new.drop(*[c for c in [order] if c and c not in table.columns])
     return table.join(new.select(*keys), list(keys), "left_anti").unionByName(new, allowMissingColumns=True)
 
@@ -51,7 +52,7 @@ def upsert_edges(edges: DataFrame, rows: DataFrame, vertices: DataFrame, order:
 
 def insert_only(table: DataFrame, rows: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame:
     """Rows whose keys are new; existing ones stay as they are."""
-    return table.unionByName(rows.dropDuplicates(list(keys)).join(table.select(*keys), list(keys), "left_anti"), allowMissingColumns=True)
+    return table.unionByName(last_wins(rows, keys, None).join(table.select(*keys), list(keys), "left_anti"), allowMissingColumns=True)
 
 
 def deprecate(nodes: DataFrame, ids: DataFrame, edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
@@ -85,6 +86,15 @@ def delete_edges(edges: DataFrame, keys: DataFrame) -> DataFrame:
     return edges.join(keys.select(*schema.EDGE_KEY), list(schema.EDGE_KEY), "left_anti").select(*edges.columns)
 
 
+def flushed_on_switch(graph: CodeGraph, root: str) -> CodeGraph:
+    """ST8: the graph as it is, or without any row where it has modules and none of them lies under ``root``."""
+    stored = graph.nodes.where("module_path IS NOT NULL").select(F.startswith("module_path", F.lit(root)).alias("own"))
+    known = stored.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("own"), F.lit(False)).alias("own")).first()
+    if not known["n"] or known["own"]:
+        return graph
+    return graph.with_(**{name: getattr(graph, name).where("false") for name in TABLES})
+
+
 def variable_groups(variables: DataFrame) -> DataFrame:
     """Group key (the scope without its last part) and the file name's hash of each variable."""
     key = F.regexp_replace("scope", r"\.[^.]*$", "")

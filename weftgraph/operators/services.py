@@ -12,9 +12,16 @@ from pyspark.sql import functions as F
 from weftgraph.graph import CodeGraph
 from weftgraph.operators import aggregate, match, shapes, traverse
 
-#: What makes a call risky, and words that carry no meaning in a question.
-RISKY = ("read", "write", "open", "connect", "request", "fetch", "send", "load")
-STOP_WORDS = ("the", "and", "for", "what", "which", "how", "does", "that", "this", "with", "are", "all", "from", "who", "calls", "function", "functions")
+#: Fixed values, which results depend on: parts of a name that make a call risky, and words that carry no meaning in a question.
+RISKY = ("read", "write", "connect", "query", "fetch", "send", "open", "execute")
+STOP_WORDS = (
+    "what", "does", "how", "when", "where", "which", "who", "why",
+    "is", "are", "do", "the", "a", "an", "of", "in", "to", "for",
+    "on", "with", "from", "by", "it", "this", "that", "if", "can",
+    "return", "returns", "give", "show", "find", "get", "list",
+    "call", "run", "execute", "output", "result", "value", "all",
+    "me", "about", "between", "through", "into", "using",
+)
 
 
 @dataclass(frozen=True)
@@ -177,7 +184,7 @@ def mutation_timeline(graph: CodeGraph, text: str) -> Pack:
 def impact_pack(graph: CodeGraph, node_id: str) -> Pack:
     """What a change of a node affects, with the node."""
     one = graph.nodes.where(F.col("id") == node_id).select("id")
-    return pack(graph, one.union(match.impact(graph.edges, one).select(F.col("affected").alias("id"))), ("CALLS", "MUTATES", "READS"))
+    return pack(graph, one.union(match.impact(graph.edges, graph.nodes, one).select(F.col("affected").alias("id"))), ("CALLS", "MUTATES", "READS"))
 
 
 def logic_pack(graph: CodeGraph, kind: str, key: str, **options: int) -> Pack:
@@ -192,39 +199,57 @@ def logic_pack(graph: CodeGraph, kind: str, key: str, **options: int) -> Pack:
 
 
 def dead_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Active nodes that are called but call nothing, and are no step of a flow."""
-    called = match.having(nodes.where("status = 'active'"), edges, "dst", ("CALLS",))
-    return match.lacking(match.lacking(called, edges, "src", ("CALLS",)), edges, "src", ("STEP_OF",))
+    """Active nodes, classes too, that call nothing and are no step of a flow, called or not."""
+    active = nodes.where("status = 'active'")
+    return match.lacking(active, edges, "src", ("CALLS", "STEP_OF"))
 
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Active nodes other than classes that nothing calls."""
-    return match.lacking(nodes.where("status = 'active' AND kind <> 'class'"), edges, "dst", ("CALLS",))
+    """Active nodes other than classes that nothing calls, depends on or is a member of."""
+    return match.lacking(nodes.where("status = 'active' AND kind <> 'class'"), edges, "dst", ("CALLS", "DEPENDS_ON", "MEMBER_OF"))
 
 
 def untested_mutations(edges: DataFrame) -> DataFrame:
-    """Variables that are mutated but never read."""
-    written = edges.where("type = 'MUTATES'").select(F.col("dst").alias("id")).distinct()
+    """(id, mutated_by): variables that are mutated but never read, with each node that mutates them."""
+    written = edges.where("type = 'MUTATES'").select(F.col("dst").alias("id"), F.col("src").alias("mutated_by")).distinct()
     return written.join(edges.where("type = 'READS'").select(F.col("dst").alias("id")), "id", "left_anti")
 
 
 def unhandled_risks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Active functions whose source has no try but that call nodes with risky names, with those names in order."""
-    risky = nodes.where(F.lower("name").rlike("|".join(RISKY))).select(F.col("id").alias("dst"), F.col("name").alias("callee"))
-    callers = nodes.where((F.col("status") == "active") & ~F.coalesce("source_text", F.lit("")).contains("try:")).select(F.col("id").alias("src"), F.col("name").alias("caller"))
-    found = edges.where("type = 'CALLS'").join(risky, "dst").join(callers, "src")
+    """Active nodes whose source has no ``try:`` but that call nodes with risky names, with a name for each call, in order.
+
+    Names are compared with their case; a node without a source is not judged.
+    """
+    risky = nodes.where(F.col("name").rlike("|".join(RISKY))).select(F.col("id").alias("dst"), F.col("name").alias("callee"))
+    callers = nodes.where("status = 'active' AND NOT contains(source_text, 'try:')").select(F.col("id").alias("src"), F.col("name").alias("caller"))
+    found = edges.where("type = 'CALLS'").select("src", "dst").join(risky, "dst").join(callers, "src")
     return found.groupBy("src", "caller").agg(F.array_sort(F.collect_list("callee")).alias("risky_callees"))
 
 
+def circular_dependencies(nodes: DataFrame, edges: DataFrame, ordered: bool = True) -> DataFrame:
+    """(a, b, c): cycles of two (c is null) or three active nodes over CALLS and DEPENDS_ON.
+
+    A cycle of three is found with a < b < c; without ``ordered`` also in its other orientation, with a the smallest.
+    """
+    among = match.within(edges.where(F.col("type").isin("CALLS", "DEPENDS_ON")), nodes.where("status = 'active'"))
+    pairs = among.select("src", "dst").distinct()
+    return match.two_cycles(pairs).withColumn("c", F.lit(None).cast("string")).unionByName(match.three_cycles(pairs, ordered))
+
+
 def gap_report(graph: CodeGraph, scope: str = "") -> dict[str, DataFrame]:
-    """Five analyses by name, over a module prefix if one is given."""
-    n = graph.nodes.where(F.col("module_path").startswith(scope)) if scope else graph.nodes
-    calls = match.within(graph.typed("CALLS"), n) if scope else graph.typed("CALLS")
+    """Five analyses by name.
+
+    ``scope`` is a part of the module path of the nodes that are reported; what they call or what calls them may lie
+    anywhere.  Cycles and unread mutations are always of the whole graph.
+    """
+    n = graph.nodes
+    told = n.where(F.col("module_path").contains(scope)) if scope else n
+    risks = unhandled_risks(n, graph.edges)
     return {
-        "dead_ends": dead_ends(n, graph.edges),
-        "orphans": orphans(n, graph.edges),
-        "missing_error_handling": unhandled_risks(n, calls),
-        "circular_dependencies": match.two_cycles(calls),
+        "dead_ends": dead_ends(told, graph.edges),
+        "orphans": orphans(told, graph.edges),
+        "missing_error_handling": risks.join(told.select(F.col("id").alias("src")), "src", "left_semi") if scope else risks,
+        "circular_dependencies": circular_dependencies(n, graph.edges),
         "untested_mutations": untested_mutations(graph.edges),
     }
 
@@ -239,16 +264,17 @@ def overview(nodes: DataFrame, edges: DataFrame, kinds: Sequence[str]) -> tuple[
 
 
 def keywords(question: str) -> list[str]:
-    """Words of a question that may name something: longer than two letters and no stop words."""
-    return list(dict.fromkeys(w for w in re.findall(r"\w+", question.lower()) if len(w) > 2 and w not in STOP_WORDS))
+    """Words of a question that may name something: lower-cased, without outer marks, longer than two letters, no stop words."""
+    words = (w.strip("?.,!'\"()") for w in question.lower().split())
+    return list(dict.fromkeys(w for w in words if len(w) > 2 and w not in STOP_WORDS))
 
 
-def focal_nodes(nodes: DataFrame, question: str, per_word: int = 5, limit: int = 10) -> DataFrame:
-    """The first nodes by name for each keyword, each once, in the keywords' order."""
+def focal_nodes(nodes: DataFrame, question: str, limit: int = 5) -> DataFrame:
+    """At most ``limit`` active nodes whose name has a keyword (with its case), taken by keyword, then by name."""
     words = keywords(question)
     table = nodes.sparkSession.createDataFrame(list(enumerate(words)), "place int, word string")
-    hits = nodes.join(F.broadcast(table), F.contains(F.lower("name"), F.col("word")))  # a question's words
-    ranked = aggregate.top_per_key(hits, "word", per_word, "name", "id")
+    hits = nodes.where("status = 'active'").join(F.broadcast(table), F.contains("name", F.col("word")))  # a question's words
+    ranked = aggregate.top_per_key(hits, "word", limit, "name", "id")
     return aggregate.first_seen(ranked, ["id"], "place", "rank").orderBy("place", "rank").limit(limit)
 
 

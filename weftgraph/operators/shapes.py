@@ -11,9 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Types that are never structural, and containers that a hint never stands for.
-PRIMITIVES = ("bool", "bytes", "complex", "float", "int", "none", "str")
-CONTAINERS = ("dict", "frozenset", "list", "set", "tuple")
+#: Fixed values, which results depend on: types that are primitive, and containers that a hint never stands for.
+PRIMITIVES = ("int", "float", "str", "bool", "bytes", "complex", "None", "NoneType")
+CONTAINERS = ("list", "dict", "set", "tuple", "frozenset", "deque")
 FACETS = ("attrs", "subscripts", "methods")
 
 
@@ -31,23 +31,30 @@ def normal_base(hint: Column) -> Column:
     return F.lower(F.trim(F.substring_index(F.substring_index(hint, "[", 1), ".", -1)))
 
 
+def outer(hint: Column) -> Column:
+    """A type hint before any bracket, as it is written."""
+    return F.trim(F.substring_index(hint, "[", 1))
+
+
 def canonical(kind: Column, base: Column, attrs: Column, methods: Column, subscripts: Column) -> Column:
     """The text that a shape's hash is made of."""
-    part = lambda label, a: F.when(F.size(a) > 0, F.concat(F.lit(label + ":"), F.array_join(F.array_sort(F.array_distinct(a)), ",")))
-    facets = F.concat_ws("|", F.when(F.coalesce(base, F.lit("")) != "", F.concat(F.lit("base_type:"), base)), part("attrs", attrs), part("methods", methods), part("subscripts", subscripts))
-    return F.when(kind == "structural", F.concat(F.lit("structural:{"), facets, F.lit("}"))).otherwise(F.concat(kind, F.lit(":"), F.coalesce(base, F.lit(""))))
+    known = F.coalesce(base, F.lit(""))
+    part = lambda label, a: F.concat(F.lit(label + ":"), F.array_join(F.array_sort(F.array_distinct(a)), ","))
+    facets = F.concat_ws("|", F.concat(F.lit("base_type:"), known), part("attrs", attrs), part("methods", methods), part("subscripts", subscripts))
+    return F.when(kind == "structural", F.concat(F.lit("structural:{"), facets, F.lit("}"))).otherwise(F.concat(kind, F.lit(":"), known))
 
 
 def from_evidence(evidence: DataFrame, key: str = "variable") -> DataFrame:
-    """One shape per variable from rows (variable, facet, item, type_hint); none without evidence or hint."""
+    """One shape per variable from rows (variable, facet, item, type_hint); none without evidence or hint.
+
+    Any access makes it structural, with the hint as its base; else the hint alone makes it primitive or a hint.
+    """
     pick = lambda facet: F.array_sort(F.collect_set(F.when(F.col("facet") == facet, F.col("item"))))
     found = evidence.groupBy(key).agg(pick("attrs").alias("attrs"), pick("subscripts").alias("subscripts"), pick("methods").alias("methods"), F.max("type_hint").alias("type_hint"))
-    base = normal_base(F.col("type_hint"))
     any_access = F.size("attrs") + F.size("subscripts") + F.size("methods") > 0
-    hint = F.coalesce("type_hint", F.lit(""))
-    kind = F.when(any_access, "structural").when((hint != "") & base.isin(*PRIMITIVES), "primitive").when(hint != "", "hint")
-    base_type = F.when(any_access, F.when(base.isin(*CONTAINERS), base)).when(hint != "", F.col("type_hint"))
-    out = found.withColumn("kind", kind).withColumn("base_type", base_type).where("kind IS NOT NULL")
+    hinted = F.coalesce("type_hint", F.lit("")) != ""
+    kind = F.when(any_access, "structural").when(hinted & outer(F.col("type_hint")).isin(*PRIMITIVES), "primitive").when(hinted, "hint")
+    out = found.withColumn("kind", kind).withColumn("base_type", F.when(hinted, F.col("type_hint"))).where("kind IS NOT NULL")
     return out.withColumn("shape_hash", F.sha2(canonical(F.col("kind"), F.col("base_type"), F.col("attrs"), F.col("methods"), F.col("subscripts")), 256))
 
 
@@ -67,24 +74,31 @@ def supersets(shapes: DataFrame, least: int = 2) -> DataFrame:
     return found.where((F.size("src_items") > F.col("dst_size")) & (F.size(F.array_except("dst_items", "src_items")) == 0)).select("src", "dst")
 
 
-def facet_clusters(shapes: DataFrame) -> DataFrame:
+def facet_sides(shapes: DataFrame) -> DataFrame:
+    """(id, side): untyped structural shapes with data only and those with methods only, whose every pair is a facet cluster."""
+    some = shapes.where((F.col("kind") == "structural") & (F.coalesce("base_type", F.lit("")) == ""))
+    data, methods = F.size(_facet("attrs")) + F.size(_facet("subscripts")) > 0, F.size(_facet("methods")) > 0
+    return some.where(data != methods).select("id", F.when(data, "data").otherwise("methods").alias("side"))
+
+
+def facet_clusters(shapes: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """Untyped shapes with data only, and those with methods only, linked both ways.
 
-    Quadratic by definition, so pairs of partitions share the work; both sides are distinct shapes, whose number
-    follows the code, not the uses.
+    The pairs are quadratic by definition, so they are made for the shapes ``of`` (column id) that a question is about;
+    ``facet_sides`` says the same of all shapes in a row each.
     """
-    some = shapes.where((F.col("kind") == "structural") & (F.coalesce("base_type", F.lit("")) == ""))
-    data = F.size(_facet("attrs")) + F.size(_facet("subscripts"))
-    d = some.where((data > 0) & (F.size(_facet("methods")) == 0)).select(F.col("id").alias("d"))
-    m = some.where((data == 0) & (F.size(_facet("methods")) > 0)).select(F.col("id").alias("m"))
-    pairs = d.crossJoin(m)
-    return pairs.select(F.col("d").alias("src"), F.col("m").alias("dst")).unionByName(pairs.select(F.col("m").alias("src"), F.col("d").alias("dst"))).withColumn("strength", F.lit("facet_cluster"))
+    sides = facet_sides(shapes)
+    asked = sides.join(of.select("id").distinct(), "id", "left_semi") if of is not None else sides
+    other = F.when(F.col("side") == "data", "methods").otherwise("data")
+    one_way = asked.select(F.col("id").alias("src"), other.alias("side")).join(sides.withColumnRenamed("id", "dst"), "side").select("src", "dst")
+    both = one_way if of is None else one_way.union(one_way.select("dst", "src")).distinct()
+    return both.withColumn("strength", F.lit("facet_cluster"))
 
 
 def hint_links(shapes: DataFrame) -> DataFrame:
-    """Hints and structural shapes with the same normalised base, both ways, unless it is a primitive or container."""
+    """Hints and structural shapes with the same normalised base, both ways, unless it is a container."""
     base = normal_base(F.col("base_type"))
-    some = shapes.where(F.coalesce("base_type", F.lit("")) != "").withColumn("_b", base).where(~F.col("_b").isin(*PRIMITIVES, *CONTAINERS))
+    some = shapes.where(F.coalesce("base_type", F.lit("")) != "").withColumn("_b", base).where(~F.col("_b").isin(*CONTAINERS))
     h = some.where("kind = 'hint'").select(F.col("id").alias("h"), "_b")
     s = some.where("kind = 'structural'").select(F.col("id").alias("s"), "_b")
     pairs = h.join(s, "_b")

@@ -41,36 +41,38 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.unionByName(reversed_edges(edges))
 
 
-def reach(edges: DataFrame, roots: DataFrame, depth: int, *, include_roots: bool = False) -> DataFrame:
+def reach(edges: DataFrame, roots: DataFrame, depth: int | None, *, include_roots: bool = False) -> DataFrame:
     """(root, node, depth) for every node within ``depth`` steps, with the least number of steps.
 
-    A node that only leads back to its root is reached from it.  ``include_roots`` adds depth 0.
+    A node that only leads back to its root is reached from it.  ``include_roots`` adds depth 0.  Up to ``LAZY_LEVELS``
+    steps are one plan; more go level by level, each with what is new only, and end when a level is empty.
     """
+    if _deep(depth):
+        return closure(edges, roots, include_roots=include_roots, depth=depth)
     pairs = edges.select("src", "dst").distinct()
     level = roots.select(F.col("id").alias("root"), F.col("id").alias("node")).distinct()
     levels = [level.withColumn("depth", F.lit(0))] if include_roots else []
     for d in range(1, depth + 1):
-        level = _kept(level.join(pairs, level["node"] == pairs["src"]).select("root", F.col("dst").alias("node")).distinct(), depth)
+        level = level.join(pairs, level["node"] == pairs["src"]).select("root", F.col("dst").alias("node")).distinct()
         levels.append(level.withColumn("depth", F.lit(d)))
-        if depth > LAZY_LEVELS and level.isEmpty():
-            break
     found = levels[0]
     for other in levels[1:]:
         found = found.unionByName(other)
     return found.groupBy("root", "node").agg(F.min("depth").alias("depth"))
 
 
-def closure(edges: DataFrame, roots: DataFrame, *, include_roots: bool = False) -> DataFrame:
-    """Reach to the fix-point: each level meets only what is new, so cycles end it."""
+def closure(edges: DataFrame, roots: DataFrame, *, include_roots: bool = False, depth: int | None = None) -> DataFrame:
+    """Reach to the fix-point (or to ``depth``): each level meets only what is new, so cycles end it."""
     pairs = written(edges.select("src", "dst").distinct(), "pairs")
     level = written(roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("depth")).distinct(), "level")
-    seen, started, depth = (level, True, 0) if include_roots else (None, False, 0)
-    while not level.isEmpty():
-        depth += 1
+    seen = level if include_roots else None
+    for d in _levels(1, depth):
         step = level.join(pairs, level["node"] == pairs["src"]).select("root", F.col("dst").alias("node")).distinct()
         if seen is not None:
             step = step.join(seen.select("root", "node"), ["root", "node"], "left_anti")
-        level = written(step.withColumn("depth", F.lit(depth)), "level")
+        level = written(step.withColumn("depth", F.lit(d)), "level")
+        if level.isEmpty():
+            break
         seen = level if seen is None else seen.unionByName(level)
     return seen if seen is not None else level
 
@@ -97,20 +99,23 @@ def trails(edges: DataFrame, roots: DataFrame, depth: int | None, *, least: int
 
 
 def dependencies(edges: DataFrame, roots: DataFrame, depth: int = 2, types: Sequence[str] = ("CALLS", "DEPENDS_ON", "IMPLEMENTS", "VALIDATES", "TRANSFORMS")) -> DataFrame:
-    """(root, node, depth, first): what a node depends on, with the type of the first edges of its shortest paths."""
+    """(root, node, depth, first): what a node depends on, with the types of the first edges of its shortest paths."""
     if not 1 <= depth <= 10:
         raise ValueError("depth must be from 1 to 10")
     some = edges.where(F.col("type").isin(*types)).select("src", "dst", "type").distinct()
-    level = roots.select(F.col("id").alias("root")).distinct().join(some, F.col("root") == F.col("src")).select("root", F.col("dst").alias("node"), F.lit(1).alias("depth"), F.col("type").alias("first"), F.col("dst").alias("second"))
-    levels = [level]
     pairs = some.select("src", "dst").distinct()
+    first = roots.select(F.col("id").alias("root")).distinct().join(some, F.col("root") == F.col("src"))
+    level = _kept(first.groupBy("root", F.col("dst").alias("node")).agg(F.collect_set("type").alias("first")).withColumn("depth", F.lit(1)), depth)
+    found = level
     for d in range(2, depth + 1):
-        level = _kept(level.drop("depth").join(pairs, level["node"] == pairs["src"]).select("root", F.col("dst").alias("node"), F.lit(d).alias("depth"), "first", "second").distinct(), depth)
-        levels.append(level)
-    found = levels[0]
-    for other in levels[1:]:
-        found = found.unionByName(other)
-    return found.groupBy("root", "node").agg(F.min("depth").alias("depth"), F.array_join(F.array_sort(F.collect_set("first")), ",").alias("first"))
+        # shortest paths to a node may begin with several types, which its predecessors of the last level have
+        grown = level.select("root", "node", "first").join(pairs, level["node"] == pairs["src"]).select("root", F.col("dst").alias("node"), F.explode("first").alias("_f"))
+        new = grown.join(found.select("root", "node"), ["root", "node"], "left_anti")
+        level = _kept(new.groupBy("root", "node").agg(F.collect_set("_f").alias("first")).withColumn("depth", F.lit(d)), depth)
+        if _deep(depth) and level.isEmpty():
+            break
+        found = found.unionByName(level)
+    return found.select("root", "node", "depth", F.array_join(F.array_sort("first"), ",").alias("first"))
 
 
 def dependents(edges: DataFrame, roots: DataFrame, depth: int = 2, **options: object) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.operators import aggregate, match, mutate, services, traverse
@@ -40,9 +40,9 @@ def _(p):
     return p.nodes.where("status = 'active'").select("id", "name", "module_path")
 
 
-@query("s7_all_edges", "SELECT type, src, dst FROM edges ORDER BY type, src, dst LIMIT 5000")
+@query("s7_all_edges", "WITH v AS (SELECT id FROM nodes UNION ALL SELECT id FROM variables) SELECT type, src, dst FROM edges WHERE src IN (SELECT id FROM v) AND dst IN (SELECT id FROM v)")
 def _(p):
-    return aggregate.page(p.edges.select("type", "src", "dst"), ["type", "src", "dst"], 5000)
+    return match.within(p.edges.select("type", "src", "dst"), p.graph().vertices)
 
 
 @query("s7_every_edge", "SELECT type, src, dst FROM edges")
@@ -188,12 +188,12 @@ def _(p):
     "j9_line_ranges",
     """
 SELECT c.src AS owner, c.line, r.id AS statement FROM (SELECT src, line FROM uses WHERE type = 'MUTATES') c
-JOIN (SELECT src, dst AS id, line AS start_line, line + 1 AS end_line FROM uses WHERE type = 'RETURNS' AND CAST(substr(dst, 2) AS BIGINT) % 50 = 7) r
+JOIN (SELECT src, dst AS id, line AS start_line, line + 1 AS end_line FROM uses WHERE type = 'RETURNS') r
 ON r.src = c.src AND c.line BETWEEN r.start_line AND r.end_line
 """,
 )
 def _(p):
-    ranges = p.uses.where("type = 'RETURNS' AND CAST(substr(dst, 2, 20) AS BIGINT) % 50 = 7").select(F.col("src").alias("owner"), F.col("dst").alias("statement"), F.col("line").alias("start_line"), (F.col("line") + 1).alias("end_line"))
+    ranges = p.uses.where("type = 'RETURNS'").select(F.col("src").alias("owner"), F.col("dst").alias("statement"), F.col("line").alias("start_line"), (F.col("line") + 1).alias("end_line"))
     return match.between_lines(p.uses.where("type = 'MUTATES'").select(F.col("src").alias("owner"), "line"), ranges, 2).select("owner", "line", "statement")
 
 
@@ -217,17 +217,17 @@ def _(p):
     return match.lacking(match.having(p.nodes.where(F.col("id").startswith("p")), p.calls, "dst"), p.calls).select("id")
 
 
-@query("j15_dead_ends", "SELECT id FROM nodes n WHERE status = 'active' AND id IN (SELECT dst FROM calls) AND id NOT IN (SELECT src FROM calls)")
+@query("j15_dead_ends", "SELECT n.id FROM nodes n WHERE n.status = 'active' AND NOT EXISTS (SELECT 1 FROM calls c WHERE c.src = n.id)")
 def _(p):
     return services.dead_ends(p.nodes, p.edges).select("id")
 
 
-@query("j15_orphans", "SELECT id FROM nodes WHERE status = 'active' AND kind <> 'class' AND id NOT IN (SELECT dst FROM calls)")
+@query("j15_orphans", "SELECT n.id FROM nodes n WHERE n.status = 'active' AND n.kind <> 'class' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.dst = n.id AND e.type IN ('CALLS', 'DEPENDS_ON', 'MEMBER_OF'))")
 def _(p):
     return services.orphans(p.nodes, p.edges).select("id")
 
 
-@query("j15_untested_mutations", "SELECT DISTINCT dst AS id FROM uses WHERE type = 'MUTATES' AND dst NOT IN (SELECT dst FROM uses WHERE type = 'READS')")
+@query("j15_untested_mutations", "SELECT DISTINCT dst AS id, src AS mutated_by FROM uses WHERE type = 'MUTATES' AND dst NOT IN (SELECT dst FROM uses WHERE type = 'READS')")
 def _(p):
     return services.untested_mutations(p.uses)
 
@@ -314,29 +314,51 @@ def _(p):
 
 @query(
     "j30_feeds_by_line",
-    "SELECT DISTINCT r.dst AS src, w.dst AS dst, r.src AS function, r.line FROM uses r JOIN uses w ON w.src = r.src AND w.line = r.line AND r.type = 'READS' AND w.type = 'ASSIGNS' AND r.dst <> w.dst WHERE CAST(substr(r.src, 2) AS INT) < 10",
+    "SELECT DISTINCT r.dst AS src, w.dst AS dst, r.src AS function, r.line FROM uses r JOIN uses w ON w.src = r.src AND w.line = r.line AND r.type = 'READS' AND w.type = 'ASSIGNS' AND r.dst <> w.dst",
 )
 def _(p):
-    u = p.uses.where("CAST(substr(src, 2, 20) AS INT) < 10").select(F.col("src").alias("function"), "line", F.col("dst").alias("variable"), "type")
+    u = p.uses.select(F.col("src").alias("function"), "line", F.col("dst").alias("variable"), "type")
     return match.feeds_by_line(u.where("type = 'READS'").drop("type"), u.where("type = 'ASSIGNS'").drop("type"))
 
 
-@query("h5_impact", "SELECT DISTINCT node, affected, reason FROM (SELECT w.src AS node, r.src AS affected, concat('reads ', w.dst) AS reason FROM uses w JOIN uses r ON r.dst = w.dst AND w.type = 'MUTATES' AND r.type = 'READS' AND w.src <> r.src UNION ALL SELECT dst, src, 'calls it' FROM calls WHERE src <> dst)")
+@query(
+    "h5_impact",
+    """
+SELECT DISTINCT w.src AS node, r.src AS affected, concat('reads ', w.dst) AS reason FROM uses w JOIN uses r ON r.dst = w.dst AND w.type = 'MUTATES' AND r.type = 'READS' AND w.src <> r.src
+JOIN nodes n ON n.id = r.src AND n.status = 'active' UNION ALL SELECT DISTINCT dst, src, 'calls it' FROM calls WHERE src <> dst
+""",
+)
+def _(p):
+    return match.impact(p.edges, p.nodes)
+
+
+@query(
+    "h5_impact_of_retired",
+    """
+WITH n AS (SELECT id, CASE WHEN ends_with(id, '3') THEN 'deprecated' ELSE status END AS status FROM nodes),
+     chosen AS (SELECT id FROM nodes WHERE kind = 'class' AND module_path = 'nation.7')
+SELECT DISTINCT w.src AS node, r.src AS affected, concat('reads ', w.dst) AS reason FROM uses w JOIN uses r ON r.dst = w.dst AND w.type = 'MUTATES' AND r.type = 'READS' AND w.src <> r.src
+JOIN n ON n.id = r.src AND n.status = 'active' WHERE w.src IN (SELECT id FROM chosen)
+""",
+)
 def _(p):
-    return match.impact(p.edges)
+    status = F.when(F.col("id").endswith("3"), "deprecated").otherwise(F.col("status"))
+    return match.impact(p.edges, p.nodes.withColumn("status", status), p.nodes.where("kind = 'class' AND module_path = 'nation.7'"))
 
 
 # --- traversal
 
 
 
-def _roots(p: Projection, least: int = 0, most: int = 50) -> DataFrame:
-    return p.nodes.where(F.col("id").startswith("p")).where(f"CAST(substr(id, 2, 20) AS INT) >= {least} AND CAST(substr(id, 2, 20) AS INT) < {most}").select("id")
+def _entries(p: Projection) -> DataFrame:
+    """Entry points: callers that nobody calls."""
+    called = p.calls.select(F.col("dst").alias("id"))
+    return p.calls.select(F.col("src").alias("id")).distinct().join(called, "id", "left_anti")
 
 
 _WALK = """
 WITH RECURSIVE walk AS (
-  SELECT DISTINCT src AS root, dst AS node, 1 AS depth FROM calls WHERE CAST(substr(src, 2) AS INT) < 50
+  SELECT DISTINCT src AS root, dst AS node, 1 AS depth FROM calls
   UNION SELECT w.root, c.dst, w.depth + 1 FROM walk w JOIN calls c ON c.src = w.node WHERE w.depth < {depth})
 SELECT root, node, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY root, node
 """
@@ -344,30 +366,33 @@ SELECT root, node, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY root, nod
 
 @query("t1_reach", _WALK.format(depth=4))
 def _(p):
-    return traverse.reach(p.calls, _roots(p), 4)
+    return traverse.reach(p.calls, p.nodes, 4)
 
 
 @query("t1_reach_deep", _WALK.format(depth=8))
 def _(p):
-    return traverse.reach(p.calls, _roots(p), 8)
+    return traverse.reach(p.calls, p.nodes, 8)
 
 
 _DEPS = """
-WITH RECURSIVE walk AS (
-  SELECT DISTINCT {a} AS root, {b} AS node, 1 AS depth FROM calls WHERE CAST(substr({a}, 2) AS INT) < 200
-  UNION SELECT w.root, c.{b}, w.depth + 1 FROM walk w JOIN calls c ON c.{a} = w.node WHERE w.depth < 2)
-SELECT root, node, CAST(min(depth) AS INT) AS depth, 'CALLS' AS first FROM walk GROUP BY root, node
+WITH RECURSIVE chosen AS (SELECT type, src, dst FROM calls UNION ALL SELECT type, src, dst FROM depends),
+walk AS (
+  SELECT DISTINCT {a} AS root, {b} AS node, 1 AS depth, type AS first FROM chosen
+  UNION SELECT w.root, c.{b}, w.depth + 1, w.first FROM walk w JOIN chosen c ON c.{a} = w.node WHERE w.depth < 2),
+least AS (SELECT root, node, min(depth) AS depth FROM walk GROUP BY root, node)
+SELECT l.root, l.node, CAST(l.depth AS INT) AS depth, string_agg(DISTINCT w.first, ',' ORDER BY w.first) AS first
+FROM least l JOIN walk w ON w.root = l.root AND w.node = l.node AND w.depth = l.depth GROUP BY l.root, l.node, l.depth
 """
 
 
 @query("t2_dependencies", _DEPS.format(a="src", b="dst"))
 def _(p):
-    return traverse.dependencies(p.calls, _roots(p, 0, 200))
+    return traverse.dependencies(p.edges, p.nodes)
 
 
 @query("t3_dependents", _DEPS.format(a="dst", b="src"))
 def _(p):
-    return traverse.dependents(p.calls, _roots(p, 0, 200))
+    return traverse.dependents(p.edges, p.nodes)
 
 
 @query(
@@ -388,59 +413,75 @@ def _(p):
     return services.call_chain(p.graph(p.calls), "red bolt").nodes.select("id", "name")
 
 
-@query("t7_hierarchy_pack", "SELECT DISTINCT src, dst FROM packs WHERE type = 'INHERITS' AND src IN ('t1', 't10', 't11') ")
+@query(
+    "t7_hierarchy_pack",
+    """
+WITH own AS (SELECT id FROM nodes WHERE contains(name, 'NATION_1')),
+     up AS (SELECT id FROM own UNION SELECT dst FROM packs WHERE type = 'INHERITS' AND src IN (SELECT id FROM own)),
+     ids AS (SELECT id FROM up UNION SELECT src FROM packs WHERE type = 'MEMBER_OF' AND dst IN (SELECT id FROM up))
+SELECT type, src, dst FROM packs WHERE src IN (SELECT id FROM ids) AND dst IN (SELECT id FROM ids)
+""",
+)
 def _(p):
     g = p.graph(p.packs)
-    ids = traverse.reach(g.typed("INHERITS"), p.spark.createDataFrame([("t1",), ("t10",), ("t11",)], "id string"), 5, include_roots=True).select(F.col("node").alias("id"))
-    return services.pack(g, ids, ("INHERITS",)).edges.select("src", "dst").distinct()
+    g = g.with_(nodes=g.nodes.withColumn("kind", F.when(F.col("kind") == "package", "class").otherwise("part")))
+    return services.class_hierarchy(g, "NATION_1").edges.select("type", "src", "dst")
 
 
-@query("t9_timeline_pack", "SELECT DISTINCT type, src, dst FROM uses WHERE dst = 'o1234' UNION SELECT type, src, dst FROM passes WHERE src = 'o1234' OR dst IN (SELECT dst FROM passes WHERE src = 'o1234') AND src = 'o1234'")
+@query(
+    "t9_timeline_pack",
+    """
+WITH v AS (SELECT id FROM variables WHERE contains(name, 'order_1234')),
+     ids AS (SELECT id FROM v UNION SELECT src FROM uses WHERE dst IN (SELECT id FROM v) UNION SELECT dst FROM passes WHERE src IN (SELECT id FROM v))
+SELECT type, src, dst FROM (SELECT * FROM uses UNION ALL SELECT * FROM passes) WHERE src IN (SELECT id FROM ids) AND dst IN (SELECT id FROM ids)
+""",
+)
 def _(p):
-    g = p.graph()
-    return services.mutation_timeline(g, "order_1234").edges.where("src = 'o1234' OR dst = 'o1234'").where("type NOT IN ('PASSES_TO', 'FEEDS') OR src = 'o1234'").select("type", "src", "dst").distinct()
+    return services.mutation_timeline(p.graph(), "order_1234").edges.select("type", "src", "dst")
 
 
 _TRAILS = """
 WITH RECURSIVE t AS (
-  SELECT src AS root, dst AS node, 1 AS depth, concat(src, '>', dst) AS chain, [concat(src, '>', dst)] AS trail FROM calls WHERE CAST(substr(src, 2) AS INT) < 100
+  SELECT src AS root, dst AS node, 1 AS depth, concat(src, '>', dst) AS chain, [concat(src, '>', dst)] AS trail FROM calls WHERE {roots}
   UNION ALL SELECT t.root, c.dst, t.depth + 1, concat(t.chain, '>', c.dst), list_append(t.trail, concat(c.src, '>', c.dst))
-  FROM t JOIN calls c ON c.src = t.node WHERE t.depth < 4 AND NOT list_contains(t.trail, concat(c.src, '>', c.dst)))
+  FROM t JOIN calls c ON c.src = t.node WHERE t.depth < {depth} AND NOT list_contains(t.trail, concat(c.src, '>', c.dst)))
 """
+_ENTRIES = "src NOT IN (SELECT dst FROM calls)"
 
 
-@query("t17_trails", _TRAILS + "SELECT root, node, CAST(depth AS INT) AS depth, chain FROM t")
+@query("t17_trails", _TRAILS.format(roots="true", depth=4) + "SELECT root, node, CAST(depth AS INT) AS depth, chain FROM t")
 def _(p):
-    return traverse.trails(p.calls, _roots(p, 0, 100), 4).select("root", "node", "depth", F.array_join("chain", ">").alias("chain"))
+    return traverse.trails(p.calls, p.nodes, 4).select("root", "node", "depth", F.array_join("chain", ">").alias("chain"))
 
 
-@query("t16_flow_paths", _TRAILS + "SELECT DISTINCT root, chain AS path, CAST(depth + 1 AS INT) AS size FROM t")
+@query("t16_flow_paths", _TRAILS.format(roots=_ENTRIES, depth=10) + "SELECT DISTINCT root, chain AS path, CAST(depth + 1 AS INT) AS size FROM t")
 def _(p):
-    return traverse.flow_paths(p.calls, _roots(p, 0, 100), 4)
+    return traverse.flow_paths(p.calls, _entries(p), 10)
 
 
-@query("t19_all_paths", _TRAILS + "SELECT node, CAST(depth AS INT) AS depth, chain FROM t WHERE root = 'p74' ORDER BY depth, chain LIMIT 50")
+@query("t19_all_paths", _TRAILS.format(roots="src = 'p74'", depth=8) + "SELECT node, CAST(depth AS INT) AS depth, chain FROM t")
 def _(p):
-    found = traverse.trails(p.calls, p.spark.createDataFrame([("p74",)], "id string"), 4)
-    return found.select("node", "depth", F.array_join("chain", ">").alias("chain")).orderBy("depth", "chain").limit(50)
+    found = traverse.trails(p.calls, p.spark.createDataFrame([("p74",)], "id string"), 8)
+    return found.select("node", "depth", F.array_join("chain", ">").alias("chain")).orderBy("depth", "chain")
 
 
-@query("t21_deepest", _TRAILS + "SELECT root, CAST(max(depth) AS INT) AS depth FROM t WHERE node NOT IN (SELECT src FROM calls) GROUP BY root")
+@query("t21_deepest", _TRAILS.format(roots=_ENTRIES, depth=8) + "SELECT root, CAST(max(depth) AS INT) AS depth FROM t WHERE node NOT IN (SELECT src FROM calls) GROUP BY root")
 def _(p):
-    return traverse.deepest(p.calls, _roots(p, 0, 100), 4)
+    return traverse.deepest(p.calls, _entries(p), 8)
 
 
 @query(
     "t18_shortest",
     """
 WITH RECURSIVE walk AS (
-  SELECT DISTINCT src AS root, dst AS node, 1 AS depth FROM calls WHERE CAST(substr(src, 2) AS INT) < 10
-  UNION SELECT w.root, c.dst, w.depth + 1 FROM walk w JOIN calls c ON c.src = w.node WHERE w.depth < 6)
-SELECT root, node, CAST(min(depth) AS INT) AS depth FROM walk WHERE CAST(substr(node, 2) AS INT) < 500 AND node <> root GROUP BY root, node
+  SELECT DISTINCT src AS root, dst AS node, 1 AS depth FROM calls WHERE src NOT IN (SELECT dst FROM calls)
+  UNION SELECT w.root, c.dst, w.depth + 1 FROM walk w JOIN calls c ON c.src = w.node WHERE w.depth < 10)
+SELECT root, node, CAST(min(depth) AS INT) AS depth FROM walk WHERE node NOT IN (SELECT src FROM calls) GROUP BY root, node
 """,
 )
 def _(p):
-    return traverse.shortest(p.calls, _roots(p, 0, 10), _roots(p, 0, 500), 6).select("root", "node", "depth")
+    leaves = match.lacking(p.calls.select(F.col("dst").alias("id")).distinct(), p.calls)
+    return traverse.shortest(p.calls, _entries(p), leaves, 10).select("root", "node", "depth")
 
 
 @query("t20_reverse_reach", "WITH RECURSIVE walk AS (SELECT DISTINCT src AS node, 1 AS depth FROM calls WHERE dst = 'p42' UNION SELECT c.src, w.depth + 1 FROM walk w JOIN calls c ON c.dst = w.node WHERE w.depth < 4) SELECT node, CAST(min(depth) AS INT) AS depth FROM walk WHERE node NOT IN (SELECT dst FROM calls) GROUP BY node")
@@ -453,20 +494,18 @@ def _(p):
     "t22_data_flow",
     """
 WITH RECURSIVE walk AS (
-  SELECT DISTINCT src AS root, dst AS node, 1 AS depth FROM passes WHERE CAST(substr(src, 2) AS INT) < 100
+  SELECT DISTINCT src AS root, dst AS node, 1 AS depth FROM passes
   UNION SELECT w.root, c.dst, w.depth + 1 FROM walk w JOIN passes c ON c.src = w.node WHERE w.depth < 5)
 SELECT root, node, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY root, node
 """,
 )
 def _(p):
-    roots = p.variables.where("CAST(substr(id, 2, 20) AS INT) < 100").select("id")
-    return traverse.reach(p.passes, roots, 5)
+    return traverse.reach(p.passes, p.variables, 5)
 
 
-@query("t23_closure", "WITH RECURSIVE walk AS (SELECT src AS root, dst AS node FROM passes WHERE type = 'PASSES_TO' AND CAST(substr(src, 2) AS INT) < 20 UNION SELECT w.root, c.dst FROM walk w JOIN passes c ON c.src = w.node AND c.type = 'PASSES_TO') SELECT root, node FROM walk")
+@query("t23_closure", "WITH RECURSIVE walk AS (SELECT src AS root, dst AS node FROM passes WHERE type = 'PASSES_TO' UNION SELECT w.root, c.dst FROM walk w JOIN passes c ON c.src = w.node AND c.type = 'PASSES_TO') SELECT root, node FROM walk")
 def _(p):
-    roots = p.variables.where("CAST(substr(id, 2, 20) AS INT) < 20").select("id")
-    return traverse.closure(p.passes.where("type = 'PASSES_TO'"), roots).select("root", "node")
+    return traverse.closure(p.passes.where("type = 'PASSES_TO'"), p.variables).select("root", "node")
 
 
 @query("t14_hierarchy", "SELECT a.dst AS root, a.dst AS flow, CAST(NULL AS VARCHAR) AS parent, 0 AS depth, a.dst AS path FROM packs a WHERE a.type = 'INHERITS' GROUP BY a.dst UNION ALL SELECT dst, src, dst, 1, concat(dst, '>', src) FROM packs WHERE type = 'INHERITS' UNION ALL SELECT i.dst, m.src, m.dst, 2, concat(i.dst, '>', i.src, '>', m.src) FROM packs m JOIN packs i ON i.src = m.dst AND i.type = 'INHERITS' WHERE m.type = 'MEMBER_OF'")
@@ -542,13 +581,59 @@ def _(p):
     return aggregate.duplicates_of(p.nodes, "p42").select("id")
 
 
-@query("a11_gap_counts", "SELECT 'dead_ends' AS gap, count(*) AS n FROM nodes WHERE status = 'active' AND id IN (SELECT dst FROM calls) AND id NOT IN (SELECT src FROM calls) UNION ALL SELECT 'orphans', count(*) FROM nodes WHERE status = 'active' AND kind <> 'class' AND id NOT IN (SELECT dst FROM calls) UNION ALL SELECT 'untested_mutations', count(DISTINCT dst) FROM uses WHERE type = 'MUTATES' AND dst NOT IN (SELECT dst FROM uses WHERE type = 'READS')")
+_CYCLIC = "e AS (SELECT DISTINCT x.src, x.dst FROM (SELECT src, dst FROM calls UNION ALL SELECT src, dst FROM depends) x JOIN nodes a ON a.id = x.src AND a.status = 'active' JOIN nodes b ON b.id = x.dst AND b.status = 'active')"
+_CYCLES = """
+two AS (SELECT x.src AS a, x.dst AS b, CAST(NULL AS VARCHAR) AS c FROM e x JOIN e y ON y.src = x.dst AND y.dst = x.src WHERE x.src < x.dst),
+three AS (SELECT x.src AS a, y.src AS b, z.src AS c FROM e x JOIN e y ON y.src = x.dst JOIN e z ON z.src = y.dst AND z.dst = x.src WHERE x.src < y.src AND y.src < z.src)
+"""
+_RISKY_NODES = """
+r AS (SELECT id, status, module_path, concat(CASE start_line % 7 WHEN 0 THEN 'read_' WHEN 1 THEN 'Query_' WHEN 2 THEN 'execute_' WHEN 3 THEN 'load_' WHEN 4 THEN 'reopen.' ELSE 'x_' END, name) AS name,
+             CASE start_line % 3 WHEN 0 THEN 'try:' WHEN 1 THEN semantic_intent END AS source_text FROM nodes)
+"""
+
+
+def _risky_nodes(p: Projection) -> DataFrame:
+    """Nodes with names some of which are risky, and sources that handle errors, do not, or are missing."""
+    k, rest = F.col("start_line") % 7, F.col("start_line") % 3
+    prefix = F.when(k == 0, "read_").when(k == 1, "Query_").when(k == 2, "execute_").when(k == 3, "load_").when(k == 4, "reopen.").otherwise("x_")
+    return p.nodes.withColumn("name", F.concat(prefix, "name")).withColumn("source_text", F.when(rest == 0, "try:").when(rest == 1, F.col("semantic_intent")))
+
+
+@query(
+    "a4_unhandled_risks",
+    f"WITH {_RISKY_NODES.strip()} SELECT c.src, a.name AS caller, string_agg(b.name, ',' ORDER BY b.name) AS risky_callees FROM calls c JOIN r a ON a.id = c.src AND a.status = 'active' AND NOT contains(a.source_text, 'try:') JOIN r b ON b.id = c.dst AND (contains(b.name, 'read') OR contains(b.name, 'write') OR contains(b.name, 'connect') OR contains(b.name, 'query') OR contains(b.name, 'fetch') OR contains(b.name, 'send') OR contains(b.name, 'open') OR contains(b.name, 'execute')) GROUP BY c.src, a.name",
+)
+def _(p):
+    return services.unhandled_risks(_risky_nodes(p), p.edges).select("src", "caller", F.array_join("risky_callees", ",").alias("risky_callees"))
+
+
+@query("a11_cycles", f"WITH {_CYCLIC}, {_CYCLES.strip()} SELECT a, b, c FROM two UNION ALL SELECT a, b, c FROM three")
+def _(p):
+    return services.gap_report(p.graph())["circular_dependencies"]
+
+
+@query("j16_active_cycles", f"WITH {_CYCLIC.replace('FROM calls', 'FROM wide_calls')}, {_CYCLES.strip()} SELECT a, b, c FROM two UNION ALL SELECT a, b, c FROM three")
 def _(p):
-    report = services.gap_report(p.graph().with_(nodes=p.nodes.withColumn("source_text", F.lit(None).cast("string"))))
-    parts = [report[g].select(F.lit(g).alias("gap")) for g in ("dead_ends", "orphans", "untested_mutations")]
-    return aggregate.counts_by(parts[0].unionByName(parts[1]).unionByName(parts[2]), "gap")
+    return services.circular_dependencies(p.nodes, p.wide_calls.unionByName(p.depends))
 
 
+@query(
+    "a11_gap_counts",
+    f"""
+WITH {_CYCLIC}, {_CYCLES.strip()}, own AS (SELECT * FROM nodes WHERE contains(module_path, 'rand#1'))
+SELECT 'dead_ends' AS gap, count(*) AS n FROM own WHERE status = 'active' AND id NOT IN (SELECT src FROM calls)
+UNION ALL SELECT 'orphans', count(*) FROM own WHERE status = 'active' AND kind <> 'class' AND id NOT IN (SELECT dst FROM edges WHERE type IN ('CALLS', 'DEPENDS_ON', 'MEMBER_OF'))
+UNION ALL SELECT 'circular_dependencies', (SELECT count(*) FROM two) + (SELECT count(*) FROM three)
+UNION ALL SELECT 'untested_mutations', count(*) FROM (SELECT DISTINCT src, dst FROM uses WHERE type = 'MUTATES' AND dst NOT IN (SELECT dst FROM uses WHERE type = 'READS'))
+""",
+)
+def _(p):
+    report = services.gap_report(p.graph().with_(nodes=p.nodes.withColumn("source_text", F.lit(None).cast("string"))), "rand#1")
+    found = None
+    for gap in ("dead_ends", "orphans", "circular_dependencies", "untested_mutations"):
+        one = report[gap].agg(F.count(F.lit(1)).alias("n")).select(F.lit(gap).alias("gap"), "n")
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 @query(
@@ -797,18 +882,29 @@ def _(p):
 
 # --- shapes over sets derived from the tables
 
-_SHAPES = """
-s AS (SELECT 'c' || o_custkey AS id, 'structural' AS kind, list_sort(list_distinct(list(substr(o_orderpriority, 1, 1)))) AS attrs FROM orders WHERE o_orderkey % 4 = 0 GROUP BY o_custkey)
+_SETS = """
+c AS (SELECT o_custkey, list_sort(list_distinct(list(substr(o_orderpriority, 1, 1)))) AS attrs, list_sort(list_distinct(list(o_orderstatus))) AS methods FROM orders GROUP BY o_custkey),
+s AS (SELECT DISTINCT concat(array_to_string(attrs, ''), '/', array_to_string(methods, '')) AS id, attrs, methods FROM c)
 """
 
 
+def _customers(p: Projection) -> DataFrame:
+    """What each customer's orders have: a variable's evidence."""
+    sets = {"attrs": F.substring("o_orderpriority", 1, 1), "methods": F.col("o_orderstatus")}
+    return p.table("orders").groupBy("o_custkey").agg(*[F.array_sort(F.collect_set(c)).alias(n) for n, c in sets.items()])
+
+
 def _shapes(p: Projection) -> DataFrame:
-    s = p.table("orders").where("o_orderkey % 4 = 0").groupBy("o_custkey").agg(F.array_sort(F.collect_set(F.substring("o_orderpriority", 1, 1))).alias("attrs"))
+    """The distinct shapes of all customers."""
+    ident = F.concat(F.array_join("attrs", ""), F.lit("/"), F.array_join("methods", ""))
     empty = F.array().cast("array<string>")
-    return s.where("o_custkey < 300").select(F.concat(F.lit("c"), "o_custkey").alias("id"), F.lit("structural").alias("kind"), F.lit(None).cast("string").alias("base_type"), "attrs", empty.alias("subscripts"), empty.alias("methods"))
+    return _customers(p).select(ident.alias("id"), F.lit("structural").alias("kind"), F.lit(None).cast("string").alias("base_type"), "attrs", empty.alias("subscripts"), "methods").dropDuplicates(["id"])
 
 
-@query("c1_supersets", f"WITH {_SHAPES.strip()}, t AS (SELECT * FROM s WHERE CAST(substr(id, 2) AS INT) < 300) SELECT a.id AS src, b.id AS dst FROM t a JOIN t b ON a.id <> b.id AND len(b.attrs) >= 2 AND len(a.attrs) > len(b.attrs) AND len(list_intersect(a.attrs, b.attrs)) = len(b.attrs)")
+_COVERS = "len(list_intersect(a.attrs, b.attrs)) = len(b.attrs) AND len(list_intersect(a.methods, b.methods)) = len(b.methods)"
+
+
+@query("c1_supersets", f"WITH {_SETS.strip()} SELECT a.id AS src, b.id AS dst FROM s a JOIN s b ON a.id <> b.id AND len(b.attrs) + len(b.methods) >= 2 AND {_COVERS}")
 def _(p):
     from weftgraph.operators import shapes
 
@@ -825,69 +921,100 @@ def _(p):
     return shapes.generalizations(bare.unionByName(generic))
 
 
-@query("c8_shape_search", f"WITH {_SHAPES.strip()} SELECT id FROM s WHERE CAST(substr(id, 2) AS INT) < 300 AND list_contains(attrs, '1') AND list_contains(attrs, '5')")
+@query("c8_shape_search", f"WITH {_SETS.strip()} SELECT id FROM s WHERE list_contains(attrs, '1') AND list_contains(attrs, '5') AND list_contains(methods, 'F')")
 def _(p):
     from weftgraph.operators import shapes
 
-    return shapes.search(_shapes(p), attrs=("1", "5")).select("id")
+    return shapes.search(_shapes(p), attrs=("1", "5"), methods=("F",)).select("id")
+
+
+_SHAPED = """
+has AS (SELECT 'o' || o_orderkey AS variable, 'h' || o_custkey AS shape FROM orders),
+acc AS (SELECT DISTINCT u.src AS consumer, 'h' || o.o_custkey AS shape FROM uses u JOIN orders o ON u.dst = 'o' || o.o_orderkey WHERE u.type = 'READS'),
+comp AS (SELECT 'h' || c_custkey AS src, 'h' || lead(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS dst, CASE WHEN c_custkey % 2 = 0 THEN 'generalization' END AS strength FROM customer)
+"""
+
+
+def _shaped(p: Projection) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Variables with shapes (an order has its customer's), compatible shapes (the next customer of its kind), and accepted ones (of what is read)."""
+    name = lambda c, k: F.concat(F.lit(k), F.col(c).cast("string"))
+    has = p.table("orders").select(name("o_orderkey", "o").alias("variable"), name("o_custkey", "h").alias("shape"))
+    accepts = p.uses.where("type = 'READS'").select("src", F.col("dst").alias("variable")).join(has, "variable").select("src", F.col("shape").alias("dst")).distinct()
+    after = F.lead("c_custkey").over(Window.partitionBy("c_nationkey", "c_mktsegment").orderBy("c_custkey"))
+    strength = F.when(F.col("c_custkey") % 2 == 0, "generalization")
+    comp = p.table("customer").select(name("c_custkey", "h").alias("src"), F.concat(F.lit("h"), after.cast("string")).alias("dst"), strength.alias("strength")).where("dst IS NOT NULL")
+    return has, comp, accepts
 
 
 @query(
     "t12_consumers",
-    """
-WITH has AS (SELECT DISTINCT 'o' || o_orderkey AS variable, 'h' || o_custkey % 50 AS shape FROM orders WHERE o_orderkey < 2000),
-acc AS (SELECT DISTINCT 's' || l_suppkey AS consumer, 'h' || l_partkey % 50 AS shape FROM lineitem WHERE l_linenumber = 1 AND l_orderkey < 500),
-comp AS (SELECT DISTINCT 'h' || o_custkey % 50 AS src, 'h' || o_custkey % 49 AS dst FROM orders WHERE o_orderkey < 100 AND o_custkey % 50 <> o_custkey % 49),
-m AS (SELECT h.variable, a.consumer, 3 AS r FROM has h JOIN acc a ON a.shape = h.shape UNION ALL SELECT h.variable, a.consumer, 2 FROM has h JOIN comp c ON c.src = h.shape JOIN acc a ON a.shape = c.dst)
-SELECT variable, consumer, CASE WHEN max(r) = 3 THEN 'exact' ELSE 'structural' END AS confidence FROM m GROUP BY variable, consumer
+    f"""
+WITH {_SHAPED.strip()},
+m AS (SELECT h.variable, a.consumer, 3 AS r FROM has h JOIN acc a ON a.shape = h.shape UNION ALL SELECT h.variable, a.consumer, CASE WHEN c.strength IS NULL THEN 2 ELSE 1 END FROM has h JOIN comp c ON c.src = h.shape JOIN acc a ON a.shape = c.dst)
+SELECT variable, consumer, CASE max(r) WHEN 3 THEN 'exact' WHEN 2 THEN 'structural' ELSE 'weak' END AS confidence FROM m GROUP BY variable, consumer
 """,
 )
 def _(p):
     from weftgraph.operators import shapes
 
-    name = lambda c, k: F.concat(F.lit(k), c.cast("string"))
-    orders, lines = p.table("orders"), p.table("lineitem")
-    has = orders.where("o_orderkey < 2000").select(name(F.col("o_orderkey"), "o").alias("variable"), name(F.col("o_custkey") % 50, "h").alias("shape")).distinct()
-    accepts = lines.where("l_linenumber = 1 AND l_orderkey < 500").select(name(F.col("l_suppkey"), "s").alias("src"), name(F.col("l_partkey") % 50, "h").alias("dst")).distinct()
-    comp = orders.where("o_orderkey < 100 AND o_custkey % 50 <> o_custkey % 49").select(name(F.col("o_custkey") % 50, "h").alias("src"), name(F.col("o_custkey") % 49, "h").alias("dst"), F.lit(None).cast("string").alias("strength")).distinct()
-    return shapes.consumers(has, comp, accepts)
+    return shapes.consumers(*_shaped(p))
 
 
-# --- Cypher over the projected graph
+# --- questions that other graph stores ask as query texts, as joins
 
 
-def _cypher(name: str, text: str, sql: str, edges: Callable[[Projection], DataFrame]) -> None:
-    @query(name, sql)
-    def _(p):
-        from weftgraph import cypher
+@query("cy_fan_out", "SELECT n.name, c.calls FROM (SELECT src, count(*) AS calls FROM calls GROUP BY src HAVING count(*) > 2) c JOIN nodes n ON n.id = c.src")
+def _(p):
+    busy = aggregate.fan_out(p.calls, 2).withColumnRenamed("n", "calls")
+    return p.nodes.select("id", "name").join(busy, "id").select("name", "calls")
+
+
+@query("cy_cross_module", "SELECT a.name AS caller, b.name AS callee FROM calls c JOIN nodes a ON a.id = c.src JOIN nodes b ON b.id = c.dst WHERE a.module_path <> b.module_path")
+def _(p):
+    return match.triples(p.calls, p.nodes, p.nodes).where("src_module_path <> dst_module_path").select(F.col("src_name").alias("caller"), F.col("dst_name").alias("callee"))
+
+
+@query("cy_leaves", "SELECT DISTINCT dst AS id FROM calls WHERE dst NOT IN (SELECT src FROM calls)")
+def _(p):
+    return match.lacking(p.calls.select(F.col("dst").alias("id")).distinct(), p.calls)
+
 
-        return cypher.run(p.graph(edges(p)), text)
+@query("cy_readers_of_writers", "SELECT DISTINCT w.src AS writer, w.dst AS variable, r.src AS reader FROM uses w JOIN uses r ON r.dst = w.dst AND w.type = 'MUTATES' AND r.type = 'READS' AND w.src <> r.src")
+def _(p):
+    return match.shared_variable(p.uses)
 
 
-_cypher("cy_fan_out", "MATCH (n:LogicNode)-[r:CALLS]->() WITH n, count(r) AS calls WHERE calls > 2 RETURN n.name AS name, calls ORDER BY calls DESC", "SELECT n.name, c.calls FROM (SELECT src, count(*) AS calls FROM calls GROUP BY src HAVING count(*) > 2) c JOIN nodes n ON n.id = c.src", lambda p: p.calls)
-_cypher("cy_cross_module", "MATCH (a:LogicNode)-[:CALLS]->(b:LogicNode) WHERE a.module_path <> b.module_path RETURN a.name AS caller, b.name AS callee", "SELECT a.name AS caller, b.name AS callee FROM calls c JOIN nodes a ON a.id = c.src JOIN nodes b ON b.id = c.dst WHERE a.module_path <> b.module_path", lambda p: p.calls)
-_cypher("cy_leaves", "MATCH (caller:LogicNode)-[:CALLS]->(leaf:LogicNode) WHERE NOT (leaf)-[:CALLS]->() RETURN DISTINCT leaf.id AS id", "SELECT DISTINCT dst AS id FROM calls WHERE dst NOT IN (SELECT src FROM calls)", lambda p: p.calls)
-_cypher("cy_readers_of_writers", "MATCH (w:LogicNode)-[:MUTATES]->(v:Variable)<-[:READS]-(r:LogicNode) WHERE w <> r RETURN DISTINCT w.id AS writer, v.id AS variable, r.id AS reader", "SELECT DISTINCT w.src AS writer, w.dst AS variable, r.src AS reader FROM uses w JOIN uses r ON r.dst = w.dst AND w.type = 'MUTATES' AND r.type = 'READS' AND w.src <> r.src", lambda p: p.uses)
-_cypher("cy_duplicates", "MATCH (n:LogicNode) WHERE n.status = 'active' WITH n.ast_hash AS hash, collect(n) AS nodes WHERE size(nodes) > 2 UNWIND nodes AS n RETURN n.name AS name, n.module_path AS file", "SELECT name, module_path AS file FROM (SELECT name, module_path, count(*) OVER (PARTITION BY ast_hash) AS k FROM nodes WHERE status = 'active') WHERE k > 2", lambda p: p.calls)
-_cypher("cy_trails", "MATCH path = (a:LogicNode)-[:CALLS*1..3]->(b:LogicNode) WHERE a.id = 'p74' RETURN b.id AS goal, length(path) AS hops", _TRAILS + "SELECT node AS goal, CAST(depth AS INT) AS hops FROM t WHERE root = 'p74' AND depth <= 3", lambda p: p.calls)
-_cypher("cy_roles_in_order", "MATCH (f:LogicNode)-[r]->(v:Variable) WHERE f.id = 's7' RETURN type(r) AS action, v.name AS variable ORDER BY v.origin_line LIMIT 40", "SELECT u.type AS action, v.name AS variable FROM uses u JOIN variables v ON v.id = u.dst WHERE u.src = 's7' ORDER BY v.origin_line, u.type, v.name LIMIT 40", lambda p: p.uses)
+@query("cy_duplicates", "SELECT name, module_path AS file FROM (SELECT name, module_path, count(*) OVER (PARTITION BY ast_hash) AS k FROM nodes WHERE status = 'active') WHERE k > 2")
+def _(p):
+    return aggregate.duplicate_groups(p.nodes.where("status = 'active'"), ["ast_hash"]).select("name", F.col("module_path").alias("file"))
 
 
-# --- extraction
+@query("cy_trails", _TRAILS.format(roots="src = 'p74'", depth=3) + "SELECT node AS goal, CAST(depth AS INT) AS hops FROM t")
+def _(p):
+    found = traverse.trails(p.calls, p.spark.createDataFrame([("p74",)], "id string"), 3)
+    return found.select(F.col("node").alias("goal"), F.col("depth").alias("hops"))
 
 
-@query("x11_extraction_report")
+@query("cy_roles_in_order", "SELECT u.type AS action, v.name AS variable FROM uses u JOIN variables v ON v.id = u.dst WHERE u.src = 's7' ORDER BY v.origin_line, u.type, v.name LIMIT 40")
 def _(p):
-    """Sources made from the documents: a function per document that calls the next one."""
-    from weftgraph.extract.tables import Extraction
+    used = p.uses.where("src = 's7'").join(p.variables.select(F.col("id").alias("dst"), "name", "origin_line"), "dst")
+    return aggregate.page(used.select(F.col("type").alias("action"), F.col("name").alias("variable"), "origin_line"), ["origin_line", "action", "variable"], 40).drop("origin_line")
 
-    d = p.table("documents").select("doc_id")
-    text = F.concat(F.lit("def f"), "doc_id", F.lit("(a, b=1):\n    c = a + b\n    return c\n\n\ndef g(x):\n    y = f"), "doc_id", F.lit("(x, b=x)\n    y.items.append(x)\n    return y\n"))
-    return Extraction.of(d.select(F.concat(F.lit("m"), "doc_id", F.lit(".py")).alias("path"), text.alias("source"))).report()
+
+@query("cy_edge_once", "SELECT x.src AS left_end, x.dst AS shared, y.src AS right_end FROM calls x JOIN calls y ON y.dst = x.dst WHERE x.src <> y.src")
+def _(p):
+    """Two callers of one function by two edges: an edge is used once a pattern, so no caller is paired with itself."""
+    return match.fork_join(p.calls, p.calls, "dst", "src").select("left_end", "shared", "right_end")
 
 
-@query("uuid5_ids", None)
+@query("cy_unbounded", "WITH RECURSIVE walk AS (SELECT src AS root, dst AS node FROM calls WHERE src NOT IN (SELECT dst FROM calls) UNION SELECT w.root, c.dst FROM walk w JOIN calls c ON c.src = w.node) SELECT root, node FROM walk")
 def _(p):
-    from weftgraph.functions.identity import node_id
+    """Everything that an entry point can reach, in any number of steps."""
+    return traverse.closure(p.calls, _entries(p)).select("root", "node")
 
-    return p.nodes.select("id", node_id(F.col("name")).alias("uuid"))
+
+@query("cy_properties", "SELECT src, dst, type, line, seq FROM uses WHERE src = 's7'")
+def _(p):
+    """All properties of relations, as a map that a caller takes apart."""
+    whole = match.out_edges(p.uses, "s7").select("src", "dst", F.to_json(F.struct("type", "line", "seq")).alias("properties"))
+    return whole.select("src", "dst", F.from_json("properties", "type string, line int, seq int").alias("p")).select("src", "dst", "p.*")

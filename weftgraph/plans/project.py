@@ -8,12 +8,15 @@ values on.  The SQL text defines the same tables by the same names, to compare r
 from __future__ import annotations
 
 import re
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from weftgraph import schema
 from weftgraph.graph import CodeGraph
+from weftgraph.storage import shared_path
 
 _NODES = """
 SELECT concat('p', p_partkey) AS id, p_name AS name, lower(p_type) AS kind, p_brand AS module_path,
@@ -38,6 +41,7 @@ SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_
 FROM lineitem {where}
 """
 _NARROW = "WHERE l_returnflag = 'R' AND l_linestatus = 'F'"
+_ACCEPTED = "WHERE l_returnflag = 'A' AND l_linestatus = 'O'"
 _CALLS = """
 SELECT '{name}' AS type, concat('p', a) AS src, concat('p', b) AS dst, min(line) AS line, cast(NULL AS int) AS seq
 FROM ({pairs}) x WHERE b IS NOT NULL AND a <> b GROUP BY a, b
@@ -69,12 +73,17 @@ def calls_sql(wide: bool = False) -> str:
     return _CALLS.format(name="CALLS", pairs=_PAIRS.format(where="" if wide else _NARROW))
 
 
+def depends_sql() -> str:
+    """DEPENDS_ON edges between parts that follow each other among the lines that were accepted and are open."""
+    return _CALLS.format(name="DEPENDS_ON", pairs=_PAIRS.format(where=_ACCEPTED))
+
+
 def prelude() -> str:
     """Common table expressions nodes, variables, calls, wide_calls, uses, packs, passes, edges for a SQL engine."""
     duck = lambda text: text.replace("AS string)", "AS varchar)")
-    parts = {"nodes": _NODES, "variables": _VARIABLES, "calls": calls_sql(), "wide_calls": calls_sql(True), "uses": _USES, "packs": _MEMBER, "passes": _PASSES}
+    parts = {"nodes": _NODES, "variables": _VARIABLES, "calls": calls_sql(), "wide_calls": calls_sql(True), "depends": depends_sql(), "uses": _USES, "packs": _MEMBER, "passes": _PASSES}
     ctes = [f"{name} AS ({duck(text).strip()})" for name, text in parts.items()]
-    ctes.append("edges AS (SELECT * FROM calls UNION ALL SELECT * FROM uses UNION ALL SELECT * FROM packs UNION ALL SELECT * FROM passes)")
+    ctes.append("edges AS (SELECT * FROM calls UNION ALL SELECT * FROM depends UNION ALL SELECT * FROM uses UNION ALL SELECT * FROM packs UNION ALL SELECT * FROM passes)")
     return ",\n".join(ctes)
 
 
@@ -88,7 +97,14 @@ def with_prelude(body: str) -> str:
 
 
 class Projection:
-    """The projected graph of one directory of tables; every table is read with a known path, lazily."""
+    """The projected graph of one directory of tables.
+
+    Its vertex and edge tables are written to the shared folder once a session and directory, in ranges of id or src, and
+    every query reads them from there, so that point lookups skip files and row groups by their least and greatest keys.
+    The directory's tables are taken not to change while a session runs.
+    """
+
+    _written: ClassVar[dict[tuple[str, str, str], tuple[str, StructType]]] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
@@ -101,25 +117,40 @@ class Projection:
         used = {t: self.table(t) for t in set(_FROM.findall(text))}
         return self.spark.sql(_FROM.sub(lambda m: f"FROM {{{m[1]}}}", text), **used)
 
+    def _kept(self, name: str, text: str, key: str) -> DataFrame:
+        """The rows of a projection, read from its written form."""
+        place = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if place not in self._written:
+            df = self.sql(text)
+            path = shared_path(self.spark, f"graph-{name}")
+            df.repartitionByRange(key).sortWithinPartitions(key).write.parquet(path)
+            self._written[place] = (path, df.schema)
+        path, schema = self._written[place]
+        return self.spark.read.schema(schema).parquet(path)
+
     @property
     def nodes(self) -> DataFrame:
-        return self.sql(_NODES)
+        return self._kept("nodes", _NODES, "id")
 
     @property
     def variables(self) -> DataFrame:
-        return self.sql(_VARIABLES)
+        return self._kept("variables", _VARIABLES, "id")
 
     @property
     def calls(self) -> DataFrame:
-        return self.sql(calls_sql())
+        return self._kept("calls", calls_sql(), "src")
 
     @property
     def wide_calls(self) -> DataFrame:
-        return self.sql(calls_sql(True))
+        return self._kept("wide-calls", calls_sql(True), "src")
+
+    @property
+    def depends(self) -> DataFrame:
+        return self._kept("depends", depends_sql(), "src")
 
     @property
     def uses(self) -> DataFrame:
-        return self.sql(_USES)
+        return self._kept("uses", _USES, "src")
 
     @property
     def packs(self) -> DataFrame:
@@ -127,16 +158,16 @@ class Projection:
 
     @property
     def passes(self) -> DataFrame:
-        return self.sql(_PASSES)
+        return self._kept("passes", _PASSES, "src")
 
     @property
     def edges(self) -> DataFrame:
-        return self.calls.unionByName(self.uses).unionByName(self.packs).unionByName(self.passes)
+        return self.calls.unionByName(self.depends).unionByName(self.uses).unionByName(self.packs).unionByName(self.passes)
 
-    def graph(self, edges: DataFrame | None = None) -> CodeGraph:
+    def graph(self, edges: DataFrame | None = None, **tables: DataFrame) -> CodeGraph:
         """The graph, with all edges or with those given."""
-        nodes = self.nodes.withColumn("docstring", F.lit(None).cast("string"))
-        return CodeGraph.of(self.spark, nodes=nodes, variables=self.variables, edges=self.edges if edges is None else edges)
+        nodes = self.nodes.withColumns({c: F.lit(None).cast("string") for c in ("docstring", "source_text")})
+        return CodeGraph.of(self.spark, **{"nodes": nodes, "variables": self.variables, "edges": self.edges if edges is None else edges} | tables)
 
 
 __all__ = ["Projection", "calls_sql", "prelude", "with_prelude", "schema"]

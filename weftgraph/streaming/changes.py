@@ -38,12 +38,16 @@ def watched(changes: DataFrame) -> DataFrame:
 
 
 def debounced(changes: DataFrame, gap: str = "300 milliseconds", late: str = "10 seconds") -> DataFrame:
-    """ST2: one row per burst of a path's changes (gaps shorter than ``gap``): the last change, and the burst's size."""
+    """ST2: one row per burst of a path's changes (gaps shorter than ``gap``): the last change, and the burst's size.
+
+    Of changes at the same time the one with the greatest id (then kind and hash) is the last, as a whole.
+    """
+    last = F.max(F.struct("ts", *[c for c in ("id",) if c in changes.columns], "kind", "hash"))
     return (
         changes.withWatermark("ts", late)
         .groupBy("path", F.session_window("ts", gap).alias("_w"))
-        .agg(F.max_by("kind", "ts").alias("kind"), F.max_by("hash", "ts").alias("hash"), F.max("ts").alias("ts"), F.count(F.lit(1)).alias("n"))
-        .select("path", "kind", "hash", "ts", "n")
+        .agg(last.alias("_r"), F.count(F.lit(1)).alias("n"))
+        .select("path", "_r.kind", "_r.hash", "_r.ts", "n")
     )
 
 
@@ -122,7 +126,9 @@ def index_stream(changes: DataFrame, checkpoint: str, on_batch: Callable[[DataFr
     """ST5, ST9, W22: every micro-batch's last change per path goes to a function; at least once, in order."""
 
     def each(batch: DataFrame, number: int) -> None:
-        last = batch.groupBy("path").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "path"]), "ts").alias("_r")).select("path", "_r.*")
+        others = [c for c in batch.columns if c != "path"]
+        order = F.struct("ts", *[c for c in ("id", "kind", "hash") if c in others])
+        last = batch.groupBy("path").agg(F.max_by(F.struct(*others), order).alias("_r")).select("path", "_r.*")
         on_batch(last, number)
 
     return changes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
