@@ -6,7 +6,7 @@ import pytest
 from weftgraph.plans import registry
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents".split()
+TABLES = "region nation customer supplier part orders lineitem events documents conversations".split()
 #: On 6,000 lineitems some patterns have no match; on the larger tables they do.
 MAY_BE_EMPTY = {"j9_line_ranges", "j13_calls_both", "j16_two_cycles", "j17_three_cycles", "j17_three_cycles_ordered", "j8_arguments", "t19_all_paths", "cy_trails", "t20_reverse_reach", "a20_dedup_ratio", "h6_node_search", "h4_variable_search", "j20_resolve", "s14_key_lookup", "s15_definition", "a1_fan_out", "a2_fan_in", "cy_fan_out", "t9_timeline_pack", "j24_function_detail", "o3_top_fan_out", "a10_duplicates_of", "j18_batch_lookup", "j2_in_edges", "j3_both", "j23_usages", "t12_consumers", "t15_flow_steps", "s5_page", "documents_exact_duplicates", "h1_variable_timeline", "s12_line_chunks", "t6_call_chain_nodes", "t17_trails", "t21_deepest", "t16_flow_paths", "t1_reach", "t1_reach_deep", "t18_shortest", "j21_file_members", "j30_feeds_by_line"}
 

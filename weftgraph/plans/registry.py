@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.plans import graph_queries
+from weftgraph.plans import graph_queries, service_queries, source_queries  # noqa: F401 - the last two add their queries to the first's
 
 Query = Callable[[SparkSession, str], DataFrame]
 
