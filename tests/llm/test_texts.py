@@ -1,7 +1,10 @@
 """Packing, tokenization, classifiers: against libraries, brute force or held-out rows."""
 
 import hashlib
+import math
 import random
+import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -120,6 +123,35 @@ def test_quality_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def plain_counts(t):
+    one = t.count
+    symbols = sum(map(one, "#$%&*+=<>@^_~|\\/{}[]"))
+    return [
+        len(t), sum(map(one, " \n\t\r")), sum(unicodedata.category(c) == "Lu" for c in t), one("!") + one("?"), symbols, one("|"), sum(map(one, "0123456789")), one("."),
+        len(re.findall(r"(?<![^ \t\n\x0b\f\r])([^ \t\n\x0b\f\r]{1,64}) (?=\1(?:[ \t\n\x0b\f\r]|$(?!\n)))", t)), one("\n"),
+    ]
+
+
+def plain_statistics(c):
+    chars, words = c[0], c[1] + 1
+    share = lambda n, of: n / of if chars else 0.0
+    return [chars, words if chars else 0.0, share(chars, words), *(share(c[i], chars) for i in (2, 3, 4)), share(c[5], words), share(c[6], chars), *(share(c[i], words) for i in (7, 8, 9))]
+
+
+def test_compiled_rules_equal_plain_counts_and_rules(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.fit(docs, labels)
+    assert model.rules
+    docs = docs.union(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(["", None, "a a a b", "x" * 90_000, "Éa É|É", "go go gone", "tip tip\ttip tip"])], "doc_id long, text string"))
+    counted = {r["doc_id"]: r["c"] for r in docs.select("doc_id", quality.counts(F.col("text")).alias("c")).collect()}
+    for r in quality.score(docs, model).collect():
+        plain = plain_counts(r["text"] or "")
+        assert list(counted[r["doc_id"]]) == plain, r["text"]
+        stats = dict(zip(quality.STATISTICS, plain_statistics(plain), strict=True))
+        total = model.intercept + sum(w for rule, w in model.rules if all(stats[n] <= v if op == "<=" else stats[n] > v for n, op, v in rule))
+        assert abs(r["score"] - 1 / (1 + math.exp(-total))) < 1e-9 and r["predicted"] == (r["score"] >= quality.THRESHOLD)
+
+
 def test_quality_odd_rows(spark):
     docs = frame(spark, [*odd_texts(20), None], None)
     model = quality.fit(docs, spark.createDataFrame([(1, 1), (2, 0), (3, 1), (None, 1), (4, None)], "doc_id long, quality int"))
@@ -138,7 +170,7 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r["severity"] <= toxicity.GRADES for r in rows)
 
 
-def test_ordinal_grades_are_ordered():
+def test_ordinal_grades_are_ordered(spark):
     texts, grades = [], []
     rng = random.Random(2)
     for i in range(600):
@@ -146,14 +178,31 @@ def test_ordinal_grades_are_ordered():
         words = [rng.choice(["sun", "tree", "river", "stone"]) for _ in range(30)] + ["mild"] * (g >= 1) + ["harsh"] * (g >= 2) + ["vile"] * (g >= 3)
         texts.append(" ".join(words))
         grades.append(g)
-    model = toxicity.fit_texts(texts, grades)
+    labels = spark.createDataFrame(list(enumerate(grades)), "doc_id long, toxic int")
+    model = toxicity.fit(frame(spark, texts), labels)
     scorer = toxicity.Scorer(model)
     expected = [model.exceed(np.array([scorer.score(t)])).sum() for t in ("sun", "mild", "mild harsh", "mild harsh vile")]
     assert expected == sorted(expected) and expected[3] - expected[0] > 2
 
 
+def test_severity_follows_the_formula(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit(docs.repartition(30), labels.union(labels))
+    assert model.weights.size == len(model.places) and set(model.places.values()) == set(range(len(model.places)))
+    for r in toxicity.grade(docs, model).collect():
+        found = {k for w in re.findall(r"[^\W\d_]+", (r["text"] or "").lower()) for k in [w, *(w[:n] + "*" for n in (4, 5, 6) if len(w) >= n)]}
+        score = sum(model.weights[model.places[k]] for k in found & model.places.keys())
+        above = [1 / (1 + math.exp(c - score)) for c in model.thresholds]
+        each = [1 - above[0], *(a - b for a, b in zip(above, [*above[1:], 0.0], strict=True))]
+        assert abs(r["severity"] - sum(above)) < 1e-9 and abs(r["p_toxic"] - above[0]) < 1e-9
+        assert each[r["grade"]] > max(each) - 1e-9 and r["predicted"] == (above[0] >= 0.5)
+
+
 def test_toxicity_odd_rows(spark):
     docs = frame(spark, [*odd_texts(20), None])
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (3, 1), (None, 1), (4, None), (22, 1)], "doc_id long, toxic int")
+    fitted = toxicity.fit(docs.union(docs), labels)
+    assert toxicity.grade(docs, fitted).where("severity between 0 and 3").count() == docs.count()
     flat = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r["predicted"] for r in toxicity.grade(docs, flat).collect()} == {0}
     assert toxicity.grade(docs.limit(0), flat).count() == 0
@@ -177,3 +226,25 @@ def test_language_odd_rows(spark):
     assert language.fit(docs.withColumn("lang", F.lit(None).cast("string"))) is None
     assert {r["lang_pred"] for r in language.predict(docs, None).collect()} == {"und"}
     assert language.predict(docs.limit(0), model).count() == 0
+
+
+def test_kernel_scores_equal_dense_ridge():
+    """With every row a landmark the map is exact, so scores are those of kernel ridge regression on centred kernels."""
+    rng = np.random.default_rng(3)
+    marks = (rng.random((60, language.DIMENSIONS)) < 0.01).astype(np.float32)
+    langs = [("aa", "bb", "cc")[i % 3] for i in range(60)]
+    model = language.fit_kernel(marks, langs, landmarks=60, ridge=0.1)
+    x = marks / np.sqrt(marks.sum(axis=1, keepdims=True))
+    kernel = (x @ x.T).astype(float)
+    center = np.eye(60) - 1 / 60
+    k = center @ kernel @ center
+    target = np.where(np.array(langs)[:, None] == np.array(model.languages)[None, :], 1.0, -1.0)
+    penalty = 0.1 * np.trace(k) / np.linalg.matrix_rank(kernel)
+    dense = k @ np.linalg.solve(k + penalty * np.eye(60), target - target.mean(axis=0)) + target.mean(axis=0)
+    assert np.abs(model.scores(marks) - dense).max() < 1e-3
+
+
+def test_presence_of_ngrams():
+    marks, again = np.zeros(language.DIMENSIONS, np.uint8), np.zeros(language.DIMENSIONS, np.uint8)
+    assert language.presence("Ab1", marks) and language.presence("aB!", again) and (marks == again).all()
+    assert marks.sum() == len({"a", "b", " ", "ab", "b ", "ab "}) and not language.presence("12 !", again)

@@ -7,15 +7,14 @@ expected severity is the sum over k of P(grade > k).  Where labels are only toxi
 1 to ``GRADES`` by the share of their words that carry a kept feature (quantiles over the sample).
 
 Defined cases: null and empty texts have no feature and are scored by the thresholds alone; with no toxic or no
-clean sample row every severity is 0; labels that are null are not learnt from; an empty table gives no rows;
-extra and clashing columns have no effect.
+clean sample row every severity is 0; labels that are null are not learnt from; a doc_id with several labels or
+texts is learnt from each distinct pair; texts of any length are read whole where they lie; an empty table gives no
+rows; extra and clashing columns have no effect.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import crc_bucket, text_batches
+from weftgraph.llm.common import crc_bucket, hashed_sample, materialize, text_batches
 
 #: Labelled rows learnt from at most, half of them toxic: those with the smallest hash of their id.
 SAMPLE_ROWS = 4_000
@@ -94,13 +93,13 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, *, l2: float = 2e-3,
     rows = np.arange(n)
     for step in range(1, steps + 1):
         w, cuts = theta[:m], theta[m] + np.concatenate([[0], np.cumsum(np.exp(theta[m + 1 :]))])
-        s = x @ w
+        s = (x @ w.astype(x.dtype)).astype(float)
         below = 1 / (1 + np.exp(-np.clip(cuts[None, :] - s[:, None], -40, 40)))  # P(y <= k)
         padded = np.concatenate([np.zeros((n, 1)), below, np.ones((n, 1))], axis=1)
         p = np.maximum(padded[rows, y + 1] - padded[rows, y], 1e-9)
         slope = padded * (1 - padded)
         hi, lo = slope[rows, y + 1] / p, slope[rows, y] / p  # d log p / d cut above, and - below
-        gw = x.T @ (hi - lo) / n + l2 * w
+        gw = (x.T @ (hi - lo).astype(x.dtype)).astype(float) / n + l2 * w
         gc = np.zeros(grades)
         np.add.at(gc, y[y < grades], -hi[y < grades] / n)
         np.add.at(gc, y[y > 0] - 1, lo[y > 0] / n)
@@ -111,49 +110,88 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, *, l2: float = 2e-3,
     return theta[:m], theta[m] + np.concatenate([[0], np.cumsum(np.exp(theta[m + 1 :]))])
 
 
-def fit_texts(texts: list[str], grade: list[int], *, features: int = FEATURES, grades: int = GRADES) -> OrdinalModel:
-    """Choose features, grade the toxic texts if all grades are 0 or 1, and fit."""
-    toxic = np.array(grade) > 0
+_KEYS = T.StructType([T.StructField("y", T.IntegerType()), T.StructField("keys", T.ArrayType(T.StringType()))])
+_MARKS = T.StructType([T.StructField("y", T.IntegerType()), T.StructField("marks", T.BinaryType()), T.StructField("share", T.DoubleType())])
+
+
+def text_keys(texts: DataFrame) -> DataFrame:
+    """y, keys: the distinct feature names of each row of (y, t)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted({k for w in set(words(t)) for k in keys(w)}) for t in batch.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(found, pa.list_(pa.string()))], names=_KEYS.names)
+
+    return texts.select("y", "t").mapInArrow(run, _KEYS)
+
+
+def telling(counted: DataFrame, toxic: int, clean: int, features: int) -> DataFrame:
+    """key, strong: the features that tell toxic from clean texts best, of rows (key, bad, good) that count texts."""
+    lift = F.col("bad") / toxic * F.log(((F.col("bad") + 0.5) / (toxic + 1)) / ((F.col("good") + 0.5) / (clean + 1)))
+    strong = F.col("bad") / toxic > 5 * (F.col("good") + 0.5) / clean
+    ranked = counted.where(F.col("bad") >= min(LEAST, toxic)).select("key", lift.alias("lift"), strong.alias("strong"))
+    return ranked.where("lift > 0").orderBy(F.desc("lift"), "key").limit(features)
+
+
+def text_marks(texts: DataFrame, places: dict[str, int], strong: set[str]) -> DataFrame:
+    """y, marks (packed bits of the places that occur), share (of words with a strong feature) of each row of (y, t)."""
+    model = OrdinalModel(places, np.zeros(len(places)), np.zeros(1))  # FEATURES names, pickled with the function
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            marks, shares = [], []
+            for text in batch.column("t").to_pylist():
+                row, found = np.zeros(len(places), np.uint8), words(text)
+                row[sorted(scorer.places(text))] = 1
+                marks.append(np.packbits(row).tobytes())
+                shares.append(sum(1 for w in found if strong.intersection(keys(w))) / max(1, len(found)))
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(marks, pa.binary()), pa.array(shares, pa.float64())], names=_MARKS.names)
+
+    return texts.select("y", "t").mapInArrow(run, _MARKS)
+
+
+def graded(y: np.ndarray, share: np.ndarray, grades: int) -> np.ndarray:
+    """Grades from 0 to ``grades``; where labels are only 0 and 1, toxic rows are graded by quantiles of their share."""
+    if y.max(initial=0) > 1:
+        return np.minimum(y, grades)
+    toxic = y > 0
+    cuts = np.quantile(share[toxic], [(k + 1) / grades for k in range(grades - 1)])
+    return np.where(toxic, 1 + np.searchsorted(cuts, share, side="left"), 0)
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 5, held_out: int = 0, sample: int = SAMPLE_ROWS, features: int = FEATURES, grades: int = GRADES) -> OrdinalModel:
+    """Fit on at most ``sample`` labelled rows (half toxic) whose crc32 bucket is not the held-out one.
+
+    Texts stay on the executors: one pass over the sample counts texts by feature, a second marks the chosen features,
+    and only these bits and a share a text are collected.
+    """
+    spark = docs.sparkSession
+    text_batches(spark)
+    rows = labels.select(F.col(id_col).alias("_id"), F.greatest(F.lit(0), F.col(label_col).cast("int")).alias("_y")).where(F.col("_id").isNotNull() & F.col(label_col).isNotNull() & (crc_bucket("_id", modulus) != held_out))
+    chosen = hashed_sample(rows.where("_y > 0"), "_id", sample // 2).union(hashed_sample(rows.where("_y <= 0"), "_id", sample // 2))
+    joined = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).join(F.broadcast(chosen), "_id")  # at most ``sample`` ids
+    # an id that repeats, however often, is learnt from once a text
+    once = joined.select("_id", F.col("_y").alias("y"), "t", F.xxhash64("t").alias("_h")).dropDuplicates(["_id", "y", "_h"])
+    found = materialize(once, "toxicity-sample")
+    named = found.select("_id", "y", "_h").orderBy(F.xxhash64("_id"), "_id", "y", "_h").limit(sample)
+    texts = found.join(F.broadcast(named), ["_id", "y", "_h"], "left_semi")
+    n = texts.agg(F.count_if(F.col("y") > 0).alias("toxic"), F.count_if(F.col("y") <= 0).alias("clean")).first()
     flat = OrdinalModel({}, np.zeros(0), np.full(grades, 40.0))
-    if not len(texts) or toxic.all() or not toxic.any():
+    if not n["toxic"] or not n["clean"]:
         return flat
-    bad, good = Counter(), Counter()
-    for text, t in zip(texts, toxic, strict=True):
-        (bad if t else good).update({k for w in set(words(text)) for k in keys(w)})
-    nb, ng = int(toxic.sum()), int((~toxic).sum())
-    lift = {k: c / nb * math.log(((c + 0.5) / (nb + 1)) / ((good[k] + 0.5) / (ng + 1))) for k, c in bad.items() if c >= min(LEAST, nb)}
-    kept = sorted((k for k, v in lift.items() if v > 0), key=lambda k: (-lift[k], k))[:features]
+    exploded = text_keys(texts).select("y", F.explode("keys").alias("key"))
+    counted = exploded.groupBy("key").agg(F.count_if(F.col("y") > 0).alias("bad"), F.count_if(F.col("y") <= 0).alias("good"))
+    kept = telling(counted, n["toxic"], n["clean"], features).collect()  # ``features`` rows at most
     if not kept:
         return flat
-    places = {k: i for i, k in enumerate(kept)}
-    scorer = Scorer(OrdinalModel(places, np.zeros(len(kept)), np.zeros(grades)))
-    x = np.zeros((len(texts), len(kept)), np.float32)
-    for i, t in enumerate(texts):
-        x[i, sorted(scorer.places(t))] = 1
-    y = np.array(grade, np.int64)
-    if y.max() <= 1:
-        strong = {k for k in kept if bad[k] / nb > 5 * (good[k] + 0.5) / ng}
-        def marked(text: str) -> float:
-            found = words(text)
-            return sum(1 for w in found if strong.intersection(keys(w))) / max(1, len(found))
-
-        share = np.array([marked(t) if g else 0.0 for t, g in zip(texts, toxic, strict=True)])
-        cuts = np.quantile(share[toxic], [(k + 1) / grades for k in range(grades - 1)])
-        y = np.where(toxic, 1 + np.searchsorted(cuts, share, side="left"), 0)
-    w, thresholds = fit_ordinal(x, np.minimum(y, grades), grades)
+    places = {r["key"]: i for i, r in enumerate(kept)}
+    got = text_marks(texts, places, {r["key"] for r in kept if r["strong"]}).orderBy("y", "marks", "share").toPandas()
+    x = np.stack([np.unpackbits(np.frombuffer(m, np.uint8), count=len(places)) for m in got["marks"]]).astype(np.float32)
+    w, thresholds = fit_ordinal(x, graded(got["y"].to_numpy(np.int64), got["share"].to_numpy(float), grades), grades)
     return OrdinalModel(places, w, thresholds)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 5, held_out: int = 0, sample: int = SAMPLE_ROWS) -> OrdinalModel:
-    """Fit on at most ``sample`` labelled rows (half toxic) whose crc32 bucket is not the held-out one."""
-    rows = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isNotNull() & (crc_bucket("_id", modulus) != held_out))
-    some = [rows.where(cond).orderBy(F.xxhash64("_id"), "_id").limit(sample // 2) for cond in ("_y > 0", "_y <= 0")]
-    chosen = some[0].union(some[1])
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).join(F.broadcast(chosen), "_id")  # at most ``sample`` ids
-    got = texts.select("_id", F.coalesce("_t", F.lit("")).alias("_t"), "_y").orderBy(F.xxhash64("_id"), "_id", "_y", F.xxhash64("_t")).limit(sample).collect()
-    return fit_texts([r["_t"] for r in got], [max(0, r["_y"]) for r in got])
-
-
 def grade(docs: DataFrame, model: OrdinalModel, *, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` plus severity (expected grade), grade (most likely), p_toxic (P(grade > 0)), predicted (p_toxic >= 0.5)."""
     spark = docs.sparkSession
