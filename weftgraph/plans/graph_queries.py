@@ -821,11 +821,6 @@ def _(p):
     return services.keyword_search(p.table("documents").select("doc_id", "text"), "The and rendered of", 20, "text", ("doc_id",)).select("doc_id", "score")
 
 
-@query("documents_exact_duplicates", "SELECT sha256(text) AS digest, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
-def _(p):
-    return aggregate.counts_by(p.table("documents").select(F.sha2("text", 256).alias("digest")), "digest").where("n > 1")
-
-
 # --- streams
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,8 +23,26 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/weftgraph/{label}-{uuid.uuid4().hex}"
 
 
+_scopes: list[list[str]] = []
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The same rows read from files, so that long iterations neither grow their plan nor depend on an executor."""
     path = shared_path(df.sparkSession, label)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that are ``written`` inside are deleted at its end; whatever is to stay must have left them by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark._jvm
+        for path in _scopes.pop():
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
