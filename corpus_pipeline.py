@@ -33,23 +33,32 @@ def _staying(keyed: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text scores at least the threshold, each decided by its own text: null counts as empty, copies and null ids are
+    judged like any others, texts of any length whole; without labels all stay; an empty table stays empty; a column may
+    have any name, but for ``_score``, ``_good`` and ``_counts``, which are used inside."""
     model = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return quality.score(docs, model, out="_score", flag="_good").where("_good = 1").drop("_score", "_good")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows with a letter whose language is told with at least ``LEAST_LANGUAGE_SCORE``: null and empty texts go, and all rows where
+    no language could be learnt; copies and null ids are judged like any others; the stated ``lang`` is not looked at."""
     model = language.fit(table(spark, sf_dir, "documents"))
     scored = language.predict(docs, model, lang_out="_lang", score_out="_score")
     return scored.where((F.col("_lang") != language.UNKNOWN) & (F.col("_score") >= LEAST_LANGUAGE_SCORE)).drop("_lang", "_score")
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text, null being equal to empty: that with the largest doc_id, a null one only where no other is, and one
+    of several rows of that id; a text's other rows go whatever their ids; an empty table stays empty."""
     keyed = _keyed(docs, "exact-rows")
     named = keyed.select(F.struct("doc_id", "_row").alias("_name"), "text")  # a null id is less than any other
     return _staying(keyed, exact_dedup.dedup(named, id_col="_name").where("kept").select("doc_id._row"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group that links of similar rows join: that with the smallest doc_id, a null one only where no other is, and
+    one of several rows of that id; rows without words are linked with nothing and stay; an empty table stays empty."""
     keyed = _keyed(docs, "near-rows")
     linked = minhash.link(keyed, id_col="_row", **NEAR).select(F.col("doc_id").alias("_row"), "component_id")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
@@ -58,6 +67,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows with their places in sequences: null counts as empty, an empty text has one piece of one token,
+    repeated and null ids keep all their pieces; an empty table gives no piece."""
     return packing.pack_documents(docs, vocabulary(WORD_VOCABULARY))
 
 

@@ -88,5 +88,14 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
-QUERIES = {"op1_pack": op1_pack, "op2_quality": op2_quality, "op3_minhash": op3_minhash, "op4_toxicity": op4_toxicity, "op5_byte_bpe": op5_byte_bpe, "op6_url_filter": op6_url_filter, "op7_topk": op7_topk, "op8_warc": op8_warc, "op9_language": op9_language, "op10_exact_dedup": op10_exact_dedup}
-ORACLES = {"op7_topk": OP7_SQL, "op10_exact_dedup": OP10_SQL}
+
+def documents_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of texts that occur more than once, with their number."""
+    rows = exact_dedup.digests(table(spark, sf_dir, "documents")).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return rows.select(F.lower(F.hex("digest")).alias("digest"), "n")
+
+
+DUPLICATES_SQL = "SELECT sha256(coalesce(text, '')) AS digest, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1"
+
+QUERIES = {"op1_pack": op1_pack, "op2_quality": op2_quality, "op3_minhash": op3_minhash, "op4_toxicity": op4_toxicity, "op5_byte_bpe": op5_byte_bpe, "op6_url_filter": op6_url_filter, "op7_topk": op7_topk, "op8_warc": op8_warc, "op9_language": op9_language, "op10_exact_dedup": op10_exact_dedup, "documents_exact_duplicates": documents_exact_duplicates}
+ORACLES = {"op7_topk": OP7_SQL, "op10_exact_dedup": OP10_SQL, "documents_exact_duplicates": DUPLICATES_SQL}
