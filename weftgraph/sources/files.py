@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from fnmatch import fnmatch
+from fnmatch import translate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +13,7 @@ from weftgraph import schema
 from weftgraph.functions.identity import node_id
 from weftgraph.graph import CodeGraph
 from weftgraph.session import ship
+from weftgraph.storage import written
 
 #: Folders that hold no sources.
 SKIPPED = ("__pycache__", ".git", ".venv", "node_modules", ".tox", ".mypy_cache")
@@ -24,31 +25,45 @@ SKIPPED_BEFORE = ("__pycache__", "node_modules", ".venv", "venv")
 def python_files(spark: SparkSession, root: str, pattern: str = "*.py", skipped: Sequence[str] = SKIPPED, dot_folders: bool = True) -> DataFrame:
     """(path relative to root, source) of files below a root.
 
-    Spark's own file readers pass over names that begin with an underscore or a dot (``__init__.py`` is one), so the
-    folder is listed by name on the driver, as any reader does, and contents are read on the executors.
-    ``dot_folders=False`` also skips every folder whose name begins with a dot.
+    Spark's own file readers pass over names that begin with an underscore or a dot (``__init__.py`` is one), so folders
+    are listed by the executors, a level of the tree at a time, as contents are read.  ``dot_folders=False`` also skips
+    every folder whose name begins with a dot.
     """
     from pyarrow import fs
 
     ship(spark)
     uri = root if "://" in root else f"file://{root}"
-    system, base = fs.FileSystem.from_uri(uri)
-    found = []
-    for info in system.get_file_info(fs.FileSelector(base, recursive=True)):
-        relative = info.path[len(base) :].strip("/")
-        folders = relative.split("/")[:-1]
-        if info.type == fs.FileType.File and fnmatch(info.base_name, pattern) and not set(folders) & set(skipped) and (dot_folders or not any(f.startswith(".") for f in folders)):
-            found.append((relative, info.path))
-    listed = spark.createDataFrame(sorted(found), "path string, file string").repartition(len(found) // FILES_A_TASK + 1, "path")
+    _, base = fs.FileSystem.from_uri(uri)
+    base = base.rstrip("/")
+
+    def children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, _ = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                found = system.get_file_info(fs.FileSelector(folder))
+                yield pa.RecordBatch.from_arrays([pa.array([i.path for i in found], pa.string()), pa.array([i.base_name for i in found], pa.string()), pa.array([i.type == fs.FileType.Directory for i in found], pa.bool_())], names=["file", "name", "folder"])
+
+    level, found = spark.createDataFrame([(base,)], "file string"), None
+    while not level.isEmpty():
+        entries = written(level.repartition("file").mapInArrow(children, "file string, name string, folder boolean"), "listing")
+        files = entries.where(~F.col("folder") & F.col("name").rlike(f"^{translate(pattern)}"))
+        found = files if found is None else found.unionByName(files)
+        level = entries.where(F.col("folder") & ~F.col("name").isin(*skipped))
+        level = (level if dot_folders else level.where(~F.startswith("name", F.lit(".")))).select("file")
+    listed = written(found.select(F.substring("file", len(base) + 2, 1 << 30).alias("path"), "file"), "listing")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
         where, _ = fs.FileSystem.from_uri(uri)
         for batch in batches:
-            for path, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for path, file in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with where.open_input_stream(file) as stream:
                     yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([stream.read().decode("utf-8", "replace")])], names=["path", "source"])
 
-    return listed.mapInArrow(read, "path string, source string")
+    return listed.repartition(listed.count() // FILES_A_TASK + 1, "path").mapInArrow(read, "path string, source string")
 
 
 def content(files: DataFrame, path: str) -> DataFrame:
