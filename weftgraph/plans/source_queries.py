@@ -81,7 +81,7 @@ def _(p):
 @_source_query(
     "x1_definitions",
     """
-SELECT m || '.Box' AS name, 'class' AS kind, path AS module_path, 5 AS start_line, 8 AS end_line, 'class Box' AS signature, NULL AS return_type FROM c
+SELECT m || '.Box' AS name, 'class' AS kind, path AS module_path, 5 AS start_line, 8 AS end_line, 'class Box' AS signature, CAST(NULL AS VARCHAR) AS return_type FROM c
 UNION ALL SELECT m || '.Box.put', 'method', path, 6, 8, 'def put(self, item)', NULL FROM c UNION ALL SELECT m || '.g', 'function', path, 11, 12, 'def g(x, key=None)', NULL FROM c
 UNION ALL SELECT m || '.f', 'function', path, 15, CAST(16 + n AS INT), 'def f(total, items, data: Box)', NULL FROM c
 """,
