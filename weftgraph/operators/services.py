@@ -295,10 +295,11 @@ def chunks(files: DataFrame, size: int = 60, overlap: int = 10) -> DataFrame:
     starts = F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0)), F.lit(step))
     # a chunk that ends the file is the last
     useful = F.filter(starts, lambda s: (s == 0) | (s - step + size < count))
-    rows = files.select("path", lines.alias("_lines"), F.explode(useful).alias("_start"))
-    text = F.array_join(F.slice("_lines", F.col("_start") + 1, size), "\n")
-    out = rows.select(F.md5(F.concat_ws(":", "path", F.col("_start").cast("string"))).alias("id"), "path", (F.col("_start") + 1).alias("start_line"), F.least(F.col("_start") + size, F.size("_lines")).alias("end_line"), text.alias("content"))
-    return out.where(F.trim(F.regexp_replace("content", r"\s+", " ")) != "")
+    # a chunk's text is cut before rows are made, so that no row carries its whole file
+    chunk = F.transform(useful, lambda s: F.struct((s + 1).alias("start_line"), F.least(s + size, count).alias("end_line"), F.array_join(F.slice(lines, s + 1, size), "\n").alias("content")))
+    told = F.filter(chunk, lambda c: F.rlike(c["content"], F.lit(r"\S")))
+    rows = files.select("path", F.explode(told).alias("c"))
+    return rows.select(F.md5(F.concat_ws(":", "path", (F.col("c.start_line") - 1).cast("string"))).alias("id"), "path", "c.start_line", "c.end_line", "c.content")
 
 
 def tokens(text: Column) -> Column:
@@ -309,6 +310,8 @@ def tokens(text: Column) -> Column:
 def keyword_search(rows: DataFrame, question: str, k: int, text: str = "content", order: Sequence[str] = ("path", "start_line")) -> DataFrame:
     """The k texts that share most words with a question, as a share of the question's words; ties in given order."""
     words = sorted(set(re.findall(r"\w+", question.lower())))
-    asked = F.array(*[F.lit(w) for w in words]).cast("array<string>")
-    score = F.size(F.array_intersect(asked, tokens(F.col(text)))) / F.lit(float(max(1, len(words))))
+    lowered, hits = F.lower(text), F.lit(0)
+    for w in words:  # a question has few words, so a search for each beats taking every text apart
+        hits += F.when(F.rlike(lowered, F.lit(rf"(?U)(?<!\w){w}(?!\w)")), 1).otherwise(0)
+    score = hits / F.lit(float(max(1, len(words))))
     return rows.withColumn("score", F.round(score, 6)).where("score > 0").orderBy(F.desc("score"), *order).limit(k)
