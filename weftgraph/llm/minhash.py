@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import materialize, text_batches
+from weftgraph.llm.common import batch_rows, materialize, text_batches
 from weftgraph.llm.components import components
 
 PERMUTATIONS = 96
@@ -44,6 +44,8 @@ SMALL = 48
 TYPICAL = (4, 8)
 #: Nodes packed together for products: those outside the main component, and all of a band.
 OUTSIDE, INSIDE = 64, 256
+#: Nodes of a band that are dealt to one task together at most, on average; and packs of nodes outside.
+PART, PACKS = 256, 8
 
 _WORD = re.compile("[^\\x20\\x09-\\x0D]+")
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -112,7 +114,7 @@ class MinMax:
 
     def __call__(self, shingles: np.ndarray) -> np.ndarray:
         """One signed 64-bit key a band; the band's number is part of the key."""
-        rows = self.signature(shingles).reshape(-1, self.bands)  # a band has values of different permutations
+        rows = self.signature(shingles).reshape(-1, self.bands)  # a band has minima and maxima of the same permutations
         key = np.arange(self.bands, dtype=np.uint64)
         for r in rows:
             key = _mix(key * _MIX[2] + r)
@@ -178,19 +180,37 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
+def _parts(size: Column, part: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(size / part)).cast("long")
+
+
+def _meet_few(rows: DataFrame, few: DataFrame) -> DataFrame:
+    """Rows (bucket, node, m, ...) joined with a table that has few rows a bucket (bucket, m, ...), where m is the band's size.
+
+    A band's rows are dealt to tasks by a hash of their nodes, ``PART`` at a time, and its few rows are repeated for each;
+    so no task has a whole band, whatever its size, and bands of up to ``PART`` nodes are shuffled as they are.
+    """
+    parts = _parts(F.col("m"), PART)
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64("node"), parts))
+    each = few.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("m")
+    return dealt.join(each.hint("merge"), ["bucket", "_part"]).drop("_part")
+
+
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows with node, plus comp: its component so far."""
     return rows.join(labels.withColumnRenamed("component", "_c"), "node", "left").withColumn("comp", F.coalesce("_c", "node")).drop("_c")
 
 
 def _open(rows: DataFrame) -> DataFrame:
-    """(bucket, m): buckets whose rows (bucket, node, comp, ...) lie in several components, with their row count."""
-    return rows.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count(F.lit(1)).alias("m")).where("_lo <> _hi").select("bucket", "m")
+    """(bucket, m, open): buckets whose rows (bucket, node, comp, m, ...) lie in several components, with the count of these rows."""
+    found = rows.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.max("m").alias("m"), F.count(F.lit(1)).alias("open"))
+    return found.where("_lo <> _hi").drop("_lo", "_hi")
 
 
 def _pairs(left: DataFrame, right: DataFrame, percent: int, *more: Column) -> DataFrame:
-    """Distinct pairs a < b of nodes that share a bucket, lie in different components and have fitting sizes."""
-    joined = left.select("bucket", *[F.col(c).alias(f"{c}_l") for c in left.columns if c != "bucket"]).join(right.select("bucket", *[F.col(c).alias(f"{c}_r") for c in right.columns if c != "bucket"]), "bucket")
+    """Distinct pairs a < b of nodes that share a bucket, lie in different components and have fitting sizes; ``right`` has few rows a bucket."""
+    named = lambda df, end: df.select("bucket", "m", *[F.col(c).alias(f"{c}_{end}") for c in df.columns if c not in ("bucket", "m")])
+    joined = _meet_few(named(left, "l").withColumn("node", F.col("node_l")), named(right, "r"))
     kept = joined.where((F.col("comp_l") != F.col("comp_r")) & _may_link(percent, F.col("n_l"), F.col("n_r")))
     for condition in more:
         kept = kept.where(condition)
@@ -207,8 +227,9 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wor
     classes = materialize(feats.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "minhash-classes")
     named = feats.join(classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("node").alias("_node")), (F.col("doc_id") == F.col("_node")) & (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left_semi")
     banded = named.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node"), "n")
-    heads = materialize(banded.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("_hi"), F.min_by("n", "node").alias("head_n")).where("head <> _hi").drop("_hi"), "minhash-heads")
-    shared = materialize(banded.join(heads, "bucket"), "minhash-shared")  # nodes that share a band with another
+    heads = materialize(banded.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("_hi"), F.min_by("n", "node").alias("head_n"), F.count(F.lit(1)).alias("m")).where("head <> _hi").drop("_hi"), "minhash-heads")
+    # adaptive execution may split a band here, as its rows still lie as the documents do
+    shared = materialize(banded.join(heads.hint("merge"), "bucket"), "minhash-shared")  # nodes that share a band with another
 
     nodes = shared.select("node").distinct()
     sets = materialize(shingle_sets(docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(nodes, "node", "left_semi"), id_col="node", words=words), "minhash-sets")
@@ -218,13 +239,13 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wor
     links = materialize(_confirm(first, sets, percent), "minhash-links")
     labels = components(links)
 
-    rows = _labelled(shared.select("bucket", "node", "n"), labels)
+    rows = _labelled(shared.select("bucket", "node", "n", "m"), labels)
     opened = materialize(_open(rows), "minhash-open")
-    active = materialize(rows.join(opened, "bucket"), "minhash-active")
-    small = active.where(F.col("m") <= SMALL).drop("m")
+    active = materialize(_meet_few(rows, opened), "minhash-active")
+    small = active.where(F.col("open") <= SMALL).drop("open")
     found = materialize(_confirm(_pairs(small, small, percent, F.col("node_l") < F.col("node_r")), sets, percent), "minhash-links")
     labels = components(found, labels)
-    labels = _large_bands(active.where(F.col("m") > SMALL).drop("m", "comp"), sets, labels, percent)
+    labels = _large_bands(active.where(F.col("open") > SMALL).drop("open", "comp"), sets, labels, percent)
 
     final = materialize(_labelled(classes, labels).select("k1", "k2", F.col("comp").alias("component_id")), "minhash-final")
     joined = feats.select("doc_id", "n", "k1", "k2").join(final, ["k1", "k2"], "left")
@@ -255,7 +276,7 @@ def _large_bands(rows: DataFrame, sets: DataFrame, labels: DataFrame, percent: i
             return labels
         ranks = materialize(_most_typical(now, typical), "minhash-typical")
         least = F.least("c_l", "c_r")
-        pairs = _pairs(ranks, now, percent, F.lit(100) * least >= F.lit(percent) * (F.col("n_l") + F.col("n_r") - least))
+        pairs = _pairs(now, ranks, percent, F.lit(100) * least >= F.lit(percent) * (F.col("n_l") + F.col("n_r") - least))
         labels = components(materialize(_confirm(pairs, sets, percent), "minhash-links"), labels)
         left = now.drop("comp").join(ranks.select("bucket", "node"), ["bucket", "node"], "left_anti")
     now = _still_open(left, labels)
@@ -267,7 +288,7 @@ def _large_bands(rows: DataFrame, sets: DataFrame, labels: DataFrame, percent: i
 def _still_open(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows with their components so far, of buckets that have several."""
     now = _labelled(rows, labels)
-    return materialize(now.join(_open(now).select("bucket"), "bucket", "left_semi"), "minhash-large")
+    return materialize(_meet_few(now, _open(now).drop("open")), "minhash-large")
 
 
 def _block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -276,25 +297,23 @@ def _block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     Both are packed into blocks before they meet, so a row is a pair of blocks, and a task holds two at a time.
     """
     spark = rows.sparkSession
-    sizes = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"))
-    main = materialize(sizes.groupBy("bucket").agg(F.max_by("comp", "m").alias("main"), F.sum("m").alias("all"), (F.sum("m") - F.max("m")).alias("outside")), "minhash-main")
-    told = rows.select("bucket", "node", "comp").join(main, "bucket")
+    sizes = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k"), F.max("m").alias("m"))
+    main = materialize(sizes.groupBy("bucket").agg(F.max("m").alias("m"), F.max_by("comp", "k").alias("main"), F.sum("k").alias("all"), (F.sum("k") - F.max("k")).alias("outside_n")), "minhash-main")
+    told = _meet_few(rows.select("bucket", "node", "comp", "m"), main)
     packed = F.collect_list(F.struct("node", "comp", "set"))
+    packs = _parts(F.ceil(F.col("outside_n") / OUTSIDE), PACKS)
 
     def blocks(some: DataFrame, count: Column, size: int, seed: int, name: str) -> DataFrame:
         block = F.pmod(F.xxhash64("node", F.lit(seed)), F.ceil(count / size).cast("long"))
-        keyed = some.select("bucket", block.alias("block"), "node", "comp")
-        return materialize(keyed.join(sets, "node").groupBy("bucket", "block").agg(packed.alias(name)).drop("block"), "minhash-blocks")
-
-    outside = blocks(told.where("comp <> main"), F.col("outside"), OUTSIDE, 1, "outside")
-    inside = blocks(told, F.col("all"), INSIDE, 2, "inside")
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # a row has two blocks of sets
-    try:
-        met = outside.join(inside, "bucket").select("outside", "inside")
+        keyed = some.select("bucket", block.alias("block"), packs.alias("packs"), "node", "comp")
+        return materialize(keyed.join(sets, "node").groupBy("bucket", "block").agg(F.max("packs").alias("packs"), packed.alias(name)), "minhash-blocks")
+
+    # blocks of nodes outside are dealt to tasks some at a time, and the band's blocks are repeated for each
+    outside = blocks(told.where("comp <> main"), F.col("outside_n"), OUTSIDE, 1, "outside").withColumn("part", F.pmod("block", "packs"))
+    inside = blocks(told, F.col("all"), INSIDE, 2, "inside").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("packs") - 1)))
+    with batch_rows(spark, 8):  # a row has two blocks of sets
+        met = outside.select("bucket", "part", "outside").join(inside.select("bucket", "part", "inside").hint("merge"), ["bucket", "part"]).select("outside", "inside")
         return materialize(met.mapInArrow(_block_pairs(percent), T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])), "minhash-links")
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
 def _unpack(column: pa.ListArray, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
