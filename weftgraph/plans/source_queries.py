@@ -247,3 +247,45 @@ SELECT n AS files, CAST(4 * n AS BIGINT) AS nodes, CAST(7 * n AS BIGINT) AS vari
 def _(p):
     """Counters of the import of all documents' sources."""
     return _extraction(p).report()
+
+
+# --- sources written anew, synchronised, indexed again
+
+
+_SQL_BODY = " ".join(f"WHEN {k} THEN '    {text.replace('N', chr(39) + ' || n || ' + chr(39))}'" if k != 2 else "WHEN 2 THEN '    if total > ' || n || ':' || chr(10) || '        total = ' || n" for k, text in enumerate(_KINDS))
+
+
+@_source_query(
+    "w19_regenerated",
+    f"""
+SELECT m || '.f' AS name, concat('def f(total, items, data: Box):', chr(10), string_agg(CASE k {_SQL_BODY} END, chr(10) ORDER BY place), chr(10), '    return total', chr(10)) AS source FROM st GROUP BY m
+UNION ALL SELECT m || '.g', concat('def g(x, key=None):', chr(10), '    return x', chr(10)) FROM c UNION ALL SELECT m || '.Box.put', concat('def put(self, item):', chr(10), '    self.size = item', chr(10), '    return item', chr(10)) FROM c
+""",
+)
+def _(p):
+    from weftgraph.extract.regenerate import functions
+
+    e = _extraction(p)
+    return functions(e.nodes, e.statements)
+
+
+@_source_query("w17_gone_from_sources", "SELECT m || '.old' AS name FROM c")
+def _(p):
+    """Stored nodes that the edited sources of their modules no longer define."""
+    from weftgraph.sources import files
+
+    nodes = _extraction(p).nodes.select("id", "name", "module_path")
+    old = p.table("documents").select(F.concat(F.lit("old"), "doc_id").alias("id"), F.concat(F.lit("src.d"), "doc_id", F.lit(".old")).alias("name"), F.concat(F.lit("src/d"), "doc_id", F.lit(".py")).alias("module_path"))
+    stored = nodes.unionByName(old)
+    _new, gone = files.sync_sources(sources(p.table("documents")), p.graph().with_(nodes=stored))
+    return stored.join(gone, "id", "left_semi").select("name")
+
+
+@_source_query("st5_indexed_again", "SELECT m || d AS name, path AS module_path FROM c, (VALUES ('.Box'), ('.Box.put'), ('.g2'), ('.f')) v(d)")
+def _(p):
+    """Every module after its function g was renamed: the old node goes, the others come back."""
+    from weftgraph.streaming import changes
+
+    renamed = sources(p.table("documents")).withColumn("source", F.replace("source", F.lit("def g("), F.lit("def g2(")))
+    graph = _extraction(p).graph()
+    return changes.reindexed(graph, renamed).nodes.select("name", "module_path")
