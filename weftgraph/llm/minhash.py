@@ -184,7 +184,7 @@ def _parts(size: Column, part: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(size / part)).cast("long")
 
 
-def _meet_few(rows: DataFrame, few: DataFrame) -> DataFrame:
+def _meet_few(rows: DataFrame, few: DataFrame, how: str = "inner") -> DataFrame:
     """Rows (bucket, node, m, ...) joined with a table that has few rows a bucket (bucket, m, ...), where m is the band's size.
 
     A band's rows are dealt to tasks by a hash of their nodes, ``PART`` at a time, and its few rows are repeated for each;
@@ -193,7 +193,7 @@ def _meet_few(rows: DataFrame, few: DataFrame) -> DataFrame:
     parts = _parts(F.col("m"), PART)
     dealt = rows.withColumn("_part", F.pmod(F.xxhash64("node"), parts))
     each = few.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("m")
-    return dealt.join(each.hint("merge"), ["bucket", "_part"]).drop("_part")
+    return dealt.join(each.hint("merge"), ["bucket", "_part"], how).drop("_part")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -288,7 +288,7 @@ def _large_bands(rows: DataFrame, sets: DataFrame, labels: DataFrame, percent: i
 def _still_open(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows with their components so far, of buckets that have several."""
     now = _labelled(rows, labels)
-    return materialize(_meet_few(now, _open(now).drop("open")), "minhash-large")
+    return materialize(_meet_few(now, _open(now).drop("open"), "left_semi"), "minhash-large")
 
 
 def _block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
