@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from zlib import crc32
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import byte_bpe, exact_dedup, language, minhash, packing, quality, topk, toxicity, url_filter, warc
+from weftgraph.llm import byte_bpe, decontamination, exact_dedup, language, minhash, packing, periodic, quality, resampling, topk, toxicity, url_filter, warc
 from weftgraph.llm.common import crc_bucket, table
 
 WORD_VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
@@ -89,6 +91,73 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS k, w, len(w) AS n
+           FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents)),
+b AS (SELECT item_id, w, least(len(w), 10) AS m
+      FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark) WHERE len(w) > 0),
+bi AS (SELECT item_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM b),
+bw AS (SELECT DISTINCT item_id, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS t FROM bi),
+di AS (SELECT k, w, m, unnest(range(1, n - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM b) WHERE n >= m),
+dw AS (SELECT k, m, i, array_to_string(list_slice(w, i, i + m - 1), ' ') AS t FROM di),
+hits AS (SELECT k, i, m, t FROM dw WHERE t IN (SELECT t FROM bw)),
+words AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(i, i + m)) AS p FROM hits) GROUP BY k),
+items AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+          FROM (SELECT DISTINCT k, item_id::VARCHAR AS item FROM hits JOIN bw USING (t) WHERE item_id IS NOT NULL) GROUP BY k)
+SELECT doc_id, n AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (k) LEFT JOIN items USING (k)
+"""
+
+
+def _with_periodic_end(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words, from some place on repeated with a period, in a tenth of the documents."""
+    h = crc32(b"" if doc_id is None else str(doc_id).encode())
+    n, g = len(words), h // 10
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * -(-(n - a) // p))[: n - a]
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.describe(table(spark, sf_dir, "documents"), words_of=_with_periodic_end)
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, least_words=20, seed=42)
+
+
+OP13_SQL = r"""
+WITH RECURSIVE crcs(i, c, k) AS (SELECT i, i, 0 FROM range(256) r(i) UNION ALL
+    SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crcs WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM crcs WHERE k = 8),
+src AS (SELECT 'd' AS side, row_number() OVER () AS k, doc_id, text FROM documents UNION ALL SELECT 'b', -row_number() OVER (), NULL, text FROM benchmark),
+w AS (SELECT side, k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM src),
+g AS (SELECT side, k, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS n) WHERE len(ws) >= n),
+f AS (SELECT side, k, array_to_string(list_slice(ws, i, i + n - 1), ' ') AS f FROM g),
+x AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM f)),
+bytes AS (SELECT f, [('0x' || h[2 * j + 1:2 * j + 2])::BIGINT FOR j IN range(length(h) // 2)] AS b FROM x),
+b AS (SELECT f, xor(list_reduce([4294967295] || b, lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) % 10000 AS bucket FROM bytes, tab),
+fb AS (SELECT side, k, bucket FROM f JOIN b USING (f)),
+n AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM fb GROUP BY bucket),
+tot AS (SELECT coalesce(sum(s), 0)::DOUBLE AS s, coalesce(sum(t), 0)::DOUBLE AS t FROM n),
+gain AS (SELECT bucket, floor(1000 * ln((n.t + 1)::DOUBLE * (tot.s + 10000) / ((n.s + 1)::DOUBLE * (tot.t + 10000))))::BIGINT AS gain FROM n, tot),
+per AS (SELECT k, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM fb JOIN gain USING (bucket) WHERE side = 'd' GROUP BY k),
+sc AS (SELECT doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+              coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+       FROM w LEFT JOIN per USING (k) WHERE side = 'd'),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_words >= 20) AS able FROM sc)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * able // 100 THEN place END AS rank FROM r
+"""
+
+
 def documents_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of texts that occur more than once, with their number."""
     rows = exact_dedup.digests(table(spark, sf_dir, "documents")).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -97,5 +166,5 @@ def documents_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DUPLICATES_SQL = "SELECT sha256(coalesce(text, '')) AS digest, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1"
 
-QUERIES = {"op1_pack": op1_pack, "op2_quality": op2_quality, "op3_minhash": op3_minhash, "op4_toxicity": op4_toxicity, "op5_byte_bpe": op5_byte_bpe, "op6_url_filter": op6_url_filter, "op7_topk": op7_topk, "op8_warc": op8_warc, "op9_language": op9_language, "op10_exact_dedup": op10_exact_dedup, "documents_exact_duplicates": documents_exact_duplicates}
-ORACLES = {"op7_topk": OP7_SQL, "op10_exact_dedup": OP10_SQL, "documents_exact_duplicates": DUPLICATES_SQL}
+QUERIES = {"op1_pack": op1_pack, "op2_quality": op2_quality, "op3_minhash": op3_minhash, "op4_toxicity": op4_toxicity, "op5_byte_bpe": op5_byte_bpe, "op6_url_filter": op6_url_filter, "op7_topk": op7_topk, "op8_warc": op8_warc, "op9_language": op9_language, "op10_exact_dedup": op10_exact_dedup, "op11_decontamination": op11_decontamination, "op12_runs": op12_runs, "op13_resampling": op13_resampling, "documents_exact_duplicates": documents_exact_duplicates}
+ORACLES = {"op7_topk": OP7_SQL, "op10_exact_dedup": OP10_SQL, "op11_decontamination": OP11_SQL, "op13_resampling": OP13_SQL, "documents_exact_duplicates": DUPLICATES_SQL}
