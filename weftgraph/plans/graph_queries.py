@@ -860,6 +860,24 @@ def _(p):
     return changes.debounced(changes.as_changes(p.table("events")), "30 minutes").select("path", "kind", "hash", "n")
 
 
+@query(
+    "st3_settled",
+    """
+WITH b AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM (
+    SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)),
+s AS (SELECT user_id, max(ts) AS ts, arg_max(event_type, (ts, event_id)) AS kind, arg_max(props, (ts, event_id)) AS hash, count(*) AS n FROM b GROUP BY user_id, burst)
+SELECT path, kind, hash, n FROM (SELECT 'u' || user_id AS path, kind, hash, n, lag(hash) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM s
+  WHERE ts + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events)) WHERE before IS NULL OR before <> hash
+""",
+)
+def _(p):
+    """Settled bursts whose content is new, by a stream with keyed state; a burst is settled once the events have passed its end."""
+    from weftgraph.streaming import changes, gate
+
+    return changes.written_stream(gate.settled(_changes(p), gap=30 * 60_000, late=0), "st3-settled").select("path", "kind", "hash", "n")
+
+
 @query("st9_windowed_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2")
 def _(p):
     from weftgraph.streaming import changes

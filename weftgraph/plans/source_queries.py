@@ -289,3 +289,53 @@ def _(p):
     renamed = sources(p.table("documents")).withColumn("source", F.replace("source", F.lit("def g("), F.lit("def g2(")))
     graph = _extraction(p).graph()
     return changes.reindexed(graph, renamed).nodes.select("name", "module_path")
+
+
+# --- trees of files, written from whole documents
+
+_FOLDERS = ("a", "a/node_modules", "b/.hidden", "c/venv", ".git", "d/e")
+#: Documents of one file.
+_A_FILE = 20
+
+
+def _file_tree(p: Projection) -> str:
+    """The folder of a tree that is written for this call: the texts of twenty documents a file, in folders of which some are skipped."""
+    from weftgraph.sources.files import write_files
+
+    number = F.col("doc_id").cast("long")
+    place = F.concat(F.element_at(F.array(*[F.lit(f) for f in _FOLDERS]), (F.floor(number / _A_FILE) % len(_FOLDERS) + 1).cast("int")), F.lit("/f"), F.floor(number / _A_FILE).cast("string"), F.lit(".py"))
+    texts = p.table("documents").select(place.alias("path"), F.struct("doc_id", F.coalesce("text", F.lit("")).alias("t")).alias("d"))
+    files = texts.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list("d")), lambda d: d["t"]), "\n").alias("source"))  # of twenty documents
+    return write_files(files, shared_path(p.spark, "tree"))
+
+
+_TREE = f"""
+WITH f AS (SELECT [{', '.join(repr(f) for f in _FOLDERS)}][(doc_id // {_A_FILE}) % {len(_FOLDERS)} + 1] AS folder, 'f' || (doc_id // {_A_FILE}) || '.py' AS name,
+                  string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) AS source FROM documents GROUP BY ALL)
+SELECT folder || '/' || name AS path, sha256(source) AS checksum, length(source) AS n FROM f WHERE folder IN """
+
+
+@query("s1_source_tree", _TREE + "('a', 'b/.hidden', 'c/venv', 'd/e')")
+def _(p):
+    """Files of a written tree outside the importer's skipped folders."""
+    from weftgraph.sources import tree
+
+    return tree.source_tree(p.spark, _file_tree(p)).select("path", "checksum", F.length("source").cast("long").alias("n"))
+
+
+@query("s2_source_tree_without_dots", _TREE + "('a', 'd/e')")
+def _(p):
+    """Files of a written tree outside dotted folders and those that the watcher skips."""
+    from weftgraph.sources import tree
+
+    return tree.source_tree(p.spark, _file_tree(p), skipped=tree.SKIPPED_BEFORE, dot_folders=False).select("path", "checksum", F.length("source").cast("long").alias("n"))
+
+
+@query("st1_source_changes", _TREE + "('a', 'd/e')")
+def _(p):
+    """The first batch of a stream over a written tree: all files that are watched."""
+    from weftgraph.sources import tree
+    from weftgraph.streaming import changes
+
+    found = changes.written_stream(tree.source_changes(p.spark, _file_tree(p), settle=0), "st1-tree")
+    return found.select("path", "checksum", F.length("source").cast("long").alias("n"))

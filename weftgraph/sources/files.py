@@ -66,6 +66,30 @@ def python_files(spark: SparkSession, root: str, pattern: str = "*.py", skipped:
     return listed.repartition(listed.count() // FILES_A_TASK + 1, "path").mapInArrow(read, "path string, source string")
 
 
+def write_files(files: DataFrame, root: str) -> str:
+    """Write each row (path, source) as a file below ``root``, which all executors must see; returns ``root``."""
+    ship(files.sparkSession)
+    uri = root if "://" in root else f"file://{root}"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(uri)
+        made = set()
+        for batch in batches:
+            for path, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                folder = f"{base.rstrip('/')}/{path}".rpartition("/")[0]
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with system.open_output_stream(f"{base.rstrip('/')}/{path}") as out:
+                    out.write((source or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    files.select("path", "source").mapInArrow(write, "n long").agg(F.sum("n")).collect()  # one number
+    return root
+
+
 def content(files: DataFrame, path: str) -> DataFrame:
     """The content of one file."""
     return files.where(F.col("path") == path).select("source")
@@ -122,4 +146,4 @@ def sync_sources(projected: DataFrame, graph: CodeGraph) -> tuple[DataFrame, Dat
     return new, gone
 
 
-__all__ = ["append_json_lines", "content", "json_lines", "node_id", "python_files", "read_json_graph", "sync_sources", "write_json_graph"]
+__all__ = ["append_json_lines", "content", "json_lines", "node_id", "python_files", "read_json_graph", "sync_sources", "write_files", "write_json_graph"]

@@ -1,13 +1,13 @@
 """Change feeds by Structured Streaming: debounce, content gates, re-indexing.
 
 A change event has path, kind, hash and ts.  Every operator here takes a streaming or a batch DataFrame, unless it
-says otherwise; state is keyed by path: bounded by a watermark, or one hash per path that exists.
+says otherwise; state is keyed by path: bounded by a watermark, or one hash per path that exists.  Changes of files come
+from ``sources.tree``, and ``gate`` settles bursts of them and holds back unchanged content.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from weftgraph.graph import CodeGraph
 from weftgraph.operators import mutate
 from weftgraph.sources.files import SKIPPED
+from weftgraph.storage import shared_path
+from weftgraph.streaming import gate
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-#: Kinds of changes after which a path's remembered hash goes.
-GONE = ("deleted", "moved")
 
 
 def event_stream(spark: SparkSession, folder: str, columns: str = EVENTS) -> DataFrame:
@@ -31,6 +31,11 @@ def as_changes(events: DataFrame) -> DataFrame:
     return events.select(F.concat(F.lit("u"), "user_id").alias("path"), F.col("event_type").alias("kind"), F.col("props").alias("hash"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"))
 
 
+def as_file_changes(files: DataFrame) -> DataFrame:
+    """Files of ``tree.source_changes`` as changes; what is there by now is all that is known, so each is a modification."""
+    return files.select("path", F.lit("modified").alias("kind"), F.col("checksum").alias("hash"), F.timestamp_micros(F.expr("modified div 1000")).alias("ts"), F.lit(None).cast("long").alias("id"))
+
+
 def watched(changes: DataFrame) -> DataFrame:
     """ST4: changes outside skipped and dotted folders."""
     folders = F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
@@ -56,51 +61,22 @@ def windowed_counts(changes: DataFrame, width: str = "1 hour", late: str = "10 m
     return changes.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "kind").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "kind", "n")
 
 
-@dataclass(frozen=True)
-class ContentGate:
-    """ST3 over a stream, to be run by ``written_stream``: state is a table with each path's last hash."""
-
-    changes: DataFrame
-    COLUMNS = "path string, kind string, hash string, ts timestamp, id long"
-    LAST = "path string, hash string"
-
-    def written(self, label: str) -> DataFrame:
-        """Run over all input that there is; a repeated micro-batch overwrites its files with the same rows."""
-        from weftgraph.storage import shared_path
-
-        path = shared_path(self.changes.sparkSession, label)
+def changed_content(changes: DataFrame, late: int = 0) -> DataFrame:
+    """ST3 over a stream: each change whose hash differs from the path's last one, also if it was seen earlier, in order of (ts, id).
 
-        def each(batch: DataFrame, number: int) -> None:
-            spark = batch.sparkSession
-            last = spark.read.schema(self.LAST).parquet(f"{path}/last/{number - 1}") if number else spark.createDataFrame([], self.LAST)
-            batch = batch.select("path", "kind", "hash", F.col("ts").cast("timestamp").alias("ts"), F.col("id").cast("long").alias("id"))
-            batch.write.mode("overwrite").parquet(f"{path}/batch/{number}")
-            batch = spark.read.schema(self.COLUMNS).parquet(f"{path}/batch/{number}")
-            seeds = last.select("path", F.lit(None).cast("string").alias("kind"), "hash", F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("long").alias("id"))
-            ordered = batch.withColumn("_new", F.lit(True)).unionByName(seeds.withColumn("_new", F.lit(False)))
-            before = F.lag("hash").over(Window.partitionBy("path").orderBy("_new", "ts", "id"))
-            changed = ordered.withColumn("_b", before).where("_new AND (_b IS NULL OR _b <> hash)")
-            changed.drop("_b", "_new").write.mode("overwrite").parquet(f"{path}/rows/{number}")
-            newest = ordered.groupBy("path").agg(F.max(F.struct("_new", "ts", "id", "kind", "hash")).alias("_r"))
-            left = newest.where(~F.coalesce(F.col("_r.kind").isin(*GONE), F.lit(False)))
-            left.select("path", "_r.hash").write.mode("overwrite").parquet(f"{path}/last/{number}")
-
-        q = self.changes.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-        q.awaitTermination()
-        spark = self.changes.sparkSession
-        spark.createDataFrame([], self.COLUMNS).write.mode("append").parquet(f"{path}/rows/none")  # a stream without input has no batch
-        return spark.read.schema(self.COLUMNS).option("recursiveFileLookup", True).parquet(f"{path}/rows")
-
-
-def changed_content(changes: DataFrame) -> ContentGate:
-    """ST3: changes whose hash differs from the path's last one, also if it was seen earlier; ordered by (ts, id) in each micro-batch."""
-    return ContentGate(changes)
+    Rows may be ``late`` milliseconds out of order; state and forgotten paths are as in ``gate.settled``, of which this is the form
+    without bursts.
+    """
+    return gate.settled(changes, gap=0, late=late).drop("n")
 
 
 def changed_content_batch(changes: DataFrame) -> DataFrame:
     """ST3 over a table."""
-    before = F.lag("hash").over(Window.partitionBy("path").orderBy("ts", "id"))
-    return changes.withColumn("_b", before).where("_b IS NULL OR _b <> hash").drop("_b")
+    gone = [F.lit(k) for k in gate.GONE]
+    of = Window.partitionBy("path").orderBy("ts", "id")
+    before = F.lag(F.struct("hash", "kind")).over(of)
+    fresh = F.col("_b").isNull() | F.col("_b.kind").isin(*gone) | F.col("kind").isin(*gone) | ~F.col("_b.hash").eqNullSafe(F.col("hash"))
+    return changes.withColumn("_b", before).where(fresh).drop("_b")
 
 
 def new_content(files: DataFrame, indexed: DataFrame) -> DataFrame:
@@ -136,18 +112,19 @@ def index_stream(changes: DataFrame, checkpoint: str, on_batch: Callable[[DataFr
 
 def collected_stream(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a stream over all input that there is and return its rows; for tests and small results."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with gate.state_store(stream.sparkSession):
+        q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
 
 
-def written_stream(stream: DataFrame | ContentGate, label: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all input that there is into Parquet files in the shared folder, exactly once, and read them."""
-    if isinstance(stream, ContentGate):
-        return stream.written(label)
-    from weftgraph.storage import shared_path
+def written_stream(stream: DataFrame, label: str, mode: str = "append", path: str | None = None) -> DataFrame:
+    """Run a stream over all input that there is into Parquet files in the shared folder, exactly once, and read them.
 
-    path = shared_path(stream.sparkSession, label)
-    q = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
+    With a ``path`` of an earlier call the stream goes on from where it ended.
+    """
+    path = path or shared_path(stream.sparkSession, label)
+    with gate.state_store(stream.sparkSession):
+        q = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
