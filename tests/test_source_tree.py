@@ -75,6 +75,6 @@ def test_tree_to_gate(spark, tmp_path):
     put(root, "a.py", "1", ago=100)
     put(root, "b.py", "1", ago=90)
     assert run() == ["a.py", "b.py"]
-    put(root, "a.py", "1", ago=50)
-    put(root, "b.py", "2", ago=40)
+    put(root, "a.py", "1", ago=0)
+    put(root, "b.py", "2", ago=0)
     assert run() == ["a.py", "b.py", "b.py"]
