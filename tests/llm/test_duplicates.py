@@ -4,6 +4,9 @@ import base64
 import hashlib
 import random
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -107,18 +110,18 @@ def test_connected_components(spark):
     assert all(got.get(n, n) == find(n) for n in range(500))
 
 
-def test_exact_dedup_batches(spark):
-    index = exact_dedup.DigestIndex(spark, "digests_test", 4)
-    index.drop()
+def test_exact_dedup_batches(spark, tmp_path):
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), 4)
     one = frame(spark, [(1, "a", "x", 1), (2, "a", "x", 1), (3, None, "x", 1), (4, "", "x", 1), (None, "a", "x", 1), (5, "b", "x", 1), (5, "b", "x", 1)])
     got = [(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.dedup(one, index=index).collect()]
     assert sorted(got, key=str) == sorted([(1, 2, 3, False), (2, 2, 3, True), (None, 2, 3, False), (3, 4, 2, False), (4, 4, 2, True), (5, 5, 2, True), (5, 5, 2, True)], key=str)
     two = frame(spark, [(9, "a", "x", 1), (10, "c", "x", 1)])
     got = {r["doc_id"]: (r["keep_id"], r["kept"], r["text_sha256"]) for r in exact_dedup.dedup(two, index=index).collect()}
     assert got == {9: (2, False, hashlib.sha256(b"a").hexdigest()), 10: (10, True, hashlib.sha256(b"c").hexdigest())}
-    assert spark.table("digests_test").count() == 4
-    assert exact_dedup.dedup(frame(spark, [])).count() == 0
+    assert index.rows().count() == 4
+    assert exact_dedup.dedup(frame(spark, [])).count() == 0 and exact_dedup.dedup(frame(spark, []), batches=3).count() == 0
     index.drop()
+    assert not index.exists() and not (tmp_path / "index").exists()
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("digest_index_")]
 
 
@@ -126,9 +129,19 @@ def told(df):
     return sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in df.collect()), key=str)
 
 
-def test_a_batch_that_is_given_again_adds_nothing(spark, monkeypatch):
-    index = exact_dedup.DigestIndex(spark, "digests_again", 4)
-    index.drop()
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_batches_of_descending_ids_keep_the_largest(spark, batches):
+    rng = random.Random(batches)
+    rows = [(i if i % 9 else None, rng.choice("abcdefgh") * rng.randint(1, 3), "x", 1) for i in range(200)]
+    best, sizes = {}, {}
+    for i, t, *_ in rows:
+        best[t] = max([x for x in (best.get(t), i) if x is not None], default=None)
+        sizes[t] = sizes.get(t, 0) + 1
+    assert told(exact_dedup.dedup(frame(spark, rows), batches=batches)) == sorted(((i, best[t], sizes[t], i == best[t]) for i, t, *_ in rows), key=str)
+
+
+def test_a_batch_that_is_given_again_adds_nothing(spark, tmp_path, monkeypatch):
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), 4)
     first, second = frame(spark, [(1, "a", "x", 1), (2, "a", "x", 1), (3, "b", "x", 1)]), frame(spark, [(7, "b", "x", 1), (8, "c", "x", 1), (9, "c", "x", 1)])
     plain = exact_dedup.materialize
 
@@ -140,29 +153,68 @@ def test_a_batch_that_is_given_again_adds_nothing(spark, monkeypatch):
     with monkeypatch.context() as m:
         m.setattr(exact_dedup, "materialize", failing)
         with pytest.raises(RuntimeError):
-            index.append(first, batch_id="one")  # after its rows were appended
-    one = told(index.append(first, batch_id="one"))
+            exact_dedup.dedup(first, index=index)  # after its rows were appended
+    one = told(exact_dedup.dedup(first, index=index))
     assert one == sorted([(1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True)], key=str)
-    two = told(index.append(second, batch_id="two"))
+    two = told(exact_dedup.dedup(second, index=index))
     assert two == sorted([(7, 3, 1, False), (8, 9, 2, False), (9, 9, 2, True)], key=str)
-    assert (told(index.append(first, batch_id="one")), told(index.append(second, batch_id="two"))) == (one, two)
-    assert spark.table("digests_again").count() == 3
+    assert (told(exact_dedup.dedup(first, index=index)), told(exact_dedup.dedup(second, index=index))) == (one, two)
+    assert index.rows().count() == 3
     index.drop()
 
 
-def test_the_index_is_not_shuffled_for_the_anti_join(spark):
-    index = exact_dedup.DigestIndex(spark, "digests_plan", 4)
-    index.drop()
-    index.append(frame(spark, [(1, "a", "x", 1)]))
+def test_the_index_is_neither_shuffled_nor_sorted(spark, tmp_path):
+    """Of the anti-join's two sides only the batch is; also after a compaction that another had begun and not ended."""
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), 4)
+    for k in range(3):
+        index.append(frame(spark, [(i, f"text {i % 50} {k}", "x", 1) for i in range(100)]))
+    before = told(index.decide(frame(spark, [(1, "text 7 1", "x", 1)])))
+    (tmp_path / "index/v2").mkdir()
+    (tmp_path / "index/v2/part-0.parquet").write_text("of a writer that was lost")
+    index.compact()
+    assert told(index.decide(frame(spark, [(1, "text 7 1", "x", 1)]))) == before == [(1, 57, 1, False)]
+    assert not (tmp_path / "index/v1").exists() and index.rows().count() == 150
     batch = exact_dedup.digests(frame(spark, [(2, "b", "x", 1)])).groupBy("digest").count()
-    plan = index.unknown(batch)._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and "LeftAnti" in plan
-    right = plan[plan.rindex("digests_plan") - 600 :] if "digests_plan" in plan else ""
-    assert "Bucketed: true" in plan and "Exchange" not in right.split("FileScan")[0].splitlines()[-1]
-    assert plan.count("Exchange hashpartitioning(digest") == 1
+    with exact_dedup._ordered_buckets(spark):
+        lines = index.unknown(batch)._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert any("SortMergeJoin" in line and "LeftAnti" in line for line in lines) and any("Bucketed: true" in line for line in lines)
+    assert sum("Exchange" in line for line in lines) == 1 and sum("Sort [" in line for line in lines) == 1  # those of the batch
     index.drop()
 
 
+SESSION = """
+import sys
+sys.path.insert(0, {repo!r})
+from weftgraph.llm import exact_dedup
+from weftgraph.session import local_session
+spark = local_session(2, partitions=2, memory="1g", conf={{"spark.checkpoint.dir": {folder!r} + "/shared", "spark.sql.warehouse.dir": {folder!r} + "/warehouse-" + sys.argv[1]}})
+index = exact_dedup.DigestIndex(spark, {folder!r} + "/index", 3)
+rows = {{"1": [(1, "a"), (2, "b")], "2": [(3, "a"), (4, "c")], "3": [(5, "c"), (6, "d"), (7, "b")]}}[sys.argv[1]]
+existed = index.exists()
+got = exact_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), index=index)
+if sys.argv[1] == "2":
+    index.compact()
+print("TOLD", existed, index.buckets, sorted((r["doc_id"], r["keep_id"], r["kept"]) for r in got.collect()))
+"""
+
+
+def test_the_index_outlives_its_session(tmp_path):
+    """Three processes append to one folder, each in its own working folder and with its own catalogue."""
+    repo, said = str(Path(__file__).resolve().parents[2]), []
+    for number in "123":
+        own = tmp_path / f"cwd-{number}"
+        own.mkdir()
+        run = subprocess.run([sys.executable, "-c", SESSION.format(repo=repo, folder=str(tmp_path)), number], capture_output=True, text=True, timeout=300, cwd=own)
+        said += [line for line in run.stdout.splitlines() if line.startswith("TOLD")] or [run.stderr[-2000:]]
+    assert said == [
+        "TOLD False 3 [(1, 1, True), (2, 2, True)]",
+        "TOLD True 3 [(3, 1, False), (4, 4, True)]",
+        "TOLD True 3 [(5, 4, False), (6, 6, True), (7, 2, False)]",
+    ]
+    assert (tmp_path / "index/v2").exists() and not (tmp_path / "index/v1").exists()
+
+
+
 def test_topk_equals_brute_force(spark):
     rng = np.random.default_rng(7)
     v = rng.normal(size=(700, 6)).astype("float32")

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from weftgraph.session import ship
 from weftgraph.storage import shared_path, written
 
-#: Rows of an Arrow batch for whole texts; with the longest texts of about 1 MB a batch stays in some 100 MB.
-TEXT_BATCH_ROWS = "1000"
-_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: An Arrow batch of whole texts ends at so many rows or bytes, whichever comes first; a longer text is a batch by itself.
+TEXT_BATCH_ROWS, TEXT_BATCH_BYTES = "1000", "33554432"
+_BATCH_CONF, _BYTES_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 #: A-Z to a-z, for ``bytes.translate``.
 UPPER_TO_LOWER_BYTES = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -29,10 +29,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_batches(spark: SparkSession) -> None:
     """Make the package known to Python workers and bound the Arrow batches that carry whole texts.
 
-    The bound holds for the session, as plans run after they are built; ``batch_rows`` sets another for a while.
+    The bounds hold for the session, as plans run after they are built; they change no result, and ``batch_rows`` sets
+    others for a while.
     """
     ship(spark)
     spark.conf.set(_BATCH_CONF, TEXT_BATCH_ROWS)
+    spark.conf.set(_BYTES_CONF, TEXT_BATCH_BYTES)
+
+
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns used inside, that no column of ``df`` has, whatever the case."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
 
 
 @contextmanager

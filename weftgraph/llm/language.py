@@ -7,8 +7,9 @@ versus the rest) is fitted on these.  Scoring multiplies a batch's presence matr
 result with the regression's weights; every whole text counts, in blocks of bounded size.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; with no learnable row every text is
-``und``; rows whose language is null are not learnt from; ties between languages go to the first by name; an empty
-table gives no rows; extra and clashing columns have no effect.
+``und``; rows whose language is null are not learnt from; rows that repeat an id and a text are learnt from once; ties
+between languages go to the first by name; an empty table gives no rows; texts of any length are taken whole; extra and
+clashing columns have no effect.
 """
 
 from __future__ import annotations
@@ -18,17 +19,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import crc_bucket, text_batches
+from weftgraph.llm.common import crc_bucket, materialize, text_batches
 
 DIMENSIONS = 8192
 #: Rows learnt from, for each language at most; those with the smallest hash of their id.
 SAMPLE_PER_LANGUAGE = 500
-#: The most frequent languages of the sample, so that it stays bounded; rarer ones are not learnt.
-MOST_LANGUAGES = 256
+#: Rows learnt from in all; with many languages each has its share of these, and one row at least.
+SAMPLE_ROWS = 64_000
 #: Texts that others are compared with, shared by all languages.
 LANDMARKS = 128
 RIDGE = 0.05
@@ -95,36 +96,49 @@ def fit_kernel(marks: np.ndarray, languages: list[str], *, landmarks: int = LAND
     return KernelModel(names, land.astype(np.float32), (root @ w).astype(np.float32), bias.astype(np.float32))
 
 
-_MARKS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("marks", T.BinaryType())])
+_MARKS = T.StructType([T.StructField("id", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("marks", T.BinaryType())])
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 3, held_out: int = 1, sample: int = SAMPLE_PER_LANGUAGE, landmarks: int = LANDMARKS) -> KernelModel | None:
-    """Learn from rows with a language whose crc32 bucket is not the held-out one; None if there are none.
+def _nearest(rows: DataFrame, most: int, *order: Column | str) -> DataFrame:
+    """At most ``most`` rows of each language, the first in this order; limited in each task before the shuffle."""
+    numbered = rows.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+    return numbered.where(F.col("_r") <= most).drop("_r")
 
-    At most ``sample`` rows of a language are learnt from, and ``sample * MOST_LANGUAGES`` in all.
+
+def learning_sample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 3, held_out: int = 1, sample: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
+    """(id, lang, marks) of at most ``sample`` distinct rows of each language, and of about ``SAMPLE_ROWS`` in all.
+
+    Ids with the smallest hashes are taken, each once a language and once a text: an id that a third of all rows have counts
+    as one id, and its rows are told apart and limited in the tasks that read them.
     """
     text_batches(docs.sparkSession)
-    ids = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang")).where(F.col("_id").isNotNull() & F.col("_lang").isNotNull() & (crc_bucket("_id", modulus) != held_out))
+    named = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    able = named.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & (crc_bucket("id", modulus) != held_out))
+    counted = materialize(able.groupBy("lang").agg(F.approx_count_distinct("id").alias("n")), "language-counts")
+    each = max(1, min(sample, SAMPLE_ROWS // max(1, counted.count())))
     # rows far from the smallest hashes go before any shuffle: four times the sample stays, however common a language is
-    common = ids.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_lang").limit(MOST_LANGUAGES)
-    place = F.shiftrightunsigned(F.xxhash64("_id"), 11) / F.lit(float(1 << 53))
-    near = ids.join(F.broadcast(common), "_lang").where(place * F.col("_n") < 4.0 * sample).select("_id", "_lang", place.alias("_p"))
-    order = Window.partitionBy("_lang").orderBy("_p", "_id")
-    chosen = near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample).select("_id", "_lang")
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"), F.col(lang_col).cast("string").alias("_lang")).join(F.broadcast(chosen), ["_id", "_lang"], "left_semi")
+    place = F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(1 << 53))
+    ids = able.select("id", "lang").join(counted, "lang").where(place * F.col("n") < 4.0 * each).select("id", "lang").distinct()
+    chosen = _nearest(ids, each, place, "id")
+    rows = able.join(chosen, ["id", "lang"], "left_semi").select("id", "lang", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, packed = [], []
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids, langs, packed = [], [], []
+            for id_, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 marks = np.zeros(DIMENSIONS, np.uint8)
                 if presence(text, marks):
+                    ids.append(id_)
                     langs.append(lang)
                     packed.append(np.packbits(marks).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(packed, pa.binary())], names=_MARKS.names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(langs, pa.string()), pa.array(packed, pa.binary())], names=_MARKS.names)
+
+    return _nearest(rows.mapInArrow(run, _MARKS).distinct(), each, F.xxhash64("id"), "id", "marks")
+
 
-    found = rows.select("_t", "_lang").mapInArrow(run, _MARKS).toPandas().sort_values(["lang", "marks"])
-    found = found.groupby("lang").head(sample)
+def fit(docs: DataFrame, *, landmarks: int = LANDMARKS, **options: object) -> KernelModel | None:
+    """Learn from rows with a language whose crc32 bucket is not the held-out one (``learning_sample``); None if there are none."""
+    found = learning_sample(docs, **options).toPandas().sort_values(["lang", "marks", "id"])
     if found.empty:
         return None
     found = found.sample(frac=1.0, random_state=5)

@@ -11,7 +11,8 @@ a group of copies with a third of all rows spreads over all tasks.  A task keeps
 never rows of earlier blocks.
 
 Defined cases: a null text counts as empty; an empty text still has its end id and makes one piece of length 1;
-null and repeated doc_ids are packed like any others (rows are never merged); an empty table gives no rows;
+null and repeated doc_ids are packed like any others (rows are never merged); an empty table gives no rows; texts of any
+length are taken whole, one at a time; a task that runs again, after a lost executor too, places its pieces as before;
 columns named like the results (``sequence_id``, ``offset``) are replaced, others pass through.
 """
 
@@ -239,7 +240,9 @@ def pack(pieces: DataFrame, *, length_col: str = "length", capacity: int = CAPAC
         if n:
             yield from flush(held)
 
-    return src.repartition(spread).mapInArrow(run, schema)
+    # in the order of their hashes, so that placing is the same whenever a task is run again, and a block has all lengths
+    sortable = [c for c in kept if not isinstance(src.schema[c].dataType, (T.MapType, T.VariantType))]
+    return src.repartition(spread).sortWithinPartitions(spread, *[f"`{c}`" for c in sortable]).mapInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, **options: object) -> DataFrame:

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import crc_bucket, hashed_sample
+from weftgraph.llm.common import crc_bucket, fresh_names, hashed_sample
 from weftgraph.llm.trees import Tree, fit_boosted
 
 #: Distinct labelled rows that a model is fitted on at most: those with the smallest hash of their id.
@@ -173,6 +173,7 @@ def _kept_apart(column: Column) -> Column:
 def score(docs: DataFrame, model: RuleModel, *, text_col: str = "text", out: str = "score", threshold: float = THRESHOLD, flag: str = "predicted") -> DataFrame:
     """All columns of ``docs`` plus the score and 0 or 1; columns of these names are replaced."""
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in (out, flag)]
-    inner = docs.select(*kept, _kept_apart(counts(F.col(text_col))).alias("_counts"))
-    scored = inner.select(*kept, model.column(statistics(F.col("_counts"))).alias(out))
+    (inside,) = fresh_names(docs, "_counts")
+    inner = docs.select(*kept, _kept_apart(counts(F.col(text_col))).alias(inside))
+    scored = inner.select(*kept, model.column(statistics(F.col(inside))).alias(out))
     return scored.withColumn(flag, (F.col(out) >= threshold).cast("int"))

@@ -80,8 +80,8 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One batch of a new index: the row that stays is the largest of all equal rows, and group_size counts them all."""
-    return exact_dedup.dedup(table(spark, sf_dir, "documents"))
+    """Two batches of a new index, the larger ids first: the second finds the first one's texts known, and the largest id stays."""
+    return exact_dedup.dedup(table(spark, sf_dir, "documents"), batches=2)
 
 
 OP10_SQL = """

@@ -12,7 +12,8 @@ to the range of a long.
 
 Defined cases: vectors that are null, hold null or non-finite components, or have a null id take no part; empty
 vectors score 0 with each other; vectors of different lengths are compared only with those of their own length; a query's own id is never
-its candidate; ties go to the smaller id; with fewer candidates than k all are returned; empty tables give no rows;
+its candidate; rows that repeat a vec_id are candidates by themselves, so one id may fill several places, and as queries
+they are one, whose list is the best of all of them; ties go to the smaller id; with fewer candidates than k all are returned; empty tables give no rows;
 extra and clashing columns have no effect.
 """
 
