@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import exact_dedup, language, minhash, packing, quality
-from weftgraph.llm.common import materialize, table
+from weftgraph.llm.common import fresh_names, materialize, table
 from weftgraph.llm.queries import WORD_VOCABULARY, vocabulary
 
 #: Documents whose language scores less are rejected, as are those without a letter.
@@ -22,48 +22,55 @@ LEAST_LANGUAGE_SCORE = 0.35
 NEAR = {"words": 5, "percent": 80, "permutations": 100, "bands": 40}
 
 
-def _keyed(docs: DataFrame, label: str) -> DataFrame:
-    """``docs`` with a key of each row; written, so that every later read finds the same keys."""
-    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), label)
+def _keyed(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``docs`` with a key of each row, and its column's name; written, so that every later read finds the same keys."""
+    (row,) = fresh_names(docs, "_row")
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), label), row
 
 
-def _staying(keyed: DataFrame, kept: DataFrame) -> DataFrame:
+def _staying(keyed: DataFrame, row: str, kept: DataFrame) -> DataFrame:
     """The rows of ``keyed`` whose key is in ``kept``, without the key."""
-    return keyed.join(kept.select("_row"), "_row", "left_semi").drop("_row")
+    return keyed.join(kept.select(row), row, "left_semi").drop(row)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text scores at least the threshold, each decided by its own text: null counts as empty, copies and null ids are
-    judged like any others, texts of any length whole; without labels all stay; an empty table stays empty; a column may
-    have any name, but for ``_score``, ``_good`` and ``_counts``, which are used inside."""
+    judged like any others, texts of any length whole; without labels all stay; an empty table stays empty; columns may have
+    any names."""
     model = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, out="_score", flag="_good").where("_good = 1").drop("_score", "_good")
+    score, good = fresh_names(docs, "_score", "_good")
+    return quality.score(docs, model, out=score, flag=good).where(F.col(good) == 1).drop(score, good)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a letter whose language is told with at least ``LEAST_LANGUAGE_SCORE``: null and empty texts go, and all rows where
-    no language could be learnt; copies and null ids are judged like any others; the stated ``lang`` is not looked at."""
+    no language could be learnt; copies and null ids are judged like any others; the stated ``lang`` is not looked at; columns
+    may have any names."""
     model = language.fit(table(spark, sf_dir, "documents"))
-    scored = language.predict(docs, model, lang_out="_lang", score_out="_score")
-    return scored.where((F.col("_lang") != language.UNKNOWN) & (F.col("_score") >= LEAST_LANGUAGE_SCORE)).drop("_lang", "_score")
+    lang, score = fresh_names(docs, "_lang", "_score")
+    scored = language.predict(docs, model, lang_out=lang, score_out=score)
+    return scored.where((F.col(lang) != language.UNKNOWN) & (F.col(score) >= LEAST_LANGUAGE_SCORE)).drop(lang, score)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each text, null being equal to empty: that with the largest doc_id, a null one only where no other is, and one
-    of several rows of that id; a text's other rows go whatever their ids; an empty table stays empty."""
-    keyed = _keyed(docs, "exact-rows")
-    named = keyed.select(F.struct("doc_id", "_row").alias("_name"), "text")  # a null id is less than any other
-    return _staying(keyed, exact_dedup.dedup(named, id_col="_name").where("kept").select("doc_id._row"))
+    of several rows of that id; a text's other rows go whatever their ids; an empty table stays empty; columns may have any
+    names."""
+    keyed, row = _keyed(docs, "exact-rows")
+    (name,) = fresh_names(keyed, "_name")
+    named = keyed.select(F.struct("doc_id", row).alias(name), "text")  # a null id is less than any other
+    return _staying(keyed, row, exact_dedup.dedup(named, id_col=name).where("kept").select(f"doc_id.{row}"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group that links of similar rows join: that with the smallest doc_id, a null one only where no other is, and
-    one of several rows of that id; rows without words are linked with nothing and stay; an empty table stays empty."""
-    keyed = _keyed(docs, "near-rows")
-    linked = minhash.link(keyed, id_col="_row", **NEAR).select(F.col("doc_id").alias("_row"), "component_id")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
-    first = keyed.select("_row", "doc_id").join(linked, "_row").groupBy("component_id").agg(F.min(order).alias("_first"))
-    return _staying(keyed, first.select("_first._row"))
+    one of several rows of that id; rows without words are linked with nothing and stay; an empty table stays empty; columns
+    may have any names."""
+    keyed, row = _keyed(docs, "near-rows")
+    linked = minhash.link(keyed, id_col=row, **NEAR).select(F.col("doc_id").alias(row), F.col("component_id").alias("component"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", row)
+    first = keyed.select(row, "doc_id").join(linked, row).groupBy("component").agg(F.min(order).alias("first"))
+    return _staying(keyed, row, first.select(f"first.{row}"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
