@@ -159,13 +159,31 @@ def two_cycles(edges: DataFrame) -> DataFrame:
     return pairs.where("src < dst").join(back, ["src", "dst"], "left_semi").select(F.col("src").alias("a"), F.col("dst").alias("b"))
 
 
-def three_cycles(edges: DataFrame, ordered: bool = False) -> DataFrame:
-    """Cycles a -> b -> c -> a, each once by its smallest id; ``ordered`` finds only those with a < b < c."""
+def wedges(edges: DataFrame) -> DataFrame:
+    """(u, x, y): edges u -> x and y -> u whose other ends have more edges than u (by number of edges, then id).
+
+    A node of many edges is the lesser end of few of them, at most of the square root of twice their number, so m edges make at
+    most about m^1.5 rows, however large a hub is.
+    """
     e = edges.select("src", "dst").where("src <> dst").distinct()
-    ab = e.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a < b")
-    bc = e.select(F.col("src").alias("b"), F.col("dst").alias("c"))
-    ca = e.select(F.col("src").alias("c"), F.col("dst").alias("a"))
-    found = ab.join(bc, "b").where("a < c AND b <> c").join(ca, ["c", "a"], "left_semi").select("a", "b", "c")
+    degrees = e.select(F.col("src").alias("id")).unionAll(e.select(F.col("dst").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    both = e.join(degrees.select(F.col("id").alias("src"), F.col("n").alias("m")), "src").join(degrees.select(F.col("id").alias("dst"), "n"), "dst")
+    less = F.struct("m", "src") < F.struct("n", "dst")
+    up, down = both.where(less).select(F.col("src").alias("u"), F.col("dst").alias("x")), both.where(~less).select(F.col("dst").alias("u"), F.col("src").alias("y"))
+    return up.join(down, "u").where("x <> y").select("u", "x", "y")
+
+
+def three_cycles(edges: DataFrame, ordered: bool = False) -> DataFrame:
+    """Cycles a -> b -> c -> a, each once by its smallest id; ``ordered`` finds only those with a < b < c.
+
+    Each is found once, at its node of the fewest edges (``wedges``), and turned so that the smallest id comes first.
+    """
+    closing = edges.select(F.col("src").alias("x"), F.col("dst").alias("y")).distinct()
+    found = wedges(edges).join(closing, ["x", "y"], "left_semi")
+    first = F.least("u", "x", "y")
+    turned = F.when(F.col("u") == first, F.struct(F.col("u").alias("a"), F.col("x").alias("b"), F.col("y").alias("c")))
+    turned = turned.when(F.col("x") == first, F.struct(F.col("x").alias("a"), F.col("y").alias("b"), F.col("u").alias("c")))
+    found = found.select(turned.otherwise(F.struct(F.col("y").alias("a"), F.col("u").alias("b"), F.col("x").alias("c"))).alias("t")).select("t.*")
     return found.where("b < c") if ordered else found
 
 

@@ -14,6 +14,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.operators import levels, scc
 from weftgraph.storage import written
 
 #: Levels planned lazily; more are written one by one.
@@ -62,19 +63,11 @@ def reach(edges: DataFrame, roots: DataFrame, depth: int | None, *, include_root
 
 
 def closure(edges: DataFrame, roots: DataFrame, *, include_roots: bool = False, depth: int | None = None) -> DataFrame:
-    """Reach to the fix-point (or to ``depth``): each level meets only what is new, so cycles end it."""
-    pairs = written(edges.select("src", "dst").distinct(), "pairs")
-    level = written(roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("depth")).distinct(), "level")
-    seen = level if include_roots else None
-    for d in _levels(1, depth):
-        step = level.join(pairs, level["node"] == pairs["src"]).select("root", F.col("dst").alias("node")).distinct()
-        if seen is not None:
-            step = step.join(seen.select("root", "node"), ["root", "node"], "left_anti")
-        level = written(step.withColumn("depth", F.lit(d)), "level")
-        if level.isEmpty():
-            break
-        seen = level if seen is None else seen.unionByName(level)
-    return seen if seen is not None else level
+    """Reach to the fix-point (or to ``depth``): each level meets only what is new, so cycles end it.
+
+    Roots are bits of ``levels``; where only pairs are asked for, ``scc.reachable`` keeps them by components.
+    """
+    return levels.reach(edges, roots, depth, include_roots=include_roots)
 
 
 def trails(edges: DataFrame, roots: DataFrame, depth: int | None, *, least: int = 1) -> DataFrame:
@@ -124,29 +117,16 @@ def dependents(edges: DataFrame, roots: DataFrame, depth: int = 2, **options: ob
 
 
 def shortest(edges: DataFrame, roots: DataFrame, targets: DataFrame, depth: int | None = 10) -> DataFrame:
-    """One shortest path (root, node, depth, chain) per pair, the smallest chain of equal length.
+    """One shortest path (root, node, depth, chain) per pair; of several the one that comes back by the smallest predecessors.
 
-    Level by level; a (root, node) that was reached before is not extended again, so paths do not multiply.
     Without ``depth`` it ends when a level reaches nothing new.
     """
-    pairs = edges.select("src", "dst").where("src <> dst").distinct()
-    level = roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.array("id").alias("chain"), F.lit(0).alias("depth")).distinct()
-    level = seen = written(level, "level")
-    for d in _levels(1, depth):
-        grown = level.join(pairs, level["node"] == pairs["src"]).select("root", F.col("dst").alias("node"), F.array_append("chain", F.col("dst")).alias("chain"))
-        best = grown.groupBy("root", "node").agg(F.min("chain").alias("chain"))
-        level = written(best.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(d)), "level")
-        if level.isEmpty():
-            break
-        seen = seen.unionByName(level)
-    return seen.where("depth > 0").join(targets.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("root", "node", "depth", "chain")
+    return levels.shortest(edges, roots, targets, depth)
 
 
 def deepest(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
-    """The longest trail from each root to a node without outgoing edges: (root, depth)."""
-    found = trails(edges, roots, depth)
-    inner = edges.select(F.col("src").alias("node")).distinct()
-    return found.join(inner, "node", "left_anti").groupBy("root").agg(F.max("depth").alias("depth"))
+    """The longest trail from each root to a node without outgoing edges: (root, depth); see ``scc.deepest``."""
+    return scc.deepest(edges, roots, depth)
 
 
 def flow_paths(edges: DataFrame, roots: DataFrame, depth: int = 10) -> DataFrame:

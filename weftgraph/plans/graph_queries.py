@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.operators import aggregate, match, mutate, services, traverse
+from weftgraph.operators import aggregate, match, mutate, services, scc, traverse
 from weftgraph.plans.project import Projection, with_prelude
 
 Build = Callable[[Projection], DataFrame]
@@ -470,18 +470,29 @@ def _(p):
     return traverse.deepest(p.calls, _entries(p), 8)
 
 
-@query(
-    "t18_shortest",
-    """
+_WALK = """
 WITH RECURSIVE walk AS (
   SELECT DISTINCT src AS root, dst AS node, 1 AS depth FROM calls WHERE src NOT IN (SELECT dst FROM calls)
-  UNION SELECT w.root, c.dst, w.depth + 1 FROM walk w JOIN calls c ON c.src = w.node WHERE w.depth < 10)
-SELECT root, node, CAST(min(depth) AS INT) AS depth FROM walk WHERE node NOT IN (SELECT src FROM calls) GROUP BY root, node
+  UNION SELECT w.root, c.dst, w.depth + 1 FROM walk w JOIN calls c ON c.src = w.node WHERE w.depth < 10),
+near AS (SELECT root, node, min(depth) AS depth FROM walk GROUP BY root, node),
+"""
+
+
+@query(
+    "t18_shortest",
+    _WALK
+    + """
+prev AS (SELECT n.root, n.node, min(c.src) AS before FROM near n JOIN calls c ON c.dst = n.node LEFT JOIN near m ON m.root = n.root AND m.node = c.src
+         WHERE coalesce(m.depth, CASE WHEN c.src = n.root THEN 0 END) = n.depth - 1 GROUP BY n.root, n.node),
+back AS (
+  SELECT root, node, depth, node AS at, node AS chain FROM near WHERE node NOT IN (SELECT src FROM calls)
+  UNION ALL SELECT b.root, b.node, b.depth, p.before, p.before || '>' || b.chain FROM back b JOIN prev p ON p.root = b.root AND p.node = b.at)
+SELECT root, node, CAST(depth AS INT) AS depth, chain FROM back WHERE at = root
 """,
 )
 def _(p):
     leaves = match.lacking(p.calls.select(F.col("dst").alias("id")).distinct(), p.calls)
-    return traverse.shortest(p.calls, _entries(p), leaves, 10).select("root", "node", "depth")
+    return traverse.shortest(p.calls, _entries(p), leaves, 10).select("root", "node", "depth", F.array_join("chain", ">").alias("chain"))
 
 
 @query("t20_reverse_reach", "WITH RECURSIVE walk AS (SELECT DISTINCT src AS node, 1 AS depth FROM calls WHERE dst = 'p42' UNION SELECT c.src, w.depth + 1 FROM walk w JOIN calls c ON c.dst = w.node WHERE w.depth < 4) SELECT node, CAST(min(depth) AS INT) AS depth FROM walk WHERE node NOT IN (SELECT dst FROM calls) GROUP BY node")
@@ -505,7 +516,21 @@ def _(p):
 
 @query("t23_closure", "WITH RECURSIVE walk AS (SELECT src AS root, dst AS node FROM passes WHERE type = 'PASSES_TO' UNION SELECT w.root, c.dst FROM walk w JOIN passes c ON c.src = w.node AND c.type = 'PASSES_TO') SELECT root, node FROM walk")
 def _(p):
-    return traverse.closure(p.passes.where("type = 'PASSES_TO'"), p.variables).select("root", "node")
+    return scc.reachable(p.passes.where("type = 'PASSES_TO'"), p.variables).pairs()
+
+
+@query(
+    "t23_components",
+    """
+WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM edges WHERE type IN ('CALLS', 'DEPENDS_ON')),
+walk AS (SELECT src AS root, dst AS node FROM e UNION SELECT w.root, e.dst FROM walk w JOIN e ON e.src = w.node)
+SELECT a.root AS node, min(a.node) AS component, count(*) AS size FROM walk a JOIN walk b ON b.root = a.node AND b.node = a.root GROUP BY a.root HAVING count(*) > 1
+""",
+)
+def _(p):
+    """Nodes on cycles of calls and dependencies, by the smallest node of their component."""
+    found = scc.components(p.edges.where("type IN ('CALLS', 'DEPENDS_ON')"))
+    return found.join(found.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component").select("node", "component", "size")
 
 
 @query("t14_hierarchy", "SELECT a.dst AS root, a.dst AS flow, CAST(NULL AS VARCHAR) AS parent, 0 AS depth, a.dst AS path FROM packs a WHERE a.type = 'INHERITS' GROUP BY a.dst UNION ALL SELECT dst, src, dst, 1, concat(dst, '>', src) FROM packs WHERE type = 'INHERITS' UNION ALL SELECT i.dst, m.src, m.dst, 2, concat(i.dst, '>', i.src, '>', m.src) FROM packs m JOIN packs i ON i.src = m.dst AND i.type = 'INHERITS' WHERE m.type = 'MEMBER_OF'")
@@ -1023,7 +1048,7 @@ def _(p):
 @query("cy_unbounded", "WITH RECURSIVE walk AS (SELECT src AS root, dst AS node FROM calls WHERE src NOT IN (SELECT dst FROM calls) UNION SELECT w.root, c.dst FROM walk w JOIN calls c ON c.src = w.node) SELECT root, node FROM walk")
 def _(p):
     """Everything that an entry point can reach, in any number of steps."""
-    return traverse.closure(p.calls, _entries(p)).select("root", "node")
+    return scc.reachable(p.calls, _entries(p)).pairs()
 
 
 @query("cy_properties", "SELECT src, dst, type, line, seq FROM uses WHERE src = 's7'")

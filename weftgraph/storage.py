@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only on one machine (master ``local``) where the session names no shared folder, as in tests.
 UNSET_DIR = "/tmp/checkpoints"
@@ -35,6 +36,40 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Buckets:
+    """A table that grows by appending, bucketed and sorted by ``keys``, so that joins and aggregations on them do not shuffle it.
+
+    With ``part``, rows of one value of that column lie apart and are read alone.  While it grows it is a table of the catalogue;
+    once closed, its files are left.
+    """
+
+    def __init__(self, spark: SparkSession, label: str, keys: tuple[str, ...], part: str | None = None) -> None:
+        self.spark, self.keys, self.part, self.path = spark, keys, part, shared_path(spark, label)
+        self._buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self._name, self._schema = f"{re.sub(r'[^a-z0-9]', '_', label)}_{uuid.uuid4().hex}", None
+        if _scopes:
+            _scopes[-1].append(self.path)
+
+    def append(self, df: DataFrame) -> bool:
+        """Add rows; whether there were any."""
+        self._schema = self._schema or df.schema
+        told = Observation()
+        df = df.observe(told, F.count(F.lit(1)).alias("n"))
+        writer = df.write.mode("append").option("path", self.path).bucketBy(self._buckets, *self.keys).sortBy(*self.keys)
+        (writer if self.part is None else writer.partitionBy(self.part)).saveAsTable(self._name)
+        return told.get["n"] > 0
+
+    def table(self) -> DataFrame:
+        return self.spark.table(self._name)
+
+    def read(self) -> DataFrame:
+        """The rows as plain files, also after ``close``."""
+        return self.spark.read.schema(self._schema).parquet(self.path)
+
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._name}")
+
+
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """Tables that are ``written`` inside are deleted at its end; whatever is to stay must have left them by then."""

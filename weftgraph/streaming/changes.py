@@ -75,7 +75,7 @@ def changed_content_batch(changes: DataFrame) -> DataFrame:
     gone = [F.lit(k) for k in gate.GONE]
     of = Window.partitionBy("path").orderBy("ts", "id")
     before = F.lag(F.struct("hash", "kind")).over(of)
-    fresh = F.col("_b").isNull() | F.col("_b.kind").isin(*gone) | F.col("kind").isin(*gone) | ~F.col("_b.hash").eqNullSafe(F.col("hash"))
+    fresh = F.col("_b").isNull() | F.col("_b.kind").isin(*gone) | ~F.col("_b.hash").eqNullSafe(F.col("hash"))
     return changes.withColumn("_b", before).where(fresh).drop("_b")
 
 

@@ -3,7 +3,7 @@
 State per path: the hash of its last settled content (a value), and its open bursts (a list of at most one entry for each burst
 that the watermark has not passed; rows are merged into them as they come, so a path with very many changes keeps no
 rows).  A timer at the earliest end of a burst settles it: in order of time, a burst's last change is compared with the path's
-hash and handed on if it differs.  A path that is deleted or moved is forgotten.  State is kept by RocksDB with change logs,
+hash and handed on if it differs.  A path that is deleted or moved is forgotten, so what comes back is new.  State is kept by RocksDB with change logs,
 so what a micro-batch writes follows its own rows and not the number of paths that were ever seen.
 
 Times count in whole milliseconds, as watermarks and timers do.  Rows behind the watermark are dropped; rows without a path or
@@ -96,7 +96,7 @@ class BurstGate(StatefulProcessor):
         last = self._hash.get() if self._hash.exists() else None
         known = last is not None
         for _, at, change, kind, content, n in (b for b in bursts if b[1] + self.gap <= now):
-            if not known or kind in GONE or content != last[0]:
+            if not known or content != last[0]:
                 yield Row(path=key[0], kind=kind, hash=content, millis=at, id=change, n=n)
             known, last = kind not in GONE, (content,)
         if known:
