@@ -42,11 +42,9 @@ def plain_settled(rows, gap):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 60), min_size=1, max_size=25), st.integers(0, 9))
 def test_bursts_do_not_depend_on_order(times, gap):
-    bursts, ordered = [], []
-    for i, t in enumerate(times):
-        gate.merge(bursts, (t, t, i, "k", "h", 1), gap)
-    for t, i in sorted((t, i) for i, t in enumerate(times)):
-        gate.merge(ordered, (t, t, i, "k", "h", 1), gap)
+    rows = [(t, t, i, "k", "h", 1) for i, t in enumerate(times)]
+    half = len(rows) // 2
+    bursts, ordered = gate.merge(gate.merge([], rows[:half], gap), rows[half:], gap), gate.merge([], sorted(rows), gap)
     assert bursts == ordered and sum(b[5] for b in bursts) == len(times)
     assert len(bursts) == (len(times) if not gap else 1 + sum(b - a >= gap for a, b in zip(sorted(times), sorted(times)[1:], strict=False)))
 

@@ -1,10 +1,11 @@
 """ST2 and ST3 in one stateful operator: bursts of a path's changes end by a timer, and unchanged content stays silent.
 
-State per path: the hash of its last settled content (a value), and its open bursts (a list of at most one entry for each burst
-that the watermark has not passed; rows are merged into them as they come, so a path with very many changes keeps no
-rows).  A timer at the earliest end of a burst settles it: in order of time, a burst's last change is compared with the path's
-hash and handed on if it differs.  A path that is deleted or moved is forgotten, so what comes back is new.  State is kept by RocksDB with change logs,
-so what a micro-batch writes follows its own rows and not the number of paths that were ever seen.
+State per path: the hash of its last settled content (a value), and its open bursts (a list with an entry for each burst that the
+watermark has not passed; rows are merged into them as they come, so bursts and not rows are kept; without a gap each
+change is a burst until the watermark passes it).  A timer at the earliest end of a burst settles it: in order of time, a
+burst's last change is compared with the path's hash and handed on if it differs.  A path that is deleted or moved is
+forgotten, so what comes back is new.  State is kept by RocksDB with change logs, so what a micro-batch writes follows its own
+rows and not the number of paths that were ever seen.
 
 Times count in whole milliseconds, as watermarks and timers do.  Rows behind the watermark are dropped; rows without a path or
 a time are ignored.
@@ -12,9 +13,10 @@ a time are ignored.
 
 from __future__ import annotations
 
-from bisect import insort
+from bisect import bisect_right
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import islice
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -53,14 +55,18 @@ def _rank(burst: tuple) -> tuple:
     return tuple((x is not None, x) for x in burst[1:5])
 
 
-def merge(bursts: list[tuple], new: tuple, gap: int) -> None:
-    """Put a burst (first, last, id, kind, hash, n) among disjoint ones in order, joining those less than ``gap`` apart."""
-    near = [b for b in bursts if b[0] - new[1] < gap and new[0] - b[1] < gap] if gap else []
-    for b in near:
-        bursts.remove(b)
-    alike = [*near, new]
-    winner = max(alike, key=_rank)
-    insort(bursts, (min(b[0] for b in alike), *winner[1:5], sum(b[5] for b in alike)), key=lambda b: _rank(b))
+def merge(bursts: list[tuple], rows: list[tuple], gap: int) -> list[tuple]:
+    """Disjoint bursts (first, last, id, kind, hash, n) in order, with rows of the same form among them, joined if less than ``gap`` apart."""
+    if not gap:
+        return sorted([*bursts, *rows], key=_rank)
+    bursts = list(bursts)
+    for row in rows:
+        low = high = bisect_right(bursts, row[1] - gap, key=lambda b: b[1])
+        while high < len(bursts) and bursts[high][0] - row[1] < gap:
+            high += 1
+        alike = [*bursts[low:high], row]
+        bursts[low:high] = [(min(b[0] for b in alike), *max(alike, key=_rank)[1:5], sum(b[5] for b in alike))]
+    return bursts
 
 
 class BurstGate(StatefulProcessor):
@@ -85,8 +91,8 @@ class BurstGate(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803  the API's names
         bursts = [tuple(b) for b in self._open.get()]
-        for r in rows:
-            merge(bursts, (r["millis"], r["millis"], r["id"], r["kind"], r["hash"], 1), self.gap)
+        while some := [(r["millis"], r["millis"], r["id"], r["kind"], r["hash"], 1) for r in islice(rows, 10_000)]:
+            bursts = merge(bursts, some, self.gap)
         self._keep(bursts)
         return iter(())
 
