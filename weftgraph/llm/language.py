@@ -115,12 +115,14 @@ def learning_sample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     named = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     able = named.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & (crc_bucket("id", modulus) != held_out))
     counted = materialize(able.groupBy("lang").agg(F.approx_count_distinct("id").alias("n")), "language-counts")
-    each = max(1, min(sample, SAMPLE_ROWS // max(1, counted.count())))
+    languages = counted.count()
+    each = max(1, min(sample, SAMPLE_ROWS // max(1, languages)))
+    small = F.broadcast if languages <= SAMPLE_ROWS else lambda df: df  # a row a language, and so many ids in all
     # rows far from the smallest hashes go before any shuffle: four times the sample stays, however common a language is
     place = F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(1 << 53))
-    ids = able.select("id", "lang").join(counted, "lang").where(place * F.col("n") < 4.0 * each).select("id", "lang").distinct()
+    ids = able.select("id", "lang").join(small(counted), "lang").where(place * F.col("n") < 4.0 * each).select("id", "lang").distinct()
     chosen = _nearest(ids, each, place, "id")
-    rows = able.join(chosen, ["id", "lang"], "left_semi").select("id", "lang", "t")
+    rows = able.join(small(chosen), ["id", "lang"], "left_semi").select("id", "lang", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
