@@ -133,9 +133,10 @@ class DigestIndex:
         """Index the texts of ``docs`` that are new, each under the largest id that has it there."""
         rows = digests(docs, **columns)
         self.create(rows.schema["doc_id"].dataType)
-        batch = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"))
+        # written first, as the optimizer would else move the anti-join below the aggregation and shuffle every row
+        batch = materialize(rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id")), "digest-batch")
         with _ordered_buckets(self.spark):
-            fresh = materialize(self.unknown(batch).select("digest", "keep_id", F.lit(batch_id or uuid.uuid4().hex).alias("batch")), "digest-batch")
+            fresh = materialize(self.unknown(batch).select("digest", "keep_id", F.lit(batch_id or uuid.uuid4().hex).alias("batch")), "digest-fresh")
         self._write(fresh, self.table)
 
     def decide(self, docs: DataFrame, **columns: object) -> DataFrame:
