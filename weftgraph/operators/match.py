@@ -133,11 +133,13 @@ def lacking(nodes: DataFrame, edges: DataFrame, end: str = "src", types: Sequenc
 def fork_join(left: DataFrame, right: DataFrame, on: str, out: str) -> DataFrame:
     """Two edges of one pattern that share an end, none used for both: (shared, left_end, right_end, left_type, right_type).
 
-    ``on`` is the shared end (src or dst) and ``out`` the other one.
+    ``on`` is the shared end (src or dst) and ``out`` the other one.  Edges are told apart by all their properties, so parallel
+    edges of one type are two.
     """
-    a = left.select(F.col(on).alias("shared"), F.col(out).alias("left_end"), F.col("type").alias("left_type"))
-    b = right.select(F.col(on).alias("shared"), F.col(out).alias("right_end"), F.col("type").alias("right_type"))
-    return a.join(b, "shared").where("left_end <> right_end OR left_type <> right_type")
+    same = [c for c in left.columns if c in right.columns]
+    a = left.select(F.col(on).alias("shared"), F.col(out).alias("left_end"), F.col("type").alias("left_type"), F.struct(*same).alias("_a"))
+    b = right.select(F.col(on).alias("shared"), F.col(out).alias("right_end"), F.col("type").alias("right_type"), F.struct(*same).alias("_b"))
+    return a.join(b, "shared").where(~F.col("_a").eqNullSafe(F.col("_b"))).drop("_a", "_b")
 
 
 def subgraph_of(values: DataFrame, vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

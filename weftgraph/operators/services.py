@@ -6,11 +6,12 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.graph import CodeGraph
 from weftgraph.operators import aggregate, match, shapes, traverse
+from weftgraph.storage import Buckets
 
 #: Fixed values, which results depend on: parts of a name that make a call risky, and words that carry no meaning in a question.
 RISKY = ("read", "write", "connect", "query", "fetch", "send", "open", "execute")
@@ -302,16 +303,35 @@ def chunks(files: DataFrame, size: int = 60, overlap: int = 10) -> DataFrame:
     return rows.select(F.md5(F.concat_ws(":", "path", (F.col("c.start_line") - 1).cast("string"))).alias("id"), "path", "c.start_line", "c.end_line", "c.content")
 
 
-def tokens(text: Column) -> Column:
-    """Distinct lower-cased words of a text (letters, digits and underscores of any language)."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), 1))
-
-
 def keyword_search(rows: DataFrame, question: str, k: int, text: str = "content", order: Sequence[str] = ("path", "start_line")) -> DataFrame:
-    """The k texts that share most words with a question, as a share of the question's words; ties in given order."""
-    words = sorted(set(re.findall(r"\w+", question.lower())))
+    """O5 without an index, for texts that are searched once: the k texts that share most words with a question, as a share of
+    the question's words; ties in given order.  ``search`` answers many questions from an index."""
+    asked = sorted(set(re.findall(r"\w+", question.lower())))
     lowered, hits = F.lower(text), F.lit(0)
-    for w in words:  # a question has few words, so a search for each beats taking every text apart
+    for w in asked:  # a question has few words, so a search for each beats taking every text apart
         hits += F.when(F.rlike(lowered, F.lit(rf"(?U)(?<!\w){w}(?!\w)")), 1).otherwise(0)
-    score = hits / F.lit(float(max(1, len(words))))
+    score = hits / F.lit(float(max(1, len(asked))))
     return rows.withColumn("score", F.round(score, 6)).where("score > 0").orderBy(F.desc("score"), *order).limit(k)
+
+
+def contexts(graph: CodeGraph, chunk_words: Buckets, question: str, *, focal: int = 3, hops: int = 2, k: int = 5) -> DataFrame:
+    """What is retrieved for a question: (source, place, focus, id, score).
+
+    ``graph`` rows are what lies around each of the first focal nodes (the node itself, callees within some hops, callers and
+    used variables); ``file`` rows are the chunks with the highest scores, from an index of the words of chunks (path, start_line).
+    """
+    from weftgraph.operators import search
+
+    first = focal_nodes(graph.nodes, question, 5).select("id", "place", "rank")
+    place = F.row_number().over(Window.orderBy("place", "rank"))  # of five nodes at most
+    first = first.select("id", place.alias("at")).where(F.col("at") <= focal)
+    callees = traverse.reach(graph.typed("CALLS"), first, hops, include_roots=True).select("root", F.col("node").alias("id"))
+    names = first.select(F.col("id").alias("root"))
+    callers = graph.typed("CALLS").join(names, F.col("dst") == F.col("root")).select("root", F.col("src").alias("id"))
+    used = graph.edges.where(F.col("type").isin("ASSIGNS", "MUTATES", "READS", "RETURNS")).join(names, F.col("src") == F.col("root")).select("root", F.col("dst").alias("id"))
+    around = callees.union(callers).union(used).distinct().join(first.select(F.col("id").alias("root"), "at"), "root")
+    nodes = around.select(F.lit("graph").alias("source"), F.col("at").alias("place"), F.col("root").alias("focus"), "id", F.lit(None).cast("double").alias("score"))
+    found = search.keyword_search(chunk_words, question, k, "path", "start_line")
+    order = F.row_number().over(Window.orderBy(F.desc("score"), "path", "start_line"))  # of k chunks
+    files = found.select(F.lit("file").alias("source"), order.alias("place"), F.col("path").alias("focus"), F.col("start_line").cast("string").alias("id"), "score")
+    return nodes.unionByName(files)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.operators import aggregate, match, mutate, services, scc, traverse
+from weftgraph.operators import aggregate, match, mutate, scc, search, services, traverse
 from weftgraph.plans.project import Projection, with_prelude
 
 Build = Callable[[Projection], DataFrame]
@@ -821,9 +821,19 @@ def _(p):
     return services.variable_timeline(p.graph(), p.variables.where("scope = 'cust_42'").select("id")).select("variable", "type", "other", "line")
 
 
+def _name_grams(p: Projection):
+    """Trigrams of the variables' names, kept while the orders' files stay."""
+    return p.kept("variable-grams", ["orders"], lambda: search.indexed(p.variables, search.grams(F.col("name")), "id", "name", "scope"))
+
+
+def _document_words(p: Projection):
+    return p.kept("document-words", ["documents"], lambda: search.indexed(p.table("documents"), search.words(F.col("text")), "doc_id"))
+
+
 @query("h4_variable_search", "SELECT id, name FROM variables WHERE contains(name, '123') AND contains(scope, '4') ORDER BY name, id LIMIT 50")
 def _(p):
-    return services.variable_search(p.variables, "123", "4").select("id", "name")
+    found = search.containing(_name_grams(p), "123", "name", "id", "name", "scope")
+    return services.variable_search(found, "123", "4").select("id", "name")
 
 
 @query("h6_node_search", "SELECT id, name FROM nodes WHERE (contains(name, 'gear') OR contains(semantic_intent, 'gear')) AND kind = 'medium' AND module_path = 'Brand#5'")
@@ -843,7 +853,12 @@ def _(p):
 
 @query("o5_keyword_search", "SELECT doc_id, score FROM (SELECT doc_id, round(len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_\\p{M}]+')), ['the', 'and', 'rendered', 'of'])) / 4.0, 6)::DOUBLE AS score FROM documents) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20")
 def _(p):
-    return services.keyword_search(p.table("documents").select("doc_id", "text"), "The and rendered of", 20, "text", ("doc_id",)).select("doc_id", "score")
+    return search.keyword_search(_document_words(p), "The and rendered of", 20, "doc_id")
+
+
+@query("o5_document_frequencies", "SELECT term, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_\\p{M}]+')) AS term FROM documents) GROUP BY term")
+def _(p):
+    return search.document_frequencies(_document_words(p))
 
 
 # --- streams

@@ -8,15 +8,14 @@ values on.  The SQL text defines the same tables by the same names, to compare r
 from __future__ import annotations
 
 import re
-from typing import ClassVar
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from weftgraph import schema
 from weftgraph.graph import CodeGraph
-from weftgraph.storage import shared_path
+from weftgraph.storage import KEPT, Buckets
 
 _NODES = """
 SELECT concat('p', p_partkey) AS id, p_name AS name, lower(p_type) AS kind, p_brand AS module_path,
@@ -99,13 +98,11 @@ def with_prelude(body: str) -> str:
 class Projection:
     """The projected graph of one directory of tables.
 
-    Its vertex and edge tables are written to the shared folder once a session and directory, in ranges of id or src, and
-    every query reads them from there, so that point lookups skip files and row groups by their least and greatest keys.
-    The directory's tables are taken not to change while a session runs.
+    Its vertex and edge tables are written to the shared folder once, in ranges of id or src, and every query reads them from
+    there, so that point lookups skip files and row groups by their least and greatest keys.  They are made anew when the
+    files that they come from have changed, and deleted by ``drop``.
     """
 
-    _written: ClassVar[dict[tuple[str, str, str], tuple[str, StructType]]] = {}
-
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
 
@@ -119,14 +116,17 @@ class Projection:
 
     def _kept(self, name: str, text: str, key: str) -> DataFrame:
         """The rows of a projection, read from its written form."""
-        place = (self.spark.sparkContext.applicationId, self.sf_dir, name)
-        if place not in self._written:
-            df = self.sql(text)
-            path = shared_path(self.spark, f"graph-{name}")
-            df.repartitionByRange(key).sortWithinPartitions(key).write.parquet(path)
-            self._written[place] = (path, df.schema)
-        path, schema = self._written[place]
-        return self.spark.read.schema(schema).parquet(path)
+        make = lambda: self.sql(text).repartitionByRange(key).sortWithinPartitions(key)
+        return self.kept(name, sorted(set(_FROM.findall(text))), make).read()
+
+    def kept(self, name: str, tables: list[str], make: Callable[[], Buckets | DataFrame]) -> Buckets:
+        """What is made of some tables of the directory, until their files change."""
+        return KEPT.get(self.spark, name, [f"{self.sf_dir}/{t}.parquet" for t in tables], make)
+
+    @staticmethod
+    def drop(spark: SparkSession) -> None:
+        """Delete what was kept of all directories."""
+        KEPT.drop(spark)
 
     @property
     def nodes(self) -> DataFrame:

@@ -352,6 +352,36 @@ def _(p):
     return services.focal_nodes(p.nodes, "Which gizmo and bolt does the (red) Widget call?").select("id")
 
 
+@query(
+    "h12_contexts",
+    """
+WITH RECURSIVE w(place, word) AS (VALUES (0, 'gizmo'), (1, 'and'), (2, 'bolt'), (3, 'red'), (4, 'widget')),
+h AS (SELECT w.place, n.id, row_number() OVER (PARTITION BY w.word ORDER BY n.name, n.id) AS r FROM nodes n JOIN w ON contains(n.name, w.word) WHERE n.status = 'active'),
+f AS (SELECT id, place, r FROM h WHERE r <= 5 QUALIFY row_number() OVER (PARTITION BY id ORDER BY place, r) = 1),
+focal AS (SELECT id AS root, CAST(row_number() OVER (ORDER BY place, r) AS INT) AS nth FROM f ORDER BY place, r LIMIT 3),
+walk AS (SELECT root, root AS id, 0 AS depth FROM focal UNION SELECT w.root, c.dst, w.depth + 1 FROM walk w JOIN calls c ON c.src = w.id WHERE w.depth < 2),
+around AS (SELECT root, id FROM walk UNION SELECT root, c.src FROM focal JOIN calls c ON c.dst = root UNION SELECT root, u.dst FROM focal JOIN uses u ON u.src = root),
+l AS (SELECT 'doc_' || doc_id AS path, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+s AS (SELECT path, l, len(l) AS n, unnest(range(0, len(l), 3)) AS s FROM l),
+c AS (SELECT path, CAST(s + 1 AS INT) AS start_line, array_to_string(list_slice(l, s + 1, s + 4), chr(10)) AS content FROM s WHERE s = 0 OR s + 1 < n),
+sc AS (SELECT path, start_line, round(len(list_intersect(list_distinct(regexp_extract_all(lower(content), '[\\p{L}\\p{N}_\\p{M}]+')), ['which', 'gizmo', 'and', 'bolt', 'does', 'the', 'red', 'widget', 'call'])) / 9.0, 6)::DOUBLE AS score FROM c),
+top AS (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, path, start_line) AS INT) AS nth FROM sc WHERE score > 0 QUALIFY nth <= 5)
+SELECT 'graph' AS source, nth AS place, root AS focus, id, CAST(NULL AS DOUBLE) AS score FROM around JOIN focal USING (root)
+UNION ALL SELECT 'file', nth, path, CAST(start_line AS VARCHAR), score FROM top
+""",
+)
+def _(p):
+    """What the graph and the files have for one question."""
+    from weftgraph.operators import search
+
+    def chunk_words():
+        chunks = services.chunks(p.table("documents").select(F.concat(F.lit("doc_"), "doc_id").alias("path"), F.col("text").alias("content")), 4, 1)
+        return search.indexed(chunks, search.words(F.col("content")), "path", "start_line")
+
+    index = p.kept("chunk-words", ["documents"], chunk_words)
+    return services.contexts(p.graph(p.calls.unionByName(p.uses)), index, "Which gizmo and bolt does the (red) Widget call?")
+
+
 @query("o6_latest_changes", "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id LIMIT 100 OFFSET 50")
 def _(p):
     return aggregate.page(p.table("events").select("event_id", "ts"), [F.desc("ts"), "event_id"], 100, 50)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.extract.tables import RECORDS, Extraction, records
+from weftgraph.extract.tables import Extraction, records
 from weftgraph.operators import shapes
 from weftgraph.plans.graph_queries import query
 from weftgraph.plans.project import Projection
@@ -25,9 +25,6 @@ _HEAD = (
 #: Statement of a line by its length modulo their number; N is the length.
 _KINDS = ("total = total + N", "items.append(N)", "if total > N: total = N", "total = g(total, key=items)", "total = data.fieldN", "data.put(total)", "h(items)")
 
-_kept: dict[tuple[str, str], str] = {}
-
-
 def sources(documents: DataFrame) -> DataFrame:
     """(path, source) of every document."""
 
@@ -44,13 +41,8 @@ def sources(documents: DataFrame) -> DataFrame:
 
 
 def _extraction(p: Projection) -> Extraction:
-    """The extraction of a directory's documents, parsed once a session."""
-    place = (p.spark.sparkContext.applicationId, p.sf_dir)
-    if place not in _kept:
-        path = shared_path(p.spark, "source-records")
-        records(sources(p.table("documents"))).write.parquet(path)
-        _kept[place] = path
-    return Extraction(p.spark.read.schema(RECORDS).parquet(_kept[place]))
+    """The extraction of a directory's documents, parsed once, until the documents' files change."""
+    return Extraction(p.kept("source-records", ["documents"], lambda: records(sources(p.table("documents")))).read())
 
 
 _SQL_KINDS = " ".join(f"WHEN {k} THEN '{text.replace('N', chr(39) + ' || n || ' + chr(39))}'" for k, text in enumerate(_KINDS))
