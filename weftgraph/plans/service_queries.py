@@ -672,3 +672,88 @@ def _(p):
     v = p.nodes.select("id", label.alias("label"), (F.col("start_line") / 20.0).alias("zoom")).unionByName(p.variables.select("id", F.lit("Variable").alias("label"), (F.col("origin_line") / 500.0).alias("zoom")))
     tier = text.zoom_tier(F.col("zoom"))
     return v.where(text.shown_at(F.col("label"), tier)).select("id", tier.alias("tier"))
+
+
+# --- containment trees: an order is a function, its lines are statements in nested branches
+
+_TREE = """
+ls AS (SELECT l_orderkey AS o, l_linenumber AS k, min(l_linestatus) AS s, min(l_returnflag) AS r, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2),
+tn AS (
+  SELECT 'f' || o AS id, CAST(NULL AS VARCHAR) AS parent, 'Function' AS label, 'function' AS kind, CAST(NULL AS VARCHAR) AS call_target, 0 AS seq, 1 AS start_line, 99 AS end_line FROM ls GROUP BY o
+  UNION ALL SELECT 'f' || o || '.if', 'f' || o, 'ControlFlow', 'if', NULL, 1, 1, 99 FROM ls GROUP BY o
+  UNION ALL SELECT 'f' || o || '.' || s, 'f' || o || '.if', 'Branch', 'case_' || s, NULL, CASE WHEN s = 'O' THEN 1 ELSE 2 END, 1, 99 FROM ls GROUP BY o, s
+  UNION ALL SELECT 'f' || o || '.' || s || r, 'f' || o || '.' || s, 'Branch', 'then', NULL, 3, 1, 99 FROM ls GROUP BY o, s, r
+  UNION ALL SELECT 'f' || o || '.' || s || r || '.' || k, 'f' || o || '.' || s || r, 'Statement', 'call', 't' || (p % 3), k, 2 * k, 2 * k + 1 FROM ls)
+"""
+
+
+def _order_trees(p: Projection) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes of the trees, CONTAINS edges, and the functions."""
+
+    def make():
+        body = _TREE.replace("AS VARCHAR", "AS STRING")
+        return p.sql(f"WITH {body} SELECT * FROM tn")
+
+    nodes = p.kept("order-trees", ["lineitem"], make).read()
+    return nodes, nodes.where("parent IS NOT NULL").select(F.col("parent").alias("src"), F.col("id").alias("dst")), nodes.where("label = 'Function'").select("id")
+
+
+@query(
+    "f1_duplicate_branches",
+    f"""
+WITH RECURSIVE {_TREE},
+inside AS (SELECT id AS branch, id AS node FROM tn WHERE label = 'Branch' UNION ALL SELECT i.branch, t.id FROM inside i JOIN tn t ON t.parent = i.node),
+fp AS (SELECT branch, string_agg(kind || ':' || coalesce(call_target, ''), '|' ORDER BY seq, kind || ':' || coalesce(call_target, '')) AS fingerprint FROM inside JOIN tn ON tn.id = node WHERE node <> branch GROUP BY branch)
+SELECT branch, md5(fingerprint) AS "group", members FROM fp JOIN (SELECT fingerprint, count(*) AS members FROM fp GROUP BY fingerprint HAVING count(*) > 1) USING (fingerprint)
+""",
+)
+def _(p):
+    """Branches whose nested contents are alike, in groups of two or more."""
+    from weftgraph.operators import containment
+
+    nodes, contains, roots = _order_trees(p)
+    labelled = containment.labels(contains, roots, nodes)
+    return containment.duplicates(containment.fingerprints(labelled, nodes.where("label = 'Branch'"), nodes)).select("branch", "group", "members")
+
+
+@query(
+    "t5_tree_labels",
+    f"""
+WITH RECURSIVE {_TREE},
+walk AS (SELECT id AS root, id AS node, 0 AS depth, lpad('0', 20, '0') || id AS place FROM tn WHERE label = 'Function'
+  UNION ALL SELECT w.root, t.id, w.depth + 1, w.place || '/' || lpad(CAST(t.seq AS VARCHAR), 20, '0') || t.id FROM walk w JOIN tn t ON t.parent = w.node),
+n AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY string_split(place, '/')) AS first FROM walk),
+c AS (SELECT a.node, count(*) AS inside FROM walk a JOIN walk b ON b.root = a.root AND starts_with(b.place, a.place || '/') GROUP BY a.node)
+SELECT root, node, CAST(depth AS INT) AS depth, CAST(first AS INT) AS first, first + coalesce(inside, 0) AS last FROM n LEFT JOIN c USING (node)
+""",
+)
+def _(p):
+    """Numbers of all nodes in their trees: what lies inside a node has those between its first and its last."""
+    from weftgraph.operators import containment
+
+    nodes, contains, roots = _order_trees(p)
+    return containment.labels(contains, roots, nodes).select("root", "node", "depth", "first", "last")
+
+
+@query(
+    "j25_function_flows",
+    f"""
+WITH RECURSIVE {_TREE},
+x AS (SELECT id, parent, label, kind, lead(id) OVER (PARTITION BY parent ORDER BY seq, id) AS nxt FROM tn WHERE parent IS NOT NULL),
+nx AS (SELECT id AS src, nxt AS dst FROM x WHERE nxt IS NOT NULL UNION ALL SELECT parent, id FROM x WHERE label = 'Branch' AND kind <> 'then'),
+fn AS (SELECT id, split_part(id, '.', 1) AS root, label, kind, parent, start_line, end_line FROM tn)
+SELECT root, 'CONTAINS' AS type, parent AS src, id AS dst, CAST(NULL AS VARCHAR) AS branch_kind FROM fn WHERE parent IS NOT NULL
+UNION ALL SELECT a.root, 'NEXT', nx.src, nx.dst, CASE WHEN a.label = 'ControlFlow' AND b.label = 'Branch' THEN b.kind END FROM nx JOIN fn a ON a.id = nx.src JOIN fn b ON b.id = nx.dst WHERE a.label <> 'Function'
+UNION ALL SELECT DISTINCT s.root, 'CALLS', s.id, 't' || (ls.p % 5), NULL FROM ls JOIN fn s ON s.root = 'f' || ls.o AND s.label IN ('Statement', 'ControlFlow') AND 2 * ls.k + 1 BETWEEN s.start_line AND s.end_line
+""",
+)
+def _(p):
+    """Each function's flow: containment, what follows what with the kind of a branch, and the statements' calls."""
+    from weftgraph.operators import containment
+
+    nodes, contains, roots = _order_trees(p)
+    inner = nodes.where("parent IS NOT NULL")
+    nxt = inner.withColumn("dst", F.lead("id").over(Window.partitionBy("parent").orderBy("seq", "id"))).where("dst IS NOT NULL").select(F.col("id").alias("src"), "dst")
+    following = nxt.unionByName(inner.where("label = 'Branch' AND kind <> 'then'").select(F.col("parent").alias("src"), F.col("id").alias("dst")))
+    calls = p.sql("SELECT concat('f', l_orderkey) AS src, concat('t', min(l_partkey) % 5) AS dst, 2 * l_linenumber + 1 AS line FROM lineitem GROUP BY l_orderkey, l_linenumber")
+    return containment.flow_edges(containment.labels(contains, roots, nodes), nodes, following, calls)

@@ -69,6 +69,16 @@ def delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file; it is there as a whole or not at all."""
+    place, hidden = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, re.sub(r"([^/]*)$", r"_\1", path)))
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = files.create(hidden)
+    out.write(bytearray(text.encode()))
+    out.close()
+    files.rename(hidden, place)
+
+
 class Kept:
     """Tables that are made once from files and used until the files change or ``drop`` is called; they outlive scopes.
 
