@@ -230,6 +230,21 @@ def class_detail(nodes: DataFrame, edges: DataFrame, class_id: str) -> dict[str,
     return {"members": members, "bases": bases, "calls": within(edges.where("type = 'CALLS'"), members)}
 
 
+def class_details(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """J22 for all classes, a row for each thing: (class_id, part, src, dst, external).
+
+    Parts are member (src is it), base (dst is it, external where no node has its id), and call between two members of one class.
+    """
+    member = edges.where("type = 'MEMBER_OF'").select(F.col("src").alias("id"), F.col("dst").alias("class_id")).join(nodes.select("id"), "id").distinct()
+    none = F.lit(None).cast("boolean").alias("external")
+    known = nodes.select(F.col("id").alias("dst"), F.lit(False).alias("external")).distinct()
+    bases = edges.where("type = 'INHERITS'").select("src", "dst").distinct().join(known, "dst", "left")
+    calls = edges.where("type = 'CALLS'").select("src", "dst").distinct().join(member.withColumnRenamed("id", "src"), "src").join(member.withColumnRenamed("id", "dst"), ["dst", "class_id"])
+    members = member.select("class_id", F.lit("member").alias("part"), F.col("id").alias("src"), F.lit(None).cast("string").alias("dst"), none)
+    bases = bases.select(F.col("src").alias("class_id"), F.lit("base").alias("part"), "src", "dst", F.coalesce("external", F.lit(True)).alias("external"))
+    return members.unionByName(bases).unionByName(calls.select("class_id", F.lit("call").alias("part"), "src", "dst", none))
+
+
 def members_like(nodes: DataFrame, edges: DataFrame, part: str, limit: int = 50) -> DataFrame:
     """Members of classes whose name has a part, in order of name."""
     owners = nodes.where(F.col("name").contains(part)).select(F.col("id").alias("dst"), F.col("name").alias("class_name"))

@@ -128,6 +128,13 @@ def insert_statement(statements: DataFrame, row: DataFrame, parent: str, at: int
     return moved.unionByName(row.withColumn("parent", F.lit(parent)).withColumn("seq", F.lit(at)), allowMissingColumns=True)
 
 
+def update_statements(statements: DataFrame, texts: DataFrame) -> DataFrame:
+    """New texts (id, source_text) of some statements, the last by text where an id repeats; places stay as they are."""
+    new = texts.groupBy("id").agg(F.max("source_text").alias("_text"), F.lit(True).alias("_new"))
+    joined = statements.join(new, "id", "left")
+    return joined.withColumn("source_text", F.when(F.col("_new"), F.col("_text")).otherwise(F.col("source_text"))).select(*statements.columns)
+
+
 def delete_statement(statements: DataFrame, statement_id: str) -> DataFrame:
     """A statement goes; positions close up, so NEXT bridges the gap."""
     gone = statements.where(F.col("id") == statement_id).select("parent", F.col("seq").alias("_at")).limit(1)

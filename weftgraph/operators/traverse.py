@@ -157,6 +157,23 @@ def flow_steps(flow_edges: DataFrame, call_edges: DataFrame) -> DataFrame:
     return ordered.join(inner.groupBy("flow").agg(F.count(F.lit(1)).alias("links")), "flow", "left").fillna(0, ["links"])
 
 
+def flow_traversal(flow_edges: DataFrame, edges: DataFrame, types: Sequence[str] = ("CALLS", "DEPENDS_ON", "TRANSFORMS")) -> DataFrame:
+    """T15 in full, a row for each thing of a flow: (flow, part, place, src, dst).
+
+    Parts are step (src, at its place), connection between two steps of one flow, and sub_flow (dst, at its place).  Nothing is
+    collected, so a flow may have any number of steps.
+    """
+    steps = flow_edges.where("type = 'STEP_OF'").select(F.col("dst").alias("flow"), F.col("src").alias("node"), F.col("step_order").alias("place")).distinct()
+    own = steps.select("flow", "node").distinct()
+    met = edges.where(F.col("type").isin(*types)).select("src", "dst").distinct().join(own.select("flow", F.col("node").alias("src")), "src")
+    met = met.join(own.select("flow", F.col("node").alias("dst")), ["flow", "dst"], "left_semi")
+    none, place = F.lit(None).cast("string"), F.lit(None).cast("int")
+    inner = flow_edges.where("type = 'CONTAINS_FLOW'").select(F.col("src").alias("flow"), "dst", F.col("step_order").alias("place")).distinct()
+    rows = steps.select("flow", F.lit("step").alias("part"), "place", F.col("node").alias("src"), none.alias("dst"))
+    rows = rows.unionByName(met.select("flow", F.lit("connection").alias("part"), place.alias("place"), "src", "dst"))
+    return rows.unionByName(inner.select("flow", F.lit("sub_flow").alias("part"), "place", none.alias("src"), "dst"))
+
+
 def subtree_prints(contains: DataFrame, statements: DataFrame, roots: DataFrame, depth: int = 8) -> DataFrame:
     """A fingerprint of each branch: kind:target of its descendants, in order of seq."""
     inside = reach(contains, roots, depth)

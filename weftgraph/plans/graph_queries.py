@@ -273,6 +273,24 @@ def _(p):
     return match.class_detail(p.nodes, p.edges, "t3")["members"].select("id", "name")
 
 
+@query(
+    "j22_class_details",
+    """
+WITH m AS (SELECT id, module_path AS c FROM nodes WHERE starts_with(id, 'p')),
+inh AS (SELECT DISTINCT c, 'p' || substr(c, 7) || CASE WHEN length(c) > 7 THEN '' ELSE 'x' END AS base FROM m)
+SELECT c AS class_id, 'member' AS part, id AS src, CAST(NULL AS VARCHAR) AS dst, CAST(NULL AS BOOLEAN) AS external FROM m
+UNION ALL SELECT c, 'base', c, base, base NOT IN (SELECT id FROM nodes) FROM inh
+UNION ALL SELECT a.c, 'call', w.src, w.dst, NULL FROM (SELECT DISTINCT src, dst FROM wide_calls) w JOIN m a ON a.id = w.src JOIN m b ON b.id = w.dst AND b.c = a.c
+""",
+)
+def _(p):
+    """Brands as classes of parts; a brand inherits a part, or something unknown."""
+    m = p.nodes.where("id LIKE 'p%'").select("id", F.col("module_path").alias("c"))
+    base = F.concat(F.lit("p"), F.substr("c", F.lit(7)), F.when(F.length("c") > 7, "").otherwise("x"))
+    edges = p.wide_calls.select("type", "src", "dst").union(m.select(F.lit("MEMBER_OF"), "id", "c")).union(m.select(F.lit("INHERITS"), "c", base).distinct())
+    return match.class_details(p.nodes, edges)
+
+
 @query(
     "j23_usages",
     """
@@ -485,9 +503,9 @@ near AS (SELECT root, node, min(depth) AS depth FROM walk GROUP BY root, node),
 prev AS (SELECT n.root, n.node, min(c.src) AS before FROM near n JOIN calls c ON c.dst = n.node LEFT JOIN near m ON m.root = n.root AND m.node = c.src
          WHERE coalesce(m.depth, CASE WHEN c.src = n.root THEN 0 END) = n.depth - 1 GROUP BY n.root, n.node),
 back AS (
-  SELECT root, node, depth, node AS at, node AS chain FROM near WHERE node NOT IN (SELECT src FROM calls)
-  UNION ALL SELECT b.root, b.node, b.depth, p.before, p.before || '>' || b.chain FROM back b JOIN prev p ON p.root = b.root AND p.node = b.at)
-SELECT root, node, CAST(depth AS INT) AS depth, chain FROM back WHERE at = root
+  SELECT root, node, depth, node AS here, node AS chain FROM near WHERE node NOT IN (SELECT src FROM calls)
+  UNION ALL SELECT b.root, b.node, b.depth, p.before, p.before || '>' || b.chain FROM back b JOIN prev p ON p.root = b.root AND p.node = b.here)
+SELECT root, node, CAST(depth AS INT) AS depth, chain FROM back WHERE here = root
 """,
 )
 def _(p):
@@ -545,6 +563,25 @@ def _(p):
     return traverse.flow_steps(flows, p.calls).select("flow", "steps")
 
 
+@query(
+    "t15_flow_traversal",
+    """
+WITH st AS (SELECT DISTINCT 'w' || (substr(src, 2)::INT % 40) AS flow, dst AS node, line AS place FROM passes WHERE type = 'PASSES_TO' AND src <> dst),
+e AS (SELECT DISTINCT src, dst FROM passes)
+SELECT flow, 'step' AS part, CAST(place AS INT) AS place, node AS src, CAST(NULL AS VARCHAR) AS dst FROM st
+UNION ALL SELECT a.flow, 'connection', NULL, e.src, e.dst FROM e JOIN (SELECT DISTINCT flow, node FROM st) a ON a.node = e.src JOIN (SELECT DISTINCT flow, node FROM st) b ON b.node = e.dst AND b.flow = a.flow
+UNION ALL SELECT DISTINCT 'w' || (substr(src, 2)::INT % 40), 'sub_flow', CAST(line AS INT), NULL, 'w' || (substr(dst, 2)::INT % 40 + 40) FROM passes WHERE type = 'FEEDS'
+""",
+)
+def _(p):
+    """Flows of orders: steps, what connects them, and flows inside."""
+    flow = lambda end, more=0: F.concat(F.lit("w"), (F.substr(end, F.lit(2)).cast("int") % 40 + more).cast("string"))
+    passes = p.passes.withColumn("step_order", F.col("line").cast("int"))
+    steps = passes.where("type = 'PASSES_TO' AND src <> dst").select(F.lit("STEP_OF").alias("type"), F.col("dst").alias("src"), flow("src").alias("dst"), "step_order")
+    inner = passes.where("type = 'FEEDS'").select(F.lit("CONTAINS_FLOW").alias("type"), flow("src").alias("src"), flow("dst", 40).alias("dst"), "step_order")
+    return traverse.flow_traversal(steps.unionByName(inner), p.passes, ("PASSES_TO", "FEEDS"))
+
+
 @query("t25_fingerprints", "SELECT root, string_agg(part, '|' ORDER BY seq, part) AS fingerprint FROM (SELECT dst AS root, concat(type, ':', src) AS part, seq FROM uses WHERE type <> 'ASSIGNS') GROUP BY root")
 def _(p):
     u = p.uses.where("type <> 'ASSIGNS'").select(F.col("dst").alias("root"), F.concat_ws("/", "src", "type", "dst").alias("id"), F.col("type").alias("kind"), F.col("src").alias("call_target"), "seq")
@@ -788,6 +825,24 @@ def _(p):
     return mutate.upsert_edges(empty, p.wide_calls.select("type", "src", "dst"), v)
 
 
+@query(
+    "w4_upsert_into",
+    """
+WITH old AS (SELECT type, src, dst, 0 AS line FROM edges WHERE line % 2 = 0 OR type IN ('MEMBER_OF', 'INHERITS')),
+v AS (SELECT id, 'LogicNode' AS label FROM nodes WHERE status = 'active' UNION ALL SELECT id, 'Variable' FROM variables),
+new AS (SELECT DISTINCT e.type, e.src, e.dst, e.line FROM edges e JOIN v a ON a.id = e.src JOIN v b ON b.id = e.dst WHERE e.line % 3 = 0)
+SELECT type, src, dst, CAST(line AS INT) AS line FROM new
+UNION ALL SELECT type, src, dst, line FROM old WHERE (type, src, dst) NOT IN (SELECT (type, src, dst) FROM new)
+""",
+)
+def _(p):
+    """Edges of nine types into a table that has some of them: those with new properties replace theirs."""
+    v = p.graph(p.calls).vertices.where("label = 'Variable' OR status = 'active'")
+    e = p.edges.select("type", "src", "dst", F.col("line").cast("int").alias("line"))
+    old = e.where("line % 2 = 0 OR type IN ('MEMBER_OF', 'INHERITS')").withColumn("line", F.lit(0))
+    return mutate.upsert_edges(old, e.where("line % 3 = 0"), v)
+
+
 @query("w5_insert_only", "SELECT id, name FROM nodes WHERE kind = 'promo' UNION ALL SELECT id, concat(name, ' new') FROM nodes WHERE kind <> 'promo'")
 def _(p):
     return mutate.insert_only(p.nodes.where("kind = 'promo'").select("id", "name"), p.nodes.select("id", F.concat("name", F.lit(" new")).alias("name")))
@@ -851,6 +906,17 @@ def _(p):
     return services.data_flow(p.uses, p.variables).select("node_id", F.array_join("reads", ",").alias("reads"))
 
 
+@query(
+    "h9_all_roles",
+    "SELECT src AS node_id, "
+    + ", ".join(f"coalesce(string_agg(DISTINCT CASE WHEN type = '{t}' THEN 'order_' || substr(dst, 2) END, ',' ORDER BY CASE WHEN type = '{t}' THEN 'order_' || substr(dst, 2) END), '') AS {c}" for t, c in (("ASSIGNS", "assigns"), ("READS", "reads"), ("RETURNS", "returns")))
+    + " FROM uses GROUP BY src",
+)
+def _(p):
+    """What every node assigns, reads and returns."""
+    return services.data_flow(p.uses, p.variables).select("node_id", *[F.array_join(c, ",").alias(c) for c in ("assigns", "reads", "returns")])
+
+
 @query("o5_keyword_search", "SELECT doc_id, score FROM (SELECT doc_id, round(len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_\\p{M}]+')), ['the', 'and', 'rendered', 'of'])) / 4.0, 6)::DOUBLE AS score FROM documents) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20")
 def _(p):
     return search.keyword_search(_document_words(p), "The and rendered of", 20, "doc_id")

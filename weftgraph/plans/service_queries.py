@@ -480,6 +480,13 @@ def _(p):
     return aggregate.next_edges(after)
 
 
+@query("w18_update", f"WITH {_ROWS} SELECT id, parent, seq, CASE WHEN seq % 3 = 1 THEN 'edited ' || id WHEN seq % 3 = 2 THEN NULL ELSE 'text' END AS source_text FROM st")
+def _(p):
+    """New texts of two of three statements, of which one is null."""
+    rows = _statements(p).withColumn("source_text", F.lit("text"))
+    return mutate.update_statements(rows, rows.where("seq % 3 > 0").select("id", F.when(F.col("seq") % 3 == 1, F.concat(F.lit("edited "), "id")).alias("source_text"))).select("id", "parent", "seq", "source_text")
+
+
 @query("w18_delete", f"WITH {_ROWS}, gone AS (SELECT parent, seq FROM st WHERE id = 'o7') SELECT st.id, st.parent, CAST(CASE WHEN st.seq > gone.seq THEN st.seq - 1 ELSE st.seq END AS INT) AS seq FROM st LEFT JOIN gone ON gone.parent = st.parent WHERE st.id <> 'o7'")
 def _(p):
     return mutate.delete_statement(_statements(p), "o7").select("id", "parent", "seq")
