@@ -13,7 +13,7 @@ RARE = {
     "h4_variable_search", "h5_impact_of_retired", "h6_node_search", "h7_member_access", "j13_calls_both", "j16_two_cycles", "j17_three_cycles",
     "j17_three_cycles_ordered", "j18_batch_lookup", "j20_resolve", "j21_file_members", "j23_usages", "j24_function_detail", "j2_in_edges",
     "j30_feeds_by_line", "j3_both", "j8_arguments", "j9_line_ranges", "o3_top_fan_out", "s12_line_chunks", "s14_key_lookup", "s15_definition", "s5_page",
-    "t12_consumers", "t15_flow_steps", "t16_flow_paths", "t17_trails", "t18_shortest", "t19_all_paths", "t1_reach", "t1_reach_deep", "t20_reverse_reach",
+    "t12_consumers", "t15_flow_steps", "t16_flow_paths", "t17_trails", "t18_shortest", "t18_shortest_chains", "t19_all_paths", "t1_reach", "t1_reach_deep", "t20_reverse_reach",
     "t21_deepest", "t6_call_chain_nodes", "t9_timeline_pack",
 }
 

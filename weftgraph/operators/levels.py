@@ -66,15 +66,19 @@ def reach(edges: DataFrame, roots: DataFrame, depth: int | None, *, include_root
     return run(edges, roots, depth, include_roots=include_roots).pairs()
 
 
-def shortest(edges: DataFrame, roots: DataFrame, targets: DataFrame, depth: int | None) -> DataFrame:
+def shortest(edges: DataFrame, roots: DataFrame, targets: DataFrame, depth: int | None, *, chains: bool = True) -> DataFrame:
     """(root, node, depth, chain): a shortest path to each target that is reached, back from its end by the smallest predecessors.
 
+    Without ``chains`` only depths are told, and no step back is made.
+
     Only depths are kept while levels are made.  Afterwards each asked pair steps back from its target, a level at a time, to
     those predecessors that its root has at the level before.
     """
     levels = run(edges.where("src <> dst"), roots, depth, include_roots=True)
     seen = levels.seen.read()
     asked = seen.where("depth > 0").join(targets.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
+    if not chains:
+        return levels.pairs(asked)
     deepest = asked.agg(F.max("depth")).first()[0] or 0
     back = levels.edges.read().select(F.col("src").alias("before"), F.col("dst").alias("at"))
     ways = asked.select("node", "block", "depth", F.explode(F.expr(_BITS)).alias("bit")).select("node", "block", "bit", "depth", F.col("node").alias("at"), F.array("node").alias("chain"))
@@ -83,7 +87,7 @@ def shortest(edges: DataFrame, roots: DataFrame, targets: DataFrame, depth: int
     for far in range(1, deepest + 1):
         # ways of which ``far - 1`` steps are known
         place = seen.select(F.col("node").alias("before"), "block", F.col("depth").alias("level"), "mask")
-        met = ways.join(back, "at").join(place, ["before", "block"]).where(f"level = depth - {far} AND (shiftrightunsigned(mask, bit) & 1) = 1")
+        met = ways.withColumn("level", F.col("depth") - far).join(back, "at").join(place, ["before", "block", "level"]).where("(shiftrightunsigned(mask, bit) & 1) = 1")
         best = met.groupBy("node", "block", "bit", "depth").agg(F.min("before").alias("at"), F.any_value("chain").alias("chain"))
         best = written(best.withColumn("chain", F.concat(F.array("at"), F.col("chain"))), "ways")
         done = done.unionByName(best.where(f"depth = {far}"))

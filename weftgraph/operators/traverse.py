@@ -116,12 +116,12 @@ def dependents(edges: DataFrame, roots: DataFrame, depth: int = 2, **options: ob
     return dependencies(reversed_edges(edges), roots, depth, **options)
 
 
-def shortest(edges: DataFrame, roots: DataFrame, targets: DataFrame, depth: int | None = 10) -> DataFrame:
+def shortest(edges: DataFrame, roots: DataFrame, targets: DataFrame, depth: int | None = 10, *, chains: bool = True) -> DataFrame:
     """One shortest path (root, node, depth, chain) per pair; of several the one that comes back by the smallest predecessors.
 
-    Without ``depth`` it ends when a level reaches nothing new.
+    Without ``depth`` it ends when a level reaches nothing new; without ``chains`` there is no column chain.
     """
-    return levels.shortest(edges, roots, targets, depth)
+    return levels.shortest(edges, roots, targets, depth, chains=chains)
 
 
 def deepest(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:

@@ -496,9 +496,15 @@ near AS (SELECT root, node, min(depth) AS depth FROM walk GROUP BY root, node),
 """
 
 
+@query("t18_shortest", _WALK.rstrip().rstrip(",") + " SELECT root, node, CAST(depth AS INT) AS depth FROM near WHERE node NOT IN (SELECT src FROM calls)")
+def _(p):
+    leaves = match.lacking(p.calls.select(F.col("dst").alias("id")).distinct(), p.calls)
+    return traverse.shortest(p.calls, _entries(p), leaves, 10, chains=False).select("root", "node", "depth")
+
+
 @query(
-    "t18_shortest",
-    _WALK
+    "t18_shortest_chains",
+    _WALK.rstrip()
     + """
 prev AS (SELECT n.root, n.node, min(c.src) AS before FROM near n JOIN calls c ON c.dst = n.node LEFT JOIN near m ON m.root = n.root AND m.node = c.src
          WHERE coalesce(m.depth, CASE WHEN c.src = n.root THEN 0 END) = n.depth - 1 GROUP BY n.root, n.node),
