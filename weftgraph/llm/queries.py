@@ -136,15 +136,15 @@ def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP13_SQL = r"""
 WITH src AS (SELECT 'd' AS side, row_number() OVER () AS k, doc_id, text FROM documents UNION ALL SELECT 'b', -row_number() OVER (), NULL, text FROM benchmark),
-w AS (SELECT side, k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM src),
+w AS MATERIALIZED (SELECT side, k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM src),
 g AS (SELECT side, k, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS n) WHERE len(ws) >= n),
-f AS (SELECT side, k, array_to_string(list_slice(ws, i, i + n - 1), ' ') AS f FROM g),
-x AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM f)),
-nibbles AS (SELECT f, [strpos('123456789ABCDEF', h[j + 2 - 2 * (j % 2)]) FOR j IN range(length(h))] AS v FROM x),  -- the lower half of each byte first
-b AS (SELECT f, xor(list_reduce([4294967295] || v, lambda c, y: xor(c >> 4,
+f AS MATERIALIZED (SELECT side, k, array_to_string(list_slice(ws, i, i + n - 1), ' ') AS f FROM g),
+x AS MATERIALIZED (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM f)),
+nibbles AS MATERIALIZED (SELECT f, [strpos('123456789ABCDEF', h[j + 2 - 2 * (j % 2)]) FOR j IN range(length(h))] AS v FROM x),  -- the lower half of each byte first
+b AS MATERIALIZED (SELECT f, xor(list_reduce([4294967295] || v, lambda c, y: xor(c >> 4,
         [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]
         [(xor(c, y) & 15) + 1])), 4294967295) % 10000 AS bucket FROM nibbles),
-fb AS (SELECT side, k, bucket FROM f JOIN b USING (f)),
+fb AS MATERIALIZED (SELECT side, k, bucket FROM f JOIN b USING (f)),
 n AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM fb GROUP BY bucket),
 tot AS (SELECT coalesce(sum(s), 0)::DOUBLE AS s, coalesce(sum(t), 0)::DOUBLE AS t FROM n),
 gain AS (SELECT bucket, floor(1000 * ln((n.t + 1)::DOUBLE * (tot.s + 10000) / ((n.s + 1)::DOUBLE * (tot.t + 10000))))::BIGINT AS gain FROM n, tot),
