@@ -2,8 +2,11 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import unicodedata
 import zlib
 
@@ -41,6 +44,34 @@ def test_word_ids_equal_the_library():
         assert np.frombuffer(ids, "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_remembered_words_are_bounded_in_bytes(monkeypatch):
+    """Long words and many of them, of both kinds: what is kept stays under the bound and one range, and ids stay the library's."""
+    from tokenizers import Tokenizer
+
+    most = 300_000
+    monkeypatch.setattr(packing, "REMEMBERED_BYTES", most, raising=False)
+    reference, encoder, rng = Tokenizer.from_file(WORDS), packing.WordEncoder(WORDS), random.Random(2)
+    held = []
+    for k in range(60):
+        texts = [" ".join("".join(rng.choices("abcdefgh" if k % 2 else "αβγδabc", k=120)) for _ in range(40)) + " the end" for _ in range(4)]
+        for text, ids in zip(texts, encoder.encode(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids
+        held.append(sum(sys.getsizeof(x) for memory in (encoder._runs, encoder._known) for pair in memory.items() for x in pair))
+    assert max(held) < most + 160 * 1200  # 160 words a call, each with its ids under 1,200 bytes
+
+
+def test_words_of_a_task_are_encoded_by_one_thread():
+    """A task has one core: no pool of the tokenizer, whose threads keep memory each, starts in its worker."""
+    code = (
+        "import os; from weftgraph.llm import packing\n"
+        f"e = packing._encoder({str(WORDS)!r}); before = len(os.listdir('/proc/self/task'))\n"
+        "e.encode([f'word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} ü字{i}' for i in range(5000)])\n"
+        "print(len(os.listdir('/proc/self/task')) - before)"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"} | {"PYTHONPATH": os.pathsep.join(sys.path)}
+    assert subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, check=True).stdout.strip() == "0"
+
+
 def test_packing_places_every_piece_once(spark):
     texts = ["the cat sat " * n for n in (1, 5, 400, 900, 2000)] + odd_texts(40) + [None, "", "same", "same"]
     docs = frame(spark, texts, [*range(len(texts) - 3), None, 7, 7])

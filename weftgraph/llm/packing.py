@@ -18,9 +18,11 @@ columns named like the results (``sequence_id``, ``offset``) are replaced, other
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,12 @@ CAPACITY = 2048
 BLOCK = 16384
 #: Open bins carried from one block to the next; the emptiest ones stay open.
 CARRIED = 4096
-#: Distinct runs of letters, and distinct other words, whose ids a Python worker remembers.
-REMEMBERED = 900_000
+#: Bytes of words and their ids that a Python worker remembers; one range of texts may go beyond them.
+REMEMBERED_BYTES = 67_108_864
+#: About what a remembered word costs besides its own two objects, in a dictionary.
+_ENTRY = 104
+#: Characters of texts that are encoded together, and new words that the tokenizer gets at once.
+ENCODED_TOGETHER, LEARNT_TOGETHER = 500_000, 8_000
 
 #: White space of Unicode, without the four control characters that str.split() also takes.
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -54,7 +60,7 @@ _encoders: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Ids of a text by a tokenizer whose words never cross white space, with bounded memories.
+    """Ids of a text by a tokenizer whose words never cross white space, with memories bounded in bytes.
 
     A text of Latin letters and ASCII falls into lower-cased runs, which are the tokenizer's own words; new runs
     are encoded many at once, and cut apart at the tokens that end a word.  Any other text falls into what lies
@@ -71,6 +77,7 @@ class WordEncoder:
         self._ends[[i for t, i in vocabulary.items() if t.endswith(_WORD_END)]] = True
         self._known: dict[str, bytes] = {}
         self._runs: dict[str, bytes] = {}
+        self.held = 0  # bytes in both memories
 
     def _learn_runs(self, runs: list[str]) -> None:
         lines = [runs[at : at + 500] for at in range(0, len(runs), 500)]
@@ -81,32 +88,39 @@ class WordEncoder:
                 raise ValueError("the tokenizer does not mark the ends of words")
             data, start = ids.tobytes(), 0
             for run, stop in zip(line, stops.tolist(), strict=True):
-                self._runs[run] = data[start:stop]
+                self._runs[run] = ids_of = data[start:stop]
+                self.held += _ENTRY + getsizeof(run) + getsizeof(ids_of)
                 start = stop
 
     def _learn_words(self, words: list[str]) -> None:
         for w, e in zip(words, self._tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self._known[w] = np.array(e.ids, "<u4").tobytes()
+            self._known[w] = ids_of = np.array(e.ids, "<u4").tobytes()
+            self.held += _ENTRY + getsizeof(w) + getsizeof(ids_of)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         plain = [bool(_PLAIN.fullmatch(t)) for t in texts]
         words = [_RUNS.findall(t.lower()) if p else _SPACE.split(t) if _CONTROLS.search(t) else t.split() for t, p in zip(texts, plain, strict=True)]
+        if self.held > REMEMBERED_BYTES:
+            self._runs.clear()
+            self._known.clear()
+            self.held = 0
         for memory, learn, which in ((self._runs, self._learn_runs, True), (self._known, self._learn_words, False)):
-            if len(memory) > REMEMBERED:
-                memory.clear()
-            learn(list(set().union(*[ws for ws, p in zip(words, plain, strict=True) if p is which]).difference(memory)))
+            new = list(set().union(*[ws for ws, p in zip(words, plain, strict=True) if p is which]).difference(memory))
+            for at in range(0, len(new), LEARNT_TOGETHER):
+                learn(new[at : at + LEARNT_TOGETHER])
         runs, known = self._runs, self._known
         return [b"".join([runs[w] for w in ws] if p else [known[w] for w in ws]) for ws, p in zip(words, plain, strict=True)]
 
 
 def _encoder(path: str) -> WordEncoder:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; each thread would keep some MB of its own
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
 
 
-def _runs(texts: list[str], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def _runs(texts: list[str], most: int = ENCODED_TOGETHER) -> Iterator[tuple[int, int]]:
     """Ranges of texts with a bounded number of characters."""
     start = size = 0
     for i, t in enumerate(texts):
