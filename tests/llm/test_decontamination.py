@@ -63,6 +63,24 @@ def test_equals_plain_search(spark, monkeypatch, bound):
     assert 20 < sum(r[-1] for r in got) < len(got)
 
 
+def test_texts_are_not_shuffled_for_few_fingerprints(spark, monkeypatch):
+    """Hits are found without joining stretches with the words of all texts; with many fingerprints they are joined."""
+    plans = []
+
+    def kept(df, label):
+        if label == "decontamination-hits":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return materialize(df, label)
+
+    materialize = decontamination.materialize
+    monkeypatch.setattr(decontamination, "materialize", kept)
+    docs, items = [(k, f"x{k} a b c d e f g h i j k l y", "x", 1) for k in range(20)], [("i", "a b c d e f g h i j k l")]
+    few = judge(spark, docs, items)
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
+    assert sorted(few) == sorted(judge(spark, docs, items)) and {(r["n_hit"], r["n_items"]) for r in few} == {(12, 1)}
+    assert ["Join Inner, (key" in plan for plan in plans] == [False, True]
+
+
 def test_hits_and_null_ids(spark):
     docs = [(None, "x a b c y a b c", "x", 1), (None, "a b", "x", 1), (1, "a b c a b c a b c", "x", 1)]
     got = {r["n_words"]: ([tuple(h) for h in r["hits"]], r["items"]) for r in judge(spark, docs, [("k", "A b C")])}

@@ -8,6 +8,7 @@ window is found (for an item of fewer words than ``span`` the same holds with wi
 1. Documents get a row key and are written with their words.
 2. Neighbouring windows with the same fingerprint are one row (key, fingerprint, first window, end); a semi join keeps those
    whose fingerprint an item has.  About two of seven windows make a row, and none is multiplied.
+   With few fingerprints no text is shuffled: the words of a kept stretch go on with it; otherwise rows are joined with their words.
 3. Only the windows of these rows are extended to their full text, which is joined with the distinct windows of all items: at
    most one partner a row, so neither a hot passage nor many items that share one make pairs.
 4. Items with the same window are a class; a document has a set of classes, and items are listed once for each distinct set.
@@ -75,14 +76,35 @@ def winnowed(words: Column, spans: list[int], gram: int = GRAM, *, only: Column
     return _let(F.transform(words, lambda w: F.xxhash64(w)), lambda hashes: F.concat(*[of(hashes, span) for span in spans]))
 
 
-def _windows(words: Column, first: Column, end: Column, span: Column) -> Column:
-    """(start, text) of the windows from ``first`` to before ``end``; starts are numbered from 0."""
-    return F.transform(F.sequence(first, end - 1), lambda i: F.struct((i - 1).alias("start"), F.array_join(F.slice(words, i, span), " ").alias("window")))
+def _windows(words: Column, first: Column, end: Column, span: Column, skipped: Column | int = 0) -> Column:
+    """(start, text) of the windows from ``first`` to before ``end``; starts are numbered from 0, after ``skipped`` words."""
+    return F.transform(F.sequence(first, end - 1), lambda i: F.struct((i - 1 + skipped).alias("start"), F.array_join(F.slice(words, i, span), " ").alias("window")))
+
+
+def _few(df: DataFrame) -> bool:
+    """Whether ``df``, which must be written, has few enough rows to be broadcast."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
 def _small(df: DataFrame) -> DataFrame:
     """``df`` to be broadcast if it has few rows; ``df`` must be written."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if _few(df) else df
+
+
+def _near(keyed: DataFrame, prints: DataFrame, spans: list[int], gram: int) -> DataFrame:
+    """(key, span, first, end, skipped, words): stretches of documents whose fingerprint is in ``prints``.
+
+    ``words`` holds all that the windows need, without the first ``skipped`` words of the text, and ``first`` and ``end`` count from there.
+    """
+    rows = keyed.select("key", "words", winnowed(F.col("words"), spans, gram).alias("stretches"))
+    if _few(prints):  # words stay where they are, and only what lies in a stretch that is kept goes on
+        near = rows.select("key", "words", F.inline("stretches")).join(F.broadcast(prints), "fingerprint", "left_semi")
+        part = F.slice("words", F.col("first"), F.col("end") - F.col("first") + F.col("span") - 1)
+        return near.select("key", "span", F.lit(1).alias("first"), (F.col("end") - F.col("first") + 1).alias("end"), (F.col("first") - 1).alias("skipped"), part.alias("words"))
+    near = rows.select("key", F.inline("stretches")).join(prints, "fingerprint", "left_semi")
+    near = near.groupBy("key").agg(F.collect_list(F.struct("first", "end", "span")).alias("stretches"))
+    near = keyed.select("key", "words").join(near, "key").select("key", "words", F.explode("stretches").alias("s"))
+    return near.select("key", "s.span", "s.first", "s.end", F.lit(0).alias("skipped"), "words")
 
 
 def item_windows(items: DataFrame, *, item_col: str = "item_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
@@ -114,10 +136,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     prints = materialize(prints, "decontamination-fingerprints")
 
     # documents: stretches of windows that share a fingerprint with an item, extended to the windows' texts
-    near = keyed.select("key", F.inline(winnowed(F.col("words"), spans, gram))).join(_small(prints), "fingerprint", "left_semi")
-    near = near.groupBy("key").agg(F.collect_list(F.struct("first", "end", "span")).alias("stretches"))
-    texts = keyed.select("key", "words").join(near, "key").select("key", "words", F.explode("stretches").alias("s"))
-    texts = texts.select("key", F.col("s.span").alias("span"), F.explode(_windows(F.col("words"), F.col("s.first"), F.col("s.end"), F.col("s.span"))).alias("w"))
+    texts = _near(keyed, prints, spans, gram).select("key", "span", F.explode(_windows(*map(F.col, ("words", "first", "end", "span", "skipped")))).alias("w"))
     found = texts.select("key", "span", "w.start", "w.window").join(_small(members.select("window", "class_id")), "window")
     found = found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("span")).alias("end")))).alias("spans"), F.array_sort(F.collect_set("class_id")).alias("classes"))
     found = materialize(found.select("key", _merged(F.col("spans")).alias("hits"), "classes", F.sha2(F.to_json("classes"), 256).alias("set_id")), "decontamination-hits")
