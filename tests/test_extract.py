@@ -6,7 +6,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.extract.tables import changed, of_sources
+from weftgraph.extract.tables import Extraction, changed, counted, of_sources, records
 from weftgraph.extract.walker import Walker, access, module_name
 from weftgraph.functions import identity
 
@@ -196,3 +196,55 @@ def test_changed(extraction):
     nodes = extraction.nodes
     assert changed(nodes, nodes).count() == 0
     assert changed(nodes, nodes.withColumn("ast_hash", F.when(F.col("name") == "pkg.flow.run", "x").otherwise(F.col("ast_hash")))).count() == 1
+
+
+def test_statement_texts_are_segments_of_the_source():
+    source = 'def f(a):\r\n    b = "\u00e4\u20ac"; c = a\r\n    d = (a +\r\n         b)\f\n    return d\n'
+    import ast
+
+    texts = [r["text"] for r in Walker("m.py", source).run() if r["record"] == "statement"]
+    assert texts == [ast.get_source_segment(source, n) for n in ast.parse(source).body[0].body]
+
+
+def _files(spark):
+    return spark.createDataFrame([("flow.py", FLOW), ("pkg/shapes.py", CLASSES), ("bad.py", "def f(:")], "path string, source string")
+
+
+def test_records_of_some_kinds(spark):
+    """Records of a kind are those of the whole extraction, in the columns that the kind has."""
+    whole = records(_files(spark))
+    for kinds in (("node",), ("statement",), ("evidence", "variable"), ("argument", "param"), ("edge",), ("error",), ("node", "statement")):
+        some = records(_files(spark), kinds)
+        same = whole.where(F.col("record").isin(*kinds))
+        rows = same.select(some.columns).collect()
+        assert rows and sorted(map(repr, some.collect())) == sorted(map(repr, rows))
+        others = [c for c in whole.columns if c not in some.columns]
+        assert others and same.where(F.coalesce(*[F.col(c).cast("string") for c in others]).isNotNull()).isEmpty()
+    outline = records(_files(spark), ("edge",), bodies=False)
+    rows = whole.where("record = 'edge' AND type IN ('DEFINES', 'MEMBER_OF', 'INHERITS', 'IMPORTS')").select(outline.columns).collect()
+    assert sorted(map(repr, outline.collect())) == sorted(map(repr, rows))
+
+
+def test_hashes_are_made_where_they_are_read(spark):
+    nodes = of_sources(spark, [("flow.py", FLOW)]).nodes
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "_hashes" not in plan(nodes.select("name", "signature")) and "_hashes" in plan(nodes.select("ast_hash"))
+    start = FLOW.index("def check")
+    assert nodes.where("name = 'flow.check'").first()["ast_hash"] == identity.ast_hash(FLOW[start : FLOW.index("def store")])
+
+
+def test_counters_without_records(spark):
+    files = _files(spark)
+    assert counted(files).collect() == Extraction(records(files)).report().collect()
+
+
+def test_nodes_of_files_that_are_parsed_anew(spark):
+    """``reindexed_nodes`` gives the nodes of the whole graph's ``reindexed``, and reads no other record."""
+    from weftgraph.streaming import changes
+
+    graph = of_sources(spark, [("flow.py", FLOW), ("pkg/shapes.py", CLASSES)]).graph()
+    files = spark.createDataFrame([("flow.py", FLOW.replace("def run", "def go"))], "path string, source string")
+    found = changes.reindexed_nodes(graph.nodes, files, Extraction(records(files, ("node",))).nodes)
+    names = sorted(r["name"] for r in found.select("name").collect())
+    assert names == sorted(r["name"] for r in changes.reindexed(graph, files).nodes.select("name").collect())
+    assert "flow.go" in names and "flow.run" not in names and "pkg.shapes.Base" in names

@@ -8,6 +8,7 @@ files; a file that does not parse gives one error record.
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -25,34 +26,101 @@ from weftgraph.storage import written
 
 _TEXT = (
     "record", "module", "label", "type", "src", "dst", "name", "kind", "scope", "text", "docstring", "signature", "return_type", "parent", "type_hint", "origin_func",
-    "mutation_kind", "control_context", "branch", "facet", "item", "alias", "checksum", "ast_hash", "structural_hash", "condition", "access", "variable", "function",
+    "mutation_kind", "control_context", "branch", "facet", "item", "alias", "checksum", "condition", "access", "variable", "function",
     "call_id", "caller", "callee", "keyword", "arg", "params", "decorators",
 )
 _INT = ("start_line", "end_line", "start_col", "end_col", "seq", "line", "call_line", "call_order", "origin_line", "position", "walk_order")
 _BOOL = ("is_async", "is_parameter", "is_attribute", "is_rebind")
 RECORDS = T.StructType([T.StructField("path", T.StringType()), *(T.StructField(n, T.StringType()) for n in _TEXT), *(T.StructField(n, T.IntegerType()) for n in _INT), *(T.StructField(n, T.BooleanType()) for n in _BOOL)])
 
-
-def records(files: DataFrame) -> DataFrame:
-    """All extraction records of files (path, source): each file is parsed once."""
+#: What records of a kind have besides path and record.
+_HAVE = {
+    "node": ("module", "label", "kind", "name", "parent", "text", "docstring", "decorators", "signature", "params", "return_type", "checksum", "start_line", "end_line", "start_col", "end_col", "is_async"),
+    "edge": ("module", "type", "src", "dst", "call_line", "line", "seq", "call_order", "mutation_kind", "control_context", "branch", "access", "alias", "is_rebind", "walk_order"),
+    "statement": ("module", "label", "name", "kind", "text", "condition", "start_line", "end_line", "start_col", "end_col", "seq", "parent"),
+    "variable": ("module", "name", "scope", "origin_line", "origin_func", "type_hint", "is_parameter", "is_attribute"),
+    "evidence": ("module", "variable", "facet", "item", "type_hint", "function"),
+    "argument": ("module", "call_id", "caller", "callee", "position", "keyword", "arg", "line", "seq"),
+    "param": ("module", "callee", "position", "name", "variable", "keyword"),
+    "error": ("module", "name", "text"),
+}
+#: Kinds that are told without reading the bodies of functions.
+_OUTLINE = {"node", "param", "error"}
+
+#: A batch of records goes on once files have given so many, or had so many characters.
+BATCH_RECORDS, BATCH_CHARACTERS = 16_384, 4 << 20
+
+
+def records(files: DataFrame, kinds: Sequence[str] = (), bodies: bool = True) -> DataFrame:
+    """Extraction records of files (path, source): each file is parsed once.
+
+    With ``kinds`` there are only records of these kinds and only the columns that they have; without ``bodies`` the bodies of
+    functions are passed over, and edges and variables are those of definitions and imports.  Records go on by kind, many files
+    together, so that a batch fills only the columns that its kind has.
+    """
     ship(files.sparkSession)
+    has = {"path", "record"}.union(*(_HAVE[k] for k in kinds))
+    schema_ = T.StructType([f for f in RECORDS if f.name in has or not kinds])
+    names, bodies = schema_.names, bodies and (not kinds or not _OUTLINE.issuperset(kinds))
 
-    kinds = [pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.bool_() if isinstance(f.dataType, T.BooleanType) else pa.string() for f in RECORDS]
+    types = [pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.bool_() if isinstance(f.dataType, T.BooleanType) else pa.string() for f in schema_]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from weftgraph.extract.walker import Walker
 
+        held: dict[object, list[dict]] = {}
+        n = size = 0
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for rows in held.values():
+                used = {c for r in rows for c in r}
+                yield pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], t) if c in used else pa.nulls(len(rows), t) for c, t in zip(names, types, strict=True)], names=names)
+            held.clear()
+
         for batch in batches:
             for path, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = Walker(path, source or "").run()
+                rows = Walker(path, source or "", kinds=kinds, bodies=bodies).run()
                 for r in rows:
                     r["path"] = path
                     for c in ("params", "decorators"):
                         if r.get(c) is not None:
                             r[c] = json.dumps(r[c])
-                yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in zip(RECORDS.names, kinds, strict=True)], names=RECORDS.names)
+                    held.setdefault(r["record"], []).append(r)
+                n, size = n + len(rows), size + len(source or "")
+                if n >= BATCH_RECORDS or size >= BATCH_CHARACTERS:
+                    yield from told()
+                    n = size = 0
+        yield from told()
+
+    return files.select("path", "source").mapInArrow(run, schema_)
+
+
+def counted(files: DataFrame) -> DataFrame:
+    """Counters of an import of files (path, source), one row: those of ``Extraction.report`` without any record leaving its task."""
+    ship(files.sparkSession)
+    told = {"nodes": "node", "variables": "variable", "edges": "edge", "statements": "statement", "errors": "error"}
+    names = ["path", *told]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from weftgraph.extract.walker import Walker
+
+        for batch in batches:
+            paths = batch.column(0).to_pylist()
+            found = [Counter("module" if r.get("label") == "Module" else r["record"] for r in Walker(path, source or "").run()) for path, source in zip(paths, batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), *(pa.array([c[kind] for c in found], pa.int64()) for kind in told.values())], names=names)
+
+    rows = files.select("path", "source").mapInArrow(run, "path string, " + ", ".join(f"{n} long" for n in told))
+    return rows.agg(F.countDistinct("path").alias("files"), *[F.sum(n).alias(n) for n in told])
+
+
+@F.arrow_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("ast_hash", "structural_hash")]))
+def _hashes(text: pa.Array, column: pa.Array) -> pa.Array:
+    """Hashes of definitions, told from their text where they are read: a query that reads none pays for none."""
+    found = [identity.hashes(identity.dedented(t, c)) for t, c in zip(text.to_pylist(), column.to_pylist(), strict=True)]
+    return pa.StructArray.from_arrays([pa.array([f[i] for f in found], pa.string()) for i in range(2)], names=["ast_hash", "structural_hash"])
+
 
-    return files.select("path", "source").mapInArrow(run, RECORDS)
+_OF_NODES = ("path", "kind", "signature", "text", "docstring", "decorators", "params", "return_type", "start_line", "end_line", "start_col")
 
 
 @dataclass(frozen=True)
@@ -62,8 +130,8 @@ class Extraction:
     records: DataFrame
 
     @staticmethod
-    def of(files: DataFrame) -> Extraction:
-        return Extraction(written(records(files), "records"))
+    def of(files: DataFrame, *kinds: str) -> Extraction:
+        return Extraction(written(records(files, kinds), "records"))
 
     def _of(self, record: str) -> DataFrame:
         return self.records.where(F.col("record") == record)
@@ -72,9 +140,11 @@ class Extraction:
     def nodes(self) -> DataFrame:
         """Functions, methods and classes as logic nodes; equal qualified names are one node, the last path's."""
         params = T.ArrayType(schema.PARAM)
-        n = self._of("node").where("label <> 'Module'").groupBy("name").agg(F.max_by(F.struct(*[c for c in RECORDS.names if c != "name"]), F.struct("path", "start_line")).alias("_r")).select("name", "_r.*")
+        n = self._of("node").where("label <> 'Module'").groupBy("name").agg(F.max_by(F.struct(*_OF_NODES), F.struct("path", "start_line")).alias("_r")).select("name", "_r.*")
+        ship(n.sparkSession)
+        hashed = _hashes(F.col("text"), F.col("start_col"))
         return n.select(
-            identity.node_id(F.col("name")).alias("id"), "ast_hash", "structural_hash", "kind", "name", F.col("path").alias("module_path"), "signature", F.col("text").alias("source_text"),
+            identity.node_id(F.col("name")).alias("id"), hashed["ast_hash"].alias("ast_hash"), hashed["structural_hash"].alias("structural_hash"), "kind", "name", F.col("path").alias("module_path"), "signature", F.col("text").alias("source_text"),
             F.lit(None).cast("string").alias("semantic_intent"), "docstring", F.from_json("decorators", "array<string>").alias("decorators"), F.from_json("params", params).alias("params"), "return_type",
             F.array().cast("array<string>").alias("tags"), F.lit(None).cast("string").alias("class_id"), F.lit(None).cast("string").alias("derived_from"), "start_line", "end_line", F.lit("active").alias("status"),
         )

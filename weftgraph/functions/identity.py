@@ -9,6 +9,7 @@ import keyword
 import builtins
 import tokenize
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,9 +49,52 @@ def sha256(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+#: Fields that hold no part of a tree that is walked: names, operators, contexts.
+_LEAVES = ("id", "attr", "ctx", "op", "ops", "type_comment", "type_ignores", "level", "conversion", "simple")
+_FIELDS = {kind: tuple(f for f in kind._fields if f not in _LEAVES) for kind in vars(ast).values() if isinstance(kind, type) and issubclass(kind, ast.AST)} | {ast.Constant: ()}
+#: Nodes that statements lie in.
+_HOLDERS = (ast.stmt, ast.ExceptHandler, ast.match_case)
+
+
+def children_of(node: ast.AST) -> list[ast.AST]:
+    """As ``ast.iter_child_nodes``, in a fraction of its time, without contexts and operators."""
+    found = []
+    for name in _FIELDS[node.__class__]:
+        value = getattr(node, name, None)
+        if value.__class__ is list:
+            found += [x for x in value if isinstance(x, ast.AST)]
+        elif isinstance(value, ast.AST):
+            found.append(value)
+    return found
+
+
+def nodes_of(tree: ast.AST) -> list[ast.AST]:
+    """As ``ast.walk``, in its order, without contexts and operators."""
+    found = [tree]
+    for node in found:  # grows meanwhile
+        for name in _FIELDS[node.__class__]:
+            value = getattr(node, name, None)
+            if value.__class__ is list:
+                found += [x for x in value if isinstance(x, ast.AST)]
+            elif isinstance(value, ast.AST):
+                found.append(value)
+    return found
+
+
+def statements_of(tree: ast.AST) -> list[ast.AST]:
+    """The tree and all statements below it, in the order of ``ast.walk``; expressions hold none and are passed over."""
+    found = [tree]
+    for node in found:
+        for name in ("body", "handlers", "orelse", "finalbody", "cases"):
+            value = getattr(node, name, None)
+            if value.__class__ is list:
+                found += [x for x in value if isinstance(x, _HOLDERS)]
+    return found
+
+
 def _bare(tree: ast.AST) -> ast.AST:
     """The tree without docstrings and with decorators in order of their text."""
-    for node in ast.walk(tree):
+    for node in statements_of(tree):
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Module)):
             body = node.body
             if body and isinstance(body[0], ast.Expr) and isinstance(body[0].value, ast.Constant) and isinstance(body[0].value.value, str):
@@ -70,32 +114,34 @@ def canonical(source: str) -> str:
 
 def structural(source: str) -> str:
     """As ``canonical``, with names numbered by first use, and literals and decorators by their kind."""
+    return _structural(canonical(source))
+
+
+#: Names that stay, and what stands for a token of a type.
+_KEPT = {*keyword.kwlist, *dir(builtins), "self", "cls"}
+_STANDS = {t: "S" for t, name in tokenize.tok_name.items() if t == tokenize.STRING or name.startswith("FSTRING")} | {tokenize.NUMBER: "N", tokenize.INDENT: "{", tokenize.DEDENT: "}"}
+_BREAKS, _PASSED = (tokenize.NEWLINE, tokenize.NL), (tokenize.ENCODING, tokenize.ENDMARKER, tokenize.COMMENT)
+
+
+def _structural(plain: str) -> str:
+    """``structural`` of a source that is canonical."""
     names: dict[str, str] = {}
-    kept = {*keyword.kwlist, *dir(builtins), "self", "cls"}
     out, line_starts, skip = [], True, False
     try:
-        for t in tokenize.generate_tokens(io.StringIO(canonical(source)).readline):
-            if t.type in (tokenize.NEWLINE, tokenize.NL):
+        for kind, string, *_ in tokenize.generate_tokens(io.StringIO(plain).readline):
+            if kind in _BREAKS:
                 line_starts, skip = True, False
                 continue
-            if line_starts and t.string == "@":
+            if line_starts and string == "@":
                 out.append("@DECORATOR")
                 skip = True
             line_starts = False
-            if skip or t.type in (tokenize.ENCODING, tokenize.ENDMARKER, tokenize.COMMENT):
+            if skip or kind in _PASSED:
                 continue
-            if t.type == tokenize.NAME and t.string not in kept:
-                out.append(names.setdefault(t.string, f"I{len(names)}"))
-            elif t.type == tokenize.STRING or tokenize.tok_name[t.type].startswith("FSTRING"):
-                out.append("S")
-            elif t.type == tokenize.NUMBER:
-                out.append("N")
-            elif t.type == tokenize.INDENT:
-                out.append("{")
-            elif t.type == tokenize.DEDENT:
-                out.append("}")
+            if kind == tokenize.NAME and string not in _KEPT:
+                out.append(names.setdefault(string, f"I{len(names)}"))
             else:
-                out.append(t.string)
+                out.append(_STANDS.get(kind, string))
     except (tokenize.TokenError, IndentationError):
         pass
     return " ".join(out)
@@ -109,6 +155,29 @@ def structural_hash(source: str) -> str:
     return sha256(structural(source))
 
 
+#: Sources up to so many characters are remembered with their hashes, and so many of them: copies of a definition are hashed once.
+_SHORT, _REMEMBERED = 4096, 4096
+
+
+def _hashes(source: str) -> tuple[str, str]:
+    plain = canonical(source)
+    return sha256(plain), sha256(_structural(plain))
+
+
+_known_hashes = lru_cache(_REMEMBERED)(_hashes)
+
+
+def hashes(source: str) -> tuple[str, str]:
+    """``ast_hash`` and ``structural_hash``, with one parse."""
+    return _known_hashes(source) if len(source) <= _SHORT else _hashes(source)
+
+
+def dedented(text: str, column: int) -> str:
+    """A definition's text, moved left by the column that it begins in."""
+    lines = text.split("\n")
+    return "\n".join([lines[0], *(line[column:] if line[:column].isspace() else line for line in lines[1:])])
+
+
 def _definition(source: str) -> ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef | None:
     try:
         body = ast.parse(source).body

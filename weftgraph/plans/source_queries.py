@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.extract.tables import Extraction, records
+from weftgraph.extract.tables import Extraction, counted, records
+from weftgraph.graph import CodeGraph
 from weftgraph.operators import shapes
 from weftgraph.plans.graph_queries import query
 from weftgraph.plans.project import Projection
@@ -40,9 +41,10 @@ def sources(documents: DataFrame) -> DataFrame:
     return documents.select(F.concat(F.lit("src/d"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.array_join(whole, "\n").alias("source"))
 
 
-def _extraction(p: Projection) -> Extraction:
-    """The extraction of a directory's documents, parsed once, until the documents' files change."""
-    return Extraction(p.kept("source-records", ["documents"], lambda: records(sources(p.table("documents")))).read())
+def _extraction(p: Projection, *kinds: str, bodies: bool = True) -> Extraction:
+    """The extraction of a directory's documents, or its records of some kinds, kept until the documents' files change."""
+    name = "-".join(["source-records", *kinds, *([] if bodies else ["outline"])])
+    return Extraction(p.kept(name, ["documents"], lambda: records(sources(p.table("documents")), kinds, bodies)).read())
 
 
 _SQL_KINDS = " ".join(f"WHEN {k} THEN '{text.replace('N', chr(39) + ' || n || ' + chr(39))}'" for k, text in enumerate(_KINDS))
@@ -103,7 +105,7 @@ _CALLED = "CASE k WHEN 1 THEN 'items.append' WHEN 3 THEN m || '.g' WHEN 5 THEN m
 @_source_query("x2_calls", f"SELECT m || '.f' AS src, {_CALLED} AS dst, CAST(line AS INT) AS call_line, CAST(row_number() OVER (PARTITION BY m ORDER BY place) - 1 AS INT) AS call_order FROM st WHERE k IN (1, 3, 5, 6)")
 def _(p):
     """Callees by an import, a typed parameter's class, a module-level name, and as they stand."""
-    return _extraction(p).named_edges.where("type = 'CALLS'").select("src", "dst", "call_line", "call_order")
+    return _extraction(p, "edge").named_edges.where("type = 'CALLS'").select("src", "dst", "call_line", "call_order")
 
 
 _PLACED = "s AS (SELECT m, place, k, line, m || '.f.' || CASE WHEN k = 2 THEN 'cf_' ELSE 'stmt_' END || place AS name FROM st UNION ALL SELECT m, n, NULL, 16 + n, m || '.f.stmt_' || n FROM c)"
@@ -132,7 +134,7 @@ UNION ALL SELECT 'CONTAINS', m || '.g', m || '.g.stmt_0' FROM c UNION ALL SELECT
 """,
 )
 def _(p):
-    return _extraction(p).named_edges.where("type IN ('NEXT', 'CONTAINS')").select("type", "src", "dst")
+    return _extraction(p, "edge").named_edges.where("type IN ('NEXT', 'CONTAINS')").select("type", "src", "dst")
 
 
 @_source_query(
@@ -143,7 +145,7 @@ FROM c, (VALUES ('.Box.put.item', '.Box.put', 6, NULL, true), ('.Box.size', '.Bo
 """,
 )
 def _(p):
-    return _extraction(p).variables.select("name", "scope", "origin_line", "type_hint", "is_parameter", "is_attribute")
+    return _extraction(p, "variable").variables.select("name", "scope", "origin_line", "type_hint", "is_parameter", "is_attribute")
 
 
 @_source_query(
@@ -159,7 +161,7 @@ UNION ALL SELECT 'READS', m || '.Box.put', m || '.Box.put.item', 7, NULL, NULL,
 """,
 )
 def _(p):
-    return _extraction(p).named_edges.where("type IN ('ASSIGNS', 'MUTATES', 'READS', 'RETURNS')").select("type", "src", "dst", "line", "is_rebind", "branch", "control_context")
+    return _extraction(p, "edge").named_edges.where("type IN ('ASSIGNS', 'MUTATES', 'READS', 'RETURNS')").select("type", "src", "dst", "line", "is_rebind", "branch", "control_context")
 
 
 @_source_query(
@@ -180,7 +182,7 @@ SELECT m || CASE k WHEN 3 THEN '.f.items' ELSE '.f.data' END AS src, m || '.f.to
 """,
 )
 def _(p):
-    return _extraction(p).feeds().select("src", "dst", "line")
+    return _extraction(p, "edge").feeds().select("src", "dst", "line")
 
 
 _SHAPES = """
@@ -279,8 +281,8 @@ def _(p):
     from weftgraph.streaming import changes
 
     renamed = sources(p.table("documents")).withColumn("source", F.replace("source", F.lit("def g("), F.lit("def g2(")))
-    graph = _extraction(p).graph()
-    return changes.reindexed(graph, renamed).nodes.select("name", "module_path")
+    fresh = Extraction(records(renamed, ("node",)))  # read once
+    return changes.reindexed_nodes(_extraction(p, "node").nodes, renamed, fresh.nodes).select("name", "module_path")
 
 
 # --- trees of files, written from whole documents

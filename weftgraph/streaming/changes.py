@@ -84,6 +84,12 @@ def new_content(files: DataFrame, indexed: DataFrame) -> DataFrame:
     return files.join(indexed.select("path", "checksum"), ["path", "checksum"], "left_anti")
 
 
+def reindexed_nodes(nodes: DataFrame, files: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The nodes of ``reindexed``, where ``fresh`` are those that files (path, ...) have now: the files' old nodes go."""
+    paths = files.select(F.col("path").alias("module_path")).distinct()
+    return nodes.join(paths, "module_path", "left_anti").select(nodes.columns).unionByName(fresh, allowMissingColumns=True)
+
+
 def reindexed(graph: CodeGraph, files: DataFrame) -> CodeGraph:
     """ST5: the graph after some files (path, source) were parsed anew: their old nodes go, the new ones come."""
     from weftgraph.extract.tables import Extraction
@@ -93,9 +99,8 @@ def reindexed(graph: CodeGraph, files: DataFrame) -> CodeGraph:
     old = graph.nodes.join(paths, "module_path", "left_semi").select("id")
     kept_ids = fresh.nodes.select("id")
     # edges from other files into a node that comes back are kept
-    nodes, edges = graph.nodes.join(old, "id", "left_anti"), graph.edges
-    edges = edges.join(old.withColumnRenamed("id", "src"), "src", "left_anti").join(old.join(kept_ids, "id", "left_anti").withColumnRenamed("id", "dst"), "dst", "left_anti")
-    return graph.with_(nodes=nodes.unionByName(fresh.nodes, allowMissingColumns=True), edges=mutate.upsert(edges, fresh.edges, ("type", "src", "dst")), variables=mutate.upsert(graph.variables, fresh.variables), shapes=mutate.insert_only(graph.shapes, fresh.shapes))
+    edges = graph.edges.join(old.withColumnRenamed("id", "src"), "src", "left_anti").join(old.join(kept_ids, "id", "left_anti").withColumnRenamed("id", "dst"), "dst", "left_anti")
+    return graph.with_(nodes=reindexed_nodes(graph.nodes, files, fresh.nodes), edges=mutate.upsert(edges, fresh.edges, ("type", "src", "dst")), variables=mutate.upsert(graph.variables, fresh.variables), shapes=mutate.insert_only(graph.shapes, fresh.shapes))
 
 
 def index_stream(changes: DataFrame, checkpoint: str, on_batch: Callable[[DataFrame, int], None], trigger: dict | None = None):
