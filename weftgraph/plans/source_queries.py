@@ -268,10 +268,10 @@ def _(p):
     """Stored nodes that the edited sources of their modules no longer define."""
     from weftgraph.sources import files
 
-    nodes = _extraction(p).nodes.select("id", "name", "module_path")
+    nodes = _extraction(p, "node").nodes.select("id", "name", "module_path")
     old = p.table("documents").select(F.concat(F.lit("old"), "doc_id").alias("id"), F.concat(F.lit("src.d"), "doc_id", F.lit(".old")).alias("name"), F.concat(F.lit("src/d"), "doc_id", F.lit(".py")).alias("module_path"))
     stored = nodes.unionByName(old)
-    _new, gone = files.sync_sources(sources(p.table("documents")), p.graph().with_(nodes=stored))
+    _new, gone = files.sync_sources(sources(p.table("documents")), CodeGraph.of(p.spark, nodes=stored))
     return stored.join(gone, "id", "left_semi").select("name")
 
 

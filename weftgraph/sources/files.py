@@ -140,7 +140,7 @@ def sync_sources(projected: DataFrame, graph: CodeGraph) -> tuple[DataFrame, Dat
     """Nodes of edited module sources (path, source): those to upsert, and ids of stored nodes that are gone from their module."""
     from weftgraph.extract.tables import Extraction
 
-    new = Extraction.of(projected).nodes
+    new = Extraction.of(projected, "node").nodes
     mine = graph.nodes.join(projected.select(F.col("path").alias("module_path")).distinct(), "module_path", "left_semi")
     gone = mine.join(new.select("id"), "id", "left_anti").select("id")
     return new, gone
