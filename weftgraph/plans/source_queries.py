@@ -121,7 +121,7 @@ UNION ALL SELECT m || '.g.stmt_0', 'Statement', 'return', 0, m || '.g', 12 FROM
 """,
 )
 def _(p):
-    return _extraction(p).statements.select("name", "label", "kind", "seq", "parent", "start_line")
+    return _extraction(p, "statement").statements.select("name", "label", "kind", "seq", "parent", "start_line")
 
 
 @_source_query(
