@@ -91,12 +91,12 @@ SELECT 'DEFINES' AS type, m AS src, m || d AS dst FROM c, (VALUES ('.Box'), ('.g
 """,
 )
 def _(p):
-    return _extraction(p).named_edges.where("type IN ('DEFINES', 'MEMBER_OF', 'INHERITS')").select("type", "src", "dst")
+    return _extraction(p, "edge", bodies=False).named_edges.where("type IN ('DEFINES', 'MEMBER_OF', 'INHERITS')").select("type", "src", "dst")
 
 
 @_source_query("x3_imports", "SELECT m AS src, d AS dst, a AS alias, CAST(k AS INT) AS line FROM c, (VALUES ('pkg.mod', NULL, 1), ('pkg.mod.helper', 'h', 1), ('src.near', NULL, 2), ('src.near.x', NULL, 2)) v(d, a, k)")
 def _(p):
-    return _extraction(p).named_edges.where("type = 'IMPORTS'").select("src", "dst", "alias", "line")
+    return _extraction(p, "edge", bodies=False).named_edges.where("type = 'IMPORTS'").select("src", "dst", "alias", "line")
 
 
 _CALLED = "CASE k WHEN 1 THEN 'items.append' WHEN 3 THEN m || '.g' WHEN 5 THEN m || '.Box.put' WHEN 6 THEN 'pkg.mod.helper' END"
