@@ -172,7 +172,7 @@ UNION ALL SELECT m || '.f.items', m || '.g.key', CAST(line AS INT), 1, 'key' FRO
 """,
 )
 def _(p):
-    return _extraction(p).passes().select("src", "dst", "call_line", "arg_position", "arg_keyword")
+    return _extraction(p, "argument", "param").passes().select("src", "dst", "call_line", "arg_position", "arg_keyword")
 
 
 @_source_query(
