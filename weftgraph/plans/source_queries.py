@@ -240,7 +240,7 @@ SELECT n AS files, CAST(4 * n AS BIGINT) AS nodes, CAST(7 * n AS BIGINT) AS vari
 )
 def _(p):
     """Counters of the import of all documents' sources."""
-    return _extraction(p).report()
+    return counted(sources(p.table("documents")))
 
 
 # --- sources written anew, synchronised, indexed again
