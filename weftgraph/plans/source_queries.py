@@ -69,7 +69,7 @@ SELECT c.m AS name, path AS module_path, CAST(16 + n AS INT) AS end_line, sha256
 """,
 )
 def _(p):
-    return _extraction(p).modules.select("name", "module_path", "end_line", "checksum")
+    return _extraction(p, "node").modules.select("name", "module_path", "end_line", "checksum")
 
 
 @_source_query(
@@ -81,7 +81,7 @@ UNION ALL SELECT m || '.f', 'function', path, 15, CAST(16 + n AS INT), 'def f(to
 """,
 )
 def _(p):
-    return _extraction(p).nodes.select("name", "kind", "module_path", "start_line", "end_line", "signature", "return_type")
+    return _extraction(p, "node").nodes.select("name", "kind", "module_path", "start_line", "end_line", "signature", "return_type")
 
 
 @_source_query(
