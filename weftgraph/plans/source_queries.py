@@ -259,7 +259,7 @@ UNION ALL SELECT m || '.g', concat('def g(x, key=None):', chr(10), '    return x
 def _(p):
     from weftgraph.extract.regenerate import functions
 
-    e = _extraction(p)
+    e = _extraction(p, "node", "statement")
     return functions(e.nodes, e.statements)
 
 
