@@ -195,7 +195,7 @@ hashed AS (SELECT *, sha256(CASE WHEN kind = 'hint' THEN 'hint:Box' ELSE concat(
 
 @_source_query("x9_shapes", f"{_SHAPES} SELECT variable, kind, base_type, attrs, methods, shape_hash FROM hashed")
 def _(p):
-    found = shapes.from_evidence(_extraction(p).evidence)
+    found = shapes.from_evidence(_extraction(p, "evidence", "variable").evidence)
     return found.select("variable", "kind", "base_type", F.array_join("attrs", ",").alias("attrs"), F.array_join("methods", ",").alias("methods"), "shape_hash")
 
 
