@@ -156,3 +156,21 @@ def test_wedges_at_a_hub(spark):
     m = 150_000
     assert match.wedges(edges).count() < 4 * m < m**1.5
     assert match.three_cycles(edges).count() == 49_999
+
+
+def test_one_large_component_needs_no_colours(spark, monkeypatch):
+    """The component that most ways pass is found by a search both ways; others still come by colours."""
+    def never(edges):
+        raise AssertionError("colours")
+
+    ring = [(f"r{k:02}", f"r{(k + 1) % 20:02}") for k in range(20)] + [("r00", "r05"), ("r03", "r00")]
+    tails = [("a", "r01"), ("r07", "b"), ("b", "c"), ("a", "b")]
+    made = lambda pairs: spark.createDataFrame(pairs, "src string, dst string")
+    with monkeypatch.context() as m:
+        m.setattr(scc, "_colours", never)
+        found = {(r["node"], r["component"]) for r in scc.components(made(ring + tails)).collect()}
+    assert found == {(f"r{k:02}", "r00") for k in range(20)}
+    other = [("x", "y"), ("y", "x"), ("c", "x"), ("u", "v"), ("v", "u")]
+    found = {(r["node"], r["component"]) for r in scc.components(made(ring + tails + other)).collect()}
+    assert found == {(f"r{k:02}", "r00") for k in range(20)} | {("x", "x"), ("y", "x"), ("u", "u"), ("v", "u")}
+    assert scc.components(made(tails)).isEmpty()
